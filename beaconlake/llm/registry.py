@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from beaconlake.llm import mixing, packing, tokens
+from beaconlake.llm import mixing, packing, tokens, urls
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
     "op3_packing": packing.op3_packing,
+    "op5_url_filter": urls.op5_url_filter,
     "op6_token_counts": tokens.op6_token_counts,
 }
 ORACLES = {
     "op1_mix": mixing.OP1_SQL,
+    "op5_url_filter": urls.OP5_SQL,
 }
