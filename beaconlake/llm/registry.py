@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from beaconlake.llm import mixing, packing, pii, secrets, simhash, tokens, urls
+from beaconlake.llm import ann, mixing, packing, pii, secrets, simhash, tokens, toxicity, urls
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
     "op3_packing": packing.op3_packing,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_url_filter": urls.op5_url_filter,
     "op6_token_counts": tokens.op6_token_counts,
     "op7_secret_scan": secrets.op7_secret_scan,
     "op8_simhash": simhash.op8_simhash,
     "op9_pii": pii.op9_pii,
+    "op10_nearest": ann.op10_nearest,
 }
 ORACLES = {
     "op1_mix": mixing.OP1_SQL,
     "op5_url_filter": urls.OP5_SQL,
+    "op10_nearest": ann.OP10_SQL,
 }
