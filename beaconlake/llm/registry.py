@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from beaconlake.llm import ann, mixing, packing, pii, secrets, simhash, tokens, toxicity, urls
+from beaconlake.llm import ann, embed_dedup, mixing, packing, pii, secrets, simhash, tokens, toxicity, urls
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
+    "op2_embedding_dedup": embed_dedup.op2_embedding_dedup,
     "op3_packing": packing.op3_packing,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_url_filter": urls.op5_url_filter,
@@ -19,4 +20,5 @@ ORACLES = {
     "op1_mix": mixing.OP1_SQL,
     "op5_url_filter": urls.OP5_SQL,
     "op10_nearest": ann.OP10_SQL,
+    "op2_embedding_dedup": embed_dedup.OP2_SQL,
 }
