@@ -104,6 +104,16 @@ def links(fps: DataFrame) -> DataFrame:
     return near.unionByName(around)
 
 
+def _named(rows: DataFrame) -> DataFrame:
+    """(doc_id, fp) -> for each fingerprint its group (a fingerprint of it) and the group's smallest id."""
+    nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    linked = components(links(nodes.select("fp")))
+    grouped = (nodes.join(linked, nodes.fp == linked.node, "left")
+               .select("fp", "least", F.coalesce("component", "fp").alias("group")))
+    least = grouped.groupBy("group").agg(F.min("least").alias("component_id"))
+    return materialize(grouped.drop("least").join(least, "group"), "named")
+
+
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row.
 
@@ -114,14 +124,25 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Other columns are ignored. An empty table gives an empty result.
     """
     rows = materialize(with_fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    linked = components(links(nodes.select("fp")))
-    joined = linked.join(nodes, linked.node == nodes.fp)
-    least = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = materialize(
-        nodes.join(linked, nodes.fp == linked.node, "left").join(least, "component", "left")
-        .select("fp", F.coalesce("component_id", "least").alias("component_id")), "named")
-    return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return rows.join(_named(rows), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """The rows of docs, with their columns, of which each near-duplicate group keeps one: that with its
+    smallest id. Of a group's rows that share this id, or have none, the smallest in column order stays."""
+    slim = materialize(with_fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    named = _named(slim)
+    first = slim.join(named, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("group").agg(F.count("*").alias("rows_"))
+    keys = named.join(first, "group").select(F.col("fp").alias("fp_"), "group", "component_id", "rows_")
+
+    def run(column: pa.Array) -> pa.Array:
+        return pa.array(np.fromiter((fingerprint(t.as_py(), shingle) for t in column), dtype=np.uint64, count=len(column)).view(np.int64))
+
+    cols = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_")
+    rows = docs.select(cols, F.col(id_col).alias("id_"), F.arrow_udf(run, "long")(F.col(text_col)).alias("fp_"))
+    kept = rows.join(keys, "fp_").where(F.col("id_").eqNullSafe(F.col("component_id")))
+    several = kept.where("rows_ > 1").groupBy("group").agg(F.min("row_").alias("row_"))
+    return kept.where("rows_ = 1").select("row_").unionByName(several.select("row_")).select("row_.*")
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
