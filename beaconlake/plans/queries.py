@@ -101,6 +101,17 @@ def gap_with_standing_and_forgetting(spark, sf):
     return with_gaps(I.packets(spark, sf), standing=F.col("k") % 4 == 1, forget=7).where("k % 4 <> 1").select("seq", "gap", "first")
 
 
+@query(GAP.split(",\nw AS")[0] + """,
+w AS (SELECT *, lag(ts_s) OVER (PARTITION BY station_id, aircraft ORDER BY seq) AS prev0, max(ts_s) OVER (PARTITION BY aircraft ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen0 FROM pkt),
+f AS (SELECT *, CASE WHEN ts_s - prev0 <= 43200 THEN prev0 END AS prev, CASE WHEN ts_s - seen0 <= 43200 THEN seen0 END AS seen FROM w)
+SELECT seq, CASE WHEN prev IS NOT NULL THEN least(60, ts_s - prev) ELSE least(60, greatest(1, ts_s - coalesce(seen, ts_s))) END::INT AS gap, coalesce(seen < ts_s, TRUE) AS first FROM f""")
+def gap_in_stretches(spark, sf):
+    """The real clock, on which state is forgotten: windows of twelve hours instead of one for each aircraft."""
+    from beaconlake.operators.gaps import with_gaps
+
+    return with_gaps(I.packets(spark, sf), ts="ts_s", arrival=F.col("ts_s")).select("seq", "gap", "first")
+
+
 @query(GAP + " SELECT aircraft, count(*) FILTER (WHERE first) AS first_packets, count(*) AS packets FROM gp GROUP BY aircraft")
 def first_flag(spark, sf):
     return I.gapped(spark, sf).groupBy("aircraft").agg(F.count_if("first").alias("first_packets"), F.count("*").alias("packets"))
@@ -557,6 +568,16 @@ def h3_stationary_fsm(spark, sf):
     return h3_stationary(p).select("seq", "aircraft", "first", "h3_stationary")
 
 
+# streams
+
+@query(GAP + f", per AS ({part('cell7', 'station_id')}) " + cells_sql("per", "cell7"))
+def streaming_replay_equals_batch(spark, sf):
+    """The events as a stream, merged batch by batch into bucket tables; the season's cells equal the batch's."""
+    from beaconlake.streaming.coverage import replay
+
+    return V.global_cells(V.merge(replay(I.accepted(spark, sf)).where("acc_type = 'yearnz'"), "cell7", "station_id"), "cell7")
+
+
 # upkeep
 
 @query(GAP + f""", p AS ({part('station_id', 'cell8')}) SELECT station_id, cell8, station_id % 6 = 1 AS absent, CASE WHEN station_id % 6 = 1 THEN '' ELSE 'count' END AS differ FROM p WHERE station_id % 6 = 1 OR station_id % 6 = 2""")

@@ -6,6 +6,8 @@ order of arrival. The aggregate itself needs none: each batch's partial records
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -122,3 +124,16 @@ def stream_coverage(packets: DataFrame, path: str, checkpoint: str, ts: str = "t
 
     w = packets.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if available_now else w.trigger(processingTime="5 minutes")).start()
+
+
+def replay(packets: DataFrame, batches: int = 2) -> DataFrame:
+    """Runs accepted packets through stream_coverage in some batches, in the session's shared folder, and
+    returns the table that results."""
+    spark = packets.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-beaconlake-")
+    at = f"{root.rstrip('/')}/beaconlake/replay-{uuid.uuid4().hex}"
+    needed = packets.select("seq", "ts_s", "alt", "agl", "crc", "signal", "gap", "cell7", "station_id")
+    needed.repartition(batches, "seq").write.parquet(f"{at}/in")
+    stream = spark.readStream.schema(needed.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+    stream_coverage(stream, f"{at}/table", f"{at}/offsets").awaitTermination()
+    return latest(spark, f"{at}/table")
