@@ -76,14 +76,15 @@ def _score(urls: DataFrame, ratios: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def _threshold(scored: DataFrame) -> int:
-    """The score that splits accepted from rejected with the least sum of both error rates."""
+    """The score that splits accepted from rejected with the least sum of both error rates: half way between
+    the lowest score on its upper side and the next one below."""
     bins = scored.groupBy("score").agg(F.count_if(F.col("verdict") == "allow").alias("a"), F.count_if(F.col("verdict") == "block").alias("r"))
     up = Window.orderBy("score")
     cost = bins.select(
-        "score",
+        "score", F.coalesce(F.lag("score").over(up), F.col("score")).alias("below"),
         (F.coalesce(F.sum("a").over(up.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) * F.sum("r").over(Window.partitionBy())
          + F.sum("r").over(up.rowsBetween(Window.currentRow, Window.unboundedFollowing)) * F.sum("a").over(Window.partitionBy())).alias("cost"))
-    least = cost.agg(F.min(F.struct("cost", "score")).alias("x")).select("x.score").first()
+    least = cost.agg(F.min(F.struct("cost", "score", "below")).alias("x")).select(F.ceil((F.col("x.score") + F.col("x.below")) / 2)).first()
     return 0 if least is None or least[0] is None else least[0]
 
 
@@ -158,9 +159,9 @@ ratios AS (SELECT gram, round((ln(a3) - ln(r3)) * 1000000::DOUBLE)::BIGINT AS mi
 scored AS (SELECT row_, floor(sum(micro)::DOUBLE / (count(*) * 1000))::BIGINT AS score FROM grams JOIN ratios USING (gram) GROUP BY row_),
 bins AS (SELECT score, count(*) FILTER (WHERE verdict = 'allow') AS a, count(*) FILTER (WHERE verdict = 'block') AS r
          FROM scored JOIN judged USING (row_) WHERE verdict IS NOT NULL AND tuning GROUP BY score),
-cost AS (SELECT score, coalesce(sum(a) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * sum(r) OVER ()
+cost AS (SELECT score, coalesce(lag(score) OVER (ORDER BY score), score) AS below, coalesce(sum(a) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * sum(r) OVER ()
          + sum(r) OVER (ORDER BY score ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) * sum(a) OVER () AS cost FROM bins),
-cut AS (SELECT coalesce((SELECT score FROM cost ORDER BY cost, score LIMIT 1), 0) AS t)
+cut AS (SELECT coalesce((SELECT ceil((score + below) / 2.0)::BIGINT FROM cost ORDER BY cost, score LIMIT 1), 0) AS t)
 SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN score >= (SELECT t FROM cut) THEN 'allow' ELSE 'block' END) AS verdict,
        CASE WHEN verdict IS NULL THEN score END AS score
 FROM judged JOIN scored USING (row_)
