@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from beaconlake.llm.base import materialize, table
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Slices of the rank scale; only the slice that a source's budget ends in is sorted exactly.
-SLICES = 65536
+#: The rank scale is cut into STEPS parts, the part that a source's budget ends in into STEPS slices, and
+#: only the slice that it ends in is sorted exactly.
+STEPS = 1024
 #: Below this a copy count is whole.
 TINY = 1e-9
 
@@ -85,12 +86,16 @@ def fit_mix(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3
     plan = materialize(solved.select("source", "level", "source_size", "target", "whole", "part", "rest"), "mix-levels")
 
     ranked = _ranked(sized, plan, seed).where("part > 0").select("source", "slice", "rank", "id_key", "size", "rest")
-    slices = ranked.groupBy("source", "rest", "slice").agg(F.sum("size").alias("words"))
-    up = Window.partitionBy("source").orderBy("slice")
-    ends = (slices.withColumn("upto", F.sum("words").over(up.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-            .where("upto > rest").groupBy("source")
-            .agg(F.min(F.struct("slice", (F.col("upto") - F.col("words")).alias("base"))).alias("x"))
-            .select(F.col("source").alias("s"), F.col("x.slice").alias("slice_at"), "x.base"))
+    ends = None
+    for width in (STEPS, 1):
+        rows = ranked if ends is None else ranked.join(ends, F.col("source").eqNullSafe(F.col("s")) & (F.floor(F.col("slice") / STEPS) == F.col("at")))
+        base = F.lit(0).cast("long") if ends is None else F.col("base")
+        sums = rows.groupBy("source", "rest", base.alias("base"), F.floor(F.col("slice") / width).alias("at")).agg(F.sum("size").alias("words"))
+        upto = F.col("base") + F.sum("words").over(Window.partitionBy("source").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        ends = (sums.withColumn("upto", upto).where("upto > rest").groupBy("source")
+                .agg(F.min(F.struct("at", (F.col("upto") - F.col("words")).alias("base"))).alias("x"))
+                .select(F.col("source").alias("s"), F.col("x.at").alias("at"), F.col("x.base").alias("base")))
+    ends = ends.withColumnRenamed("at", "slice_at")
     inside = (ranked.join(ends, F.col("source").eqNullSafe(F.col("s")) & (F.col("slice") == F.col("slice_at")))
               .groupBy("source", "slice_at", "base", "rest", "rank", "id_key").agg(F.sum("size").alias("words")))
     before = F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("rank", "id_key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -111,7 +116,7 @@ def _ranked(sized: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
     joined = docs.join(p, F.col("source").eqNullSafe(F.col("source_")) & (F.col("level_") == F.col("level")), "left")
     rank = F.when(F.col("part") > 0, _rank(F.col("id_key"), F.col("part"), seed))
     return (joined.drop("source_", "level", "level_").withColumn("rank", rank)
-            .withColumn("slice", F.floor(F.col("rank") / (1.0 + F.col("rank")) * SLICES).cast("int")))
+            .withColumn("slice", F.floor(F.col("rank") / (1.0 + F.col("rank")) * STEPS * STEPS).cast("int")))
 
 
 def apply_mix(sized: DataFrame, plan: DataFrame, seed: int = 17) -> DataFrame:
