@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from beaconlake.config import DEFAULT
+from beaconlake.functions.buckets import TYPES
 
 
 def reconcile(output: DataFrame, state: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
@@ -43,3 +44,31 @@ def backup(*accumulators: DataFrame) -> DataFrame:
     for a in accumulators[1:]:
         out = out.unionByName(a)
     return out
+
+
+def dump(rows: DataFrame, match: str | None = None) -> DataFrame:
+    """Rows as JSON text, those only that a pattern finds."""
+    text = rows.select(F.to_json(F.struct(*rows.columns)).alias("value"))
+    return text.where(F.col("value").rlike(match)) if match else text
+
+
+def interval_deltas(counts: DataFrame, at: str, value: str, seconds: int) -> DataFrame:
+    """Change since the interval before and rate a second, for one row for each interval."""
+    before = F.lag(value).over(Window.orderBy(at))
+    return counts.withColumns({"delta": F.col(value) - before, "rate": F.round(F.col(value) / seconds, 6)})
+
+
+def startup_check(existing: DataFrame, metadata: DataFrame, files: DataFrame) -> DataFrame:
+    """What to do with each accumulator found at start: purge it if its type is unknown, its metadata or its
+    output file is missing. existing has acc_type and bucket; metadata these and file; files has file."""
+    m = metadata.select("acc_type", "bucket", "file").distinct()
+    f = files.select("file").distinct().withColumn("there_", F.lit(True))
+    joined = existing.select("acc_type", "bucket").distinct().join(m, ["acc_type", "bucket"], "left").join(f, "file", "left")
+    reason = F.when(~F.col("acc_type").isin(*TYPES), "unknown type").when(F.col("file").isNull(), "no metadata").when((F.col("acc_type") != "current") & F.col("there_").isNull(), "no file").otherwise("keep")
+    return joined.select("acc_type", "bucket", reason.alias("action"))
+
+
+def pointers(files: DataFrame) -> DataFrame:
+    """For each station and type the name without a period and the newest file it stands for."""
+    newest = files.groupBy("station", "acc_type").agg(F.max("period").alias("period"))
+    return newest.select(F.concat_ws(".", "station", "acc_type", F.lit("arrow")).alias("link"), F.concat_ws(".", "station", "acc_type", "period", F.lit("arrow")).alias("target"))

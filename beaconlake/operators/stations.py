@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from beaconlake.config import DEFAULT
+from beaconlake.functions.stations import GLOBAL_ID, GLOBAL_NAME, decode_token
 
 
 def allocate_ids(names: DataFrame, known: DataFrame, name: str = "station", id_: str = "id") -> DataFrame:
@@ -40,3 +43,27 @@ def latest(rows: DataFrame, key: str, order: str, *values: str) -> DataFrame:
 def skippable(changed_since: Column, last_packet: Column, moved: Column, is_global: Column, has_output: Column, any_retired: Column) -> Column:
     """A station without anything new needs no rollup."""
     return ~is_global & ~any_retired & has_output & ~F.coalesce(moved, F.lit(False)) & (F.coalesce(last_packet, F.lit(0)) < changed_since)
+
+
+def search(stations: DataFrame, pattern: str, name: str = "station") -> DataFrame:
+    """Stations whose name a pattern finds, whatever the case; all for patterns under two characters or that
+    can't be read."""
+    try:
+        re.compile(pattern)
+    except re.error:
+        return stations
+    return stations.where(F.col(name).rlike(f"(?i){pattern}")) if len(pattern) > 1 else stations
+
+
+def with_global(stations: DataFrame, id_: str = "id", name: str = "station") -> DataFrame:
+    """The global station in front of the others, with id 0."""
+    one = stations.sparkSession.range(1).select(F.lit(GLOBAL_ID).cast("int").alias(id_), F.lit(GLOBAL_NAME).alias(name))
+    return one.unionByName(stations.select(F.col(id_).cast("int"), name))
+
+
+def listed(cells: DataFrame, stations: DataFrame, *keys: str) -> DataFrame:
+    """The stations that each cell lists, by number: cells with keys and tokens, stations with id and name.
+    Stations without a name are left out."""
+    ids = cells.where("stations <> ''").select(*keys, F.explode(F.split("stations", ",")).alias("t_")).select(*keys, decode_token(F.col("t_"))["station_id"].alias("id"))
+    found = ids.join(stations.where("station IS NOT NULL").select("id"), "id")
+    return found.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_set("id")), lambda x: x.cast("string")), ",").alias("ids"))

@@ -635,6 +635,64 @@ def ground_from_tiles(spark, sf):
     return with_ground(b, tiles, zoom=11).select("seq", F.col("tile.x").alias("tx"), F.col("tile.y").alias("ty"), "ground")
 
 
+@query(_DIM + " SELECT id, 'ST' || id AS station FROM last WHERE regexp_matches('ST' || id, '^st1', 'i')")
+def station_search(spark, sf):
+    named = _validity(spark, sf).select("id", F.concat(F.lit("ST"), F.col("id").cast("string")).alias("station"))
+    return ST.search(named, "^st1")
+
+
+@query(_DIM + " SELECT 0 AS id, 'global' AS station UNION ALL SELECT id, 'ST' || id FROM last")
+def stations_with_global(spark, sf):
+    return ST.with_global(_validity(spark, sf).select("id", F.concat(F.lit("ST"), F.col("id").cast("string")).alias("station")))
+
+
+@query(_LONG + ", rn AS (SELECT *, row_number() OVER (PARTITION BY cell7 ORDER BY count DESC, station_id) AS rn FROM per) SELECT cell7, string_agg(station_id::VARCHAR, ',' ORDER BY station_id) AS ids FROM rn WHERE rn <= 30 AND station_id % 5 <> 0 GROUP BY cell7")
+def highlighted_stations(spark, sf):
+    return ST.listed(coverage_global_cells(spark, sf), I.stations(spark, sf), "cell7")
+
+
+@query(_DIM + ", s AS (SELECT id, id % 2 = 0 AS has_output, id = 7 AS moved, last_packet FROM last) SELECT id, has_output AND NOT moved AND last_packet < 1706500000 AS skip FROM s")
+def skip_unchanged(spark, sf):
+    s = _validity(spark, sf)
+    return s.select("id", ST.skippable(F.lit(1706500000), F.col("last_packet"), F.col("id") == 7, F.col("id") == 0, F.col("id") % 2 == 0, F.lit(False)).alias("skip"))
+
+
+@query(_TOKENS + """ SELECT '{"cell7":' || cell7 || ',"count":' || count || ',"stations":"' || stations || '"}' AS value FROM cells WHERE num_stations > 10""")
+def coverage_dump(spark, sf):
+    return M.dump(coverage_global_cells(spark, sf).where("num_stations > 10").select("cell7", "count", "stations"), '"stations":"[0-9a-z]')
+
+
+@query(PKT + ", h AS (SELECT ts_s // 3600 AS hour, count(*) AS packets FROM pkt GROUP BY 1) SELECT hour, packets, packets - lag(packets) OVER (ORDER BY hour) AS delta, round(packets / 3600, 6) AS rate FROM h")
+def interval_deltas(spark, sf):
+    h = I.packets(spark, sf).groupBy(F.floor(F.col("ts_s") / 3600).alias("hour")).agg(F.count("*").alias("packets"))
+    return M.interval_deltas(h, "hour", "packets", 3600)
+
+
+@query(PKT + ", x AS (SELECT DISTINCT 'day' AS acc_type, (ts_s // 86400)::INT AS bucket FROM pkt UNION SELECT DISTINCT 'week', (ts_s // 604800)::INT FROM pkt) SELECT acc_type, bucket, CASE WHEN acc_type = 'week' THEN 'unknown type' WHEN bucket % 3 = 0 THEN 'no metadata' WHEN bucket % 3 = 1 THEN 'no file' ELSE 'keep' END AS action FROM x")
+def startup_check(spark, sf):
+    p = I.packets(spark, sf)
+    day = p.select(F.lit("day").alias("acc_type"), F.floor(F.col("ts_s") / 86400).cast("int").alias("bucket")).distinct()
+    week = p.select(F.lit("week").alias("acc_type"), F.floor(F.col("ts_s") / 604800).cast("int").alias("bucket")).distinct()
+    meta = day.where("bucket % 3 <> 0").withColumn("file", F.col("bucket").cast("string"))
+    return M.startup_check(day.unionByName(week), meta, meta.where("bucket % 3 = 2"))
+
+
+@query(_FILES + " SELECT station || '.' || acc_type || '.arrow' AS link, station || '.' || acc_type || '.' || max(period) || '.arrow' AS target FROM fl GROUP BY station, acc_type")
+def latest_pointers(spark, sf):
+    return M.pointers(api.listing(_names(spark, sf)))
+
+
+@query(GAP + ", c AS (SELECT station_id, count(DISTINCT cell8) AS cells, count(DISTINCT cell7) AS coarse FROM ok GROUP BY station_id) SELECT station_id, round(cells * 0.7373275975::DOUBLE, 6) AS area8, round(coarse * 5.161293360::DOUBLE, 6) AS area7 FROM c")
+def coverage_area(spark, sf):
+    c = I.accepted(spark, sf).groupBy("station_id").agg(F.count_distinct("cell8").alias("cells"), F.count_distinct("cell7").alias("coarse"))
+    return c.select("station_id", F.round(geo.area_km2(F.col("cells"), 8), 6).alias("area8"), F.round(geo.area_km2(F.col("coarse"), 7), 6).alias("area7"))
+
+
+@query(_TOKENS + " SELECT cell7, (CASE WHEN stations = '' THEN 255 ELSE 7 * (strpos('0123456789abcdefghijklmnopqrstuvwxyz', substr(stations, 1, 1)) - 1) END)::INT AS red FROM cells")
+def primary_station_colour(spark, sf):
+    return coverage_global_cells(spark, sf).select("cell7", viz.primary_station_colour(F.col("stations"))[0].alias("red"))
+
+
 def queries() -> dict[str, Callable]:
     return dict(QUERIES)
 
