@@ -100,7 +100,7 @@ def build_index(vectors: DataFrame) -> DataFrame:
     kind = one.schema["embedding"].dataType.simpleString()
     coded = materialize(one.mapInArrow(run, f"vec_id long, embedding {kind}, dim int, code binary, norm double, align double"), "codes")
     sizes = coded.groupBy("dim").agg(F.count("*").alias("n_rows"))
-    return coded.join(sizes.select("dim", parts(sizes, "n_rows", SHARD).alias("shards")), "dim").withColumn("shard", part_of(F.col("vec_id"), F.col("shards")))
+    return coded.join(sizes.select("dim", parts("n_rows", SHARD).alias("shards")), "dim").withColumn("shard", part_of(F.col("vec_id"), F.col("shards")))
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -118,7 +118,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     index = build_index(vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("embedding")))
     queries = index.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.col("dim").alias("dim"), "shards")
     blocks = queries.groupBy("dim").agg(F.count("*").alias("n_queries"))
-    blocks = blocks.select("dim", parts(blocks, "n_queries", BLOCK).alias("blocks"))
+    blocks = blocks.select("dim", parts("n_queries", BLOCK).alias("blocks"))
     shard_side = index.join(blocks, "dim").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("shards", "blocks")
     query_side = (queries.join(blocks, "dim").withColumn("block", part_of(F.col("query_id"), F.col("blocks")))
                   .withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).select(F.col("dim").alias("dim"), "shard", "block", "query_id", "query"))

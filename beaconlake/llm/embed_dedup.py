@@ -180,7 +180,7 @@ def near_duplicates(vectors: DataFrame, s: Settings = Settings(), id_col: str =
                 .withColumns({"dim": F.size("embedding"), "node": F.monotonically_increasing_id()}))
     distinct = materialize(distinct, "vectors")
     sizes = distinct.groupBy("label", "dim").agg(F.count("*").alias("n"))
-    nodes = (distinct.join(sizes.select("label", "dim", parts(sizes, "n", s.shard).alias("shards"), parts(sizes, "n", s.block).alias("blocks")), ["label", "dim"])
+    nodes = (distinct.join(sizes.select("label", "dim", parts("n", s.shard).alias("shards"), parts("n", s.block).alias("blocks")), ["label", "dim"])
              .withColumn("shard", part_of(F.col("node"), F.col("shards"))))
 
     def inner(key: tuple, t: pa.Table) -> pa.Table:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -21,7 +21,7 @@ def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
 
 
-def parts(counts: DataFrame, n: str, size: int) -> Column:
+def parts(n: str, size: int) -> Column:
     """In how many parts of about ``size`` rows a group of n rows is cut."""
     return F.ceil(F.col(n) / size).cast("int")
 
