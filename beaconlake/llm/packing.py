@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from beaconlake.llm.base import table
+from beaconlake.llm.base import map_texts, table
 from beaconlake.llm.tokens import encoder, text_ids, tokenizer_path
 
 #: Remainders under this many ids stay in one piece.
@@ -122,7 +122,7 @@ def pack(docs: DataFrame, capacity: int = 2048, end_id: int = 1, tokenizer: str
         if packer.rows:
             yield out()
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return map_texts(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, schema)
 
 
 def op3_packing(spark, sf_dir: str) -> DataFrame:

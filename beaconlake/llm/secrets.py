@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from beaconlake.llm.base import table
+from beaconlake.llm.base import bounded_batches, table
 from beaconlake.llm.spans import Span, find_spans
 
 BASE, ADDED = ("assign", "access", "hex"), ("literal",)
@@ -143,6 +143,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with secret values masked in the text column; null stays null, all other columns stay."""
+    bounded_batches(docs.sparkSession)
     return docs.withColumn(text_col, _masked(F.col(text_col)))
 
 

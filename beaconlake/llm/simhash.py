@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from beaconlake.llm.base import materialize, table
+from beaconlake.llm.base import bounded_batches, map_texts, materialize, table
 from beaconlake.llm.components import components
 
 BITS, DISTANCE, SHINGLE, SEED = 64, 2, 3, 42
@@ -46,7 +46,7 @@ def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in b.column(1)), dtype=np.uint64, count=b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
+    return map_texts(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, f"doc_id {kind}, fp long")
 
 
 def _turned(fp: Column, slot: int) -> Column:
@@ -138,6 +138,7 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def run(column: pa.Array) -> pa.Array:
         return pa.array(np.fromiter((fingerprint(t.as_py(), shingle) for t in column), dtype=np.uint64, count=len(column)).view(np.int64))
 
+    bounded_batches(docs.sparkSession)
     cols = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_")
     rows = docs.select(cols, F.col(id_col).alias("id_"), F.arrow_udf(run, "long")(F.col(text_col)).alias("fp_"))
     kept = rows.join(keys, "fp_").where(F.col("id_").eqNullSafe(F.col("component_id")))

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from beaconlake.llm.base import map_texts
+
 Span = tuple[str, int, int]
 
 
@@ -46,5 +48,4 @@ def find_spans(docs: DataFrame, find: Callable[[str], tuple[list[Span], list[Spa
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))],
                                              names=["doc_id", *counts, "base_sha256", "spans", score])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        run, f"doc_id {kind}, {', '.join(f'{c} long' for c in counts)}, base_sha256 string, spans string, {score} double")
+    return map_texts(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, f"doc_id {kind}, {', '.join(f'{c} long' for c in counts)}, base_sha256 string, spans string, {score} double")

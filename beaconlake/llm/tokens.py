@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from beaconlake.llm.base import table
+from beaconlake.llm.base import map_texts, table
 
 BYTE_BPE = "byte_bpe_50k.json"
 #: Characters on which both byte-level BPE libraries' character classes are sure to agree.
@@ -147,8 +147,8 @@ def count_tokens(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
 
     kind = docs.schema[id_col].dataType.simpleString()
     n_bytes = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long")
-    return (docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), n_bytes.alias("n_bytes"))
-            .mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long")
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), n_bytes.alias("n_bytes"))
+    return (map_texts(texts, run, f"doc_id {kind}, n_bytes long, n_tokens long")
             .withColumn("over_limit", F.col("n_tokens") > limit))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from beaconlake.llm.base import table
+from beaconlake.llm.base import bounded_batches, map_texts, table
 
 DIM_BITS = 20
 #: Letters at a word's start that count as stems: inflected and suffixed forms share what is learnt.
@@ -36,14 +37,14 @@ class Ftrl:
     l1: float = 4.0
     l2: float = 0.1
     epochs: int = 6
-    max_docs: int = 16000
+    max_docs: int = 10000
     calibrate_every: int = 5
 
 
 class _Words(dict):
     """Word to its row in a table of hashes: its own and its stems'. Starts anew when it is full."""
 
-    rows = 1 << 18
+    rows = 1 << 17
 
     def __init__(self) -> None:
         self.table = np.zeros((self.rows, 1 + len(STEMS)), dtype=np.uint64)
@@ -142,13 +143,17 @@ def train(docs: DataFrame, labels: DataFrame, p: Ftrl = Ftrl()) -> tuple[np.ndar
             .select("order_", "doc_id", "text", "toxic").repartition(1).sortWithinPartitions("order_", "doc_id", "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, last = [], None
+        flat, ends, labels_, last = array("i"), [0], [], None  # one block of memory, given back as a whole
         for batch in batches:
             for order, text, y in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
                 if order == last:  # a repeated id: one text of it is enough
                     continue
                 last = order
-                seen.append((np.unique(features(text.as_py() or "")).astype(np.int32), int(y > 0)))
+                flat.frombytes(np.unique(features(text.as_py() or "")).astype(np.int32).tobytes())
+                ends.append(len(flat))
+                labels_.append(int(y > 0))
+        places = np.frombuffer(flat, dtype=np.int32)
+        seen = [(places[a:b], y) for a, b, y in zip(ends, ends[1:], labels_, strict=False)]
         if not seen:
             return
         if len({y for _, y in seen}) == 2:
@@ -160,9 +165,10 @@ def train(docs: DataFrame, labels: DataFrame, p: Ftrl = Ftrl()) -> tuple[np.ndar
             share = (sum(y for _, y in seen) + 0.5) / (len(seen) + 1)
             w, b = np.zeros(1 << DIM_BITS), math.log(share / (1 - share))
         places = np.flatnonzero(w)
+        del seen
         yield pa.RecordBatch.from_arrays([pa.array(np.append(places, -1)), pa.array(np.append(w[places], b))], names=["place", "weight"])
 
-    model = rows.mapInArrow(run, "place long, weight double").toArrow()  # 2 ** DIM_BITS rows at most
+    model = map_texts(rows, run, "place long, weight double").toArrow()  # 2 ** DIM_BITS rows at most
     places, values = model["place"].to_numpy(), model["weight"].to_numpy()
     b = float(values[places < 0][0]) if len(places) else -4.0
     return places[places >= 0], values[places >= 0], b
@@ -171,6 +177,7 @@ def train(docs: DataFrame, labels: DataFrame, p: Ftrl = Ftrl()) -> tuple[np.ndar
 def with_scores(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text_col: str = "text", score_col: str = "score") -> DataFrame:
     """docs with the score of each whole text, 0 to 1. A null text counts as empty and gets the
     intercept's score. The weights are sparse and broadcast."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(column: pa.Array) -> pa.Array:
