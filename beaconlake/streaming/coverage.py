@@ -122,7 +122,8 @@ def stream_coverage(packets: DataFrame, path: str, checkpoint: str, ts: str = "t
     def write(batch: DataFrame, batch_id: int) -> None:
         merge_into(path, keys, ("acc_type",))(V.partial(into_buckets(batch, ts, ROLLED), *keys), batch_id)
 
-    w = packets.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    watched = packets.observe("coverage", F.count(F.lit(1)).alias("packets"), F.max(ts).alias("last_packet"))  # in each progress report
+    w = watched.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if available_now else w.trigger(processingTime="5 minutes")).start()
 
 
