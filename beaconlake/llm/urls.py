@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from beaconlake.llm.base import materialize, table
 
 #: (host, start of the path, verdict); the longest rule that fits decides.
-RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr", "allow"), ("com", "/de/", "block"))
+RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 ORDER, STRENGTH, LEAST_CONTEXT, SYMBOLS = 3, 4.0, 8, 33
 
 

@@ -44,3 +44,14 @@ def test_model_tells_words_apart(spark):
 def test_no_decided_urls(spark, urls):
     out = filter_urls(spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")).collect()
     assert [r.verdict for r in out] == ["allow"] * len(urls)
+
+
+def test_rules_are_the_contracts(spark):
+    contract = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
+    assert {h + p: v for h, p, v in RULES} == contract
+    wanted = {"http://x.com/fr/": "com/fr/", "http://x.com/fr/a": "com/fr/", "http://x.com/fr": None, "http://x.com/france": None, "http://x.com/de/1": "com/de/", "http://x.com/de": None,
+              "http://b.org/es/1": "org/", "http://example.org/es/1": "example.org/es/", "http://a.example.org/en/15": "example.org/en/1", "http://example.org/en/2": "org/", "http://x.net/fr/": None}
+    urls = list(wanted)
+    out = filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()
+    assert {urls[r.page_id]: r.rule for r in out} == wanted
+    assert all(r.verdict == contract[r.rule] for r in out if r.rule)
