@@ -19,10 +19,18 @@ _ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:
 _ACCESS = re.compile("AKIA[A-Z0-9]{16,}")
 _HEX = re.compile("(?<![0-9a-f])[0-9a-f]{24,}")
 
-_OPERATOR = re.compile(r":=|=>|==+|!=|<=|>=|[:=]")
+_OPERATOR = re.compile(r":=|=>|\+=|==+|!=|<=|>=|[:=]")
 _NAME_SIGNS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_.-$")
-#: A string of either quote, with escapes, on one line; or a bare word.
-_VALUE = re.compile(r"""[ \t]*+(?:"((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)'|([A-Za-z0-9+/_.=$-]++))""")
+#: A string in triple quotes or back quotes, over lines; one of either quote, on one line; all with escapes; or a bare word.
+_VALUE = re.compile(
+    r"""[ \t]*+(?:\"{3}((?:[^"\\]|\\(?s:.)|"(?!""))*+)\"{3}|'{3}((?:[^'\\]|\\(?s:.)|'(?!''))*+)'{3}|`((?:[^`\\]|\\(?s:.))*+)`"""
+    r"""|"((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)'|([A-Za-z0-9+/_.=$-]++))""")
+_LONG, _WORD = 3, 6  # the groups up to _LONG run over lines, _WORD is the bare word
+_TYPE_NAME = r"""[A-Za-z_$][A-Za-z0-9_.$]*+(?:::[A-Za-z0-9_$]++)*+(?:[<\[][A-Za-z0-9_.,:|&*?<>\[\]'\x20]{0,200}[>\]])?[?!*]*+"""
+#: A type between the colon behind a name and the sign of the assignment.
+_TYPE = re.compile(rf"""[ \t]*+(?:&[ \t]*+)?(?:'[a-z_]++[ \t]++)?(?:mut[ \t]++)?({_TYPE_NAME}(?:[ \t]*+[|&][ \t]*+{_TYPE_NAME})*+)[ \t]*+=(?![=>])""")
+#: Types seldom hold a digit before a letter; what does is read as a value too.
+_NO_TYPE = re.compile("[0-9][A-Za-z]")
 _PLUS = re.compile(r"[ \t]*+\+[ \t]*+")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 #: How much a word in a name says that its value is secret.
@@ -61,47 +69,74 @@ def _name_before(text: str, at: int, least: int) -> str:
 
 
 def assignments(text: str):
-    """(name, parts) of each assignment; a part is (value, start, end, quoted) of a literal or word.
+    """(name, parts, adds) of each assignment; a part is (value, start, end, quoted) of a literal or word,
+    adds says that it is joined to the name's value.
 
-    Reads ``name = value``, ``name: value``, ``"name": "value"``, ``name := value``, ``name => value``
-    and sums of strings; comparisons are none.
+    Reads ``name = value``, ``name: value``, ``"name": "value"``, ``name := value``, ``name => value``,
+    ``name += value``, ``name: type = value`` and sums of strings; comparisons are none. A value in triple or
+    back quotes may be a text with assignments, which are read too. The last word before ``=`` in
+    ``name: word = value`` counts as a name as well if it is a sensitive one, as in ``else: key = value``.
     """
     past = 0
     for op in _OPERATOR.finditer(text):
-        if op[0] not in (":", "=", ":=", "=>") or op.start() < past:
+        if op[0] not in (":", "=", ":=", "=>", "+=") or op.start() < past:
             continue
         name = _name_before(text, op.start(), past)
-        value = _VALUE.match(text, op.end()) if name else None
-        parts = []
+        if not name:
+            continue
+        names, value = [name], None
+        typed = _TYPE.match(text, op.end()) if op[0] == ":" else None
+        if typed and (value := _VALUE.match(text, typed.end())):
+            if _NO_TYPE.search(typed[1]):
+                yield name, [(typed[1], typed.start(1), typed.end(1), False)], False
+            names += [typed[1]] if name_score(typed[1]) else []
+        value = value or _VALUE.match(text, op.end())
+        parts, inner = [], None
         while value:
             k = value.lastindex
-            parts.append((value[k], value.start(k), value.end(k), k < 3))
-            past = value.end()
-            plus = _PLUS.match(text, past)
+            parts.append((value[k], value.start(k), value.end(k), k < _WORD))
+            inner = value.start(k) if inner is None and k <= _LONG else inner
+            past = value.end() if inner is None else inner
+            plus = _PLUS.match(text, value.end())
             value = _VALUE.match(text, plus.end()) if plus else None
         if parts:
-            yield name, parts
+            for n in names:
+                yield n, parts, op[0] == "+="
 
 
 def secret_literals(text: str) -> list[tuple[int, int, float]]:
     """(start, end, score) of the literals whose value reaches a sensitive name, directly or through
-    names of constants."""
-    known: dict[str, list[tuple[str, int, int]]] = {}
+    names of constants. What is added to a name counts by itself and, at the end, as a part of the whole."""
+    known: dict[str, dict[tuple[str, int, int], None]] = {}
     found: dict[tuple[int, int], float] = {}
-    for name, parts in assignments(text):
-        literals = []
-        for value, start, end, quoted in parts:
-            if not quoted and value in known:
-                literals += known[value]
-            else:
-                literals.append((value, start, end))
-        known[name] = literals
+    grown: set[str] = set()
+
+    def weigh(name: str, literals) -> None:
         weight = name_score(name)
         if weight:
             score = weight * literal_score("".join(x[0] for x in literals))
             if score >= LEAST_SCORE:
                 for _, start, end in literals:
                     found[start, end] = max(score, found.get((start, end), 0.0))
+
+    for name, parts, adds in assignments(text):
+        literals = []
+        for value, start, end, quoted in parts:
+            if not quoted and value in known:
+                literals += known[value]
+            else:
+                literals.append((value, start, end))
+        weigh(name, literals)
+        if adds:
+            known.setdefault(name, {}).update(dict.fromkeys(literals))
+            grown.add(name)
+            continue
+        if name in grown:
+            weigh(name, known[name])
+            grown.remove(name)
+        known[name] = dict.fromkeys(literals)
+    for name in grown:
+        weigh(name, known[name])
     return [(s, e, x) for (s, e), x in found.items()]
 
 

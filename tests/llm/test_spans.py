@@ -90,3 +90,40 @@ def test_frames_with_nulls_and_clashing_columns(spark):
         assert scan(docs.limit(0)).collect() == []
     masked = secrets.redacted(docs).collect()
     assert masked[0].text is None and masked[0].spans == "x"
+
+
+@pytest.mark.parametrize("text, value", [
+    ('private_key: str = "q8Zr5tYw9PxL"', "q8Zr5tYw9PxL"),
+    ('private_key:str="q8Zr5tYw9PxL"', "q8Zr5tYw9PxL"),
+    ("self.private_key: Optional[dict[str, str]] = 'q8Zr5tYw9PxL'", "q8Zr5tYw9PxL"),
+    ('const apiKey: string = "q8Zr5tYw9PxL"', "q8Zr5tYw9PxL"),
+    ('let privateKey: string | null = "q8Zr5tYw9PxL";', "q8Zr5tYw9PxL"),
+    ("static PRIVATE_KEY: &'static str = \"q8Zr5tYw9PxL\";", "q8Zr5tYw9PxL"),
+    ('val privateKey: Option<String>= "q8Zr5tYw9PxL"', "q8Zr5tYw9PxL"),
+    ('a: str = "q8Zr5tYw9PxL"\nsigning_key = a', "q8Zr5tYw9PxL"),
+    ('else: private_key = "q8Zr5tYw9PxL"', "q8Zr5tYw9PxL"),
+    ('private_key = """q8Zr5tYw9PxL"""', "q8Zr5tYw9PxL"),
+    ("private_key = '''q8Zr5t\nYw9PxL'''", "q8Zr5t\nYw9PxL"),
+    ("const privateKey = `q8Zr5tYw9PxL`", "q8Zr5tYw9PxL"),
+    ("privateKey: string = `q8Zr5t\nYw9PxL`", "q8Zr5t\nYw9PxL"),
+    ('private_key += "q8Zr5tYw9PxL"', "q8Zr5tYw9PxL"),
+    ('a = ""\na += "q8Zr5tYw9PxL"\nprivate_key = a', "q8Zr5tYw9PxL"),
+    ('doc = """\nprivate_key = "q8Zr5tYw9PxL"\n"""', "q8Zr5tYw9PxL"),
+    ("Use: `\nprivate_key = 'q8Zr5tYw9PxL'\n`", "q8Zr5tYw9PxL"),
+    ("private_key: q8Zr5tYw9PxL= ", "q8Zr5tYw9PxL="),
+    ("private_key: q8Zr5tYw9PxL = x", "q8Zr5tYw9PxL"),
+])
+def test_literals_in_common_source_syntax(text, value):
+    assert value in [text[s:e] for _, s, e in secrets.scan(text)[1] if s < e]
+    assert "str" not in [text[s:e] for _, s, e in secrets.scan(text)[1]]
+    assert value not in secrets.redact(text)
+
+
+def test_parts_added_to_a_name_count_together():
+    text = 'private_key = "q8"\nprivate_key += "Zr"\nprivate_key += "5tYw9PxL"\nprivate_key = ""'
+    assert {text[s:e] for _, s, e in secrets.scan(text)[1]} == {"q8", "Zr", "5tYw9PxL"}
+    assert secrets.redact(text).count("[REDACTED]") == 3
+
+
+def test_names_added_to_each_other_stay_bounded():
+    assert secrets.scan('a = "x"\nb = "y"\n' + "a += a\nb += a\na = a + b\n" * 60)[1] == []
