@@ -21,11 +21,15 @@ MARGIN = 1e-4
 
 @dataclass(frozen=True)
 class Settings:
-    """A shard has about ``shard`` distinct vectors; a task searches one shard for one block of queries.
+    """A shard has about ``shard`` distinct vectors; a task searches one shard for itself, or two for each
+    other. Vectors are compared densely at most ``block`` at a time.
 
     Beams start at beams[0]. A query whose whole beam is over the threshold goes on to the next beam, and
-    after the last one is compared with its whole shard. So do all queries of a task whose audit, against
-    brute force for ``audit`` of them, finds less than ``recall`` of the links.
+    after the last one is compared with its whole shard. A beam is accepted if it finds ``recall`` of the
+    links of the queries it settles among those audited by brute force. The audit starts with ``audit``
+    queries, at random, and goes on until ``audit_links`` links to other vectors are seen, of queries with
+    fewer links than the first beam holds. A beam for which fewer are seen is not accepted; if none is,
+    all queries are compared with the whole shard.
     """
 
     threshold: float = 0.93
@@ -33,6 +37,7 @@ class Settings:
     block: int = 16384
     beams: tuple[int, ...] = (64, 128, 256)
     audit: int = 64
+    audit_links: int = 512
     recall: float = 0.99
 
 
@@ -63,47 +68,73 @@ class Shard:
 
     def __init__(self, x: np.ndarray, graph: Hnsw | None = None):
         self.x, self.norms = x, np.linalg.norm(x, axis=1)
-        self.graph = graph or Hnsw.build((x / self.norms[:, None]).astype(np.float32))
+        self._graph = graph
 
-    def dense(self, q: np.ndarray, nq: np.ndarray, threshold: float):
+    @property
+    def graph(self) -> Hnsw:
+        """Built when it is first searched: shards whose links are too few for an audit need none."""
+        if self._graph is None:
+            self._graph = Hnsw.build((self.x / self.norms[:, None]).astype(np.float32))
+        return self._graph
+
+    def dense(self, q: np.ndarray, nq: np.ndarray, s: Settings):
         """(query, hits) against the whole shard, exactly, some queries at a time."""
-        step = max(1, (1 << 22) // len(self.x))
+        step = max(1, min(s.block, (1 << 22) // len(self.x)))
         for a in range(0, len(q), step):
-            close = q[a:a + step] @ self.x.T >= (threshold - MARGIN) * nq[a:a + step, None] * self.norms
+            close = q[a:a + step] @ self.x.T >= (s.threshold - MARGIN) * nq[a:a + step, None] * self.norms
             i, j = np.nonzero(close)
-            ok = _cosines(q, nq, i + a, self.x, self.norms, j) >= threshold
+            ok = _cosines(q, nq, i + a, self.x, self.norms, j) >= s.threshold
             yield i[ok] + a, j[ok]
 
-    def links(self, q: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Pairs (query, member) over the threshold, and the queries left for the dense comparison."""
+    def audit(self, q: np.ndarray, nq: np.ndarray, s: Settings, own: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The queries audited and their exact links to others, without those of crowded queries: these have more
+        links than any beam holds, and are left for the dense comparison."""
+        order = np.random.default_rng(len(q)).permutation(len(q))
+        crowded, found_i, found_j, seen, at = [order[:0]], [order[:0]], [order[:0]], 0, 0
+        while at < len(q) and seen < s.audit_links:
+            some = order[at:at + max(s.audit, at)]
+            at += len(some)
+            for a, b in self.dense(q[some], nq[some], s):
+                a = some[a]
+                a, b = (a[a != b], b[a != b]) if own else (a, b)
+                n = np.bincount(a, minlength=len(q))
+                seen += int(n[n < s.beams[0]].sum())
+                found_i.append(a[n[a] < s.beams[-1]]), found_j.append(b[n[a] < s.beams[-1]])
+                crowded.append(np.flatnonzero(n >= s.beams[-1]))
+        return np.setdiff1d(order[:at], np.concatenate(crowded)), np.concatenate(found_i), np.concatenate(found_j)
+
+    def links(self, q: np.ndarray, s: Settings, own: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs (query, member) over the threshold, and the queries left for the dense comparison; the pairs of
+        those audited are exact. With own the queries are the members, whose hits on themselves don't count."""
         nq = np.linalg.norm(q, axis=1)
         unit = (q / nq[:, None]).astype(np.float32)
-        found_i, found_j, todo = [], [], np.arange(len(q))
-        audited = np.unique(np.linspace(0, len(q) - 1, min(s.audit, len(q))).astype(int))
-        pairs = list(self.dense(q[audited], nq[audited], s.threshold))
-        truth = {k: set() for k in audited.tolist()}
-        for i, j in pairs:
-            for k, t in zip(audited[i].tolist(), j.tolist(), strict=True):
-                truth[k].add(t)
+        audited, true_i, true_j = self.audit(q, nq, s, own)
+        found_i, found_j = [true_i], [true_j]
+        exact = np.zeros(len(q), dtype=bool)
+        exact[audited] = True
+        truth = true_i * len(self.x) + true_j
+        todo, ask = np.flatnonzero(~exact), np.arange(len(q))
         for beam in s.beams:
-            if not len(todo) or beam >= len(self.x):
+            if not len(todo) or beam >= len(self.x) or len(truth) < s.audit_links:
                 break
-            ids, sims = self.graph.search(unit[todo], beam)
+            ids, sims = self.graph.search(unit[ask], beam)
             hit = (sims >= s.threshold - MARGIN) & (ids >= 0)
-            full = hit.all(axis=1)
-            i, k = np.nonzero(hit & ~full[:, None])
-            i, j = todo[i], ids[i, k]
+            full = np.ones(len(q), dtype=bool)
+            full[ask] = hit.all(axis=1)
+            i, k = np.nonzero(hit)
+            i, j = ask[i], ids[i, k]
+            i, j = i[~full[i]], j[~full[i]]
             ok = _cosines(q, nq, i, self.x, self.norms, j) >= s.threshold
-            i, j = i[ok], j[ok]
-            settled = set(todo[~full].tolist())
-            wanted = {k: t for k, t in truth.items() if k in settled}
-            total = sum(len(t) for t in wanted.values())
-            got = sum(len(t & set(j[i == k].tolist())) for k, t in wanted.items())
-            if total and got < s.recall * total:
+            i, j = i[ok].astype(np.int64), j[ok].astype(np.int64)
+            wanted = truth[~full[true_i]]
+            got = np.isin(wanted, i * len(self.x) + j).sum()
+            if len(wanted) < s.audit_links or got < s.recall * len(wanted):
                 continue  # the audit fails: all of them again, with a wider beam
-            found_i.append(i), found_j.append(j)
-            todo = todo[full]
-        return np.concatenate([*found_i, todo[:0]]), np.concatenate([*found_j, todo[:0]]), todo
+            found_i.append(i[~exact[i]]), found_j.append(j[~exact[i]])
+            todo, ask = todo[full[todo]], ask[full[ask]]
+            keep = full[true_i]
+            true_i, truth = true_i[keep], truth[keep]
+        return np.concatenate(found_i), np.concatenate(found_j), todo
 
 
 def _inner(t: pa.Table, s: Settings, keep_graph: bool) -> pa.Table:
@@ -113,11 +144,11 @@ def _inner(t: pa.Table, s: Settings, keep_graph: bool) -> pa.Table:
     nodes, copies, x = t["node"].to_numpy()[order], t["copies"].to_numpy()[order], matrix(t["embedding"])[order]
     shard = Shard(x)
     least = np.arange(len(x))
-    i, j, dense = shard.links(x, s)
+    i, j, dense = shard.links(x, s, own=True)
     full = np.zeros(len(x), dtype=bool)
     full[dense] = True
     counts, extra = np.zeros(len(x), dtype=np.int64), [np.stack([i, j]), np.stack([j, i])]
-    for a, b in shard.dense(x[dense], shard.norms[dense], s.threshold):
+    for a, b in shard.dense(x[dense], shard.norms[dense], s):
         a = dense[a]
         other = a != b
         np.add.at(counts, a[other], copies[b[other]])
@@ -133,29 +164,46 @@ def _inner(t: pa.Table, s: Settings, keep_graph: bool) -> pa.Table:
     if keep_graph:
         columns = [np.append(c, -1) for c in columns]
         out = io.BytesIO()
-        np.savez(out, x=x, copies=copies, least=nodes[least], graph=np.frombuffer(shard.graph.dump(), dtype=np.uint8))
+        np.savez(out, x=x, nodes=nodes, copies=copies, least=nodes[least], graph=np.frombuffer(shard.graph.dump(), dtype=np.uint8))
         blobs.append(out.getvalue())
     return pa.table([*(pa.array(c) for c in columns), pa.array(blobs, pa.binary())], names=["node", "links", "peer", "shard_data"])
 
 
-def _across(shards: pa.Table, queries: pa.Table, s: Settings) -> pa.Table:
-    """Links of one block of other shards' vectors to one shard: how many vectors each links to, and one
-    row for each group of the shard that it reaches."""
-    rows: list[np.ndarray] = []
-    if shards.num_rows and queries.num_rows:
-        with np.load(io.BytesIO(shards["shard_data"][0].as_py()), allow_pickle=False) as z:
-            x, copies, least, graph = z["x"], z["copies"], z["least"], Hnsw.load(z["graph"].tobytes())
-        shard, q, nodes = Shard(x, graph), matrix(queries["embedding"]), queries["node"].to_numpy()
-        i, j, dense = shard.links(q, s)
-        found = [(i, j)] + [(dense[a], b) for a, b in shard.dense(q[dense], np.linalg.norm(q[dense], axis=1), s.threshold)]
-        counts, reached = np.zeros(len(q), dtype=np.int64), []
-        for a, b in found:
-            np.add.at(counts, a, copies[b])
-            reached.append(np.unique(np.stack([a, least[b]]), axis=1))
-        groups = np.unique(np.concatenate(reached, axis=1), axis=1)
-        first = np.append(True, groups[0][1:] != groups[0][:-1]) if groups.shape[1] else np.zeros(0, bool)
-        rows = [nodes[groups[0]], np.where(first, counts[groups[0]], 0), groups[1]]
-    return pa.table([pa.array(c, pa.int64()) for c in rows or [[]] * 3], names=["node", "links", "peer"])
+def _across(pair: pa.Table, s: Settings) -> pa.Table:
+    """Links between two shards, found from either side: how many vectors each node links to, and for the
+    first shard's nodes one row for each group of the second that they reach."""
+    sides, loaded = [], []
+    if pair.num_rows < 2:  # no vector fell to the other shard
+        return pa.table([pa.array([], pa.int64())] * 3, names=["node", "links", "peer"])
+    for blob in pair["shard_data"]:
+        with np.load(io.BytesIO(blob.as_py()), allow_pickle=False) as z:
+            loaded.append((z["nodes"], z["copies"], z["least"]))
+            sides.append(Shard(z["x"], Hnsw.load(z["graph"].tobytes())))
+    (nodes, copies, _), (nodes2, copies2, least2) = loaded
+    width, counts, counts2 = len(nodes2), np.zeros(len(nodes), dtype=np.int64), np.zeros(len(nodes2), dtype=np.int64)
+    a, b, dense = sides[1].links(sides[0].x, s)
+    b2, a2, dense2 = sides[0].links(sides[1].x, s)
+    full, full2 = np.zeros(len(nodes), dtype=bool), np.zeros(width, dtype=bool)
+    full[dense], full2[dense2] = True, True
+    pairs, reached = [a * width + b, a2 * width + b2], []
+    for i, j in sides[1].dense(sides[0].x[dense], sides[0].norms[dense], s):
+        i = dense[i]
+        np.add.at(counts, i, copies2[j])
+        reached.append(np.unique(np.stack([i, least2[j]]), axis=1))
+        pairs.append((i * width + j)[~full2[j]])
+    for j, i in sides[0].dense(sides[1].x[dense2], sides[1].norms[dense2], s):
+        j = dense2[j]
+        np.add.at(counts2, j, copies[i])
+        reached.append(np.unique(np.stack([i, least2[j]]), axis=1))
+        pairs.append((i * width + j)[~full[i]])
+    i, j = np.divmod(np.unique(np.concatenate(pairs)), width)
+    np.add.at(counts, i[~full[i]], copies2[j[~full[i]]])  # those compared densely are counted already
+    np.add.at(counts2, j[~full2[j]], copies[i[~full2[j]]])
+    groups = np.unique(np.concatenate([*reached, np.stack([i, least2[j]])], axis=1), axis=1)
+    first = np.append(True, groups[0][1:] != groups[0][:-1]) if groups.shape[1] else np.zeros(0, bool)
+    linked = counts2 > 0
+    rows = [np.append(nodes[groups[0]], nodes2[linked]), np.append(np.where(first, counts[groups[0]], 0), counts2[linked]), np.append(groups[1], nodes2[linked])]
+    return pa.table([pa.array(c, pa.int64()) for c in rows], names=["node", "links", "peer"])
 
 
 def near_duplicates(vectors: DataFrame, s: Settings = Settings(), id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -166,9 +214,10 @@ def near_duplicates(vectors: DataFrame, s: Settings = Settings(), id_col: str =
     over links, kept marks the vector with that id. Equal vectors of a label are one node with a count.
 
     Nodes of a label are spread over shards of bounded size. Each shard builds a graph; its own vectors
-    search it, and those of the label's other shards, in blocks. Every hit is verified in double
-    precision; audits against brute force widen the beams, and crowded queries are compared with their
-    whole shard. Tasks return counts and one row for each group reached, never all pairs of a group.
+    search it, and those of the label's other shards: one task for each two shards searches both ways and
+    unites the links before it counts them. Every hit is verified in double precision; audits against brute
+    force widen the beams, and crowded queries, or all if the links seen are too few for an audit, are
+    compared with their whole shard. Tasks return counts and one row for each group reached, never all pairs of a group.
 
     Vectors that are null, empty, zero or hold null or non-finite components, and rows with a null label
     or id, link with nothing (0 links, their own component). Vectors of different length don't link. Rows
@@ -180,7 +229,7 @@ def near_duplicates(vectors: DataFrame, s: Settings = Settings(), id_col: str =
                 .withColumns({"dim": F.size("embedding"), "node": F.monotonically_increasing_id()}))
     distinct = materialize(distinct, "vectors")
     sizes = distinct.groupBy("label", "dim").agg(F.count("*").alias("n"))
-    nodes = (distinct.join(sizes.select("label", "dim", parts("n", s.shard).alias("shards"), parts("n", s.block).alias("blocks")), ["label", "dim"])
+    nodes = (distinct.join(sizes.select("label", "dim", parts("n", s.shard).alias("shards")), ["label", "dim"])
              .withColumn("shard", part_of(F.col("node"), F.col("shards"))))
 
     def inner(key: tuple, t: pa.Table) -> pa.Table:
@@ -191,16 +240,13 @@ def near_duplicates(vectors: DataFrame, s: Settings = Settings(), id_col: str =
     within = materialize(nodes.groupBy("label", "dim", "shard").applyInArrow(
         inner, f"node long, links long, peer long, shard_data binary, label {kind}, dim int, shard int"), "within")
 
-    many = nodes.where("shards > 1")
-    blocks = many.select("label", "dim", "blocks").distinct()
-    shard_side = (within.where("node < 0").select("label", "dim", "shard", "shard_data").join(blocks, ["label", "dim"])
-                  .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks"))
-    query_side = (many.withColumn("target", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).where("target <> shard")
-                  .select(F.col("label").alias("label"), F.col("dim").alias("dim"), F.col("target").alias("shard"),
-                          F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int").alias("block"), F.col("node").alias("node"), F.col("embedding").alias("embedding")))
-    keys = ["label", "dim", "shard", "block"]
-    across = materialize(shard_side.groupBy(*keys).cogroup(query_side.groupBy(*keys)).applyInArrow(
-        lambda a, b: _across(a, b, s), "node long, links long, peer long"), "across")
+    many = nodes.where("shards > 1").select("label", "dim", "shards").distinct()
+    one_side = within.where("node < 0").select("label", "dim", "shard", "shard_data").join(many, ["label", "dim"])
+    keys = ["label", "dim", "low", "high"]
+    both_sides = (one_side.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).where("other <> shard")
+                  .select("label", "dim", F.least("shard", "other").alias("low"), F.greatest("shard", "other").alias("high"), "shard_data"))
+
+    across = materialize(both_sides.groupBy(*keys).applyInArrow(lambda t: _across(t, s), "node long, links long, peer long"), "across")
 
     found = within.where("node >= 0").select("node", "links", "peer").unionByName(across)
     joined = components(found.select(F.col("node").alias("a"), F.col("peer").alias("b")))

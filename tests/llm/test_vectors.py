@@ -1,10 +1,13 @@
 """The vector operators against brute force."""
 
+import inspect
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from beaconlake.llm import ann
+from beaconlake.llm import ann, embed_dedup
 from beaconlake.llm.embed_dedup import Settings, near_duplicates
 from beaconlake.llm.hnsw import Hnsw
 
@@ -103,3 +106,76 @@ def test_nearest_recall(spark, monkeypatch, shard, block):
 def test_fewer_candidates_than_asked(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0], 1), (1, [2.0, 1.0], 1), (2, [2.0, 5.0], 1), (2, [2.0, 5.0], 1), (20, [1.0, 2.0, 3.0], 1)], SCHEMA)
     assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in ann.nearest(df, F.col("vec_id") % 20 == 0).collect()] == [(0, 1, 1, 2.0), (0, 2, 2, 2.0)]
+
+
+class Blind:
+    """A graph whose search finds each of its own vectors and no link."""
+
+    def __init__(self, u):
+        self.u = u
+
+    def search(self, unit, beam):
+        sims = unit @ self.u.T
+        ids = np.full((len(unit), beam), -1)
+        own = sims.max(axis=1) > 1 - 1e-6
+        ids[own, 0] = sims.argmax(axis=1)[own]
+        return ids, np.where(ids >= 0, 1.0, -1.0)
+
+
+def blind_shard(x):
+    return embed_dedup.Shard(x, Blind((x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)))
+
+
+@pytest.mark.parametrize("own", [False, True])
+def test_rare_links_are_not_left_to_an_unchecked_beam(own):
+    """Too few links for an audit; hits of vectors on themselves are none."""
+    x = np.random.default_rng(3).standard_normal((500, 16))
+    x[111] = x[17] * 1.5
+    q = x if own else np.random.default_rng(4).standard_normal((500, 16))
+    q[222] = x[333] * 2 + 0.3
+    want = {(a, b) for a, b in zip(*np.nonzero((q @ x.T) / np.outer(np.linalg.norm(q, axis=1), np.linalg.norm(x, axis=1)) >= 0.93), strict=True) if not own or a != b}
+    shard, s = blind_shard(x), Settings()
+    args = (q, s, True) if own and "own" in inspect.signature(shard.links).parameters else (q, s)
+    i, j, dense = shard.links(*args)
+    found = {(a, b) for a, b in zip(i, j, strict=True) if not own or a != b}
+    assert (222, 333) in want and all(p in found or p[0] in dense for p in want)
+
+
+def test_audited_links_are_kept():
+    """With every link audited nothing is left for the graph or the dense comparison."""
+    x = clustered(200).astype(np.float64)
+    i, j, dense = blind_shard(x).links(x, Settings(audit=200, audit_links=10**9), own=True)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    link = u @ u.T >= 0.93
+    np.fill_diagonal(link, False)
+    assert not len(dense) and set(zip(i.tolist(), j.tolist(), strict=True)) == set(zip(*(k.tolist() for k in np.nonzero(link)), strict=True))
+
+
+def test_links_found_from_one_side_count_on_both(monkeypatch):
+    """The first shard's search of the second finds nothing; what the second finds in the first counts for both."""
+    x, y = clustered(40, seed=5).astype(np.float64), clustered(40, seed=5).astype(np.float64) * 1.5
+    u = (x @ y.T) / np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)) >= 0.93
+    blobs = []
+    for v, at in ((x, 0), (y, 100)):
+        t = pa.table({"node": np.arange(at, at + 40), "copies": np.ones(40, np.int64), "embedding": v.tolist()})
+        blobs.append(embed_dedup._inner(t, Settings(), True)["shard_data"][-1].as_py())
+    nothing = np.zeros(0, np.int64)
+
+    def links(self, q, s, own=False):
+        return (*np.nonzero(u.T), nothing) if q[0, 0] == y[0, 0] else (nothing, nothing, nothing)
+
+    monkeypatch.setattr(embed_dedup.Shard, "links", links)
+    out = embed_dedup._across(pa.table({"shard_data": blobs}), Settings()).to_pandas().groupby("node")["links"].sum()
+    assert [out.get(k, 0) for k in range(40)] == u.sum(axis=1).tolist()
+    assert [out.get(100 + k, 0) for k in range(40)] == u.sum(axis=0).tolist()
+
+
+def test_beams_that_pass_their_audit_find_all_links(monkeypatch):
+    x = clustered(900, spread=0.1).astype(np.float64)
+    searched = []
+    search = Hnsw.search
+    monkeypatch.setattr(Hnsw, "search", lambda self, q, beam: searched.append(beam) or search(self, q, beam))
+    t = pa.table({"node": np.arange(900), "copies": np.ones(900, np.int64), "embedding": x.tolist()})
+    out = embed_dedup._inner(t, Settings(beams=(64, 128), audit_links=300), False)
+    counts, least = brute(x, np.zeros(900))
+    assert searched and out["links"].to_pylist() == counts.tolist() and out["peer"].to_pylist() == least.tolist()
