@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from beaconlake.llm import mixing, secrets, simhash, toxicity
@@ -193,3 +194,14 @@ def test_run(spark, corpus):
     root, _ = corpus
     out = corpus_pipeline.run(spark, root).collect()
     assert out and {r.sequence_id for r in out}
+
+
+def test_training_reads_16000_labels(spark):
+    """Only labels behind the first 10,000 by hash are toxic: a smaller sample sees one kind and has no weights."""
+    known = spark.range(40000).selectExpr("id AS doc_id").where(~toxicity.held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(16000).collect()
+    toxic = {r.doc_id for r in known[10000:]}
+    assert len(toxic) == 6000
+    rows = [(r.doc_id, "foul words" if r.doc_id in toxic else "fair words", int(r.doc_id in toxic)) for r in known]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    places, _, _ = toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    assert len(places)
