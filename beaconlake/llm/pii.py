@@ -33,6 +33,12 @@ CONTEXT, LIFT, DROP, LEAST_SCORE = 40, 0.2, 0.3, 0.55
 _DOUBLED = (0, 2, 4, 6, 8, 1, 3, 5, 7, 9)
 
 
+def is_octet(digits: str) -> bool:
+    """Whether a run of digits, of any length, is at most 255."""
+    plain = digits.lstrip("0")
+    return len(plain) <= 3 and int(plain or "0") <= 255
+
+
 def luhn(digits: str) -> bool:
     total = sum(_DOUBLED[int(d)] for d in digits[-2::-2]) + sum(int(d) for d in digits[::-2])
     return total % 10 == 0
@@ -65,7 +71,7 @@ def score(text: str, kind: str, start: int, end: int) -> float:
 
 def base_spans(text: str) -> list[Span]:
     spans = [("email", s, e) for s, e in emails(text)]
-    spans += [("ip", m.start(), m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.groups())]
+    spans += [("ip", m.start(), m.end()) for m in _IP.finditer(text) if all(map(is_octet, m.groups()))]
     for m in _CARD.finditer(text):
         if 14 <= m.end() - m.start():
             digits = _NOT_DIGIT.sub("", m[0])
