@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import reduce
+from operator import add
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -39,6 +41,8 @@ SENSITIVE = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "sec
 PAIRS = {("api", "key"): 0.9, ("access", "key"): 0.9, ("private", "key"): 1.0, ("secret", "key"): 1.0, ("encryption", "key"): 0.9, ("signing", "key"): 0.9}
 PLACEHOLDERS = ("example", "changeme", "placeholder", "your", "xxxx", "none", "null", "true", "false", "todo", "redacted", "$")
 LEAST_SCORE, LEAST_LENGTH = 0.5, 6
+#: Bits of a value at which its score is 1; most characters of a placeholder that lie on one side of a seam.
+FULL, EDGE = 36.0, max(map(len, PLACEHOLDERS)) - 1
 
 
 def name_score(name: str) -> float:
@@ -47,13 +51,43 @@ def name_score(name: str) -> float:
     return max([single, *(PAIRS.get(p, 0.0) for p in zip(words, words[1:], strict=False))])
 
 
-def literal_score(value: str) -> float:
-    """0 to 1: by length and by how evenly signs are used; placeholders count little."""
-    if len(value) < LEAST_LENGTH:
-        return 0.0
-    bits = -sum(n * math.log2(n / len(value)) for n in Counter(value).values())
-    low = value.lower()
-    return min(1.0, 0.4 + bits / 60) * (0.2 if any(p in low for p in PLACEHOLDERS) else 1.0)
+class Value:
+    """What is known of a literal, or of the sum of some: its length, how often each of its bytes occurs, whether
+    it holds a placeholder, and its ends, in which one may begin or stop. A value that reaches FULL bits stays
+    full whatever is added to it, so its bytes are counted no longer: a value's size is bounded."""
+
+    __slots__ = ("length", "counts", "placeholder", "head", "tail")
+
+    def __init__(self, text: str = ""):
+        low = text.lower()
+        self.length, self.counts = len(text), _open(Counter(text.encode("utf-8", "surrogatepass")))
+        self.placeholder, self.head, self.tail = any(p in low for p in PLACEHOLDERS), low[:EDGE], low[-EDGE:]
+
+    def __add__(self, other: Value) -> Value:
+        out = Value.__new__(Value)
+        out.length = min(self.length + other.length, 1 << 32)
+        out.counts = None if self.counts is None or other.counts is None else _open(self.counts + other.counts)
+        seam = self.tail + other.head
+        out.placeholder = self.placeholder or other.placeholder or any(p in seam for p in PLACEHOLDERS)
+        out.head, out.tail = (self.head + other.head)[:EDGE], (self.tail + other.tail)[-EDGE:]
+        return out
+
+    def score(self) -> float:
+        """0 to 1: by length and by how evenly signs are used; placeholders count little."""
+        if self.length < LEAST_LENGTH:
+            return 0.0
+        bits = FULL if self.counts is None else _bits(self.counts)
+        return min(1.0, 0.4 + bits / 60) * (0.2 if self.placeholder else 1.0)
+
+
+def _bits(counts: Counter) -> float:
+    n = counts.total()
+    return -sum(c * math.log2(c / n) for c in counts.values())
+
+
+def _open(counts: Counter) -> Counter | None:
+    """The counts, none of a full value. Adding values never lowers their bits."""
+    return None if _bits(counts) >= FULL else Counter({k: min(c, 1 << 32) for k, c in counts.items()})
 
 
 def _name_before(text: str, at: int, least: int) -> str:
@@ -106,37 +140,43 @@ def assignments(text: str):
 
 def secret_literals(text: str) -> list[tuple[int, int, float]]:
     """(start, end, score) of the literals whose value reaches a sensitive name, directly or through
-    names of constants. What is added to a name counts by itself and, at the end, as a part of the whole."""
-    known: dict[str, dict[tuple[str, int, int], None]] = {}
-    found: dict[tuple[int, int], float] = {}
-    grown: set[str] = set()
+    names of constants.
 
-    def weigh(name: str, literals) -> None:
-        weight = name_score(name)
-        if weight:
-            score = weight * literal_score("".join(x[0] for x in literals))
-            if score >= LEAST_SCORE:
-                for _, start, end in literals:
-                    found[start, end] = max(score, found.get((start, end), 0.0))
+    A name's value is the sum of the literals and names assigned to it, as they are there; what is added to a
+    name counts by itself and as a part of the whole. A sensitive name gives its value a score, and a literal
+    has the best one of all values that it is part of. Values know what they were made of, and that was made
+    before them: one walk backwards hands the scores down, however often names are added to each other.
+    """
+    made: list[tuple[int, ...]] = []  # for each value the values it was made of
+    spans: list[tuple[int, int] | None] = []
+    best: list[float] = []
+    known: dict[str, tuple[int, Value]] = {}
+
+    def put(of: tuple[int, ...], span: tuple[int, int] | None) -> int:
+        made.append(of), spans.append(span), best.append(0.0)
+        return len(made) - 1
+
+    def joined(parts: list[tuple[int, Value]]) -> tuple[int, Value]:
+        return parts[0] if len(parts) == 1 else (put(tuple(dict.fromkeys(i for i, _ in parts)), None), reduce(add, (v for _, v in parts)))
 
     for name, parts, adds in assignments(text):
-        literals = []
-        for value, start, end, quoted in parts:
-            if not quoted and value in known:
-                literals += known[value]
-            else:
-                literals.append((value, start, end))
-        weigh(name, literals)
-        if adds:
-            known.setdefault(name, {}).update(dict.fromkeys(literals))
-            grown.add(name)
+        value = joined([known[v] if not quoted and v in known else (put((), (start, end)), Value(v)) for v, start, end, quoted in parts])
+        weight = name_score(name)
+        if weight:
+            best[value[0]] = max(best[value[0]], weight * value[1].score())
+        if adds and name in known:
+            value = joined([known[name], value])
+            if weight:
+                best[value[0]] = max(best[value[0]], weight * value[1].score())
+        known[name] = value
+    found: dict[tuple[int, int], float] = {}
+    for i in range(len(made) - 1, -1, -1):
+        if best[i] < LEAST_SCORE:
             continue
-        if name in grown:
-            weigh(name, known[name])
-            grown.remove(name)
-        known[name] = dict.fromkeys(literals)
-    for name in grown:
-        weigh(name, known[name])
+        for k in made[i]:
+            best[k] = max(best[k], best[i])
+        if spans[i] and spans[i][0] < spans[i][1]:
+            found[spans[i]] = max(best[i], found.get(spans[i], 0.0))
     return [(s, e, x) for (s, e), x in found.items()]
 
 
@@ -146,12 +186,22 @@ def base_spans(text: str) -> list[Span]:
     return spans + [("hex", m.start(), m.end()) for m in _HEX.finditer(text)]
 
 
+def outside(literals: list[tuple[int, int, float]], spans: list[Span]) -> list[Span]:
+    """The literals that lie in none of the spans, by start; both are sorted once and read side by side."""
+    spans, at, reach, left = sorted((a, b) for _, a, b in spans), 0, -1, []
+    for s, e, _ in sorted(literals):
+        while at < len(spans) and spans[at][0] <= s:
+            reach = max(reach, spans[at][1])
+            at += 1
+        if e > reach:
+            left.append(("literal", s, e))
+    return left
+
+
 def scan(text: str) -> tuple[list[Span], list[Span], float]:
     """Base spans, literals that no base span covers, and the highest score of a literal."""
-    own = base_spans(text)
-    literals = secret_literals(text)
-    more = [("literal", s, e) for s, e, _ in literals if not any(a <= s and e <= b for _, a, b in own)]
-    return own, more, max((x for *_, x in literals), default=0.0)
+    own, literals = base_spans(text), secret_literals(text)
+    return own, outside(literals, own), max((x for *_, x in literals), default=0.0)
 
 
 def redact(text: str, mask: str = "[REDACTED]") -> str:

@@ -1,6 +1,6 @@
 """The span finders against plain regular expressions."""
 
-import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -8,43 +8,22 @@ from hypothesis import strategies as st
 
 from beaconlake.llm import pii, secrets
 from beaconlake.llm.spans import joined, ordered
+from tests.llm import plain
 
 HEADS = [*"pPaAsStT", "password", "PASSWD", "secret", "token", "api_key", "ApiKey", "AKIA", ":", "=", '"', "'", " ", "abcdef0123456789", "f" * 24, "A" * 16, "\n", "ſecret", "toKen", "é", "."]
 BITS = [*"a.@-+ ()0123456789", "x@y.z", "1.2.3.4", "300", "4111 1111 1111 1111", "4111-1111-1111-1111", "+1 (555) 010-9999", "0" * 30, "b.c", "_", "%", "é", "٣"]
 
 
-def plain_secrets(text):
-    spans = [("assign", *m.span()) for m in re.finditer(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[1]) >= 6]
-    spans += [("access", *m.span()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
-    return spans + [("hex", *m.span()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
-
-
-def plain_luhn(digits):
-    total = 0
-    for i, c in enumerate(reversed(digits)):
-        d = int(c) * (1 + i % 2)
-        total += d - 9 * (d > 9)
-    return total % 10 == 0
-
-
-def plain_pii(text):
-    spans = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
-    spans += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
-    digits = lambda s: re.sub("[^0-9]", "", s)
-    spans += [("card", *m.span()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text) if 14 <= len(digits(m[0])) <= 19 and plain_luhn(digits(m[0]))]
-    return spans + [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 10 <= len(digits(m[0])) <= 15]
-
-
 @settings(max_examples=400, deadline=None)
 @given(st.lists(st.sampled_from(HEADS), max_size=30).map("".join))
 def test_secret_base_equals_plain_patterns(text):
-    assert joined(ordered(secrets.base_spans(text), secrets.BASE)) == joined(ordered(plain_secrets(text), secrets.BASE))
+    assert joined(ordered(secrets.base_spans(text), secrets.BASE)) == joined(ordered(plain.secrets(text), secrets.BASE))
 
 
 @settings(max_examples=400, deadline=None)
 @given(st.lists(st.sampled_from(BITS), max_size=30).map("".join))
 def test_pii_base_equals_plain_patterns(text):
-    assert joined(ordered(pii.base_spans(text), pii.BASE)) == joined(ordered(plain_pii(text), pii.BASE))
+    assert joined(ordered(pii.base_spans(text), pii.BASE)) == joined(ordered(plain.pii(text), pii.BASE))
 
 
 @pytest.mark.parametrize("text, value", [
@@ -127,3 +106,44 @@ def test_parts_added_to_a_name_count_together():
 
 def test_names_added_to_each_other_stay_bounded():
     assert secrets.scan('a = "x"\nb = "y"\n' + "a += a\nb += a\na = a + b\n" * 60)[1] == []
+
+
+def test_long_runs_of_digits():
+    for zeros in (3, 5000):
+        text = "at 1.2.3." + "0" * zeros + " and 1.2.3." + "9" * zeros
+        assert pii.base_spans(text) == [("ip", 3, 9 + zeros)] == plain.pii(text)
+
+
+@pytest.mark.parametrize("n", [40, 3000])
+def test_constants_added_to_themselves(n):
+    """The value doubles with every line; what is known of it does not grow."""
+    text = 'a0 = "q8Zr5tYw9PxL"\n' + "".join(f"a{i} = a{i - 1} + a{i - 1}\n" for i in range(1, n + 1)) + f"private_key = a{n}\n"
+    began = time.process_time()
+    assert [text[s:e] for _, s, e in secrets.scan(text)[1]] == ["q8Zr5tYw9PxL"]
+    assert "q8Zr5tYw9PxL" not in secrets.redact(text)
+    assert time.process_time() - began < 5
+
+
+def test_chains_and_lists_of_assignments_take_linear_time():
+    for text, n in (("".join(f'a{i} = a{i - 1} + "x{i}y"\n' for i in range(1, 8000)) + "private_key = a7999\n", 8000),
+                    ('token = "abcdefgh1234"\n' * 9000, 0), ('db_pwd = "abcdefgh1234"\n' * 9000, 9000), ('private_key += "abcdefgh1234"\n' * 8000, 8000)):
+        began = time.process_time()
+        own, more, score = secrets.scan(text)
+        assert len(more) == n and (n or len(own) == 9000) and score >= 0.5
+        assert time.process_time() - began < 5
+
+
+def test_a_placeholder_over_a_seam_counts():
+    assert secrets.scan('db_pwd = "change" + "me"')[1] == []
+    assert len(secrets.scan('db_pwd = "chang" + "3me9x7"')[1]) == 2
+
+
+def test_literals_outside_spans_equal_all_pairs():
+    import random
+
+    rng = random.Random(4)
+    for _ in range(300):
+        cut = lambda: sorted(rng.sample(range(30), 2))
+        spans, literals = [("x", *cut()) for _ in range(rng.randint(0, 6))], [(*cut(), 0.5) for _ in range(rng.randint(0, 6))]
+        want = sorted(("literal", s, e) for s, e, _ in literals if not any(a <= s and e <= b for _, a, b in spans))
+        assert sorted(secrets.outside(literals, spans)) == want
