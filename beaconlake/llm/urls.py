@@ -139,19 +139,23 @@ def _sql_sides() -> str:
     return ",\n".join(steps)
 
 
-def _sql_rule(value) -> str:
-    return "CASE " + " ".join(
-        f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{value(h, p, v)}'"
-        for h, p, v in sorted(RULES, key=lambda r: -len(r[0] + r[1]))) + " END"
-
+#: The contract's rules, longest first, written out here once more: the SQL shares nothing with RULES.
+_SQL_FIRST_RULE = """CASE
+  WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+  WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/es/') THEN 'example.org/es/'
+  WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/'
+  WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/'
+  WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/' END"""
+_SQL_VERDICT = "CASE rule WHEN 'example.org/en/1' THEN 'block' WHEN 'example.org/es/' THEN 'block' WHEN 'com/fr/' THEN 'allow' WHEN 'com/de/' THEN 'block' WHEN 'org/' THEN 'allow' END"
 
 OP5_SQL = f"""
 WITH parts AS (SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 hp AS (SELECT page_id, url, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{string.ascii_uppercase}', '{string.ascii_lowercase}') AS host,
               regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parts),
-judged AS (SELECT *, {_sql_rule(lambda h, p, v: h + p)} AS rule, {_sql_rule(lambda h, p, v: v)} AS verdict,
+ruled AS (SELECT *, {_SQL_FIRST_RULE} AS rule FROM hp),
+judged AS (SELECT *, {_SQL_VERDICT} AS verdict,
   '^^^' || regexp_replace(regexp_replace(translate(host || path, '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '[^a-z0-9./_-]', '~', 'g'), '[0-9]', '0', 'g') || '$' AS shape,
-  substr(md5(url), 1, 1) IN ('0', '1', '2') AS tuning, row_number() OVER () AS row_ FROM hp),
+  substr(md5(url), 1, 1) IN ('0', '1', '2') AS tuning, row_number() OVER () AS row_ FROM ruled),
 grams AS (SELECT row_, verdict, tuning, substr(shape, i, 4) AS gram FROM (SELECT *, unnest(range(1, length(shape) - 2)) AS i FROM judged)),
 counted AS (SELECT gram, count(*) FILTER (WHERE verdict = 'allow' AND NOT tuning) AS accepted, count(*) FILTER (WHERE verdict = 'block' AND NOT tuning) AS rejected FROM grams GROUP BY gram),
 {_sql_sides()},
