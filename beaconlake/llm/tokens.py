@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import base64
+import json
+import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -15,11 +17,14 @@ from pyspark.sql import functions as F
 from beaconlake.llm.base import map_texts, table
 
 BYTE_BPE = "byte_bpe_50k.json"
-#: Characters on which both byte-level BPE libraries' character classes are sure to agree.
-PLAIN = re.compile("[^\t-\r -~\xa0-ɏ‐-‧‰-⁞€]")
-#: A cut before a space between two letters never changes the tokens: a pre-token ends there.
-SAFE_CUT = re.compile(r"(?<=[A-Za-z\xe0-\xf6\xf8-\xff])(?= [A-Za-z\xe0-\xf6\xf8-\xff])")
-CHUNK_CHARS, BATCH_BYTES = 1 << 16, 1 << 20
+#: Where a byte-level text may be cut: before a single space that something else follows. A pre-token begins
+#: there whatever stands before, as only its first character may be a space and a run of white space leaves
+#: its last one to the word behind it. White space is meant in Python's sense, which is the wider one.
+CUT = re.compile(r" (?=\S)")
+#: Characters beyond those on which both byte-level libraries' character classes are sure to agree.
+ODD = re.compile("[^\t-\r -~\xa0-ɏ‐-‧‰-⁞€]")
+#: Characters of a part of a long text, and UTF-8 bytes of the parts that one call of the library counts.
+PART_CHARS, BATCH_BYTES = 1 << 16, 1 << 18
 
 
 def tokenizer_path(name: str = BYTE_BPE) -> str:
@@ -28,56 +33,66 @@ def tokenizer_path(name: str = BYTE_BPE) -> str:
     return public_tokenizers.path(name)
 
 
+def can_cut(path: str) -> bool:
+    """Whether CUT is safe: bare byte-level pre-tokens, and no added token that reaches over a space."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    pre = spec.get("pre_tokenizer") or {}
+    return (pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True) and not spec.get("normalizer")
+            and not any(t["lstrip"] or t["rstrip"] or CUT.search(t["content"] + ".") or t["content"].startswith(" ") for t in spec.get("added_tokens", ())))
+
+
 class JsonEncoder:
-    """Ids as the tokenizers library gives them for a .json file, without added special tokens.
+    """Ids and counts as the tokenizers library gives them for a .json file, without added special tokens.
 
-    Texts of plain characters are encoded by tiktoken where the folder holds the same vocabulary as
-    ranks; it gives the same ids several times faster. All others go to tokenizers itself.
+    Counts come from the library itself, many parts at a time. Ids of plain characters are taken from tiktoken
+    where the folder holds the same vocabulary as ranks: they are the same, several times faster.
     """
 
     def __init__(self, path: str):
-        import os
-
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.slow = Tokenizer.from_file(path)
-        self.slow.no_truncation()
-        self.slow.no_padding()
-        self.fast = None
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
+        self.cuts = can_cut(path)
+        self.ranks = None
         ranks_path = path.removesuffix(".json") + ".tiktoken"
-        if os.path.exists(ranks_path):
+        if self.cuts and os.path.exists(ranks_path):
             import public_tokenizers
             import tiktoken
 
             with open(ranks_path, "rb") as f:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            special = {t.content: i for i, t in self.slow.get_added_tokens_decoder().items() if t.special}
-            self.fast = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+            special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items() if t.special}
+            self.ranks = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
             self.special = set(special)
 
-    def encode(self, text: str) -> list[int]:
-        if self.fast is not None and not PLAIN.search(text):
-            return self.fast.encode(text, allowed_special=self.special, disallowed_special=())
-        return self.slow.encode(text, add_special_tokens=False).ids
+    def ids(self, part: str) -> list[int]:
+        if self.ranks is not None and not ODD.search(part):
+            return self.ranks.encode(part, allowed_special=self.special, disallowed_special=())
+        return self.library.encode(part, add_special_tokens=False).ids
 
-    def count(self, texts: list[str]) -> list[int]:
-        return [len(self.encode(t)) for t in texts]
+    def counts(self, parts: list[str]) -> list[int]:
+        return [len(x) for x in self.library.encode_batch_fast(parts, add_special_tokens=False)]
 
 
 class PieceEncoder:
-    """Ids as sentencepiece gives them for a .model file, without begin and end."""
+    """Ids and counts as sentencepiece gives them for a .model file, without begin and end. Texts are never cut."""
+
+    cuts = False
 
     def __init__(self, path: str):
         import sentencepiece
 
-        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.library = sentencepiece.SentencePieceProcessor(model_file=path)
 
-    def encode(self, text: str) -> list[int]:
-        return self.model.encode(text)
+    def ids(self, part: str) -> list[int]:
+        return self.library.encode(part)
 
-    def count(self, texts: list[str]) -> list[int]:
-        return [len(x) for x in self.model.encode(texts, num_threads=1)]
+    def counts(self, parts: list[str]) -> list[int]:
+        return [len(x) for x in self.library.encode(parts, num_threads=1)]
 
 
 @lru_cache(maxsize=4)
@@ -85,11 +100,11 @@ def encoder(path: str):
     return PieceEncoder(path) if path.endswith(".model") else JsonEncoder(path)
 
 
-def chunks(text: str, size: int = CHUNK_CHARS) -> Iterator[str]:
-    """Parts of a text whose tokens, one after another, are the text's: cut at safe places only."""
+def parts_of(text: str, cuts: bool, size: int = PART_CHARS) -> Iterator[str]:
+    """Parts of a long text whose ids, one after another, are the text's; one part without safe cuts."""
     at = 0
-    while len(text) - at > size:
-        cut = SAFE_CUT.search(text, at + size)
+    while cuts and len(text) - at > size:
+        cut = CUT.search(text, at + size)
         if not cut:
             break
         yield text[at:cut.start()]
@@ -99,32 +114,32 @@ def chunks(text: str, size: int = CHUNK_CHARS) -> Iterator[str]:
 
 def text_ids(enc, text: str) -> np.ndarray:
     """All ids of a text, as unsigned 32-bit numbers."""
-    parts = [np.array(enc.encode(c), dtype=np.uint32) for c in chunks(text)]
+    parts = [np.array(enc.ids(p), dtype=np.uint32) for p in parts_of(text, enc.cuts)]
     return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 
-def count_batch(enc, texts: list[str], splits: bool) -> np.ndarray:
-    """Tokens of each text. Parts go to the library in batches of about BATCH_BYTES."""
-    counts = np.zeros(len(texts), dtype=np.int64)
+def balanced(texts: list[str], cuts: bool) -> Iterator[tuple[list[int], list[str]]]:
+    """The parts of all texts and the texts' places, in batches of about BATCH_BYTES of UTF-8."""
     rows: list[int] = []
     parts: list[str] = []
     held = 0
-
-    def flush() -> None:
-        nonlocal held
-        np.add.at(counts, rows, enc.count(parts))
-        rows.clear(), parts.clear()
-        held = 0
-
     for i, text in enumerate(texts):
-        for part in chunks(text) if splits else (text,):
+        for part in parts_of(text, cuts):
             rows.append(i)
             parts.append(part)
-            held += len(part)
+            held += len(part.encode("utf-8", "surrogatepass"))
             if held >= BATCH_BYTES:
-                flush()
+                yield rows, parts
+                rows, parts, held = [], [], 0
     if parts:
-        flush()
+        yield rows, parts
+
+
+def count_batch(enc, texts: list[str]) -> np.ndarray:
+    """Tokens of each text."""
+    counts = np.zeros(len(texts), dtype=np.int64)
+    for rows, parts in balanced(texts, enc.cuts):
+        np.add.at(counts, rows, enc.counts(parts))
     return counts
 
 
@@ -132,17 +147,18 @@ def count_tokens(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     """doc_id, n_bytes, n_tokens and over_limit of every text.
 
     Special strings inside texts are handled as the library does by default; nothing is added,
-    truncated or padded. Null and empty texts have 0 bytes and 0 tokens; ids may be null or repeat;
-    an empty table gives an empty result; other columns are ignored. Texts never leave the task that
-    read them: only lengths do. Byte-level texts over CHUNK_CHARS characters are encoded in parts cut
-    where a pre-token surely ends; sentencepiece texts are never cut.
+    truncated or padded. Null and empty texts have 0 bytes and 0 tokens. Ids may be null or repeat and
+    equal rows repeat: each row is counted by itself, so there are no ties. An empty table gives an empty
+    result; other columns are ignored. Texts never leave the task that read them: only lengths do. Long
+    byte-level texts are encoded in parts cut where a pre-token surely begins; a text without such a place,
+    and texts of other tokenizers, are never cut.
     """
     path = tokenizer or tokenizer_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for b in batches:
-            n = count_batch(enc, [t or "" for t in b.column(1).to_pylist()], not path.endswith(".model"))
+            n = count_batch(enc, [t or "" for t in b.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n)], names=["doc_id", "n_bytes", "n_tokens"])
 
     kind = docs.schema[id_col].dataType.simpleString()
