@@ -53,7 +53,7 @@ class Packer:
         for n in cut_lengths(len(ids), self.capacity):
             k = self.capacity // n
             bin_ = self.open.setdefault(k, [])
-            bin_.append((doc_id, at, ids[at:at + n], len(ids)))
+            bin_.append((doc_id, at, ids[at:at + n].copy(), len(ids)))  # a view would keep the whole document
             at += n
             if len(bin_) == k:
                 self.close(self.open.pop(k))
