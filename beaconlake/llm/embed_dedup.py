@@ -24,12 +24,13 @@ class Settings:
     """A shard has about ``shard`` distinct vectors; a task searches one shard for itself, or two for each
     other. Vectors are compared densely at most ``block`` at a time.
 
-    Beams start at beams[0]. A query whose whole beam is over the threshold goes on to the next beam, and
-    after the last one is compared with its whole shard. A beam is accepted if it finds ``recall`` of the
-    links of the queries it settles among those audited by brute force. The audit starts with ``audit``
-    queries, at random, and goes on until ``audit_links`` links to other vectors are seen, of queries with
-    fewer links than the first beam holds. A beam for which fewer are seen is not accepted; if none is,
-    all queries are compared with the whole shard.
+    Beams start at beams[0], or at the shard's size if that is less. A beam is accepted if it finds ``recall`` of
+    ``audit_links`` links known by brute force, else it is widened: to the next one, and beyond the last twice
+    to its double. The known links are those of ``audit`` of the queries, at random, to other
+    vectors, and those of as many probes as it takes: members of the shard, each turned away from itself by an
+    angle under the threshold's, so that every probe has a link that the graph must find. A query whose whole
+    beam is over the threshold goes on to the next beam. What no beam was accepted for is compared with the
+    whole shard, exactly: queries with more links than the last beam holds, or all if audits fail to the end.
     """
 
     threshold: float = 0.93
@@ -40,6 +41,10 @@ class Settings:
     audit_links: int = 512
     recall: float = 0.99
 
+    def widths(self, size: int) -> list[int]:
+        """The beams for a shard of a size; none is wider than the shard."""
+        return list(dict.fromkeys(min(b, size) for b in (*self.beams, 2 * self.beams[-1], 4 * self.beams[-1])))
+
 
 def _cosines(x: np.ndarray, nx: np.ndarray, i: np.ndarray, y: np.ndarray, ny: np.ndarray, j: np.ndarray) -> np.ndarray:
     out = np.empty(len(i))
@@ -64,18 +69,14 @@ def _unite(least: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
 
 
 class Shard:
-    """The distinct vectors of a shard, its graph, and what each search finds over the threshold."""
+    """The distinct vectors of a shard, its graph, and what each search finds over the threshold. audits lists what
+    was tried: beam, links known, links found, and whether the beam was accepted."""
 
     def __init__(self, x: np.ndarray, graph: Hnsw | None = None):
         self.x, self.norms = x, np.linalg.norm(x, axis=1)
-        self._graph = graph
-
-    @property
-    def graph(self) -> Hnsw:
-        """Built when it is first searched: shards whose links are too few for an audit need none."""
-        if self._graph is None:
-            self._graph = Hnsw.build((self.x / self.norms[:, None]).astype(np.float32))
-        return self._graph
+        self.unit = (x / self.norms[:, None]).astype(np.float32)
+        self.graph = graph or Hnsw.build(self.unit)
+        self.audits: list[tuple[int, int, int, bool]] = []
 
     def dense(self, q: np.ndarray, nq: np.ndarray, s: Settings):
         """(query, hits) against the whole shard, exactly, some queries at a time."""
@@ -86,55 +87,97 @@ class Shard:
             ok = _cosines(q, nq, i + a, self.x, self.norms, j) >= s.threshold
             yield i[ok] + a, j[ok]
 
-    def audit(self, q: np.ndarray, nq: np.ndarray, s: Settings, own: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The queries audited and their exact links to others, without those of crowded queries: these have more
-        links than any beam holds, and are left for the dense comparison."""
-        order = np.random.default_rng(len(q)).permutation(len(q))
-        crowded, found_i, found_j, seen, at = [order[:0]], [order[:0]], [order[:0]], 0, 0
-        while at < len(q) and seen < s.audit_links:
-            some = order[at:at + max(s.audit, at)]
-            at += len(some)
-            for a, b in self.dense(q[some], nq[some], s):
-                a = some[a]
-                a, b = (a[a != b], b[a != b]) if own else (a, b)
-                n = np.bincount(a, minlength=len(q))
-                seen += int(n[n < s.beams[0]].sum())
-                found_i.append(a[n[a] < s.beams[-1]]), found_j.append(b[n[a] < s.beams[-1]])
-                crowded.append(np.flatnonzero(n >= s.beams[-1]))
-        return np.setdiff1d(order[:at], np.concatenate(crowded)), np.concatenate(found_i), np.concatenate(found_j)
+    def known(self, q: np.ndarray, s: Settings, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The queries compared by brute force and their exact links, without those of crowded queries: these have
+        more links than the last beam holds, and are left for the dense comparison. own: each query's row, no link."""
+        found, crowded = [np.zeros((2, 0), dtype=np.int64)], np.zeros(len(q), dtype=bool)
+        for i, j in self.dense(q, np.linalg.norm(q, axis=1), s):
+            if own is not None:
+                i, j = i[own[i] != j], j[own[i] != j]
+            n = np.bincount(i, minlength=len(q))
+            crowded |= n >= s.beams[-1]
+            found.append(np.stack([i, j])[:, n[i] < s.beams[-1]])
+        i, j = np.concatenate(found, axis=1)
+        return np.flatnonzero(~crowded), i, j
+
+    def probes(self, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Turned members and their exact links: at least audit_links, unless nearly all probes are crowded."""
+        rng, dim = np.random.default_rng(5), self.x.shape[1]
+        at = rng.integers(0, len(self.x), 2 * s.audit_links)
+        member = self.x[at] / self.norms[at, None]
+        side = rng.standard_normal(member.shape)
+        side -= (side * member).sum(axis=1, keepdims=True) * member
+        size = np.linalg.norm(side, axis=1, keepdims=True)
+        side = np.divide(side, size, out=np.zeros_like(side), where=size > 1e-9)  # in one dimension there is no side
+        c = rng.uniform(s.threshold + MARGIN, 1, (len(at), 1))
+        turned = c * member + np.sqrt(1 - c * c) * side if dim > 1 else member
+        for n in dict.fromkeys((s.audit_links, len(at))):
+            _, i, j = self.known(turned[:n], s)
+            if len(i) >= s.audit_links:
+                break
+        return turned[:n], i, j
 
     def links(self, q: np.ndarray, s: Settings, own: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Pairs (query, member) over the threshold, and the queries left for the dense comparison; the pairs of
         those audited are exact. With own the queries are the members, whose hits on themselves don't count."""
-        nq = np.linalg.norm(q, axis=1)
+        n, nq = len(q), np.linalg.norm(q, axis=1)
+        some = np.random.default_rng(n).permutation(n)[:s.audit]
+        seen, i, j = self.known(q[some], s, some if own else None)
+        exact = np.zeros(n, dtype=bool)
+        exact[some[seen]] = True
+        found_i, found_j = [some[i]], [j]
+        turned, probe_i, probe_j = self.probes(s)
+        q, nq = np.concatenate([q, turned]), np.concatenate([nq, np.linalg.norm(turned, axis=1)])
         unit = (q / nq[:, None]).astype(np.float32)
-        audited, true_i, true_j = self.audit(q, nq, s, own)
-        found_i, found_j = [true_i], [true_j]
-        exact = np.zeros(len(q), dtype=bool)
-        exact[audited] = True
+        true_i, true_j = np.concatenate([some[i], probe_i + n]), np.concatenate([j, probe_j])
         truth = true_i * len(self.x) + true_j
-        todo, ask = np.flatnonzero(~exact), np.arange(len(q))
-        for beam in s.beams:
-            if not len(todo) or beam >= len(self.x) or len(truth) < s.audit_links:
+        ask, accepted = np.arange(len(q)), False
+        for beam in s.widths(len(self.x)):
+            if not len(ask) or accepted and beam > s.beams[-1]:
                 break
             ids, sims = self.graph.search(unit[ask], beam)
             hit = (sims >= s.threshold - MARGIN) & (ids >= 0)
-            full = np.ones(len(q), dtype=bool)
-            full[ask] = hit.all(axis=1)
+            full = np.zeros(len(q), dtype=bool)
+            full[ask] = hit.all(axis=1) & (beam < len(self.x))
             i, k = np.nonzero(hit)
             i, j = ask[i], ids[i, k]
             i, j = i[~full[i]], j[~full[i]]
             ok = _cosines(q, nq, i, self.x, self.norms, j) >= s.threshold
             i, j = i[ok].astype(np.int64), j[ok].astype(np.int64)
-            wanted = truth[~full[true_i]]
-            got = np.isin(wanted, i * len(self.x) + j).sum()
-            if len(wanted) < s.audit_links or got < s.recall * len(wanted):
-                continue  # the audit fails: all of them again, with a wider beam
-            found_i.append(i[~exact[i]]), found_j.append(j[~exact[i]])
-            todo, ask = todo[full[todo]], ask[full[ask]]
-            keep = full[true_i]
-            true_i, truth = true_i[keep], truth[keep]
-        return np.concatenate(found_i), np.concatenate(found_j), todo
+            asked = np.zeros(len(q), dtype=bool)
+            asked[ask] = True
+            wanted = truth[asked[true_i] & ~full[true_i]]
+            got = int(np.isin(wanted, i * len(self.x) + j).sum())
+            good = len(wanted) >= s.audit_links and got >= s.recall * len(wanted)
+            self.audits.append((beam, len(wanted), got, good))
+            if good:  # else all of them again, with a wider beam
+                accepted = True
+                new = (i < n) & ~exact[np.minimum(i, n - 1)]
+                found_i.append(i[new]), found_j.append(j[new])
+                ask = ask[full[ask]]
+        todo = ask[ask < n]
+        return np.concatenate(found_i), np.concatenate(found_j), todo[~exact[todo]]
+
+    def dump(self) -> dict[str, np.ndarray]:
+        """What another task needs, in single precision where that loses nothing."""
+        small = self.x.astype(np.float32)
+        return {"x": small if np.array_equal(small, self.x) else self.x, "order": self.graph.order, **{f"links{k}": x for k, x in enumerate(self.graph.links)}}
+
+    @classmethod
+    def load(cls, z) -> Shard:
+        x = z["x"].astype(np.float64)
+        unit = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+        return cls(x, Hnsw(unit[z["order"]], z["order"], [z[f"links{k}"] for k in range(sum(f.startswith("links") for f in z.files))]))
+
+
+AUDIT = -2  # node of the rows that report audits: links known, links found
+REPORT = {"node": pa.int64(), "links": pa.int64(), "peer": pa.int64()}
+
+
+def _reported(columns: list[np.ndarray], *shards: Shard) -> list[np.ndarray]:
+    """With one row more for each beam accepted: how many links its audit knew, and found."""
+    rows = [(AUDIT, known, found) for x in shards for _, known, found, good in x.audits if good]
+    return [np.append(c, np.array([r[k] for r in rows], dtype=np.int64)) for k, c in enumerate(columns)]
 
 
 def _inner(t: pa.Table, s: Settings, keep_graph: bool) -> pa.Table:
@@ -159,14 +202,14 @@ def _inner(t: pa.Table, s: Settings, keep_graph: bool) -> pa.Table:
     pairs = np.unique(pairs[0] * len(x) + pairs[1])
     np.add.at(counts, pairs // len(x), copies[pairs % len(x)])
     _unite(least, pairs // len(x), pairs % len(x))
-    blobs = [None] * len(x)
-    columns = [nodes, counts, nodes[least]]
+    columns = _reported([nodes, counts, nodes[least]], shard)
+    blobs = [None] * len(columns[0])
     if keep_graph:
         columns = [np.append(c, -1) for c in columns]
         out = io.BytesIO()
-        np.savez(out, x=x, nodes=nodes, copies=copies, least=nodes[least], graph=np.frombuffer(shard.graph.dump(), dtype=np.uint8))
+        np.savez(out, nodes=nodes, copies=copies, least=nodes[least], **shard.dump())
         blobs.append(out.getvalue())
-    return pa.table([*(pa.array(c) for c in columns), pa.array(blobs, pa.binary())], names=["node", "links", "peer", "shard_data"])
+    return pa.table([*(pa.array(c, pa.int64()) for c in columns), pa.array(blobs, pa.binary())], names=[*REPORT, "shard_data"])
 
 
 def _across(pair: pa.Table, s: Settings) -> pa.Table:
@@ -174,11 +217,11 @@ def _across(pair: pa.Table, s: Settings) -> pa.Table:
     first shard's nodes one row for each group of the second that they reach."""
     sides, loaded = [], []
     if pair.num_rows < 2:  # no vector fell to the other shard
-        return pa.table([pa.array([], pa.int64())] * 3, names=["node", "links", "peer"])
+        return pa.table([pa.array([], pa.int64())] * 3, names=[*REPORT])
     for blob in pair["shard_data"]:
         with np.load(io.BytesIO(blob.as_py()), allow_pickle=False) as z:
             loaded.append((z["nodes"], z["copies"], z["least"]))
-            sides.append(Shard(z["x"], Hnsw.load(z["graph"].tobytes())))
+            sides.append(Shard.load(z))
     (nodes, copies, _), (nodes2, copies2, least2) = loaded
     width, counts, counts2 = len(nodes2), np.zeros(len(nodes), dtype=np.int64), np.zeros(len(nodes2), dtype=np.int64)
     a, b, dense = sides[1].links(sides[0].x, s)
@@ -203,26 +246,12 @@ def _across(pair: pa.Table, s: Settings) -> pa.Table:
     first = np.append(True, groups[0][1:] != groups[0][:-1]) if groups.shape[1] else np.zeros(0, bool)
     linked = counts2 > 0
     rows = [np.append(nodes[groups[0]], nodes2[linked]), np.append(np.where(first, counts[groups[0]], 0), counts2[linked]), np.append(groups[1], nodes2[linked])]
-    return pa.table([pa.array(c, pa.int64()) for c in rows], names=["node", "links", "peer"])
+    return pa.table([pa.array(c, pa.int64()) for c in _reported(rows, *sides)], names=[*REPORT])
 
 
-def near_duplicates(vectors: DataFrame, s: Settings = Settings(), id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
-    """vec_id, n_links, component_id and kept of every vector.
-
-    Vectors link if their labels are equal and not null and their cosine, in double precision, reaches the
-    threshold. n_links counts the other vectors linked directly, component_id is the smallest id reachable
-    over links, kept marks the vector with that id. Equal vectors of a label are one node with a count.
-
-    Nodes of a label are spread over shards of bounded size. Each shard builds a graph; its own vectors
-    search it, and those of the label's other shards: one task for each two shards searches both ways and
-    unites the links before it counts them. Every hit is verified in double precision; audits against brute
-    force widen the beams, and crowded queries, or all if the links seen are too few for an audit, are
-    compared with their whole shard. Tasks return counts and one row for each group reached, never all pairs of a group.
-
-    Vectors that are null, empty, zero or hold null or non-finite components, and rows with a null label
-    or id, link with nothing (0 links, their own component). Vectors of different length don't link. Rows
-    that share an id are vectors of their own. Other columns are ignored. An empty table gives an empty result.
-    """
+def link_vectors(vectors: DataFrame, s: Settings = Settings(), id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> tuple[DataFrame, DataFrame]:
+    """What near_duplicates returns, and the audits behind it: one row for each beam accepted for a shard or for two
+    shards, with the links that the audit knew and those of them that the beam found."""
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("embedding"), F.col(label_col).alias("label"))
     rows = rows.withColumn("usable", usable(F.col("embedding")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull())
     distinct = (rows.where("usable").groupBy("label", "embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
@@ -241,14 +270,15 @@ def near_duplicates(vectors: DataFrame, s: Settings = Settings(), id_col: str =
         inner, f"node long, links long, peer long, shard_data binary, label {kind}, dim int, shard int"), "within")
 
     many = nodes.where("shards > 1").select("label", "dim", "shards").distinct()
-    one_side = within.where("node < 0").select("label", "dim", "shard", "shard_data").join(many, ["label", "dim"])
+    one_side = within.where("node = -1").select("label", "dim", "shard", "shard_data").join(many, ["label", "dim"])
     keys = ["label", "dim", "low", "high"]
     both_sides = (one_side.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).where("other <> shard")
                   .select("label", "dim", F.least("shard", "other").alias("low"), F.greatest("shard", "other").alias("high"), "shard_data"))
 
     across = materialize(both_sides.groupBy(*keys).applyInArrow(lambda t: _across(t, s), "node long, links long, peer long"), "across")
 
-    found = within.where("node >= 0").select("node", "links", "peer").unionByName(across)
+    every = within.select("node", "links", "peer").unionByName(across)
+    audits, found = every.where(F.col("node") == AUDIT).select(F.col("links").alias("known"), F.col("peer").alias("found")), every.where("node >= 0")
     joined = components(found.select(F.col("node").alias("a"), F.col("peer").alias("b")))
     counted = found.groupBy("node").agg(F.sum("links").alias("links"))
     named = (distinct.join(counted, "node").join(joined.withColumnRenamed("node", "node_"), F.col("node") == F.col("node_"), "left")
@@ -257,7 +287,28 @@ def near_duplicates(vectors: DataFrame, s: Settings = Settings(), id_col: str =
     per_vector = materialize(named.join(least, "component").select("label", "embedding", (F.col("links") + F.col("copies") - 1).alias("n_links"), "component_id"), "named")
     linked = rows.where("usable").join(per_vector, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
     alone = rows.where("NOT usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+    return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False))), audits
+
+
+def near_duplicates(vectors: DataFrame, s: Settings = Settings(), id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+    """vec_id, n_links, component_id and kept of every vector.
+
+    Vectors link if their labels are equal and not null and their cosine, in double precision, reaches the
+    threshold. n_links counts the other vectors linked directly, component_id is the smallest id reachable
+    over links, kept marks the vector with that id. Equal vectors of a label are one node with a count.
+
+    Nodes of a label are spread over shards of bounded size. Each shard builds a graph; its own vectors
+    search it, and those of the label's other shards: one task for each two shards searches both ways and
+    unites the links before it counts them. Every hit is verified in double precision; audits against brute
+    force widen the beams, and crowded queries, or all if every audit fails, are compared with their whole
+    shard. Tasks return counts and one row for each group reached, never all pairs of a group.
+
+    Vectors that are null, empty, zero or hold null or non-finite components, and rows with a null label
+    or id, link with nothing (0 links, their own component). Vectors of different length don't link. Rows
+    that share an id are vectors of their own. Other columns are ignored, whatever their names. An empty table
+    gives an empty result.
+    """
+    return link_vectors(vectors, s, id_col, vector_col, label_col)[0]
 
 
 def op2_embedding_dedup(spark, sf_dir: str) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import io
-
 import numpy as np
 
 #: Links of a node above and on the ground layer, beam while building, nodes expanded at a time.
@@ -142,13 +140,3 @@ class Hnsw:
         """Rows of the given vectors and similarities of the best ``beam`` found for each query, best first."""
         ids, sims = self._layer_search(self.links[-1], queries, self._entries(queries, len(self.links) - 1), beam, len(self.order))
         return np.where(ids >= 0, self.order[ids], -1), sims
-
-    def dump(self) -> bytes:
-        out = io.BytesIO()
-        np.savez(out, vectors=self.vectors, order=self.order, **{f"links{k}": x for k, x in enumerate(self.links)})
-        return out.getvalue()
-
-    @classmethod
-    def load(cls, data: bytes) -> Hnsw:
-        with np.load(io.BytesIO(data), allow_pickle=False) as z:
-            return cls(z["vectors"], z["order"], [z[f"links{k}"] for k in range(len(z.files) - 2)])
