@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from beaconlake.llm.base import materialize, table
 from beaconlake.llm.vectors import matrix, part_of, parts, usable
 
-#: Vectors of an index shard and queries of a block: what meets in one task.
-SHARD, BLOCK = 16384, 4096
+#: Vectors of an index shard and queries of a block: what meets in one task. Each shard is sent once for each block,
+#: each query once for each shard; with four queries to a vector neither outweighs the other by much.
+SHARD, BLOCK = 16384, 65536
 #: Width of the error bound, in standard errors of a code's estimate.
 BOUND = 3.0
 #: Candidates with the best estimates, reranked first: their exact products set the bar for the rest.
@@ -43,9 +44,10 @@ def products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.add.reduce(np.ascontiguousarray((x * q).T), axis=0)
 
 
-def search_block(ids: np.ndarray, x: np.ndarray, codes: np.ndarray, norms: np.ndarray, align: np.ndarray,
-                 query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, vector id, product) of the k nearest of one shard for each query of one block.
+def search_block(rows: np.ndarray, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, norms: np.ndarray, align: np.ndarray,
+                 query_rows: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, place in the shard, product) of the k nearest of one shard for each query of one block, without the
+    query's own row. Ties go to the smaller id, then the smaller row.
 
     The estimate of a product is exact in the mean and off by about spread * |query| for each vector;
     only vectors whose estimate plus BOUND such errors reaches the k-th best exact product are reranked.
@@ -55,37 +57,30 @@ def search_block(ids: np.ndarray, x: np.ndarray, codes: np.ndarray, norms: np.nd
     scale = (norms / (align * np.sqrt(dim))).astype(np.float32)
     signs = np.unpackbits(codes, axis=1, count=dim).astype(np.float32) * 2 - 1
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    step = max(1, (1 << 22) // max(1, len(ids)))  # estimates of 4 M pairs at a time
-    for at in range(0, len(query_ids), step):
+    step = max(1, (1 << 22) // max(1, len(rows)))  # estimates of 4 M pairs at a time
+    for at in range(0, len(query_rows), step):
         q = queries[at:at + step]
         estimates = ((q @ rotation(dim)).astype(np.float32) @ signs.T) * scale
-        for i, qi in enumerate(query_ids[at:at + step]):
+        for i, qi in enumerate(query_rows[at:at + step]):
             e = estimates[i]
-            e[ids == qi] = -np.inf
+            e[rows == qi] = -np.inf
             first = np.argpartition(-e, FIRST)[:FIRST] if len(e) > FIRST else np.arange(len(e))
+            first = first[rows[first] != qi]
             score = products(x[first], q[i])
-            own = ids[first] == qi
-            score[own] = -np.inf
             if len(e) > FIRST:
                 bar = np.partition(score, -k)[-k] if len(score) >= k else -np.inf
                 e[first] = -np.inf
-                more = np.flatnonzero(e + BOUND * np.linalg.norm(q[i]) * spread >= bar)
+                more = np.flatnonzero((e + BOUND * np.linalg.norm(q[i]) * spread >= bar) & (rows != qi))
                 first = np.concatenate([first, more])
                 score = np.concatenate([score, products(x[more], q[i])])
-                own = ids[first] == qi
-            first, score = first[~own], score[~own]
-            best = np.lexsort((ids[first], -score))[:k]
-            found.append((np.full(len(best), qi), ids[first[best]], score[best]))
+            best = np.lexsort((rows[first], ids[first], -score))[:k]
+            found.append((np.full(len(best), qi), first[best], score[best]))
     return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
 def build_index(vectors: DataFrame) -> DataFrame:
-    """Every usable vector with its dimension, shard, code, norm and correction, as a table.
-
-    Rows that share an id count once, with the smallest vector; rows with a null id, which no result could
-    name, are left out.
-    """
-    one = vectors.where(usable(F.col("embedding"))).where("vec_id IS NOT NULL").groupBy("vec_id").agg(F.min("embedding").alias("embedding")).withColumn("dim", F.size("embedding"))
+    """Every usable row with a number of its own, its dimension, shard, code, norm and correction, as a table."""
+    one = vectors.where(usable(F.col("embedding"))).select(F.monotonically_increasing_id().alias("row"), "vec_id", "embedding", F.size("embedding").alias("dim"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -98,43 +93,47 @@ def build_index(vectors: DataFrame) -> DataFrame:
                     names=[*part.schema.names, "code", "norm", "align"])
 
     kind = one.schema["embedding"].dataType.simpleString()
-    coded = materialize(one.mapInArrow(run, f"vec_id long, embedding {kind}, dim int, code binary, norm double, align double"), "codes")
+    coded = materialize(one.mapInArrow(run, f"row long, vec_id long, embedding {kind}, dim int, code binary, norm double, align double"), "codes")
     sizes = coded.groupBy("dim").agg(F.count("*").alias("n_rows"))
-    return coded.join(sizes.select("dim", parts("n_rows", SHARD).alias("shards")), "dim").withColumn("shard", part_of(F.col("vec_id"), F.col("shards")))
+    return coded.join(sizes.select("dim", parts("n_rows", SHARD).alias("shards")), "dim").withColumn("shard", part_of(F.col("row"), F.col("shards")))
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id and score of the k vectors with the largest inner product for each query.
 
     ``is_query`` selects the query rows by vec_id. Every row is indexed; all candidates but the query's
-    own row are compared through their codes, and the product of those returned is exact. Ties go to the smaller id.
-
-    Each task joins one shard of codes with one block of queries; neither grows with the table. Only k
-    rows for each query and shard are shuffled for the final ranking. Vectors that are null, zero, empty
-    or hold null or non-finite components take no part, vectors of different length don't meet, rows that
-    share an id count once, with the smaller vector. With fewer than k candidates all are returned. Other
-    columns are ignored. An empty table gives an empty result.
+    own row are compared through their codes, and the product of those returned is exact. Ties go to the smaller
+    id, null last, and among equal ids to any row.
+
+    Each task joins one shard of codes with one block of queries; neither grows with the table, their number
+    grows with its square. Only k rows for each query and shard are shuffled for the final ranking. Vectors that
+    are null, zero, empty or hold null or non-finite components take no part; vectors of different length don't
+    meet. Rows that share an id, or have none, are candidates of their own; rows with a query's id are queries of
+    their own. With fewer than k candidates all are returned. Other columns are ignored, whatever their names.
+    An empty table gives an empty result.
     """
     index = build_index(vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("embedding")))
-    queries = index.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.col("dim").alias("dim"), "shards")
+    queries = index.where(is_query).select(F.col("row").alias("query_row"), F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.col("dim").alias("dim"), "shards")
     blocks = queries.groupBy("dim").agg(F.count("*").alias("n_queries"))
     blocks = blocks.select("dim", parts("n_queries", BLOCK).alias("blocks"))
     shard_side = index.join(blocks, "dim").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("shards", "blocks")
-    query_side = (queries.join(blocks, "dim").withColumn("block", part_of(F.col("query_id"), F.col("blocks")))
-                  .withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).select(F.col("dim").alias("dim"), "shard", "block", "query_id", "query"))
+    query_side = (queries.join(blocks, "dim").withColumn("block", part_of(F.col("query_row"), F.col("blocks")))
+                  .withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).select(F.col("dim").alias("dim"), "shard", "block", "query_row", "query"))
 
     def run(shard: pa.Table, block: pa.Table) -> pa.Table:
-        out = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
+        found, at, score = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
         if shard.num_rows and block.num_rows:
             codes = np.frombuffer(b"".join(shard["code"].to_pylist()), dtype=np.uint8).reshape(shard.num_rows, -1)
-            out = search_block(shard["vec_id"].to_numpy(), matrix(shard["embedding"]), codes, shard["norm"].to_numpy(), shard["align"].to_numpy(),
-                               block["query_id"].to_numpy(), matrix(block["query"]), k)
-        return pa.table([pa.array(c) for c in out], names=["query_id", "vec_id", "score"])
+            ids = shard["vec_id"].fill_null(np.iinfo(np.int64).max).to_numpy()
+            found, at, score = search_block(shard["row"].to_numpy(), ids, matrix(shard["embedding"]), codes, shard["norm"].to_numpy(), shard["align"].to_numpy(),
+                                            block["query_row"].to_numpy(), matrix(block["query"]), k)
+        return pa.table([pa.array(found), shard["row"].take(at), shard["vec_id"].take(at), pa.array(score)], names=["query_row", "row", "vec_id", "score"])
 
     keys = ["dim", "shard", "block"]
-    found = shard_side.groupBy(*keys).cogroup(query_side.groupBy(*keys)).applyInArrow(run, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = shard_side.groupBy(*keys).cogroup(query_side.groupBy(*keys)).applyInArrow(run, "query_row long, row long, vec_id long, score double")
+    order = Window.partitionBy("query_row").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last(), "row")
+    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return best.join(queries.select("query_row", "query_id"), "query_row").select("query_id", "rank", "vec_id", "score")
 
 
 def op10_nearest(spark, sf_dir: str) -> DataFrame:
@@ -142,10 +141,10 @@ def op10_nearest(spark, sf_dir: str) -> DataFrame:
 
 
 OP10_SQL = """
-WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+WITH v AS (SELECT vec_id, row_number() OVER () AS r, embedding::DOUBLE[] AS e FROM embeddings
   WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
-p AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e) AS score
-  FROM (SELECT * FROM v WHERE vec_id % 20 = 0) q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e))
-SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
+p AS (SELECT q.vec_id AS query_id, q.r AS query_row, c.vec_id, c.r, list_dot_product(q.e, c.e) AS score
+  FROM (SELECT * FROM v WHERE vec_id % 20 = 0) q JOIN v c ON q.r <> c.r AND len(q.e) = len(c.e))
+SELECT query_id, (row_number() OVER (PARTITION BY query_row ORDER BY score DESC, vec_id ASC NULLS LAST, r))::INTEGER AS rank, vec_id, score
 FROM p QUALIFY rank <= 20
 """

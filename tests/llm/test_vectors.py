@@ -1,6 +1,7 @@
 """The vector operators against brute force."""
 
 import inspect
+import io
 
 import numpy as np
 import pyarrow as pa
@@ -72,11 +73,12 @@ def test_empty_tables(spark):
 
 
 def test_graph_survives_its_copy():
-    x = clustered(700)
-    u = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
-    g = Hnsw.build(u)
-    ids, sims = g.search(u[:50], 32)
-    again = Hnsw.load(g.dump()).search(u[:50], 32)
+    shard = embed_dedup.Shard(clustered(700).astype(np.float64))
+    u = shard.unit
+    ids, sims = shard.graph.search(u[:50], 32)
+    out = io.BytesIO()
+    np.savez(out, **shard.dump())
+    again = embed_dedup.Shard.load(np.load(io.BytesIO(out.getvalue()))).graph.search(u[:50], 32)
     assert np.array_equal(ids, again[0]) and np.array_equal(sims, again[1])
     truth = np.argsort(-(u[:50] @ u.T), axis=1)[:, :10]
     sim = np.take_along_axis(u[:50] @ u.T, truth, 1)
@@ -105,7 +107,22 @@ def test_nearest_recall(spark, monkeypatch, shard, block):
 
 def test_fewer_candidates_than_asked(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0], 1), (1, [2.0, 1.0], 1), (2, [2.0, 5.0], 1), (2, [2.0, 5.0], 1), (20, [1.0, 2.0, 3.0], 1)], SCHEMA)
-    assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in ann.nearest(df, F.col("vec_id") % 20 == 0).collect()] == [(0, 1, 1, 2.0), (0, 2, 2, 2.0)]
+    assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in ann.nearest(df, F.col("vec_id") % 20 == 0).collect()] == [(0, 1, 1, 2.0), (0, 2, 2, 2.0), (0, 3, 2, 2.0)]
+
+
+def test_rows_that_share_an_id_or_have_none(spark):
+    rows = [(0, [1.0, 0.0]), (0, [3.0, 0.0]), (7, [2.0, 0.0]), (7, [5.0, 0.0]), (None, [5.0, 0.0])]
+    df = spark.createDataFrame([(*r, "x", 1, "y", 2) for r in rows], "vec_id long, embedding array<double>, code string, row int, dim string, shard int")
+    got = sorted((r.score, r.vec_id if r.vec_id is not None else -1, r["rank"]) for r in ann.nearest(df, F.col("vec_id") % 20 == 0).collect() if r.query_id == 0)
+    assert got == sorted([(5.0, 7, 1), (5.0, -1, 2), (3.0, 0, 3), (2.0, 7, 4), (15.0, 7, 1), (15.0, -1, 2), (6.0, 7, 3), (3.0, 0, 4)])
+
+
+def test_clashing_columns_of_links(spark):
+    x = clustered(60)
+    df = spark.createDataFrame([(*r, 1, "x", 2, 3) for r in rows_of(x, np.zeros(60))], SCHEMA + ", node int, dim string, links int, copies int")
+    counts, least = brute(x, np.zeros(60))
+    got = {r.vec_id: r for r in near_duplicates(df).collect()}
+    assert [got[i].n_links for i in range(60)] == counts.tolist() and [got[i].component_id for i in range(60)] == least.tolist()
 
 
 class Blind:
@@ -144,7 +161,7 @@ def test_rare_links_are_not_left_to_an_unchecked_beam(own):
 def test_audited_links_are_kept():
     """With every link audited nothing is left for the graph or the dense comparison."""
     x = clustered(200).astype(np.float64)
-    i, j, dense = blind_shard(x).links(x, Settings(audit=200, audit_links=10**9), own=True)
+    i, j, dense = blind_shard(x).links(x, Settings(audit=200), own=True)
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     link = u @ u.T >= 0.93
     np.fill_diagonal(link, False)
@@ -178,4 +195,41 @@ def test_beams_that_pass_their_audit_find_all_links(monkeypatch):
     t = pa.table({"node": np.arange(900), "copies": np.ones(900, np.int64), "embedding": x.tolist()})
     out = embed_dedup._inner(t, Settings(beams=(64, 128), audit_links=300), False)
     counts, least = brute(x, np.zeros(900))
-    assert searched and out["links"].to_pylist() == counts.tolist() and out["peer"].to_pylist() == least.tolist()
+    assert searched and out["links"].to_pylist()[:900] == counts.tolist() and out["peer"].to_pylist()[:900] == least.tolist()
+
+
+def test_audits_need_no_links_to_catch_a_blind_graph():
+    """Without a single true link the probes are the evidence: every beam is refused, all is compared densely."""
+    x = np.random.default_rng(3).standard_normal((500, 16))
+    q = np.random.default_rng(4).standard_normal((4096, 16))
+    shard = blind_shard(x)
+    i, j, dense = shard.links(q, Settings())
+    assert all(known >= 512 and not good for _, known, _, good in shard.audits) and len(shard.audits) == 4
+    assert len(dense) >= 4096 - 64
+
+
+def test_small_shards_are_searched_through_their_graph(spark, monkeypatch):
+    x = clustered(40).astype(np.float64)
+    searched = []
+    search = Hnsw.search
+    monkeypatch.setattr(Hnsw, "search", lambda self, q, beam: searched.append((len(q), beam)) or search(self, q, beam))
+    t = pa.table({"node": np.arange(40), "copies": np.ones(40, np.int64), "embedding": x.tolist()})
+    out = embed_dedup._inner(t, Settings(audit=0), False)
+    counts, least = brute(x, np.zeros(40))
+    assert out["links"].to_pylist()[:40] == counts.tolist() and out["peer"].to_pylist()[:40] == least.tolist()
+    assert searched and searched[0][0] >= 40 and searched[0][1] == 40
+
+
+@pytest.mark.parametrize("n", [1, 2, 3])
+def test_tiny_shards(n):
+    x = np.random.default_rng(1).standard_normal((n, 16))
+    t = pa.table({"node": np.arange(n), "copies": np.full(n, 3), "embedding": x.tolist()})
+    assert embed_dedup._inner(t, Settings(), False)["links"].to_pylist()[:n] == [0] * n
+
+
+def test_audits_are_reported(spark):
+    x = clustered(400)
+    df = spark.createDataFrame(rows_of(x, np.arange(400) % 2), SCHEMA)
+    _, audits = embed_dedup.link_vectors(df, Settings(shard=120))
+    log = audits.collect()
+    assert len(log) >= 4 and all(r.known >= 512 and r.found >= 0.99 * r.known for r in log)
