@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from beaconlake.llm.base import bounded_batches, map_texts, materialize, table
+from beaconlake.llm.base import map_texts, materialize, table
 from beaconlake.llm.components import components
 
 BITS, DISTANCE, SHINGLE, SEED = 64, 2, 3, 42
@@ -38,15 +38,16 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (the fingerprint's bits as a long) of every row."""
+    """doc_id, fp (the fingerprint's bits as a long) and text_key (a hash of the text) of every row."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in b.column(1)), dtype=np.uint64, count=b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), b.column(2)], names=["doc_id", "fp", "text_key"])
 
-    return map_texts(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, f"doc_id {kind}, fp long")
+    text = F.col(text_col)
+    return map_texts(docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key")), run, f"doc_id {kind}, fp long, text_key long")
 
 
 def _turned(fp: Column, slot: int) -> Column:
@@ -129,21 +130,25 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """The rows of docs, with their columns, of which each near-duplicate group keeps one: that with its
-    smallest id. Of a group's rows that share this id, or have none, the smallest in column order stays."""
+    smallest id. Of a group's rows that share this id, or have none, the smallest in column order stays.
+
+    Texts are read twice and fingerprinted once: rows are told apart by id and a hash of the text. What falls out
+    is written as a table of these keys, so that Spark knows its size: it is broadcast while that is small, and
+    texts are shuffled only beyond.
+    """
     slim = materialize(with_fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    named = _named(slim)
-    first = slim.join(named, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("group").agg(F.count("*").alias("rows_"))
-    keys = named.join(first, "group").select(F.col("fp").alias("fp_"), "group", "component_id", "rows_")
-
-    def run(column: pa.Array) -> pa.Array:
-        return pa.array(np.fromiter((fingerprint(t.as_py(), shingle) for t in column), dtype=np.uint64, count=len(column)).view(np.int64))
-
-    bounded_batches(docs.sparkSession)
-    cols = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_")
-    rows = docs.select(cols, F.col(id_col).alias("id_"), F.arrow_udf(run, "long")(F.col(text_col)).alias("fp_"))
-    kept = rows.join(keys, "fp_").where(F.col("id_").eqNullSafe(F.col("component_id")))
-    several = kept.where("rows_ > 1").groupBy("group").agg(F.min("row_").alias("row_"))
-    return kept.where("rows_ = 1").select("row_").unionByName(several.select("row_")).select("row_.*")
+    fates = slim.join(_named(slim), "fp").withColumn("first", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    fallen = materialize(fates.where("NOT first").select("doc_id", "text_key").distinct(), "fallen")
+    shared = fates.where("first").groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select("group")
+    tied = materialize(fates.where("first").join(shared, "group").select("doc_id", "text_key", "group").distinct(), "tied")
+
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_"), F.col(id_col).alias("id_"), F.xxhash64(F.col(text_col)).alias("key_"))
+    same = F.col("id_").eqNullSafe(F.col("doc_id")) & (F.col("key_") == F.col("text_key"))
+    kept = rows.join(fallen, same, "left_anti")
+    if not tied.isEmpty():
+        least = rows.join(tied, same).groupBy("group").agg(F.min("row_").alias("row_"))
+        kept = kept.join(tied, same, "left_anti").select("row_").unionByName(least.select("row_"))
+    return kept.select("row_.*")
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:

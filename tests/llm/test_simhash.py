@@ -2,37 +2,14 @@
 
 import random
 
-import xxhash
-
 from beaconlake.llm import simhash
 from beaconlake.llm.components import components
-
-
-def plain_fingerprint(text):
-    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
-    words = [w for w in __import__("re").findall(r"[^\x20\x09-\x0D]+", low)]
-    if not words:
-        return 0
-    parts = [" ".join(words[i:i + 3]) for i in range(len(words) - 2)] or [" ".join(words)]
-    hs = [xxhash.xxh64_intdigest(p.encode(), 42) for p in parts]
-    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
-
-
-def plain_components(nodes, pairs):
-    least = {n: n for n in nodes}
-    changed = True
-    while changed:
-        changed = False
-        for a, b in pairs:
-            m = min(least[a], least[b])
-            changed |= least[a] != m or least[b] != m
-            least[a] = least[b] = m
-    return least
+from tests.llm import plain
 
 
 def test_fingerprints():
     for t in (None, "", " \t ", "One", "one two", "A b\x0bc d É é", "x " * 500, "a b c d e"):
-        assert simhash.fingerprint(t) == plain_fingerprint(t)
+        assert simhash.fingerprint(t) == plain.fingerprint(t)
 
 
 def groups_of(spark, fps):
@@ -40,7 +17,7 @@ def groups_of(spark, fps):
     df = spark.createDataFrame([(f,) for f in signed], "fp long").distinct()
     got = {r.node: r.component for r in components(simhash.links(df)).collect()}
     pairs = [(a, b) for a in signed for b in signed if a < b and bin((a ^ b) & (2**64 - 1)).count("1") <= 2]
-    want = plain_components(signed, pairs)
+    want = plain.groups(signed, pairs)
     assert {f: got.get(f, f) for f in signed} == want
 
 
@@ -74,3 +51,26 @@ def test_rows(spark):
     assert sorted((str(r.doc_id), r.component_id) for r in out) == sorted([("5", 3), ("3", 3), ("9", 2), ("2", 2), ("2", 2), ("7", 7), ("None", 3)])
     assert {r.fingerprint for r in out if r.doc_id == 9} == {"0" * 16}
     assert simhash.simhash_groups(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_representatives_of_rows_that_share_ids(spark):
+    """Same id and text, same id and another text, no id at all: each group keeps one row with its columns."""
+    a, b, c = (" ".join(f"{p}{i}" for i in range(300)) for p in "abc")
+    rows = [(1, a, "x"), (1, a, "y"), (1, a, "x"), (1, b, "x"), (2, b, "x"), (None, c, "q"), (None, c, "p"), (4, None, "x"), (5, "", "x"), (6, a + " ", "x")]
+    df = spark.createDataFrame([(*r, 1, 2, "z") for r in rows], "doc_id long, text string, lang string, fp int, text_key int, `group` string").repartition(5)
+    out = simhash.representatives(df)
+    assert out.columns == df.columns
+    assert sorted((str(r.doc_id), r.text or "", r.lang) for r in out.collect()) == sorted([("1", a, "x"), ("1", b, "x"), ("None", c, "p"), ("4", "", "x")])
+    assert simhash.representatives(df.limit(0)).collect() == []
+
+
+def test_representatives_without_a_broadcast(spark):
+    """Beyond the broadcast threshold the table of what falls out is joined by a shuffle, to the same effect."""
+    texts = [" ".join(f"{p}{i}" for i in range(200)) for p in "abcdef"]
+    df = spark.createDataFrame([(i, texts[i % 6] if i % 5 else f"only {i} here") for i in range(90)], "doc_id long, text string")
+    want = sorted(r.doc_id for r in simhash.representatives(df).collect())
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert sorted(r.doc_id for r in simhash.representatives(df).collect()) == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
