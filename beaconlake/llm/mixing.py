@@ -21,8 +21,10 @@ def n_words(text: Column) -> Column:
 
 
 def _sized(docs: DataFrame, id_col: str, source_col: str, text_col: str) -> list[Column]:
-    return [F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"),
-            n_words(F.col(text_col)).alias("size")]
+    """unit: what a row's random number is drawn by, its id and text."""
+    text = lambda c: F.coalesce(c, F.lit("null"))
+    return [F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"),
+            F.concat(text(F.col(id_col).cast("string")), F.lit(":"), text(F.md5(F.col(text_col)))).alias("unit")]
 
 
 def _level(size: Column) -> Column:
@@ -30,9 +32,9 @@ def _level(size: Column) -> Column:
     return F.when(size > 0, F.length(F.bin(size))).otherwise(0)
 
 
-def _rank(id_key: Column, part: Column, seed: int) -> Column:
-    """Random odds over inclusion odds. The random number is a hash of the id: reruns agree."""
-    word = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), id_key)), 1, 13), 16, 10).cast("long")
+def _rank(unit: Column, part: Column, seed: int) -> Column:
+    """Random odds over inclusion odds. The random number is a hash of id and text: reruns agree."""
+    word = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), unit)), 1, 13), 16, 10).cast("long")
     u = (word.cast("double") + F.lit(0.5)) / F.lit(float(2**52))
     return (u / (1.0 - u)) * ((1.0 - part) / part)
 
@@ -64,7 +66,8 @@ def fit_mix(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3
 
     ``sized`` has doc_id, source and size. Returns source, level, source_size, target, whole (certain
     copies), part (probability of one more), and the place in the ranking where the source's budget
-    ends: documents of a slice below ``slice_at``, or in it and not after (rank_at, id_at), are in.
+    ends: documents of a slice below ``slice_at``, or in it and not after (rank_at, unit_at), are in. Rows
+    equal in id and text share that last place; ``fit_n`` of the ``tied_n`` there are in.
     """
     levels = sized.where("size > 0").groupBy("source", _level(F.col("size")).alias("level")).agg(F.sum("size").alias("words"))
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -85,7 +88,7 @@ def fit_mix(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3
     solved = solved.withColumn("rest", F.col("target") - F.sum(F.col("whole") * F.col("words")).over(Window.partitionBy("source")))
     plan = materialize(solved.select("source", "level", "source_size", "target", "whole", "part", "rest"), "mix-levels")
 
-    ranked = _ranked(sized, plan, seed).where("part > 0").select("source", "slice", "rank", "id_key", "size", "rest")
+    ranked = _ranked(sized, plan, seed).where("part > 0").select("source", "slice", "rank", "unit", "size", "rest")
     ends = None
     for width in (STEPS, 1):
         rows = ranked if ends is None else ranked.join(ends, F.col("source").eqNullSafe(F.col("s")) & (F.floor(F.col("slice") / STEPS) == F.col("at")))
@@ -97,38 +100,55 @@ def fit_mix(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3
                 .select(F.col("source").alias("s"), F.col("x.at").alias("at"), F.col("x.base").alias("base")))
     ends = ends.withColumnRenamed("at", "slice_at")
     inside = (ranked.join(ends, F.col("source").eqNullSafe(F.col("s")) & (F.col("slice") == F.col("slice_at")))
-              .groupBy("source", "slice_at", "base", "rest", "rank", "id_key").agg(F.sum("size").alias("words")))
-    before = F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("rank", "id_key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cuts = (inside.withColumn("taken", F.when(2 * (F.col("base") + before) + F.col("words") <= 2 * F.col("rest"), F.struct("rank", "id_key")))
+              .groupBy("source", "slice_at", "base", "rest", "rank", "unit", "size").agg(F.count("*").alias("n")))
+    before = F.coalesce(F.sum(F.col("n") * F.col("size")).over(Window.partitionBy("source").orderBy("rank", "unit").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    fit = F.floor((F.col("rest") - F.col("base") - before) / F.col("size") + 0.5)  # a row is in if half of it is within the budget
+    cuts = (inside.withColumn("fit", F.least(fit, F.col("n")))
+            .withColumn("taken", F.when(F.col("fit") > 0, F.struct("rank", "unit", "fit", "n")))
             .groupBy(F.col("source").alias("s"), "slice_at").agg(F.max("taken").alias("last"))
-            .select("s", "slice_at", F.col("last.rank").alias("rank_at"), F.col("last.id_key").alias("id_at")))
-    return plan.drop("rest").join(cuts, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+            .select("s", "slice_at", F.col("last.rank").alias("rank_at"), F.col("last.unit").alias("unit_at"), F.col("last.fit").alias("fit_n"), F.col("last.n").alias("tied_n")))
+    return materialize(plan.drop("rest").join(cuts, F.col("source").eqNullSafe(F.col("s")), "left").drop("s"), "mix-plan")
 
 
 def _ranked(sized: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
     """Adds what the plan has for a document's source and level, its rank and its slice.
 
-    The plan has at most 64 rows for each source, so AQE broadcasts it while it is small by its
-    measured size, and else splits the hot source's rows of the shuffled join.
+    The plan is a written table of at most 64 rows for each source: it is broadcast while that is small, and
+    else AQE splits the hot source's rows of the shuffled join.
     """
-    docs = sized.withColumns({"level_": _level(F.col("size")), "id_key": F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))})
+    docs = sized.withColumn("level_", _level(F.col("size")))
     p = plan.withColumnRenamed("source", "source_")
     joined = docs.join(p, F.col("source").eqNullSafe(F.col("source_")) & (F.col("level_") == F.col("level")), "left")
-    rank = F.when(F.col("part") > 0, _rank(F.col("id_key"), F.col("part"), seed))
+    rank = F.when(F.col("part") > 0, _rank(F.col("unit"), F.col("part"), seed))
     return (joined.drop("source_", "level", "level_").withColumn("rank", rank)
             .withColumn("slice", F.floor(F.col("rank") / (1.0 + F.col("rank")) * STEPS * STEPS).cast("int")))
 
 
+def _first_of_ties(tied: DataFrame) -> DataFrame:
+    """Adds more: 1 for any fit_n of a source's tied rows, else 0. Rows are numbered where they lie: a running
+    sum over the counts of the parts that they were written in, and row numbers in the one part that it ends in."""
+    tied = materialize(tied.withColumn("tie_", F.monotonically_increasing_id()), "ties").withColumn("lies_", F.shiftright("tie_", 33))
+    counts = tied.groupBy(F.col("source").alias("s_"), F.col("lies_").alias("l_")).agg(F.count("*").alias("here_"))
+    upto = F.sum("here_").over(Window.partitionBy("s_").orderBy("l_").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = tied.join(counts.withColumn("upto_", upto), F.col("source").eqNullSafe(F.col("s_")) & (F.col("lies_") == F.col("l_"))).withColumn("room_", F.col("fit_n") - F.col("upto_") + F.col("here_"))
+    ends = (F.col("room_") > 0) & (F.col("room_") < F.col("here_"))
+    number = F.row_number().over(Window.partitionBy("source", "lies_").orderBy("tie_"))
+    more = placed.where(~ends).withColumn("more", (F.col("room_") > 0).cast("int")).unionByName(placed.where(ends).withColumn("more", (number <= F.col("room_")).cast("int")))
+    return more.drop("tie_", "lies_", "s_", "l_", "here_", "upto_", "room_")
+
+
 def apply_mix(sized: DataFrame, plan: DataFrame, seed: int = 17) -> DataFrame:
-    """Adds source_size, target, copies and taken to documents with doc_id, source and size."""
-    at = F.col("slice_at")
-    more = F.when(at.isNull() | (F.col("slice") < at), 1).when(
-        (F.col("slice") == at) & ((F.col("rank") < F.col("rank_at")) | ((F.col("rank") == F.col("rank_at")) & (F.col("id_key") <= F.col("id_at")))), 1).otherwise(0)
-    copies = F.coalesce(F.col("whole"), F.lit(0)) + F.when(F.col("part") > 0, more).otherwise(0)
-    kept = [c for c in sized.columns]
-    return (_ranked(sized, plan, seed)
-            .select(*kept, "source_size", "target", copies.cast("long").alias("copies"))
-            .withColumn("taken", F.col("size") * F.col("copies")))
+    """Adds source_size, target, copies and taken to documents with doc_id, source, size and unit."""
+    at, last = F.col("slice_at"), (F.col("rank") == F.col("rank_at")) & (F.col("unit") == F.col("unit_at"))
+    more = F.when(at.isNull() | (F.col("slice") < at), 1).when((F.col("slice") == at) & ((F.col("rank") < F.col("rank_at")) | ((F.col("rank") == F.col("rank_at")) & (F.col("unit") <= F.col("unit_at")))), 1).otherwise(0)
+    ranked, kept = _ranked(sized, plan, seed), sized.columns
+    open_tie = F.coalesce(last & (F.col("fit_n") < F.col("tied_n")) & (F.col("part") > 0), F.lit(False))
+    if plan.where("fit_n < tied_n").isEmpty():
+        rows = ranked.withColumn("more", more)
+    else:
+        rows = ranked.where(~open_tie).withColumn("more", more).unionByName(_first_of_ties(ranked.where(open_tie)))
+    copies = F.coalesce(F.col("whole"), F.lit(0)) + F.when(F.col("part") > 0, F.col("more")).otherwise(0)
+    return rows.select(*kept, "source_size", "target", copies.cast("long").alias("copies")).withColumn("taken", F.col("size") * F.col("copies"))
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, seed: int = 17,
@@ -142,9 +162,10 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int
     fixed to within half a document.
 
     Nulls: a null text has no words, a null source is a source, a null id is an id. A document
-    without words gets no copies and taken 0; a source without words has target 0. Rows that share an
-    id have one random number; rows equal in rank and id are taken together. An empty table gives an
-    empty result. Other columns of docs are ignored.
+    without words gets no copies and taken 0; a source without words has target 0. A row's random number
+    is drawn by its id and text; rows equal in both share it, and where the budget ends among them any of
+    them are taken, as many as fit. An empty table gives an empty result. Other columns of docs are ignored,
+    whatever their names. Very long texts are counted whole.
     """
     sized = materialize(docs.select(*_sized(docs, id_col, source_col, text_col)), "sizes")
     plan = fit_mix(sized, weights, cap, seed)
@@ -153,14 +174,14 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int
     # documents without words have no level; their source's figures come from any of its levels
     return (out.join(per_source, F.col("source").eqNullSafe(F.col("s_")), "left")
             .withColumns({"source_size": F.coalesce("source_size", "ss", F.lit(0)).cast("long"), "target": F.coalesce("target", "tt", F.lit(0.0))})
-            .drop("s_", "ss", "tt"))
+            .drop("s_", "ss", "tt", "unit"))
 
 
 def repeat_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, seed: int = 17) -> DataFrame:
     """The mix itself: each row of docs as often as it has copies, with the columns it came with."""
     cols = docs.columns
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row_"), *_sized(docs, "doc_id", "source", "text"))
-    sized = materialize(packed.select("doc_id", "source", "size"), "sizes")
+    sized = materialize(packed.select("doc_id", "source", "size", "unit"), "sizes")
     mixed = apply_mix(packed, fit_mix(sized, weights, cap, seed), seed)
     return mixed.where("copies > 0").select("row_", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row_.*")
 
@@ -170,8 +191,8 @@ def op1_mix(spark, sf_dir: str) -> DataFrame:
 
 
 OP1_SQL = f"""
-WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents),
-lv AS (SELECT *, CASE WHEN size > 0 THEN length(bin(size)) ELSE 0 END AS level, coalesce(doc_id::VARCHAR, 'null') AS id_key FROM d),
+WITH d AS (SELECT doc_id, source, coalesce(doc_id::VARCHAR, 'null') || ':' || coalesce(md5(text), 'null') AS unit, row_number() OVER () AS row_, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents),
+lv AS (SELECT *, CASE WHEN size > 0 THEN length(bin(size)) ELSE 0 END AS level FROM d),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, 1 + (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 AS weight FROM d GROUP BY source),
 f AS (SELECT *, (3 * source_size)::DOUBLE / weight AS fill FROM s),
 g AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER (ORDER BY fill, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
@@ -186,14 +207,13 @@ r AS (SELECT source, arg_max(rate, level) AS rate FROM c WHERE rate * level <= (
 m AS (SELECT c.source, c.level, c.words, c.target, coalesce(least(r.rate * c.level, 3.0::DOUBLE), 3.0::DOUBLE) AS copies FROM c LEFT JOIN r ON c.source IS NOT DISTINCT FROM r.source),
 p AS (SELECT *, floor(copies + {TINY}::DOUBLE) AS whole, CASE WHEN copies - floor(copies + {TINY}::DOUBLE) > {TINY}::DOUBLE THEN copies - floor(copies + {TINY}::DOUBLE) ELSE 0 END AS part FROM m),
 q AS (SELECT *, target - sum(whole * words) OVER (PARTITION BY source) AS rest FROM p),
-u AS (SELECT lv.*, q.whole, q.part, q.rest, (('0x' || substr(md5('17:' || id_key), 1, 13))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u
+u AS (SELECT lv.*, q.whole, q.part, q.rest, (('0x' || substr(md5('17:' || unit), 1, 13))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u
       FROM lv LEFT JOIN q ON lv.source IS NOT DISTINCT FROM q.source AND lv.level = q.level),
 k AS (SELECT *, CASE WHEN part > 0 THEN (u / (1.0::DOUBLE - u)) * ((1.0::DOUBLE - part) / part) END AS rank FROM u),
-o AS (SELECT source, rank, id_key, rest, sum(size) AS words FROM k WHERE part > 0 GROUP BY ALL),
-e AS (SELECT *, 2 * coalesce(sum(words) OVER (PARTITION BY source ORDER BY rank, id_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + words <= 2 * rest AS taken FROM o)
+e AS (SELECT row_, 2 * coalesce(sum(size) OVER (PARTITION BY source ORDER BY rank, unit, row_ ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + size <= 2 * rest AS taken FROM k WHERE part > 0)
 SELECT k.doc_id, k.size, t.source_size, t.target,
        (k.size * (coalesce(k.whole, 0) + CASE WHEN e.taken THEN 1 ELSE 0 END))::BIGINT AS taken,
        (coalesce(k.whole, 0) + CASE WHEN e.taken THEN 1 ELSE 0 END)::BIGINT AS copies
 FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source
-LEFT JOIN e ON k.source IS NOT DISTINCT FROM e.source AND k.rank = e.rank AND k.id_key = e.id_key
+LEFT JOIN e ON k.row_ = e.row_
 """
