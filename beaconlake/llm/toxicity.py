@@ -27,9 +27,10 @@ _MIX = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165
 class Ftrl:
     """alpha and beta set each coordinate's rate, l1 how much evidence a weight needs, l2 its size.
 
-    The model is fitted in one task on at most max_docs labelled documents, chosen by hash of their id:
-    that bounds its memory and time at every corpus size. One in calibrate_every of these is not learnt
-    from but turns the model's sums into probabilities.
+    The model is fitted in one task on at most max_docs labelled documents, chosen by hash of their id, and on
+    fewer if these hold more than max_features distinct features in all: that bounds its memory and time at every
+    corpus size and text length. One in calibrate_every of these is not learnt from but turns the model's sums
+    into probabilities.
     """
 
     alpha: float = 1.0
@@ -38,6 +39,7 @@ class Ftrl:
     l2: float = 0.1
     epochs: int = 6
     max_docs: int = 16000
+    max_features: int = 1 << 26
     calibrate_every: int = 5
 
 
@@ -139,17 +141,24 @@ def train(docs: DataFrame, labels: DataFrame, p: Ftrl = Ftrl()) -> tuple[np.ndar
     known = (labels.where(~held_out(F.col("doc_id"))).where("doc_id IS NOT NULL AND toxic IS NOT NULL")
              .groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
              .withColumn("order_", F.xxhash64("doc_id")).orderBy("order_", "doc_id").limit(p.max_docs))
-    rows = (docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # max_docs bounds it
-            .select("order_", "doc_id", "text", "toxic").repartition(1).sortWithinPartitions("order_", "doc_id", "text"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("order_", "doc_id", "toxic", "text")  # max_docs bounds it
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places = [np.unique(features(t.as_py() or "")).astype("<i4").tobytes() for t in batch.column(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(places, pa.binary())], names=["order_", "doc_id", "toxic", "places"])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    known_features = map_texts(rows, read, f"order_ long, doc_id {kind}, toxic int, places binary").repartition(1).sortWithinPartitions("order_", "doc_id", "places")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat, ends, labels_, last = array("i"), [0], [], None  # one block of memory, given back as a whole
         for batch in batches:
-            for order, text, y in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
-                if order == last:  # a repeated id: one text of it is enough
+            for order, doc_id, y, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                if (order, doc_id) == last or len(flat) + len(found.as_buffer()) // 4 > p.max_features:  # a repeated id: one text of it is enough
                     continue
-                last = order
-                flat.frombytes(np.unique(features(text.as_py() or "")).astype(np.int32).tobytes())
+                last = order, doc_id
+                flat.frombytes(found.as_buffer())
                 ends.append(len(flat))
                 labels_.append(int(y > 0))
         places = np.frombuffer(flat, dtype=np.int32)
@@ -168,7 +177,7 @@ def train(docs: DataFrame, labels: DataFrame, p: Ftrl = Ftrl()) -> tuple[np.ndar
         del seen
         yield pa.RecordBatch.from_arrays([pa.array(np.append(places, -1)), pa.array(np.append(w[places], b))], names=["place", "weight"])
 
-    model = map_texts(rows, run, "place long, weight double").toArrow()  # 2 ** DIM_BITS rows at most
+    model = map_texts(known_features, run, "place long, weight double").toArrow()  # 2 ** DIM_BITS rows at most
     places, values = model["place"].to_numpy(), model["weight"].to_numpy()
     b = float(values[places < 0][0]) if len(places) else -4.0
     return places[places >= 0], values[places >= 0], b
@@ -193,8 +202,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, p: Ftrl = Ftrl(), threshold: fl
     """doc_id, held_out, score and predicted of every document.
 
     Only the words of a text are inputs of its score. Ids may be null (held out) or repeat; each row is
-    scored. Empty and null texts get the intercept's score. Other columns are ignored. An empty table
-    gives an empty result.
+    scored, equal texts get equal scores, and very long texts are read whole. Of a repeated id's texts one is
+    learnt from. Labels with a null id or a null toxic are ignored. Empty and null texts get the intercept's
+    score. Other columns are ignored, whatever their names. An empty table gives an empty result.
     """
     scored = with_scores(docs.select("doc_id", "text"), train(docs, labels, p))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))

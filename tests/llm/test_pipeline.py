@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from beaconlake.llm import mixing, secrets, simhash, toxicity
 from beaconlake.llm.packing import cut_lengths, pack, tail_lengths
-from beaconlake.llm.tokens import chunks, count_tokens, encoder, text_ids, tokenizer_path
+from beaconlake.llm.tokens import balanced, count_tokens, encoder, parts_of, text_ids, tokenizer_path
+from tests.llm import plain
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -91,35 +92,9 @@ def test_stages(spark, corpus):
     check_packing(packed, [(r.doc_id, r.text) for r in mixed])
 
 
-def check_packing(pieces, docs, capacity=2048):
+def check_packing(pieces, docs):
     enc = encoder(tokenizer_path())
-    ids = {}
-    for doc, text in docs:
-        ids[doc, text] = np.append(text_ids(enc, text or ""), np.uint32(1))
-    want = Counter()
-    for doc, text in docs:
-        want[doc, len(ids[doc, text])] += len(ids[doc, text])
-    got = Counter()
-    for p in pieces:
-        got[p.doc_id, p.doc_tokens] += p.length
-    assert got == want
-    by_doc = {}
-    for (doc, _), x in ids.items():
-        by_doc.setdefault((doc, len(x)), []).append(x)
-    for p in pieces:
-        assert any(zlib.crc32(x[p.start:p.start + p.length].astype("<u4").tobytes()) == p.ids_crc32 for x in by_doc[p.doc_id, p.doc_tokens])
-    sequences = {}
-    for p in pieces:
-        sequences.setdefault(p.sequence_id, []).append((p.offset, p.length))
-    padding = 0
-    for parts in sequences.values():
-        at = 0
-        for offset, length in sorted(parts):
-            assert offset == at
-            at += length
-        assert at <= capacity
-        padding += 0 if at & (at - 1) == 0 else capacity - at
-    assert padding <= 0.01 * sum(got.values())
+    plain.packed(pieces, lambda t: text_ids(enc, t).tolist(), docs)
 
 
 def test_packing_of_odd_rows(spark):
@@ -142,7 +117,30 @@ def test_counts_equal_the_library(spark):
         assert (got[i].n_tokens, got[i].n_bytes, got[i].over_limit) == (len(ids), len((x or "").encode()), len(ids) > 1024)
         assert text_ids(encoder(tokenizer_path()), x or "").tolist() == ids
     assert count_tokens(df.limit(0)).collect() == []
-    assert all("".join(chunks(x or "", 50)) == (x or "") for x in texts)
+    assert all("".join(parts_of(x or "", True, 50)) == (x or "") for x in texts)
+    for rows, parts in balanced([x or "" for x in texts], True):
+        assert sum(len(p.encode()) for p in parts[:-1]) < 1 << 18
+
+
+def test_cuts_are_safe():
+    """Short texts of characters that meet badly, cut wherever it is allowed, against the library."""
+    from tokenizers import Tokenizer
+
+    t, rng = Tokenizer.from_file(tokenizer_path()), random.Random(1)
+    signs = [" ", "  ", "\n", "a", "b", "'s", "<|endoftext|>", "1", "é", "\x85", "\u3000", "日", "\x1c", "\xa0", ".", ",", "\t", "\u200b", "\u180e", "<|", "  a", "'", "ß", "\u2028", "Word"]
+    for _ in range(4000):
+        x = "".join(rng.choices(signs, k=rng.randint(0, 14)))
+        cut = [i for p in parts_of(x, True, 2) for i in t.encode(p, add_special_tokens=False).ids]
+        assert cut == t.encode(x, add_special_tokens=False).ids == text_ids(encoder(tokenizer_path()), x).tolist(), repr(x)
+
+
+def test_words_lose_no_whole_document():
+    """A short piece that waits for its bin holds its own ids only."""
+    from beaconlake.llm.packing import Packer
+
+    p = Packer(2048, 0, False)
+    p.add(1, np.arange(500_000, dtype=np.uint32))
+    assert all(x[2].base is None for bin_ in p.open.values() for x in bin_)
 
 
 def test_piece_model_counts(spark):
@@ -174,6 +172,48 @@ def test_mix_targets_and_reruns(spark):
     assert mixing.mix_sources(df.limit(0)).collect() == []
 
 
+def test_rows_equal_in_id_and_text_split_where_the_budget_ends(spark):
+    """Half of a source's words lie in rows that nothing tells apart; as many of them are taken as fit."""
+    rows = [(None, "same words here again", "s0")] * 900 + [(i, "w " * (1 + i % 9), "s0") for i in range(600)] + [(5000 + i, "w " * 40, f"s{1 + i % 2}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    got = mixing.mix_sources(df).collect()
+    assert Counter(map(repr, got)) == Counter(map(repr, mixing.mix_sources(df.repartition(9)).collect()))
+    for source in ("s0", "s1", "s2"):
+        part = [r for r in got if r.source == source]
+        assert abs(sum(r.taken for r in part) - part[0].target) <= 20.5
+    assert len({r.taken for r in got if r.doc_id is None}) == 2  # the budget ends among them
+    taken = Counter({(r.doc_id, r.source): 0 for r in got})
+    for r in got:
+        taken[r.doc_id, r.source] += r.copies
+    assert Counter((r.doc_id, r.source) for r in mixing.repeat_documents(df.withColumn("lang", F.lit("en"))).collect()) == +taken
+
+
+def test_toxicity_equals_plain_ftrl(spark):
+    """Weights, calibration aside, and scores of the distributed operator against scalar FTRL."""
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 9))) for _ in range(60)]
+    texts = [" ".join(rng.choices(words, k=rng.randint(0, 40)) + ["Foulness, foul!"] * (i % 3 == 0)) for i in range(240)]
+    df = spark.createDataFrame([(i, t, int(i % 3 == 0), 1, "x") for i, t in enumerate(texts)], "doc_id long, text string, toxic int, score int, order_ string").repartition(3)
+    p = toxicity.Ftrl(l1=1.0, epochs=3)
+    order = [r.doc_id for r in df.where(~toxicity.held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").select("doc_id").collect()]
+    rows = [(sorted(set(plain.toxic_features(texts[i]))), int(i % 3 == 0)) for i in order]
+    w, b = plain.ftrl([x for i, x in enumerate(rows) if i % p.calibrate_every], p.alpha, p.beta, p.l1, p.l2, p.epochs)
+    kept = rows[::p.calibrate_every]
+    slope, shift = toxicity.calibrate(np.array([sum(w.get(i, 0.0) for i in x) + b for x, _ in kept]), np.array([y for _, y in kept]))
+    places, values, got_b = toxicity.train(df, df.select("doc_id", "toxic"), p)
+    assert set(places.tolist()) == set(w)
+    assert all(abs(v - w[i] * slope) < 1e-6 for i, v in zip(places.tolist(), values.tolist(), strict=True)) and abs(got_b - (b * slope + shift)) < 1e-6
+    for r in toxicity.toxicity(df, df.select("doc_id", "toxic"), p).collect():
+        s = sum(w.get(i, 0.0) for i in set(plain.toxic_features(texts[r.doc_id]))) * slope + b * slope + shift
+        assert abs(r.score - 1 / (1 + np.exp(-np.clip(s, -35, 35)))) < 1e-6
+
+
+def test_training_is_bounded_in_features(spark):
+    df = spark.createDataFrame([(i, f"w{i} " * 5 + "foul" * (i % 2), i % 2) for i in range(200)], "doc_id long, text string, toxic int")
+    places, _, _ = toxicity.train(df, df.select("doc_id", "toxic"), toxicity.Ftrl(l1=0.0, max_features=300))
+    assert 0 < len(places) <= 300
+
+
 def test_toxicity_held_out_and_odd_rows(spark, corpus):
     root, rows = corpus
     docs, labels = spark.read.parquet(f"{root}/documents.parquet"), spark.read.parquet(f"{root}/labels.parquet")
@@ -191,9 +231,33 @@ def test_toxicity_held_out_and_odd_rows(spark, corpus):
 
 
 def test_run(spark, corpus):
-    root, _ = corpus
-    out = corpus_pipeline.run(spark, root).collect()
-    assert out and {r.sequence_id for r in out}
+    """The pipeline's rows against the stages read plainly, one after another, over the whole table."""
+    root, rows = corpus
+    docs = spark.read.parquet(f"{root}/documents.parquet")
+    scores = Counter((r.doc_id, r.predicted) for r in toxicity.toxicity(docs, spark.read.parquet(f"{root}/labels.parquet")).collect())
+    kept = [r for r in rows if not scores[r[0], 1] or scores[r[0], 0]]
+    fps = [plain.fingerprint(r[1]) for r in kept]
+    least, best = plain.groups(set(fps), plain.near(fps)), {}
+    for r, f in zip(kept, fps, strict=True):
+        order = (r[0] is None, r[0] or 0, r[1] or "", r[3] or "")
+        if least[f] not in best or order < best[least[f]][0]:
+            best[least[f]] = order, r
+    single = [(r[0], secrets.redact(r[1]) if r[1] else r[1], *r[2:4], 0) for _, r in best.values()]
+    taken = Counter()
+    for r in mixing.mix_sources(spark.createDataFrame(single, SCHEMA)).collect():
+        taken[r.doc_id] += r.copies
+    mixed = [(r[0], r[1]) for r in single for _ in range(taken[r[0]])]
+    check_packing(corpus_pipeline.run(spark, root).collect(), mixed)
+
+
+def test_run_of_empty_tables_and_extra_columns(spark, corpus, tmp_path):
+    root, rows = corpus
+    docs, labels = spark.read.parquet(f"{root}/documents.parquet"), spark.read.parquet(f"{root}/labels.parquet")
+    for n, more in ((0, {}), (40, {"row_": F.lit(1), "fp_": F.lit("x"), "score_": F.lit(None).cast("int"), "size": F.lit(2), "copies": F.lit(3), "group": F.lit("g")})):
+        at = f"{tmp_path}/{n}"
+        docs.orderBy("doc_id").limit(n).withColumns(more).write.parquet(f"{at}/documents.parquet")
+        labels.write.parquet(f"{at}/labels.parquet")
+        assert bool(corpus_pipeline.run(spark, at).collect()) == bool(n)
 
 
 def test_training_reads_16000_labels(spark):
