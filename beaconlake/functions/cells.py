@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -65,31 +66,36 @@ def is_meta(cell_text: Column) -> Column:
     return cell_text.startswith("00") | cell_text.startswith("80")
 
 
-def from_latlng(lat: Column, lng: Column, res: int, index: Callable[[float, float, int], str | int] | None = None) -> Column:
-    """The cell of a place. ``index`` is any function (lat, lng, resolution) -> cell; without one the h3
-    package is used, which must then be installed on the executors. No other grid is passed off as it."""
+def from_latlng(lat: Column, lng: Column, res: int, index: Callable[[np.ndarray, np.ndarray, int], np.ndarray] | None = None) -> Column:
+    """The cell of a place. ``index`` takes arrays of latitudes and longitudes and a resolution and gives an array of
+    cells; without one the h3 package is used, which must then be installed on the executors. No other grid is passed
+    off as it."""
     if index is None:
         import h3
 
-        index = h3.latlng_to_cell
+        index = np.vectorize(lambda a, b, r: int(h3.latlng_to_cell(a, b, r), 16), otypes=[np.int64])
 
     @F.pandas_udf("long")
     def cell(a: pd.Series, b: pd.Series) -> pd.Series:
-        found = (None if pd.isna(x) or pd.isna(y) else index(x, y, res) for x, y in zip(a, b, strict=True))
-        return pd.Series([int(c, 16) if isinstance(c, str) else c for c in found], dtype="Int64")
+        ok, out = (a.notna() & b.notna()).to_numpy(), pd.array(np.zeros(len(a), dtype=np.int64), dtype="Int64")
+        out[ok] = index(a.to_numpy()[ok], b.to_numpy()[ok], res)
+        out[~ok] = pd.NA
+        return pd.Series(out)
 
     return cell(lat, lng)
 
 
-def to_latlng(cell: Column, index: Callable[[str], tuple[float, float]] | None = None) -> Column:
-    """Centre of a cell as struct(lat, lng), by ``index`` or the h3 package."""
+def to_latlng(cell: Column, index: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]] | None = None) -> Column:
+    """Centre of a cell as struct(lat, lng), by ``index``, which takes an array of cells, or the h3 package."""
     if index is None:
         import h3
 
-        index = h3.cell_to_latlng
+        index = np.vectorize(lambda c: h3.cell_to_latlng(f"{c:x}"), otypes=[float, float])
 
     @F.pandas_udf("lat double, lng double")
     def centre(c: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([(None, None) if pd.isna(x) else index(f"{int(x):x}") for x in c], columns=["lat", "lng"])
+        ok, out = c.notna().to_numpy(), np.full((len(c), 2), np.nan)
+        out[ok] = np.column_stack(index(c.to_numpy()[ok].astype(np.int64)))
+        return pd.DataFrame(out, columns=["lat", "lng"])
 
     return centre(cell)

@@ -18,10 +18,8 @@ GLOBAL_ID, GLOBAL_NAME, UNKNOWN = 0, "global", "unknown"
 
 
 def ignored(name: Column) -> Column:
-    rule = F.upper(name).isin(*IGNORED_NAMES)
-    for p in IGNORED_PATTERNS:
-        rule = rule | name.rlike(p)
-    return F.coalesce(rule, F.lit(True))
+    """One match of all patterns together; no name is ignored too."""
+    return F.coalesce(F.upper(name).isin(*IGNORED_NAMES) | name.rlike("|".join(f"(?:{p})" for p in IGNORED_PATTERNS)), F.lit(True))
 
 
 def normalise_case(name: Column, case_insensitive: bool = False) -> Column:

@@ -18,7 +18,7 @@ from beaconlake.functions.geo import EARTH_KM
 
 
 def fold(rows: DataFrame, key: str, order: str, columns: list[str], start: Callable[[], object], step: Callable, out: dict[str, str]) -> DataFrame:
-    """Adds columns that ``step(state, *values)`` returns for each row of a key in order."""
+    """Adds columns that ``step(state, *values)`` returns for each row of a key in order. Null is a key too."""
     schema = T.StructType([*rows.schema.fields, *[T.StructField(n, T._parse_datatype_string(t)) for n, t in out.items()]])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -26,6 +26,7 @@ def fold(rows: DataFrame, key: str, order: str, columns: list[str], start: Calla
         for b in batches:
             got = []
             for k, *values in zip(b[key], *(b[c] for c in columns), strict=True):
+                k = None if pd.isna(k) else k
                 if k != last:
                     last, state = k, start()
                 got.append(step(state, *values))

@@ -7,6 +7,8 @@ they answer for all cells at once.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +24,15 @@ def period_prefix(file: Column) -> Column:
     return F.regexp_extract(file, r"([0-9]{4}(?:-[0-9]{2})?)(?:-[0-9]{2})?(?:nz)?$", 1)
 
 
+def period_range(period: str) -> tuple[str, str]:
+    """The first day of a year, a month or a day written YYYY[-MM[-DD]], and the first day after it: a range that
+    reaches the scan."""
+    year, month, day = ([int(x) for x in period.split("-")] + [0, 0])[:3]
+    first = dt.date(year, month or 1, day or 1)
+    after = first + dt.timedelta(days=1) if day else dt.date(year + month // 12, month % 12 + 1, 1) if month else dt.date(year + 1, 1, 1)
+    return first.isoformat(), after.isoformat()
+
+
 def date_label(day: Column) -> Column:
     return F.date_format(day, "MM/dd")
 
@@ -40,7 +51,10 @@ def station_files(files: DataFrame) -> DataFrame:
 def _at(rows: DataFrame, cell: int | None, period: str | None) -> DataFrame:
     if cell is not None:
         rows = rows.where(F.col("h3") == cell)
-    return rows.where(F.date_format("day", "yyyy-MM-dd").startswith(period)) if period else rows
+    if period:
+        first, after = period_range(period)
+        rows = rows.where((F.col("day") >= F.lit(first).cast("date")) & (F.col("day") < F.lit(after).cast("date")))
+    return rows
 
 
 def recent(rows: DataFrame, now: Column, days: int = DEFAULT.graph_days) -> DataFrame:
@@ -71,26 +85,35 @@ def token_shares(daily: DataFrame, stations: DataFrame) -> DataFrame:
     return listed.join(names, "station_id", "left").select("h3", "day", F.coalesce("name_", F.concat(F.lit(UNKNOWN + "-"), F.col("station_id").cast("string"))).alias("station"), F.col("percent").cast("long").alias("value"))
 
 
+def _ranked(shares: DataFrame) -> DataFrame:
+    """One row for each cell, day and station, with the station's total and rank in the cell and the day's sum."""
+    by = shares.groupBy("h3", "day", "station").agg(F.sum("value").alias("value"))
+    with_total = by.withColumn("total", F.sum("value").over(Window.partitionBy("h3", "station"))).withColumn("day_total", F.sum("value").over(Window.partitionBy("h3", "day")))
+    return with_total.withColumn("rank", F.dense_rank().over(Window.partitionBy("h3").orderBy(F.col("total").desc(), "station")))
+
+
 def top_series(shares: DataFrame, top: int = DEFAULT.top) -> DataFrame:
     """For each cell the stations with the largest sums, ranked, and the rest as Other."""
     sums = shares.groupBy("h3", "station").agg(F.sum("value").alias("total"))
-    order = Window.partitionBy("h3").orderBy(F.col("total").desc(), "station")
-    ranked = sums.withColumn("rank", F.row_number().over(order))
-    best = ranked.where(F.col("rank") <= top)
-    other = ranked.groupBy("h3").agg((F.sum("total") - F.sum(F.when(F.col("rank") <= top, F.col("total")).otherwise(0))).alias("total")).select("h3", F.lit("Other").alias("station"), "total", F.lit(top + 1).alias("rank"))
-    return best.unionByName(other)
+    ranked = sums.withColumn("rank", F.row_number().over(Window.partitionBy("h3").orderBy(F.col("total").desc(), "station")))
+    shown = ranked.withColumns({"rank": F.least("rank", F.lit(top + 1)), "rest": F.when(F.col("rank") > top, F.col("total")).otherwise(0)})
+    other = F.struct(F.lit("Other").alias("station"), F.lit(top + 1).alias("rank"), F.col("rest").alias("total"))
+    own = F.struct("station", "rank", "total")
+    rows = shown.select("h3", F.explode(F.when(F.col("rank") <= top, F.array(own, other)).otherwise(F.array(other))).alias("x"))
+    return rows.select("h3", "x.*").groupBy("h3", "station", "rank").agg(F.sum("total").alias("total"))
 
 
 def top_data(shares: DataFrame, whole: Column | None = None, top: int = DEFAULT.top) -> DataFrame:
     """For each cell and day the values of the cell's top stations, 0 where missing, and Other: what is left
-    of ``whole`` (100 for shares), or of the day's sum."""
-    best = top_series(shares, top).where(F.col("rank") <= top).select("h3", "station", "rank")
-    days = shares.groupBy("h3", "day").agg(F.sum("value").alias("day_total"))
-    values = days.join(best, "h3").join(shares.groupBy("h3", "day", "station").agg(F.sum("value").alias("value")), ["h3", "day", "station"], "left").withColumn("value", F.coalesce("value", F.lit(0)))
-    left = values.groupBy("h3", "day", "day_total").agg(F.sum("value").alias("taken"))
+    of ``whole`` (100 for shares), or of the day's sum. ``shares`` is read once."""
+    inside = F.col("rank") <= top
+    best = F.array_sort(F.collect_set(F.when(inside, F.struct("rank", "station"))).over(Window.partitionBy("h3")))
+    days = _ranked(shares).withColumn("best", best).groupBy("h3", "day", "day_total", "best").agg(
+        F.map_from_entries(F.collect_list(F.when(inside, F.struct("rank", "value")))).alias("values"), F.coalesce(F.sum(F.when(inside, F.col("value"))), F.lit(0)).alias("taken"))
     rest = (whole if whole is not None else F.col("day_total")) - F.col("taken")
-    other = left.select("h3", "day", F.lit("Other").alias("station"), F.lit(top + 1).alias("rank"), rest.cast("long").alias("value"))
-    return values.select("h3", "day", "station", "rank", "value").unionByName(other).withColumn("date", date_label(F.col("day"))).drop("day")
+    own = F.transform("best", lambda b: F.struct(b["station"].alias("station"), b["rank"].alias("rank"), F.coalesce(F.element_at("values", b["rank"]), F.lit(0)).cast("long").alias("value")))
+    other = F.array(F.struct(F.lit("Other").alias("station"), F.lit(top + 1).alias("rank"), rest.cast("long").alias("value")))
+    return days.select("h3", date_label(F.col("day")).alias("date"), F.explode(F.concat(own, other)).alias("x")).select("h3", "x.*", "date")
 
 
 def h3_summary(daily_global: DataFrame, stations: DataFrame, cell: int | None = None, period: str | None = None) -> tuple[DataFrame, DataFrame]:

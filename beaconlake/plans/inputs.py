@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from beaconlake.functions import buckets as B
 from beaconlake.functions import cells as C
+from beaconlake.functions import geo
+from beaconlake.functions.once import once
 from beaconlake.operators import coverage as V
 from beaconlake.operators.gaps import with_gaps
 
@@ -36,7 +39,8 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gapped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_gaps(packets(spark, sf_dir))
+    """Packets with their gaps, in windows of a stretch of the packet clock each, whatever an aircraft sends in all."""
+    return with_gaps(packets(spark, sf_dir), arrival=F.col("pts"))
 
 
 def accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,8 +66,9 @@ def beacons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("seq", "ts_s", "station_id", (F.lit(47.0) + F.col("station_id") * 0.1 + jump).alias("lat"), (F.lit(8.0) + jump).alias("lng"))
 
 
-def feed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw feed lines made from the events: packets of every fate, receivers' own lines and noise."""
+def feed_lines(spark: SparkSession, sf_dir: str, every_fate: bool = False) -> DataFrame:
+    """Raw feed lines made from the events: packets, receivers' own lines and noise. With every_fate there are also
+    positions without a time, two aircraft that never leave their place, and unreadable lines of receivers."""
     p = packets(spark, sf_dir).withColumn("speed", F.col("k") % 4 * 20)
     two = lambda x: F.lpad(x.cast("string"), 2, "0")
     clock = F.pmod(F.col("ts_s"), F.lit(86400))
@@ -73,13 +78,43 @@ def feed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     dest = F.when(F.col("k") % 11 == 1, "OGNTRK").otherwise("APRS")
     first = F.when(F.col("k") % 22 == 1, "RELAY*").otherwise("qAS")
     rot = F.when(F.col("k") % 4 == 1, "+0.0").otherwise("-1.5")
+    stays = F.lit(every_fate) & (F.col("aircraft") < 2)
+    when = F.when(F.lit(every_fate) & (F.col("k") % 23 == 7), "!").otherwise(F.concat(F.lit("/"), time, F.lit("h")))
     position = F.concat(
-        source, F.lit(">"), dest, F.lit(","), first, F.lit(","), relay, F.lit(":/"), time, F.lit("h47"), two(F.col("k") % 60), F.lit(".50N/008"), two(F.col("user_id") % 60), F.lit(".25E'"),
+        source, F.lit(">"), dest, F.lit(","), first, F.lit(","), relay, F.lit(":"), when, F.lit("47"), two(F.when(stays, 30).otherwise(F.col("k") % 60)),
+        F.lit(".50N/008"), two(F.when(stays, 15).otherwise(F.col("user_id") % 60)), F.lit(".25E'"),
         F.lit("090/"), F.lpad(F.col("speed").cast("string"), 3, "0"), F.lit("/A="), F.lpad(F.col("alt").cast("string"), 6, "0"),
         F.lit(" id06"), two(F.col("aircraft")), F.lit(" +019fpm "), rot, F.lit("rot "), (F.col("signal") / 4).cast("decimal(8,2)").cast("string"), F.lit("dB "), F.col("crc").cast("string"), F.lit("e -4.3kHz "))
     own = F.concat(relay, F.lit(">OGNSDR,TCPIP*,qAC,SERVER1:"), F.when(F.col("k") % 2 == 0, F.lit(">v0.3 up")).otherwise(F.concat(F.lit("/"), time, F.lit("h4700.00NI00800.00E&/A=001000"))))
-    line = F.when(F.col("k") == 97, "# server 1").when(F.col("k") == 98, "user x pass y").when(F.col("k") == 99, own).when(F.col("k") == 96, "broken line").otherwise(position)
-    return p.select("seq", F.col("ts_s").alias("received"), line.alias("value"))
+    line = F.when(F.col("k") == 97, "# server 1").when(F.col("k") == 98, "user x pass y").when(F.col("k") == 99, own).when(F.col("k") == 96, "broken line")
+    if every_fate:
+        line = line.when(F.col("k").isin(94, 95), F.concat(F.when(F.col("k") == 94, "FNB7").otherwise(relay), F.lit(">OGNSDR,TCPIP*,qAC,SERVER1:what is this")))
+    line = line.otherwise(position)
+    return once(p.select("seq", F.col("ts_s").alias("received"), "k", "user_id", "speed", "alt", "aircraft", "station_id", "signal", "crc", "ts_s"), value=line).select("seq", "received", "value")
+
+
+def grid_cell(lat: np.ndarray, lng: np.ndarray, res: int) -> np.ndarray:
+    """A stand-in for the index of a place, for these queries only: minutes of latitude and longitude in the bits of a
+    well-formed cell. Real places need the published index."""
+    at = np.floor((lat + 90) * 60).astype(np.int64) * 21600 + np.floor((lng + 180) * 60).astype(np.int64)
+    return (1 << 59) + (res << 52) + (at << 21) + ((1 << 3 * (15 - res)) - 1)
+
+
+def grid_centre(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The centre of the minute that a stand-in cell was made from."""
+    at = cells >> 21 & (1 << 31) - 1
+    return (at // 21600 + 0.5) / 60 - 90, (at % 21600 + 0.5) / 60 - 180
+
+
+def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raster tiles of two by two pixels under the feed's positions: some are missing, some can't be read."""
+    p = packets(spark, sf_dir)
+    stays = F.col("aircraft") < 2
+    at = geo.tile(F.lit(47.0) + (F.when(stays, 30).otherwise(F.col("k") % 60) + 0.5) / 60, F.lit(8.0) + (F.when(stays, 15).otherwise(F.col("user_id") % 60) + 0.25) / 60, 11)
+    known = once(p, at=at).select(F.col("at.x").alias("x"), F.col("at.y").alias("y")).distinct().where("y % 3 <> 0")
+    raised = lambda i: ((F.col("x") * 7 + F.col("y") + 11 * i) % 900 + 10000) * 10
+    pixel = lambda m: F.struct(F.floor(m / 65536).cast("int").alias("r"), (F.floor(m / 256) % 256).cast("int").alias("g"), (m % 256).cast("int").alias("b"))
+    return known.select("x", "y", F.lit(2).alias("width"), F.lit(2).alias("height"), F.when((F.col("x") * 3 + F.col("y")) % 7 != 3, F.array(*[pixel(raised(i)) for i in range(4)])).alias("pixels"))
 
 
 def purchase_days(spark: SparkSession, sf_dir: str) -> DataFrame:

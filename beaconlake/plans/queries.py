@@ -14,6 +14,7 @@ from beaconlake.functions import packets as P
 from beaconlake.functions import stations as S
 from beaconlake.operators import coverage as V
 from beaconlake.operators import disposition as D
+from beaconlake.operators import ingest as IN
 from beaconlake.operators import maintenance as M
 from beaconlake.operators import rollup as R
 from beaconlake.operators import stations as ST
@@ -142,8 +143,7 @@ _REASONS = ", ".join(f"count(*) FILTER (WHERE reason = '{r}') AS \"{r}\"" for r
 
 
 def _parsed(spark, sf) -> DataFrame:
-    lines = P.parse(I.feed_lines(spark, sf)).withColumn("ignored_station", S.ignored(P.station(F.col("digipeaters"))))
-    return lines.withColumn("route", P.route(F.col("value")))
+    return IN.routed(I.feed_lines(spark, sf))
 
 
 def _disposed(spark, sf) -> DataFrame:
@@ -173,6 +173,73 @@ def station_disposition_counts(spark, sf):
     return D.counts(_disposed(spark, sf), "station")
 
 
+# the whole way from lines to coverage
+
+_INGEST = PKT.replace("WITH e AS", "WITH RECURSIVE e AS", 1) + """,
+ln AS (SELECT *, CASE WHEN k % 17 = 3 THEN 'FNB7' WHEN k % 17 = 5 THEN '12345' ELSE 'ST' || station_id END AS station, floor(alt * 0.3048::DOUBLE)::INT AS metres,
+  47 + ((CASE WHEN aircraft < 2 THEN 30 ELSE k % 60 END) + 0.50::DOUBLE) / 60 AS lat, 8 + ((CASE WHEN aircraft < 2 THEN 15 ELSE user_id % 60 END) + 0.25::DOUBLE) / 60 AS lng,
+  CASE WHEN k % 17 IN (3, 5) THEN 'ignoredStation' WHEN k % 19 = 2 THEN 'ignoredPAW' WHEN k % 19 = 4 THEN 'invalidTracker' WHEN k % 23 = 7 THEN 'invalidTimestamp'
+       WHEN k % 22 = 1 THEN 'ignoredTracker' WHEN k % 4 = 1 THEN 'ignoredStationary' END AS pre FROM pkt WHERE k < 94),
+s AS (SELECT *, pre IS NOT NULL AS still, sum((pre IS NOT NULL)::INT) OVER (PARTITION BY aircraft ORDER BY seq) AS island FROM ln WHERE pre IS NULL OR pre = 'ignoredStationary'),
+w AS (SELECT *, last_value(CASE WHEN NOT still THEN ts_s END IGNORE NULLS) OVER (PARTITION BY station, aircraft ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev0,
+        max(ts_s) OVER (PARTITION BY aircraft, island ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen0 FROM s),
+f AS (SELECT *, CASE WHEN ts_s - prev0 <= 43200 THEN prev0 END AS prev, CASE WHEN ts_s - seen0 <= 43200 THEN seen0 END AS seen FROM w),
+g AS MATERIALIZED (SELECT *, (CASE WHEN prev IS NOT NULL THEN least(60, ts_s - prev) ELSE least(60, greatest(1, ts_s - coalesce(seen, ts_s))) END)::INT AS gap, coalesce(seen < ts_s, TRUE) AS first,
+  floor((lat + 90) * 60)::BIGINT * 21600 + floor((lng + 180) * 60)::BIGINT AS spot, row_number() OVER (PARTITION BY aircraft ORDER BY seq) AS rn FROM f WHERE NOT still),
+fsm AS (SELECT DISTINCT aircraft, 0::BIGINT AS rn, []::BIGINT[] AS cells, 0 AS n, FALSE AS stays FROM g UNION ALL
+  SELECT aircraft, rn, CASE WHEN len(c2) > 4 THEN c2[2:] ELSE c2 END, CASE WHEN NOT first THEN n WHEN len(c2) > 4 THEN 0 ELSE n + 1 END,
+         first AND len(c2) <= 4 AND (n + 1)::DOUBLE / len(c2) > 90 FROM
+  (SELECT g.aircraft, g.rn, g.first, fsm.n, CASE WHEN NOT g.first OR list_contains(fsm.cells, g.spot) THEN fsm.cells ELSE list_append(fsm.cells, g.spot) END AS c2
+   FROM fsm JOIN g ON g.aircraft = fsm.aircraft AND g.rn = fsm.rn + 1)),
+t AS (SELECT g.*, fsm.stays, (lng + 180) / 360 * 2048 AS x, (1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 * 2048 AS y FROM g JOIN fsm ON g.aircraft = fsm.aircraft AND g.rn = fsm.rn),
+u AS (SELECT *, floor(x)::INT AS tx, floor(y)::INT AS ty, floor((y - floor(y)) * 2)::INT * 2 + floor((x - floor(x)) * 2)::INT AS px FROM t),
+j AS (SELECT *, CASE WHEN stays THEN 'ignoredH3stationary' WHEN signal <= 0 THEN 'ignoredSignal0' WHEN ty % 3 <> 0 AND (tx * 3 + ty) % 7 = 3 THEN 'ignoredElevation' ELSE 'count' END AS reason,
+  CASE WHEN ty % 3 <> 0 THEN (tx * 7 + ty + 11 * px) % 900 ELSE 0 END AS ground FROM u),
+fate AS (SELECT seq, ts_s, station, pre AS reason, NULL::INT AS gap, NULL::BOOLEAN AS first FROM ln WHERE pre IS NOT NULL UNION ALL SELECT seq, ts_s, station, reason, gap, first FROM j),
+heard AS (SELECT station, substr(station, 3)::INT AS station_id, signal, crc, gap, metres AS alt, greatest(metres - ground, 0) AS agl,
+  (576460752303423488 + 8 * 4503599627370496 + (spot << 21) + 2097151)::BIGINT AS cell8, ((576460752303423488 + 7 * 4503599627370496 + (spot << 21)) | 16777215)::BIGINT AS cell7 FROM j WHERE reason = 'count')"""
+
+
+def _fates(spark, sf) -> DataFrame:
+    return IN.packets(I.feed_lines(spark, sf, True), I.tiles(spark, sf), I.grid_cell)
+
+
+@query(_INGEST + " SELECT seq, station, reason, gap, first FROM fate")
+def ingest_fates(spark, sf):
+    return _fates(spark, sf).select("seq", "station", "reason", "gap", "first")
+
+
+_ALL_COUNTS = ", ".join(f"coalesce(count(*) FILTER (WHERE reason = '{r}'" + (" OR reason = 'ignoredElevation'" if r == "count" else "") + f"), 0) AS \"{r}\"" for r in D.REASONS)
+
+
+@query(_INGEST + f""", raw AS (SELECT ts_s // 86400 AS period, count(*) AS "rawCount", count(*) FILTER (WHERE k = 95) AS "invalidPacket" FROM pkt WHERE k NOT IN (97, 98) GROUP BY 1),
+ c AS (SELECT ts_s // 86400 AS period, {_ALL_COUNTS} FROM fate GROUP BY 1)
+ SELECT raw.*, c.* EXCLUDE (period), round(c.count / 86400, 6) AS pps, round("rawCount" / 86400, 6) AS "rawPps" FROM raw JOIN c USING (period)""")
+def ingest_counters(spark, sf):
+    """All of the feed's counters by day. On sf0.01 each of them is above 0."""
+    return IN.counters(I.feed_lines(spark, sf, True), _fates(spark, sf), 86400)
+
+
+@query(_INGEST + f""", c AS (SELECT station, {_ALL_COUNTS} FROM fate WHERE reason <> 'ignoredStation' GROUP BY station)
+ SELECT * EXCLUDE ("ignoredStation", "ignoredStationary", "ignoredH3stationary"), "ignoredStationary" + "ignoredH3stationary" AS "ignoredStationary", 0 AS "ignoredH3stationary" FROM c""")
+def ingest_station_counters(spark, sf):
+    return D.station_counts(_fates(spark, sf))
+
+
+def _heard(spark, sf) -> DataFrame:
+    return _fates(spark, sf).where("reason = 'count'").withColumn("station_id", F.substring("station", 3, 9).cast("int"))
+
+
+@query(_INGEST + f", p AS ({part('station_id', 'cell8', frm='heard')}) SELECT station_id, cell8, min_agl, min_alt, min_alt_sig, max_sig, {AVG}, count FROM p")
+def ingest_station_coverage(spark, sf):
+    return V.finalise(V.partial(_heard(spark, sf), "station_id", "cell8"), "station_id", "cell8")
+
+
+@query(_INGEST + f", per AS ({part('cell7', 'station_id', frm='heard')}) " + cells_sql("per", "cell7"))
+def ingest_global_coverage(spark, sf):
+    return V.global_cells(V.partial(_heard(spark, sf), "cell7", "station_id"), "cell7")
+
+
 # the aggregate
 
 @query(GAP + f", p AS ({part('station_id', 'cell8')}) SELECT station_id, cell8, min_agl, min_alt, min_alt_sig, max_sig, {AVG}, count FROM p")
@@ -557,12 +624,25 @@ def station_distance(spark, sf):
     return h.select("seq", F.round(geo.distance_km(F.col("plat"), F.col("plng"), F.col("lat"), F.col("lng")), 6).alias("km"))
 
 
-@query()
+@query(_BEACON.replace("WITH e AS", "WITH RECURSIVE e AS", 1) + """, n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY station_id ORDER BY seq) AS rn FROM bk),
+ f AS (SELECT station_id, rn, seq, lat AS pla, lng AS plo, lat AS vla, lng AS vlo, 'still' AS move, FALSE AS moved, FALSE AS bouncing FROM n WHERE rn = 1 UNION ALL
+  SELECT station_id, rn, seq, CASE WHEN far > 2 THEN lat ELSE pla END, CASE WHEN far > 2 THEN lng ELSE plo END, CASE WHEN far > 2 AND back > 2 THEN pla ELSE vla END, CASE WHEN far > 2 AND back > 2 THEN plo ELSE vlo END,
+         CASE WHEN far > 2 AND back > 2 THEN 'moved' WHEN far > 2 AND back > 0.1::DOUBLE THEN 'in_motion' WHEN far > 2 THEN 'bouncing' WHEN far > 0.1::DOUBLE THEN 'near' ELSE 'still' END,
+         CASE WHEN far > 2 THEN back > 0.1::DOUBLE ELSE moved END, CASE WHEN far > 2 AND back > 2 THEN FALSE WHEN far > 2 AND back > 0.1::DOUBLE THEN bouncing ELSE far > 2 END FROM
+  (SELECT n.station_id, n.rn, n.seq, n.lat, n.lng, f.* EXCLUDE (station_id, rn, seq),
+    2 * 6371.007180918475::DOUBLE * asin(sqrt(least(1.0::DOUBLE, pow(sin((radians(n.lat) - radians(pla)) / 2), 2) + cos(radians(pla)) * cos(radians(n.lat)) * pow(sin(radians(n.lng - plo) / 2), 2)))) AS far,
+    2 * 6371.007180918475::DOUBLE * asin(sqrt(least(1.0::DOUBLE, pow(sin((radians(n.lat) - radians(vla)) / 2), 2) + cos(radians(vla)) * cos(radians(n.lat)) * pow(sin(radians(n.lng - vlo) / 2), 2)))) AS back
+   FROM f JOIN n ON n.station_id = f.station_id AND n.rn = f.rn + 1))
+ SELECT seq, station_id, move, moved, bouncing FROM f""")
 def station_moved_fsm(spark, sf):
     return station_moves(I.beacons(spark, sf)).select("seq", "station_id", "move", "moved", "bouncing")
 
 
-@query()
+@query(GAP.replace("WITH e AS", "WITH RECURSIVE e AS", 1) + """, n AS MATERIALIZED (SELECT *, CASE WHEN aircraft < 8 THEN k % 3 ELSE k END AS spot, row_number() OVER (PARTITION BY aircraft ORDER BY seq) AS rn FROM gp),
+ fsm AS (SELECT DISTINCT aircraft, 0::BIGINT AS rn, 0::BIGINT AS seq, FALSE AS first, []::INT[] AS cells, 0 AS n, FALSE AS stays FROM n UNION ALL
+  SELECT aircraft, rn, seq, first, CASE WHEN len(c2) > 4 THEN c2[2:] ELSE c2 END, CASE WHEN NOT first THEN n WHEN len(c2) > 4 THEN 0 ELSE n + 1 END, first AND len(c2) <= 4 AND (n + 1)::DOUBLE / len(c2) > 90 FROM
+  (SELECT g.aircraft, g.rn, g.seq, g.first, fsm.n, CASE WHEN NOT g.first OR list_contains(fsm.cells, g.spot) THEN fsm.cells ELSE list_append(fsm.cells, g.spot) END AS c2 FROM fsm JOIN n g ON g.aircraft = fsm.aircraft AND g.rn = fsm.rn + 1))
+ SELECT seq, aircraft, first, stays AS h3_stationary FROM fsm WHERE rn > 0""")
 def h3_stationary_fsm(spark, sf):
     p = I.gapped(spark, sf).withColumn("cell10", F.when(F.col("aircraft") < 8, F.col("k") % 3).otherwise(F.col("k")))
     return h3_stationary(p).select("seq", "aircraft", "first", "h3_stationary")

@@ -9,11 +9,14 @@ from beaconlake.functions.geo import elevation, tile
 
 
 def with_ground(places: DataFrame, tiles: DataFrame, lat: str = "lat", lng: str = "lng", zoom: int = 11) -> DataFrame:
-    """Adds tile and ground (metres) to places. ``tiles`` has x, y, width, height and pixels, an array of
-    (r, g, b) by rows. Where there is no tile or pixel the ground is at 0. The join is on the tile's number,
-    so each tile is read once however many places are on it."""
+    """Adds tile, ground (metres) and ground_failed to places. ``tiles`` has x, y, width, height and pixels, an array of
+    (r, g, b) by rows; a tile that could not be read has null pixels, and the ground of its places has failed. Where
+    there is no tile or pixel the ground is at 0. The join is on the tile's number, so each tile is read once however
+    many places are on it."""
     at = places.withColumn("tile", tile(F.col(lat), F.col(lng), zoom))
-    joined = at.join(tiles.select(F.col("x").alias("x_"), F.col("y").alias("y_"), "width", "height", "pixels"), (F.col("tile.x") == F.col("x_")) & (F.col("tile.y") == F.col("y_")), "left")
+    known = tiles.select(F.col("x").alias("x_"), F.col("y").alias("y_"), "width", "height", "pixels")
+    joined = at.join(known, (F.col("tile.x") == F.col("x_")) & (F.col("tile.y") == F.col("y_")), "left")
     i = F.floor(F.col("tile.fy") * F.col("height")) * F.col("width") + F.floor(F.col("tile.fx") * F.col("width"))
     p = F.get("pixels", i.cast("int"))
-    return joined.withColumn("ground", elevation(p["r"], p["g"], p["b"])).drop("x_", "y_", "width", "height", "pixels")
+    return (joined.withColumns({"ground": elevation(p["r"], p["g"], p["b"]), "ground_failed": F.col("x_").isNotNull() & F.col("pixels").isNull()})
+            .drop("x_", "y_", "width", "height", "pixels"))
