@@ -56,3 +56,29 @@ def recovery_plan(blocks: DataFrame, existing: DataFrame, types: int = len(ROLLE
     a block is rolled up unless ``limit`` or more of its targets no longer exist."""
     missing = blocks.join(existing.select("acc_type", "bucket").distinct().withColumn("there_", F.lit(1)), ["acc_type", "bucket"], "left")
     return missing.groupBy("block").agg(F.count_if(F.col("there_").isNull()).alias("missing")).withColumn("action", F.when(F.col("missing") < limit, "rollup").otherwise("drop"))
+
+
+def recover(blocks: DataFrame, stored: DataFrame, existing: DataFrame, *keys: str, limit: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Carries out recovery_plan: (records, plan). ``blocks`` holds the records of blocks left over, with block and the
+    buckets recorded for it, one row for each target; they are merged into those of ``stored``, except for blocks that
+    the plan drops."""
+    plan = recovery_plan(blocks.select("block", "acc_type", "bucket").distinct(), existing, limit=limit)
+    good = blocks.join(plan.where("action = 'rollup'").select("block"), "block", "left_semi")
+    return rollup(good, stored, None, *keys), plan
+
+
+def statistics(stations: DataFrame, records: DataFrame, retired_: int, purged: DataFrame) -> DataFrame:
+    """One row about a rollup: databases worked on, stations skipped, operations (records merged), buckets retired,
+    records removed with purged stations, and records put out. ``stations`` has id and skip, ``records`` of the
+    rollup and ``purged`` station_id."""
+    s = stations.agg(F.count_if(~F.col("skip")).alias("databases"), F.count_if("skip").alias("skippedStations"))
+    r = records.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("operations"), F.count("*").alias("arrowRecords"))
+    p = purged.agg(F.count("*").alias("recordsRemoved"))
+    return s.crossJoin(F.broadcast(r)).crossJoin(F.broadcast(p)).withColumn("retiredBuckets", F.lit(retired_).cast("long"))  # one row each
+
+
+def startup_statistics(checked: DataFrame) -> DataFrame:
+    """One row about a start-up, from one row for each database: whether data was merged or purged, and its records."""
+    return checked.agg(
+        F.count_if("datapurged").alias("datapurged"), F.count_if("datamerged").alias("datamerged"), F.count_if(F.col("datapurged") | F.col("datamerged")).alias("datachanged"),
+        F.count("*").alias("databases"), F.coalesce(F.sum("records"), F.lit(0)).alias("arrowRecords"))

@@ -37,6 +37,23 @@ def date_label(day: Column) -> Column:
     return F.date_format(day, "MM/dd")
 
 
+#: Date patterns of the periods' files and of their labels on an axis.
+_PERIODS = {"day": ("yyyy-MM-dd", "MM/dd"), "month": ("yyyy-MM", "yyyy/MM"), "year": ("yyyy", "yyyy")}
+
+
+def tick_label(acc_type: str, day: Column) -> Column:
+    return F.date_format(day, _PERIODS[acc_type][1])
+
+
+def file_of(acc_type: str, day: Column) -> Column:
+    return F.concat(F.lit(f"{acc_type}."), F.date_format(day, _PERIODS[acc_type][0]))
+
+
+def first_day(period: Column) -> Column:
+    """The first day of a period written as a day, a month or a year."""
+    return F.concat(period, F.when(F.length(period) == 4, "-01-01").when(F.length(period) == 7, "-01").otherwise("")).try_cast("date")
+
+
 def listing(names: DataFrame, name: str = "name") -> DataFrame:
     """station, acc_type and period of output file names; others are dropped."""
     part = lambda i: F.regexp_extract(name, FILE, i)

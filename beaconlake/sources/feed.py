@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import socket
 import time
 from collections.abc import Iterator
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,8 +15,9 @@ from pyspark.sql.types import StructType
 
 
 class FeedSource(DataSource):
-    """``spark.readStream.format("beacon_feed")`` with options host, port, user, filter, and silence (seconds
-    without a line after which the connection is made anew). One row for each line: seq, received, value."""
+    """``spark.readStream.format("beacon_feed")`` with options host, port, user, filter, spool, silence (seconds
+    without a line after which the connection is made anew) and keepalive (seconds between our own comment lines).
+    One row for each line: seq, received, value."""
 
     @classmethod
     def name(cls) -> str:
@@ -28,15 +31,20 @@ class FeedSource(DataSource):
 
 
 class FeedReader(SimpleDataSourceStreamReader):
-    """Reads what has arrived since the last batch. Spark writes each batch's rows ahead, so a replay after a
-    failure does not ask the service again."""
+    """Reads, on the driver, what has arrived since the last batch.
+
+    The service does not repeat a line. With ``spool``, a folder that outlives the driver, the lines of a batch are
+    written there before Spark plans the batch, and a batch that was planned but not finished is read from there
+    again; files go when their batch is committed. Without one such a batch fails instead of being empty."""
 
     def __init__(self, options) -> None:
         self.host, self.port = options.get("host", "localhost"), int(options.get("port", "14580"))
-        self.login = f"user {options.get('user', 'N0CALL')} pass -1 vers beaconlake 1" + (f" filter {options['filter']}" if "filter" in options else "")
+        self.user = options.get("user", "N0CALL")
+        self.login = f"user {self.user} pass -1 vers beaconlake 1" + (f" filter {options['filter']}" if "filter" in options else "")
         self.silence, self.wait = float(options.get("silence", "60")), float(options.get("wait", "1"))
+        self.keepalive, self.spool = float(options.get("keepalive", "60")), options.get("spool")
         self.sock: socket.socket | None = None
-        self.rest, self.last = b"", 0.0
+        self.rest, self.last, self.said = b"", 0.0, 0.0
 
     def initialOffset(self) -> dict:
         return {"seq": 0}
@@ -44,13 +52,16 @@ class FeedReader(SimpleDataSourceStreamReader):
     def _connect(self) -> None:
         self.sock = socket.create_connection((self.host, self.port), timeout=self.wait)
         self.sock.sendall(self.login.encode() + b"\r\n")
-        self.rest, self.last = b"", time.time()
+        self.rest, self.last, self.said = b"", time.time(), time.time()
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
+    def _lines(self) -> list[bytes]:
         lines: list[bytes] = []
         try:
             if self.sock is None or time.time() - self.last > self.silence:
                 self._connect()
+            if time.time() - self.said > self.keepalive:
+                self.sock.sendall(f"# {self.user} alive\r\n".encode())
+                self.said = time.time()
             until = time.time() + self.wait
             while time.time() < until:
                 data = self.sock.recv(1 << 16)
@@ -64,12 +75,34 @@ class FeedReader(SimpleDataSourceStreamReader):
             pass
         except OSError:
             self.sock = None  # the next read connects again
+        return lines
+
+    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
         seq, now = start["seq"], int(time.time())
-        rows = [(seq + i, now, x.decode("utf-8", "replace").rstrip("\r")) for i, x in enumerate(lines)]
+        rows = [(seq + i, now, x.decode("utf-8", "replace").rstrip("\r")) for i, x in enumerate(self._lines())]
+        if rows and self.spool:
+            at = Path(self.spool, f"{seq:020d}-{seq + len(rows):020d}")
+            at.parent.mkdir(parents=True, exist_ok=True)
+            working = at.with_suffix(".working")
+            working.write_text("".join(json.dumps(r) + "\n" for r in rows))
+            working.replace(at)
         return iter(rows), {"seq": seq + len(rows)}
 
+    def _spooled(self) -> list[tuple[int, int, Path]]:
+        found = (p for p in Path(self.spool).glob("*-*") if not p.suffix) if self.spool else ()
+        return sorted((*map(int, p.name.split("-")), p) for p in found)
+
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return iter(())  # lines are gone once read; those of committed batches are kept by the checkpoint
+        rows = [tuple(json.loads(line)) for a, b, p in self._spooled() if a < end["seq"] and b > start["seq"] for line in p.read_text().splitlines()]
+        rows = [r for r in rows if start["seq"] <= r[0] < end["seq"]]
+        if len(rows) != end["seq"] - start["seq"]:
+            raise RuntimeError(f"lines {start['seq']} to {end['seq']} of a batch that was not finished are not in the spool")
+        return iter(rows)
+
+    def commit(self, end: dict) -> None:
+        for _, b, p in self._spooled():
+            if b <= end["seq"]:
+                p.unlink(missing_ok=True)
 
 
 def live(spark: SparkSession, **options: str) -> DataFrame:

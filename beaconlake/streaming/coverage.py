@@ -6,34 +6,45 @@ order of arrival. The aggregate itself needs none: each batch's partial records
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import and_, or_
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from beaconlake.config import DEFAULT, Config
+from beaconlake.functions import cells as C
+from beaconlake.functions import packets as P
 from beaconlake.functions.buckets import ROLLED
+from beaconlake.functions.once import once
 from beaconlake.operators import coverage as V
+from beaconlake.operators.disposition import REASONS, before_state
+from beaconlake.operators.ingest import routed
 from beaconlake.operators.rollup import into_buckets
+from beaconlake.sources.elevation import with_ground
+from beaconlake.sources.shared import new_path
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-GAPS = "seq long, aircraft long, station_id int, ts long, gap int, first boolean, h3_stationary boolean"
+#: Columns that coverage tables are partitioned by.
+PARTITIONS = {"acc_type": "string", "bucket": "int"}
+GAPS = "gap int, first boolean, h3_stationary boolean"
 
 
 class AircraftState(StatefulProcessor):
     """What is known of an aircraft: when it was last seen, its packets at each station, its recent cells."""
 
-    def __init__(self, config: Config = DEFAULT):
-        self.config = config
+    def __init__(self, carried: list[str], station_type: str, config: Config = DEFAULT):
+        self.carried, self.station_type, self.config = carried, station_type, config
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         ttl = self.config.forget_seconds * 1000
         self.seen = handle.getValueState("seen", "ts long", ttl)
-        self.heard = handle.getMapState("heard", "station int", "ts long", ttl)
+        self.heard = handle.getMapState("heard", f"station {self.station_type}", "ts long", ttl)
         self.cells = handle.getValueState("cells", "cells array<long>, packets int", ttl)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -64,77 +75,154 @@ class AircraftState(StatefulProcessor):
                 else:
                     packets += 1
                 stays = packets / len(cells) > 90
-            out.append((r.seq, r.aircraft, r.station_id, r.ts, gap, first, stays))
+            out.append((*(getattr(r, c) for c in self.carried), gap, first, stays))
         if seen:
             self.seen.update((seen,))
         self.cells.update((cells, packets))
-        yield pd.DataFrame(out, columns=["seq", "aircraft", "station_id", "ts", "gap", "first", "h3_stationary"])
+        yield pd.DataFrame(out, columns=[*self.carried, "gap", "first", "h3_stationary"])
 
     def close(self) -> None:
         pass
 
 
 def stream_gaps(packets: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """Gap, first and h3_stationary for a stream of (seq, aircraft, station_id, ts, cell, standing)."""
+    """Adds gap, first and h3_stationary to a stream that has seq, aircraft, station_id, ts, cell and standing; standing
+    packets go no further. Other columns are carried along."""
     conf = packets.sparkSession.conf
     conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # else clocks that only expire state keep a bounded run from ending
-    return packets.groupBy("aircraft").transformWithStateInPandas(AircraftState(config), GAPS, "Append", "ProcessingTime")
-
-
-def merge_into(path: str, keys: tuple[str, ...], partitions: tuple[str, ...]):
+    carried = [c for c in packets.columns if c not in ("cell", "standing")]
+    kinds = dict(packets.dtypes)
+    out = ", ".join([*(f"{c} {kinds[c]}" for c in carried), GAPS])
+    return packets.groupBy("aircraft").transformWithStateInPandas(AircraftState(carried, kinds["station_id"], config), out, "Append", "ProcessingTime")
+
+
+def _manifest(spark: SparkSession, path: str) -> tuple[dict[tuple, int], int]:
+    """Which batch wrote the live version of each bucket's partition, and the newest batch that is complete (-1: none)."""
+    try:
+        every = spark.read.schema(f"{', '.join(f'{c} {t}' for c, t in PARTITIONS.items())}, data_batch long, batch long").parquet(f"{path}/manifest")
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return {}, -1
+    last = every.agg(F.max("batch")).first()[0]
+    if last is None:
+        return {}, -1
+    rows = every.where(F.col("batch") == last).collect()  # one row for each bucket
+    return {tuple(r[c] for c in PARTITIONS): r.data_batch for r in rows if r.data_batch is not None}, last
+
+
+def _live(spark: SparkSession, path: str, schema: StructType, parts: dict[tuple, int]) -> DataFrame:
+    """The rows of some partitions. The conditions are on partition columns: no other file is opened."""
+    one = lambda k, batch: reduce(and_, [F.col(c) == F.lit(v) for c, v in zip(PARTITIONS, k, strict=True)], F.col("data_batch") == batch)
+    rows = spark.read.schema(StructType([*schema.fields, StructField("data_batch", LongType())])).parquet(f"{path}/data")
+    return rows.where(reduce(or_, [one(k, b) for k, b in parts.items()])).drop("data_batch")
+
+
+def merge_into(path: str, keys: tuple[str, ...]) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function that merges a batch's partial records into the table at ``path``.
 
-    Only the partitions that the batch touches are read and written again. They go to a folder named after
-    the batch first, and each version lists what it was made from, so that a batch that is run again
-    after a failure changes nothing.
+    The table is partitioned by type and bucket. Only the partitions that a batch touches are read, merged and
+    written, under the batch's number; then one small file lists the live version of every bucket. That file makes
+    the batch count: before it readers see the table as it was, and a batch that is run again after it changes
+    nothing. Versions that were replaced stay until the table is moved by compact().
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        current = latest(spark, path)
-        done = None if current is None else current.agg(F.max("batch_id_")).first()[0]
-        if done is not None and done >= batch_id:
+        parts, last = _manifest(spark, path)
+        if last >= batch_id:
             return
-        new = V.merge(batch, *keys)
-        if current is not None:
-            new = V.merge(new.unionByName(current.select(*new.columns)), *keys)
-        new.withColumn("batch_id_", F.lit(batch_id).cast("long")).write.mode("overwrite").partitionBy(*partitions).parquet(f"{path}/version={batch_id:012d}")
+        new = V.merge(batch, *keys).persist()
+        touched = [tuple(r) for r in new.select(*PARTITIONS).distinct().collect()]  # the buckets of one batch
+        old = {k: parts[k] for k in touched if k in parts}
+        rows = V.merge(new.unionByName(_live(spark, path, new.schema, old)), *keys) if old else new
+        rows.write.mode("overwrite").partitionBy(*PARTITIONS).parquet(f"{path}/data/data_batch={batch_id}")
+        parts |= dict.fromkeys(touched, batch_id)
+        listed = [(*k, b) for k, b in parts.items()] or [(None,) * (len(PARTITIONS) + 1)]
+        kinds = ", ".join(f"{c} {t}" for c, t in PARTITIONS.items())
+        spark.createDataFrame(listed, f"{kinds}, data_batch long").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/batch={batch_id}")
+        new.unpersist()
 
     return merge
 
 
 def latest(spark: SparkSession, path: str) -> DataFrame | None:
-    """The table's newest complete version, or None before the first batch."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(root):
+    """The table as the newest complete batch left it, or None before the first."""
+    parts, last = _manifest(spark, path)
+    if last < 0 or not parts:
         return None
-    versions = sorted(v for v in (s.getPath().toString() for s in fs.listStatus(root)) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(v + "/_SUCCESS")))
-    return spark.read.parquet(versions[-1]) if versions else None
+    schema = spark.read.parquet(f"{path}/data").drop("data_batch").schema
+    return _live(spark, path, schema, parts)
+
+
+def compact(spark: SparkSession, path: str, target: str) -> None:
+    """Writes the live records alone as a new table, after which the old one may be removed."""
+    parts, last = _manifest(spark, path)
+    rows = latest(spark, path)
+    if rows is not None:
+        rows.write.mode("overwrite").partitionBy(*PARTITIONS).parquet(f"{target}/data/data_batch={last}")
+        kinds = ", ".join(f"{c} {t}" for c, t in PARTITIONS.items())
+        spark.createDataFrame([(*k, last) for k in parts], f"{kinds}, data_batch long").coalesce(1).write.mode("overwrite").parquet(f"{target}/manifest/batch={last}")
 
 
-def stream_coverage(packets: DataFrame, path: str, checkpoint: str, ts: str = "ts_s", available_now: bool = True) -> StreamingQuery:
+def stream_coverage(packets: DataFrame, path: str, checkpoint: str, ts: str = "ts_s", station: str = "station_id", available_now: bool = True) -> StreamingQuery:
     """Maintains the rolled-up partial records by bucket, global cell and station of a stream of accepted packets
-    (with alt, agl, crc, signal, gap, cell7, station_id and a time). Late packets count in the bucket of their time."""
-    keys = ("acc_type", "bucket", "file", "cell7", "station_id")
+    (with alt, agl, crc, signal, gap, cell7, a station and a time). Late packets count in the bucket of their time."""
+    keys = (*PARTITIONS, "file", "cell7", station)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        merge_into(path, keys, ("acc_type",))(V.partial(into_buckets(batch, ts, ROLLED), *keys), batch_id)
+        merge_into(path, keys)(V.partial(into_buckets(batch, ts, ROLLED), *keys), batch_id)
 
     watched = packets.observe("coverage", F.count(F.lit(1)).alias("packets"), F.max(ts).alias("last_packet"))  # in each progress report
-    w = watched.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-    return (w.trigger(availableNow=True) if available_now else w.trigger(processingTime="5 minutes")).start()
+    return _started(watched.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint), available_now)
+
+
+def _started(writer, available_now: bool) -> StreamingQuery:
+    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="5 minutes")).start()
+
+
+def stream_ingest(lines: DataFrame, tiles: DataFrame, path: str, checkpoint: str, index: Callable | None = None, config: Config = DEFAULT, available_now: bool = True) -> StreamingQuery:
+    """Feed lines to coverage on a stream: the rules without state, each aircraft's state, elevation, and the merge
+    into the tables of all buckets. lines has seq, received and value. Each progress report has the counters of the
+    rules without state as ``feed``."""
+    raw = routed(lines)
+    first = before_state(raw, config.stationary_mode)
+    first = once(first.withColumn("altitude", P.altitude(F.col("altitude"))), signal=P.signal(F.col("comment")), crc=P.crc(F.col("comment")))
+    place = F.col("route") == "position"
+    first = first.observe("feed", F.count_if(F.col("route") != "control").alias("rawCount"), F.count_if(F.col("route") == "invalid").alias("invalidPacket"),
+                          *[F.count_if(place & (F.col("reason") == r)).alias(r) for r in REASONS[:6]])
+    state = first.where(place & (F.col("reason").isNull() | (F.col("reason") == "ignoredStationary"))).withColumn(
+        "cell", C.from_latlng(F.col("latitude"), F.col("longitude"), config.stationary_resolution, index))
+    gapped = stream_gaps(state.select("seq", F.col("flarm_id").alias("aircraft"), F.col("station").alias("station_id"), F.col("timestamp").alias("ts"), "cell", "standing", "latitude", "longitude", "altitude", "signal", "crc"), config)
+    heard = gapped.where("NOT h3_stationary AND signal > 0")
+    keys = (*PARTITIONS, "file", "cell7", "station")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        placed = with_ground(batch, tiles, "latitude", "longitude").where("NOT ground_failed").withColumns({
+            "alt": F.col("altitude"), "agl": P.above_ground(F.col("altitude"), F.col("ground")), "station": F.col("station_id"),
+            "cell7": C.parent(C.from_latlng(F.col("latitude"), F.col("longitude"), config.station_resolution, index), config.global_resolution)})
+        merge_into(path, keys)(V.partial(into_buckets(placed, "ts", ROLLED), *keys), batch_id)
+
+    return _started(heard.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint), available_now)
 
 
 def replay(packets: DataFrame, batches: int = 2) -> DataFrame:
     """Runs accepted packets through stream_coverage in some batches, in the session's shared folder, and
     returns the table that results."""
-    spark = packets.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-beaconlake-")
-    at = f"{root.rstrip('/')}/beaconlake/replay-{uuid.uuid4().hex}"
+    spark, at = packets.sparkSession, new_path(packets.sparkSession, "replay")
     needed = packets.select("seq", "ts_s", "alt", "agl", "crc", "signal", "gap", "cell7", "station_id")
     needed.repartition(batches, "seq").write.parquet(f"{at}/in")
     stream = spark.readStream.schema(needed.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
     stream_coverage(stream, f"{at}/table", f"{at}/offsets").awaitTermination()
     return latest(spark, f"{at}/table")
+
+
+def replay_lines(lines: DataFrame, tiles: DataFrame, index: Callable, split: int) -> DataFrame:
+    """Runs feed lines, those before seq ``split`` in a first batch, through stream_ingest."""
+    spark, at = lines.sparkSession, new_path(lines.sparkSession, "lines")
+    for part in (lines.where(F.col("seq") < split), lines.where(F.col("seq") >= split)):
+        part.coalesce(1).write.mode("append").parquet(f"{at}/in")
+    stream = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+    stream_ingest(stream, tiles, f"{at}/table", f"{at}/offsets", index).awaitTermination()
+    return latest(spark, f"{at}/table")

@@ -5,6 +5,7 @@ import socket
 import threading
 
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from beaconlake.operators import coverage as V
@@ -13,7 +14,7 @@ from beaconlake.operators.rollup import into_buckets
 from beaconlake.operators.state_machines import h3_stationary
 from beaconlake.plans import inputs as I
 from beaconlake.sources import feed, files
-from beaconlake.streaming.coverage import latest, stream_coverage, stream_gaps
+from beaconlake.streaming.coverage import compact, latest, merge_into, stream_coverage, stream_gaps
 
 SF = "/root/testdata/sf0.001"
 
@@ -94,3 +95,86 @@ def test_station_files(spark, tmp_path):
     st = spark.createDataFrame([(1, "a", 5), (2, "b", None), (3, "c", 0)], "id int, station string, last_packet long")
     files.write_stations(st, str(tmp_path))
     assert spark.read.json(f"{tmp_path}/stations").count() == 1 and spark.read.json(f"{tmp_path}/stations-complete").count() == 3
+
+
+KEYS = ("acc_type", "bucket", "file", "cell7", "station_id")
+
+
+def partials(spark, rows):
+    df = spark.createDataFrame([(t, b, f"{t}{b}", c, s, 1, 1, 1, 1, 1, 1) for t, b, c, s in rows], "acc_type string, bucket int, file string, cell7 long, station_id int, alt int, agl int, crc int, signal int, gap int, seq int")
+    return V.partial(df, *KEYS)
+
+
+def test_batches_rewrite_only_what_they_touch(spark, tmp_path):
+    at = str(tmp_path / "t")
+    write = merge_into(at, KEYS)
+    assert latest(spark, at) is None
+    write(partials(spark, [("day", 1, 5, 1), ("day", 2, 5, 1), ("year", 7, 5, 1)]), 0)
+    write(partials(spark, [("day", 2, 5, 1), ("day", 3, 6, 2), ("year", 7, 5, 2)]), 1)
+    write(partials(spark, [("day", 2, 5, 1), ("day", 9, 9, 9)]), 1)  # the same batch again after it was complete
+    got = {(r.acc_type, r.bucket, r.station_id): r["count"] for r in latest(spark, at).collect()}
+    assert got == {("day", 1, 1): 1, ("day", 2, 1): 2, ("day", 3, 2): 1, ("year", 7, 1): 1, ("year", 7, 2): 1}
+    assert sorted(p.name for p in (tmp_path / "t/data/data_batch=1/acc_type=day").iterdir()) == ["bucket=2", "bucket=3"]
+    opened = spark.read.parquet(f"{at}/data").where("data_batch = 1 AND acc_type = 'day' AND bucket = 3").inputFiles()
+    assert opened
+    # a batch that died before it was listed: its files are there, the table is as before, and running it again counts once
+    partials(spark, [("day", 1, 5, 1)]).write.partitionBy("acc_type", "bucket").parquet(f"{at}/data/data_batch=2")
+    assert {(r.acc_type, r.bucket, r.station_id): r["count"] for r in latest(spark, at).collect()} == got
+    write(partials(spark, [("day", 1, 5, 1)]), 2)
+    assert latest(spark, at).where("acc_type = 'day' AND bucket = 1").first()["count"] == 2
+    compact(spark, at, f"{at}2")
+    assert sorted(map(tuple, latest(spark, f"{at}2").collect())) == sorted(map(tuple, latest(spark, at).collect()))
+    assert [p.name for p in (tmp_path / "t2/data").iterdir() if p.is_dir()] == ["data_batch=2"]
+
+
+def test_lookups_open_only_their_files(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"d{i % 5}", i) for i in range(100)], "h3 long, period string, count long")
+    files.write_coverage(df, f"{tmp_path}/t", "period")
+    plan = files.read_coverage(spark, f"{tmp_path}/t", period="d3")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(period" in plan
+    assert files.read_coverage(spark, f"{tmp_path}/t", period="d3").count() == 20
+
+
+def test_spooled_lines_survive_a_restart(tmp_path):
+    server = socket.create_server(("127.0.0.1", 0))
+    heard = []
+
+    def serve():
+        c, _ = server.accept()
+        heard.append(c.recv(200))
+        c.sendall(b"one\r\ntwo\r\n")
+        heard.append(c.recv(200))
+
+    threading.Thread(target=serve, daemon=True).start()
+    options = {"port": str(server.getsockname()[1]), "host": "127.0.0.1", "wait": "0.5", "spool": str(tmp_path / "spool"), "keepalive": "0"}
+    reader = feed.FeedReader(options)
+    rows, end = reader.read({"seq": 5})
+    assert [r[2] for r in rows] == ["one", "two"] and end == {"seq": 7}
+    again = feed.FeedReader(options)  # after a restart of the driver
+    assert [(r[0], r[2]) for r in again.readBetweenOffsets({"seq": 5}, {"seq": 7})] == [(5, "one"), (6, "two")]
+    again.commit({"seq": 7})
+    assert list((tmp_path / "spool").iterdir()) == []
+    with pytest.raises(RuntimeError):
+        again.readBetweenOffsets({"seq": 5}, {"seq": 7})
+    assert list(again.readBetweenOffsets({"seq": 7}, {"seq": 7})) == []
+    reader.read({"seq": 7})  # sends its own comment line
+    server.close()
+
+
+def test_previous_output_is_kept_once(spark, tmp_path):
+    at = f"{tmp_path}/t"
+    for rows in ([(1, "a", 1), (2, "b", 1)], [(1, "a", 2)], [(1, "a", 3)]):
+        files.keep_previous(spark.createDataFrame(rows, "h3 long, period string, count long"), at, "period")
+    assert {(r.period, r["count"]) for r in spark.read.parquet(at).collect()} == {("a", 3), ("b", 1)}
+    assert {(r.period, r["count"]) for r in spark.read.parquet(f"{at}.1").collect()} == {("a", 2)}
+
+
+def test_stations_fall_back_to_the_older_layout(spark, tmp_path):
+    st = spark.createDataFrame([(2, "b", 1.0, 2.0, True, 5), (1, "a", 1.0, 2.0, False, 6), (3, "c", None, None, True, 0)], "id int, station string, lat double, lng double, valid boolean, last_packet long")
+    files.write_station_table(st, str(tmp_path / "new"), "2024-01-05")
+    assert [r.id for r in files.read_stations(spark, str(tmp_path / "new"), "day.2024-01-05").collect()] == [2]
+    assert [r.id for r in files.read_stations(spark, str(tmp_path / "new"), "day.2024-01-05", True).orderBy("id").collect()] == [1, 2]
+    st.drop("valid").write.parquet(str(tmp_path / "old/stations"))
+    assert files.read_stations(spark, str(tmp_path / "old"), "day.2024-01-05").count() == 3
+    with pytest.raises(FileNotFoundError):
+        files.read_stations(spark, str(tmp_path / "none"), "day.2024-01-05")
