@@ -16,11 +16,14 @@ from beaconlake.operators import coverage as V
 from beaconlake.operators import disposition as D
 from beaconlake.operators import ingest as IN
 from beaconlake.operators import maintenance as M
+from beaconlake.operators import metadata as MD
 from beaconlake.operators import rollup as R
 from beaconlake.operators import stations as ST
 from beaconlake.operators.state_machines import h3_stationary, station_moves
 from beaconlake.plans import api
 from beaconlake.plans import inputs as I
+from beaconlake.sources import files
+from beaconlake.sources.shared import new_path
 
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
@@ -569,6 +572,37 @@ def picked_cells(spark, sf):
     return api.picked(coverage_global_cells(spark, sf).withColumnRenamed("cell7", "h3"))
 
 
+@query(_STDAY + " SELECT h3, string_agg(DISTINCT strftime(day, '%m/%d'), ',' ORDER BY strftime(day, '%m/%d')) AS days FROM sdf GROUP BY h3")
+def days_in_order(spark, sf):
+    """The days of each cell as they are shown: by label."""
+    d = api.h3_details(_station_daily(spark, sf)).groupBy("h3").agg(F.array_join(F.array_sort(F.collect_set("date")), ",").alias("days"))
+    return d
+
+
+@query(_STDAY + " SELECT station_id, h3, strftime(day, '%m/%d') AS date, CASE WHEN avg_gap <> 0 THEN count END AS count FROM sdf WHERE day >= DATE '2024-01-01' AND day < DATE '2024-01-11' AND day >= DATE '2024-01-28' - 22")
+def details_of_period(spark, sf):
+    """A period and the newest days only, both as ranges of days that reach the scan."""
+    daily = _station_daily(spark, sf).where("day < DATE'2024-01-11'")
+    return api.h3_details(api.recent(daily, F.lit("2024-01-28").cast("date"), 22), period="2024-01").select("station_id", "h3", "date", "count")
+
+
+@query(_STDAY + """ SELECT DISTINCT day::VARCHAR AS day, strftime(day, '%m/%d') AS tick_day, strftime(day, '%Y/%m') AS tick_month, strftime(day, '%Y') AS tick_year, 'day.' || strftime(day, '%Y-%m-%d') AS file_day, 'month.' || strftime(day, '%Y-%m') AS file_month,
+ 'year.' || strftime(day, '%Y') AS file_year, strftime(day, '%Y-%m') AS prefix, (date_trunc('month', day))::DATE::VARCHAR AS first_day FROM sdf""")
+def period_labels(spark, sf):
+    d = _station_daily(spark, sf).select("day").distinct()
+    out = d.select("day", *[api.tick_label(t, F.col("day")).alias(f"tick_{t}") for t in ("day", "month", "year")], *[api.file_of(t, F.col("day")).alias(f"file_{t}") for t in ("day", "month", "year")])
+    out = out.withColumn("prefix", api.period_prefix(F.col("file_day"))).withColumn("first_day", api.first_day(F.col("prefix")).cast("string"))
+    return out.withColumn("day", F.col("day").cast("string"))
+
+
+@query(PKT + """ SELECT DISTINCT CASE WHEN k % 9 = 0 THEN '00_' || station_id WHEN k % 9 = 1 THEN '80' || lpad(station_id::VARCHAR, 13, '0') ELSE lower(to_hex(cell8)) END AS cell, k % 9 < 2 AS is_meta FROM pkt WHERE k % 9 >= 2 OR k % 9 < 2""")
+def meta_row_exclusion(spark, sf):
+    """Which keys of a store hold metadata instead of a cell, in both forms."""
+    c = F.when(F.col("k") % 9 == 0, F.concat(F.lit("00_"), F.col("station_id").cast("string"))).when(F.col("k") % 9 == 1, F.concat(F.lit("80"), F.lpad(F.col("station_id").cast("string"), 13, "0"))).otherwise(C.to_hex(F.col("cell8")))
+    keys = I.packets(spark, sf).select(c.alias("cell")).distinct()
+    return keys.select("cell", C.is_meta(F.col("cell")).alias("is_meta"))
+
+
 # map scores
 
 _VIZ_SQL = {
@@ -586,6 +620,19 @@ def viz_scores(spark, sf):
     return c.select("cell7", *[F.round(viz.score(n, F.col("max_count")), 6).alias(f"s_{n}") for n in viz.SCORES])
 
 
+_CHANNELS = {"r": (16, 240), "g": (32, 8), "b": (0, 255), "a": (255, 255)}
+
+
+@query(_TOKENS + ", n AS (SELECT cell7, coalesce(greatest((floor(least(avg_sig * 3.0, 254)::DOUBLE / 255 * 8))::INT % 8, 0), 0) AS i, min_alt, min_agl FROM cells) SELECT cell7, "
+       + ", ".join(f"({a} + floor(i * {b - a} / 8::DOUBLE + 0.5))::INT AS {c}" for c, (a, b) in _CHANNELS.items()) + ", min_alt AS height, min_agl AS height_agl, 0 AS height_count FROM n")
+def cell_colours(spark, sf):
+    """Each cell's colour from a palette between two colours, and what its column shows in three dimensions."""
+    low, high = ("".join(f"{c[i]:02x}" for c in _CHANNELS.values()) for i in (0, 1))
+    colour = F.element_at(viz.palette(low, high), viz.colour_index(viz.score("avg_sig")) + 1)
+    return coverage_global_cells(spark, sf).select("cell7", *[F.element_at(colour, i + 1).alias(c) for i, c in enumerate(_CHANNELS)],
+                                                   viz.column_height("min_alt").alias("height"), viz.column_height("min_agl").alias("height_agl"), viz.column_height("count").alias("height_count"))
+
+
 @query(_TOKENS + " SELECT cell7, coalesce(greatest((floor(least(avg_sig * 3.0, 254)::DOUBLE / 255 * 8))::INT % 8, 0), 0) AS colour FROM cells")
 def viz_palette(spark, sf):
     return coverage_global_cells(spark, sf).select("cell7", viz.colour_index(viz.score("avg_sig")).alias("colour"))
@@ -658,6 +705,221 @@ def streaming_replay_equals_batch(spark, sf):
     return V.global_cells(V.merge(replay(I.accepted(spark, sf)).where("acc_type = 'yearnz'"), "cell7", "station_id"), "cell7")
 
 
+@query(_INGEST + f", per AS ({part('cell7', 'station_id', frm='heard')}) " + cells_sql("per", "cell7"))
+def streaming_ingest(spark, sf):
+    """Feed lines as a stream in two batches, with each aircraft's state between them; the season's cells equal the batch's."""
+    from beaconlake.streaming.coverage import replay_lines
+
+    lines = I.feed_lines(spark, sf, True)
+    half = lines.agg(F.max("seq")).first()[0] // 2
+    table = replay_lines(lines, I.tiles(spark, sf), I.grid_cell, half).where("acc_type = 'yearnz'").withColumn("station_id", F.substring("station", 3, 9).cast("int"))
+    return V.global_cells(V.merge(table, "cell7", "station_id"), "cell7")
+
+
+# files
+
+_FINAL = GAP + f", p AS ({part('station_id', 'cell8')}), c AS (SELECT station_id, cell8 AS h3, min_agl, min_alt, min_alt_sig, max_sig, {AVG}, count FROM p)"
+
+
+def _station_final(spark, sf) -> DataFrame:
+    return coverage_station_cells(spark, sf).withColumnRenamed("cell8", "h3")
+
+
+def _coverage_files(spark, sf) -> str:
+    path = new_path(spark, "coverage")
+    files.write_coverage(_station_final(spark, sf), path, "station_id")
+    return path
+
+
+@query(_FINAL + " SELECT * FROM c")
+def coverage_file_scan(spark, sf):
+    """Coverage written by station and read back whole."""
+    return files.read_coverage(spark, _coverage_files(spark, sf))
+
+
+@query(_FINAL + " SELECT * FROM c WHERE station_id = 3")
+def coverage_partition_scan(spark, sf):
+    """One station's part of the files: a condition on the partition column."""
+    return files.read_coverage(spark, _coverage_files(spark, sf), station_id=3)
+
+
+@query(_FINAL + " SELECT station_id, count(*) AS rows, 0::BIGINT AS disorder FROM c GROUP BY station_id")
+def coverage_file_order(spark, sf):
+    """Within a file cells ascend: no row follows a larger one."""
+    rows = files.read_coverage(spark, _coverage_files(spark, sf)).select("station_id", "h3", F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("i"))
+    before = F.lag("h3").over(Window.partitionBy("f").orderBy("i"))
+    return rows.withColumn("before", before).groupBy("station_id").agg(F.count("*").alias("rows"), F.count_if(F.col("before") > F.col("h3")).alias("disorder"))
+
+
+_READERS = """SELECT station_id, h3 & 4294967295 AS h3lo, h3 >> 32 AS h3hi, least(min_agl, 65535)::INT AS "minAgl", least(min_alt, 65535)::INT AS "minAlt", min_alt_sig AS "minAltSig", max_sig AS "maxSig", least(avg_sig, 255)::INT AS "avgSig",
+ least(avg_crc, 255)::INT AS "avgCrc", count, greatest(least(avg_gap, 255), 0)::INT AS "avgGap" FROM c"""
+
+
+def _read_back(spark, sf, compress: bool) -> DataFrame:
+    streams = files.arrow_streams(files.for_readers(_station_final(spark, sf)), "station_id", order=("h3hi", "h3lo"), compress=compress)
+    kinds = "h3lo long, h3hi long, minAgl int, minAlt int, minAltSig int, maxSig int, avgSig int, avgCrc int, count long, avgGap int"
+    return files.stream_rows(streams, kinds, "station_id")
+
+
+@query(_FINAL + " " + _READERS)
+def arrow_export(spark, sf):
+    """A station's cells as one Arrow stream in the layout of output files, read back."""
+    return _read_back(spark, sf, False)
+
+
+@query(_FINAL + " " + _READERS)
+def arrow_export_gzip(spark, sf):
+    return _read_back(spark, sf, True)
+
+
+@query(_FINAL + ", o AS (SELECT * FROM c WHERE station_id % 4 = 1) SELECT station_id, count(*) AS rows, sum(count)::BIGINT AS packets, sum(CASE WHEN station_id % 4 = 1 THEN count - 1 ELSE 0 END)::BIGINT AS previous FROM c GROUP BY station_id")
+def previous_output(spark, sf):
+    """Some stations' files are replaced by newer ones; what they held before is kept beside them."""
+    new = _station_final(spark, sf)
+    path = new_path(spark, "coverage")
+    files.write_coverage(new.withColumn("count", F.col("count") - F.when(F.col("station_id") % 4 == 1, 1).otherwise(0)), path, "station_id")
+    files.keep_previous(new.where("station_id % 4 = 1"), path, "station_id")
+    kept = files.read_coverage(spark, f"{path}.1").groupBy("station_id").agg(F.sum("count").alias("previous"))
+    now = files.read_coverage(spark, path).groupBy("station_id").agg(F.count("*").alias("rows"), F.sum("count").alias("packets"))
+    return now.join(kept, "station_id", "left").withColumn("previous", F.coalesce("previous", F.lit(0)))
+
+
+def _dimension(spark, sf) -> DataFrame:
+    """Stations with places: some have none, some are not valid, some were never heard."""
+    s = _validity(spark, sf).drop("now")
+    named = s.withColumns({"station": F.concat(F.lit("ST"), F.col("id").cast("string")), "lat": F.when(F.col("id") % 4 == 3, float("nan")).otherwise(47 + F.col("id") * 0.125), "lng": F.lit(8.5)})
+    return named.withColumn("last_packet", F.when(F.col("id") != 5, F.col("last_packet")))
+
+
+_PLACES = _DIM + """, dm AS (SELECT id, 'ST' || id AS station, CASE WHEN id <> 5 THEN last_packet END AS heard, 47 + id * 0.125::DOUBLE AS lat, last_packet > now - 864000 AND id <> 7 AS valid FROM last, now)"""
+
+
+@query(_PLACES + " SELECT id, station AS name, CASE WHEN id % 4 = 3 THEN NULL ELSE lat END AS lat, valid, heard AS last_packet FROM dm WHERE heard IS NOT NULL")
+def stations_day_table(spark, sf):
+    """The typed table of the stations heard, by day, written and read back; places that are no number come back as null."""
+    path = new_path(spark, "stations")
+    files.write_station_table(_dimension(spark, sf), path, "2024-01-31")
+    t = files.read_stations(spark, path, "day.2024-01-31", True)
+    return t.select("id", "name", F.when(~F.isnan("lat"), F.col("lat").cast("double")).alias("lat"), "valid", "last_packet")
+
+
+@query(_PLACES + " SELECT id, station AS name FROM dm WHERE heard IS NOT NULL AND valid")
+def stations_shown(spark, sf):
+    """Only the older table is there; the map shows the valid stations."""
+    path = new_path(spark, "stations")
+    files.station_table(_dimension(spark, sf)).write.parquet(f"{path}/stations")
+    return files.read_stations(spark, path, "day.2024-01-31").select("id", "name")
+
+
+@query(_PLACES + " SELECT 'stations' AS file, id, station FROM dm WHERE heard IS NOT NULL UNION ALL SELECT 'stations-complete', id, station FROM dm")
+def stations_json(spark, sf):
+    path = new_path(spark, "stations")
+    files.write_stations(_dimension(spark, sf), path)
+    read = lambda f: spark.read.schema("id int, station string").json(f"{path}/{f}").select(F.lit(f).alias("file"), "id", "station")
+    return read("stations").unionByName(read("stations-complete"))
+
+
+@query(_PLACES + " SELECT string_agg(id::VARCHAR, ',' ORDER BY id) AS ids FROM dm WHERE heard IS NOT NULL")
+def stations_by_id(spark, sf):
+    """The order in which the station files list the stations."""
+    path = new_path(spark, "stations")
+    files.write_station_table(_dimension(spark, sf), path, "2024-01-31")
+    t = spark.read.parquet(f"{path}/stations/stations.day.2024-01-31").select("id", F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("i"))
+    return t.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("f", "i", "id"))), lambda x: x["id"].cast("string")), ",").alias("ids"))
+
+
+@query(_PLACES + " SELECT count(*) FILTER (WHERE valid) AS \"validStations\", count(*) FILTER (WHERE NOT valid AND id % 2 = 1) AS \"invalidStations\", count(*) FILTER (WHERE id = 7) AS \"movedStations\" FROM dm")
+def validity_counts(spark, sf):
+    return ST.validity_counts(_dimension(spark, sf).withColumns({"was_valid": F.col("id") % 2 == 1, "moved": F.col("id") == 7}))
+
+
+@query(_PLACES + " SELECT id FROM dm WHERE heard IS NOT NULL AND 1704067200 + id * 200000 < heard")
+def stations_unsaved(spark, sf):
+    return ST.unsaved(_dimension(spark, sf).withColumn("last_beacon", F.lit(1704067200) + F.col("id") * 200000)).select("id")
+
+
+@query(_PLACES + " SELECT id, CASE WHEN id % 6 = 0 THEN 'selected' WHEN valid THEN 'valid' ELSE 'invalid' END AS colour, upper('st' || id) AS upper, 'st' || id AS same FROM dm")
+def station_colours(spark, sf):
+    name = F.concat(F.lit("st"), F.col("id").cast("string"))
+    return _dimension(spark, sf).select("id", viz.station_colour(F.col("id") % 6 == 0, F.col("valid")).alias("colour"), S.normalise_case(name, True).alias("upper"), S.normalise_case(name).alias("same"))
+
+
+@query(_LONG + """, t AS (SELECT *, row_number() OVER (PARTITION BY cell7 ORDER BY count DESC, station_id) AS rn, (sum(count) OVER (PARTITION BY cell7))::BIGINT AS tot FROM per),
+ x AS (SELECT cell7 AS h3, (rn - 1)::INT AS place, station_id, (10 * ((10 * count) // tot))::INT AS percent, ((cell7 >> 21) & 2147483647) AS spot FROM t WHERE rn <= 30),
+ y AS (SELECT *, (spot // 21600 + 0.5::DOUBLE) / 60 - 90 AS la, (spot % 21600 + 0.5::DOUBLE) / 60 - 180 AS lo, 47 + station_id * 0.125::DOUBLE AS lat FROM x)
+ SELECT h3, place, station_id, 'ST' || station_id AS name, CASE WHEN station_id % 4 = 3 THEN '' ELSE round(2 * 6371.007180918475::DOUBLE * asin(sqrt(least(1.0::DOUBLE, pow(sin((radians(lat) - radians(la)) / 2), 2)
+   + cos(radians(la)) * cos(radians(lat)) * pow(sin(radians(8.5::DOUBLE - lo) / 2), 2)))))::BIGINT || ' km' END AS distance, CASE WHEN percent > 10 THEN percent || '%' ELSE '' END AS share FROM y""")
+def stations_of_cell(spark, sf):
+    """The stations that each global cell lists, with distance and share."""
+    cells = coverage_global_cells(spark, sf).withColumnRenamed("cell7", "h3").withColumn("centre", C.to_latlng(F.col("h3"), I.grid_centre))
+    return ST.of_cell(cells.withColumns({"cell_lat": F.col("centre.lat"), "cell_lng": F.col("centre.lng")}), _dimension(spark, sf))
+
+
+# metadata and statistics
+
+@query(PKT + """, a AS (SELECT station_id, list(ts_s ORDER BY ts_s) AS starts, max(ts_s) AS now FROM pkt GROUP BY station_id), b AS (SELECT *, make_timestamp(now * 1000000) AS t FROM a)
+ SELECT station_id, now AS start, strftime(t, '%Y-%m-%dT%H:%M:%S.000Z') AS start_utc, ((day(t) << 7) | ((now % 86400) // 60 // 180))::INT AS current_accumulator, year(t)::INT AS year_bucket, strftime(t, '%Y-%m') AS month_file,
+  least(len(starts), 250)::INT AS kept, starts[greatest(len(starts) - 249, 1)] AS oldest FROM b""")
+def metadata_documents(spark, sf):
+    """Each station's document with its starts, encoded and decoded again."""
+    p = I.packets(spark, sf)
+    newest = M.push_start(p, "station_id", "ts_s").withColumn("now", F.element_at("all_starts", -1))
+    old = F.transform(F.slice(F.col("all_starts"), 1, F.size("all_starts") - 1), lambda x: F.struct(x.alias("start"), MD.utc_text(x).alias("start_utc")))
+    d = newest.select("station_id", MD.encode(MD.document(F.col("now"), old)).alias("text")).select("station_id", MD.decode(F.col("text")).alias("d"))
+    return d.select("station_id", "d.start", "d.start_utc", "d.current_accumulator", F.col("d.accumulators")["year"]["bucket"].alias("year_bucket"), F.col("d.accumulators")["month"]["file"].alias("month_file"),
+                    F.size("d.all_starts").alias("kept"), F.col("d.all_starts")[0]["start"].alias("oldest"))
+
+
+@query(_FILES + """, n AS (SELECT station, count(*) AS packets FROM b GROUP BY station) SELECT fl.station || '.' || acc_type || '.' || period || '.json' AS name,
+ '{"station":"' || fl.station || '","last_output_file":1706745600,"rollup":{"packets":' || packets || '}}' AS value FROM fl JOIN n ON n.station = fl.station WHERE acc_type <> 'day'""")
+def output_documents(spark, sf):
+    """The JSON document beside each output but the days'."""
+    listed = api.listing(_names(spark, sf)).where("acc_type <> 'day'").withColumnRenamed("period", "file")
+    n = I.accepted(spark, sf).groupBy(F.concat(F.lit("ST"), F.col("station_id").cast("string")).alias("station")).agg(F.count("*").alias("packets"))
+    return MD.outputs(n.select("station"), listed.join(n, "station"), F.lit(1706745600))
+
+
+@query(_OLDNEW + f""", u AS (SELECT * FROM cur UNION ALL BY NAME SELECT * FROM old WHERE station_id % 5 <> 0), m AS ({merged('file', 'h3', 'station_id', frm='u')})
+ SELECT (SELECT count(DISTINCT station_id) FROM b WHERE station_id % 3 <> 0) AS databases, (SELECT count(DISTINCT station_id) FROM b WHERE station_id % 3 = 0) AS "skippedStations", (SELECT sum(count)::BIGINT FROM m) AS operations,
+  (SELECT count(*) FROM m) AS "arrowRecords", (SELECT count(*) FROM old WHERE station_id % 5 = 0) AS "recordsRemoved", 3::BIGINT AS "retiredBuckets" """)
+def rollup_statistics(spark, sf):
+    cur, old, valid = _old_new(spark, sf)
+    stations = I.purchase_days(spark, sf).select("station_id").distinct().select(F.col("station_id").alias("id"), (F.col("station_id") % 3 == 0).alias("skip"))
+    return R.statistics(stations, R.rollup(cur, old, valid, "file", "h3", "station_id"), 3, M.purge(old, valid, ["station_id"]))
+
+
+@query(_OLDNEW + " SELECT file, h3, station_id, count FROM old WHERE station_id % 5 <> 0")
+def purged_records(spark, sf):
+    """Stored records without those of the stations to purge."""
+    _, old, valid = _old_new(spark, sf)
+    gone = old.select("station_id").distinct().join(valid, "station_id", "left_anti")
+    return M.purge(old, gone, ["station_id"]).select("file", "h3", "station_id", "count")
+
+
+@query(PKT + """, d AS (SELECT station_id, count(*) AS n, min(k) % 2 = 1 AS p, count(*) % 2 = 1 AS m FROM pkt GROUP BY station_id)
+ SELECT count(*) FILTER (WHERE p) AS datapurged, count(*) FILTER (WHERE m) AS datamerged, count(*) FILTER (WHERE p OR m) AS datachanged, count(*) AS databases, sum(n)::BIGINT AS "arrowRecords" FROM d""")
+def startup_statistics(spark, sf):
+    d = I.packets(spark, sf).groupBy("station_id").agg(F.count("*").alias("records"), F.min("k").alias("k"))
+    return R.startup_statistics(d.select("station_id", "records", (F.col("k") % 2 == 1).alias("datapurged"), (F.col("records") % 2 == 1).alias("datamerged")))
+
+
+_LEFT = GAP + f""", x AS (SELECT *, year(make_timestamp(ts_s * 1000000)) AS y, month(make_timestamp(ts_s * 1000000)) - 1 AS m0, day(make_timestamp(ts_s * 1000000)) AS d FROM ok),
+ k AS (""" + " UNION ALL ".join(f"SELECT *, '{t}' AS acc_type, ({_BUCKET_SQL[t]})::INT AS bucket FROM x" for t in B.ROLLED) + ")"
+
+
+@query(_LEFT + f""", gone AS (SELECT DISTINCT d AS block FROM x WHERE d % 4 = 0), new AS ({part('acc_type', 'bucket', 'cell7', 'station_id', frm='k WHERE d > 10 AND d % 4 <> 0')}), old AS ({part('acc_type', 'bucket', 'cell7', 'station_id', frm='k WHERE d <= 10')}),
+ u AS (SELECT * FROM new UNION ALL SELECT * FROM old) {merged('acc_type', 'bucket', 'cell7', 'station_id', frm='u')}""")
+def recovery_rollup(spark, sf):
+    """Blocks left over by a crash are merged into their own buckets; those of which three or more targets are gone are dropped."""
+    keys = ["acc_type", "bucket", "cell7", "station_id"]
+    k = R.into_buckets(I.accepted(spark, sf)).withColumn("block", F.dayofmonth(B.utc_date(F.col("ts_s"))))
+    blocks = V.partial(k.where("block > 10"), "block", *keys)
+    kept = F.col("block") % 4 != 0
+    blocks = blocks.withColumn("bucket", F.when(kept, F.col("bucket")).otherwise(-F.col("block")))
+    there = blocks.where(kept).select("acc_type", "bucket").distinct()
+    return R.recover(blocks, V.partial(k.where("block <= 10"), *keys), there, *keys)[0]
+
+
 # upkeep
 
 @query(GAP + f""", p AS ({part('station_id', 'cell8')}) SELECT station_id, cell8, station_id % 6 = 1 AS absent, CASE WHEN station_id % 6 = 1 THEN '' ELSE 'count' END AS differ FROM p WHERE station_id % 6 = 1 OR station_id % 6 = 2""")
