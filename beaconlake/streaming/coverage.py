@@ -51,18 +51,20 @@ class AircraftState(StatefulProcessor):
         batch = pd.concat(list(rows)).sort_values("seq")
         seen = self.seen.get()[0] if self.seen.exists() else 0
         cells, packets = (list(self.cells.get()[0]), self.cells.get()[1]) if self.cells.exists() else ([], 0)
-        out = []
+        out, heard = [], {}
         for r in batch.itertuples():
             if seen and r.ts - seen > self.config.forget_seconds:
                 seen = 0
             if r.standing:
                 seen = r.ts
                 continue
-            before = self.heard.getValue((r.station_id,))[0] if self.heard.containsKey((r.station_id,)) else None
+            if r.station_id not in heard:  # the store is asked once for each station of a batch, and told once
+                heard[r.station_id] = self.heard.getValue((r.station_id,))[0] if self.heard.containsKey((r.station_id,)) else None
+            before = heard[r.station_id]
             if before is not None and r.ts - before > self.config.forget_seconds:
                 before = None
             gap = min(self.config.max_gap, r.ts - before) if before else min(self.config.max_gap, max(1, r.ts - (seen or r.ts)))
-            self.heard.updateValue((r.station_id,), (r.ts,))
+            heard[r.station_id] = r.ts
             first = seen < r.ts
             stays = False
             if first:
@@ -76,6 +78,8 @@ class AircraftState(StatefulProcessor):
                     packets += 1
                 stays = packets / len(cells) > 90
             out.append((*(getattr(r, c) for c in self.carried), gap, first, stays))
+        for station, ts in heard.items():
+            self.heard.updateValue((station,), (ts,))
         if seen:
             self.seen.update((seen,))
         self.cells.update((cells, packets))
