@@ -117,3 +117,47 @@ def scan_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def op9_pii(spark, sf_dir: str) -> DataFrame:
     return scan_pii(table(spark, sf_dir, "documents"))
+
+
+#: The query in SQL. Places follow from the lengths of matches and of what lies between them; \b stands for the
+#: neighbours that patterns with look-around rule out, once underscores, which it counts as letters, are replaced.
+OP9_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, translate(coalesce(text, ''), '_', '-') AS u FROM documents),
+m AS (
+  SELECT r, 'email' AS pattern, regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS hits, string_split_regex(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS gaps FROM d UNION ALL
+  SELECT r, 'ip', regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'), string_split_regex(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') FROM d UNION ALL
+  SELECT r, 'card', regexp_extract_all(t, '[0-9]([\x20-]?[0-9])+'), string_split_regex(t, '[0-9]([\x20-]?[0-9])+') FROM d UNION ALL
+  SELECT r, 'phone', regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]'), string_split_regex(t, '\+[0-9][\x20().0-9-]+[0-9]') FROM d UNION ALL
+  SELECT r, 'iban', regexp_extract_all(u, '\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b'), string_split_regex(u, '\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b') FROM d UNION ALL
+  SELECT r, 'ssn', regexp_extract_all(t, '[0-9-]+'), string_split_regex(t, '[0-9-]+') FROM d),
+z AS (SELECT r, pattern, unnest(hits) AS hit, unnest(gaps) AS gap, unnest(range(len(gaps))) AS i FROM m WHERE len(hits) > 0),
+h AS (SELECT r, pattern, hit, sum(length(gap) + coalesce(length(hit), 0)) OVER (PARTITION BY r, pattern ORDER BY i) AS e FROM z QUALIFY hit IS NOT NULL),
+c AS (SELECT r, CASE WHEN pattern = 'card' AND length(regexp_replace(hit, '[^0-9]', '', 'g')) = 13 THEN 'card13' ELSE pattern END AS kind, hit, e - length(hit) AS s, e, regexp_replace(hit, '[^0-9]', '', 'g') AS digits FROM h),
+v AS (SELECT *, list_sum(list_transform(range(length(digits)), lambda i: CASE WHEN i % 2 = 0 THEN digits[length(digits) - i]::INT
+    ELSE digits[length(digits) - i]::INT * 2 - CASE WHEN digits[length(digits) - i] > '4' THEN 9 ELSE 0 END END)) % 10 = 0 AS luhn FROM c
+  WHERE CASE kind WHEN 'card' THEN length(digits) BETWEEN 14 AND 19 WHEN 'card13' THEN TRUE WHEN 'phone' THEN length(digits) BETWEEN 10 AND 15
+    WHEN 'ip' THEN regexp_full_match(hit, '0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(\.0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})){3}')
+    WHEN 'iban' THEN length(replace(hit, ' ', '')) BETWEEN 15 AND 34
+    WHEN 'ssn' THEN regexp_full_match(hit, '[0-9]{3}-[0-9]{2}-[0-9]{4}') AND NOT regexp_matches(hit, '^(000|666|9)|-00-|-0000$') ELSE TRUE END),
+k AS (SELECT r, kind, s, e FROM v WHERE CASE WHEN kind IN ('card', 'card13') THEN luhn WHEN kind = 'iban' THEN
+  list_reduce(list_prepend(0, list_transform(range(1, length(replace(hit, ' ', '')) + 1), lambda i:
+    strpos('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', (substr(replace(hit, ' ', ''), 5) || substr(replace(hit, ' ', ''), 1, 4))[i]) - 1)),
+    lambda a, x: (a * CASE WHEN x > 9 THEN 100 ELSE 10 END + x) % 97) = 1 ELSE TRUE END),
+rules(kind, place, base, start, gain, up, down) AS (VALUES
+  ('email', 0, TRUE, 0.6::DOUBLE, 0.2::DOUBLE, 'mail|contact|write', 'example'),
+  ('ip', 1, TRUE, 0.4, 0.2, 'ip|address|host|server', 'version|section'),
+  ('card', 2, TRUE, 0.3, 0.4, 'card|visa|mastercard|credit|payment', 'order|isbn|tracking'),
+  ('phone', 3, TRUE, 0.5, 0.1, 'phone|call|tel|mobile|fax', 'isbn'),
+  ('iban', 4, FALSE, 0.2, 0.5, 'iban|account|bank|konto|cuenta|compte', NULL),
+  ('card13', 5, FALSE, 0.1, 0.3, 'card|visa|credit|payment', 'order|isbn|ean|tracking'),
+  ('ssn', 6, FALSE, 0.3, 0.1, 'ssn|social|security', 'part|serial')),
+n AS (SELECT k.r, k.kind, place, base, s::BIGINT AS s, e::BIGINT AS e, start, gain, up, down,
+  lower(substr(t, greatest(s - 40, 0)::BIGINT + 1, least(s, 40)::BIGINT) || ' ' || substr(t, e::BIGINT + 1, 20)) AS near FROM k JOIN rules USING (kind) JOIN d USING (r)),
+x AS (SELECT *, least(1.0::DOUBLE, greatest(0.0::DOUBLE, start + gain + CASE WHEN regexp_matches(near, up) THEN 0.2::DOUBLE ELSE 0 END
+  - CASE WHEN down IS NOT NULL AND regexp_matches(near, down) THEN 0.3::DOUBLE ELSE 0 END)) AS score FROM n),
+g AS (SELECT r, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
+  string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, place) FILTER (base) AS own, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, place) AS spans, max(score) AS score
+  FROM x WHERE base OR score >= 0.55 GROUP BY r)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
+  sha256(coalesce(own, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(score, 0.0::DOUBLE) AS score FROM d LEFT JOIN g USING (r)
+"""

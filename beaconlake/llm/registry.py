@@ -19,6 +19,7 @@ QUERIES = {
 ORACLES = {
     "op1_mix": mixing.OP1_SQL,
     "op5_url_filter": urls.OP5_SQL,
+    "op9_pii": pii.OP9_SQL,
     "op10_nearest": ann.OP10_SQL,
     "op2_embedding_dedup": embed_dedup.OP2_SQL,
 }
