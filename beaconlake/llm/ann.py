@@ -18,7 +18,8 @@ from beaconlake.llm.vectors import matrix, part_of, parts, usable
 SHARD, BLOCK = 16384, 65536
 #: Width of the error bound, in standard errors of a code's estimate.
 BOUND = 3.0
-#: Candidates with the best estimates, reranked first: their exact products set the bar for the rest.
+#: Candidates with the best estimates, reranked first, or more if more are asked for: their exact products set the bar
+#: for the rest.
 FIRST = 64
 
 
@@ -58,17 +59,18 @@ def search_block(rows: np.ndarray, ids: np.ndarray, x: np.ndarray, codes: np.nda
     signs = np.unpackbits(codes, axis=1, count=dim).astype(np.float32) * 2 - 1
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     step = max(1, (1 << 22) // max(1, len(rows)))  # estimates of 4 M pairs at a time
+    head = max(FIRST, k + 1)  # one of them may be the query's own row
     for at in range(0, len(query_rows), step):
         q = queries[at:at + step]
         estimates = ((q @ rotation(dim)).astype(np.float32) @ signs.T) * scale
         for i, qi in enumerate(query_rows[at:at + step]):
             e = estimates[i]
             e[rows == qi] = -np.inf
-            first = np.argpartition(-e, FIRST)[:FIRST] if len(e) > FIRST else np.arange(len(e))
+            first = np.argpartition(-e, head)[:head] if len(e) > head else np.arange(len(e))
             first = first[rows[first] != qi]
             score = products(x[first], q[i])
-            if len(e) > FIRST:
-                bar = np.partition(score, -k)[-k] if len(score) >= k else -np.inf
+            if len(e) > head:
+                bar = np.partition(score, -k)[-k]
                 e[first] = -np.inf
                 more = np.flatnonzero((e + BOUND * np.linalg.norm(q[i]) * spread >= bar) & (rows != qi))
                 first = np.concatenate([first, more])

@@ -105,6 +105,17 @@ def test_nearest_recall(spark, monkeypatch, shard, block):
     assert hits >= 0.99 * 20 * 30
 
 
+def test_more_neighbours_than_are_reranked_first(spark):
+    x = clustered(600, spread=0.6)
+    got, hits = ann.nearest(spark.createDataFrame(rows_of(x, np.zeros(600)), SCHEMA), F.col("vec_id") % 100 == 0, k=100).collect(), 0
+    for q in range(0, 600, 100):
+        mine = [r.vec_id for r in got if r.query_id == q]
+        assert len(mine) == len(set(mine)) == 100 and q not in mine
+        s = x.astype(np.float64) @ x[q].astype(np.float64)
+        hits += len(set(mine) & set([i for i in np.argsort(-s) if i != q][:100]))
+    assert hits >= 0.99 * 600
+
+
 def test_fewer_candidates_than_asked(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0], 1), (1, [2.0, 1.0], 1), (2, [2.0, 5.0], 1), (2, [2.0, 5.0], 1), (20, [1.0, 2.0, 3.0], 1)], SCHEMA)
     assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in ann.nearest(df, F.col("vec_id") % 20 == 0).collect()] == [(0, 1, 1, 2.0), (0, 2, 2, 2.0), (0, 3, 2, 2.0)]
