@@ -46,6 +46,12 @@ class Settings:
         return list(dict.fromkeys(min(b, size) for b in (*self.beams, 2 * self.beams[-1], 4 * self.beams[-1])))
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Each vector times the power of two that brings its largest component between a half and one. Cosines stay as
+    they are to the last bit, and no square of a very small or large component vanishes or overflows."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def _cosines(x: np.ndarray, nx: np.ndarray, i: np.ndarray, y: np.ndarray, ny: np.ndarray, j: np.ndarray) -> np.ndarray:
     out = np.empty(len(i))
     for a in range(0, len(i), 1 << 16):
@@ -184,7 +190,7 @@ def _inner(t: pa.Table, s: Settings, keep_graph: bool) -> pa.Table:
     """Links within one shard: for each node how many vectors it links to and its group's smallest node;
     with keep_graph one more row that holds the shard for the other shards' queries."""
     order = np.argsort(t["node"].to_numpy(), kind="stable")
-    nodes, copies, x = t["node"].to_numpy()[order], t["copies"].to_numpy()[order], matrix(t["embedding"])[order]
+    nodes, copies, x = t["node"].to_numpy()[order], t["copies"].to_numpy()[order], scaled(matrix(t["embedding"]))[order]
     shard = Shard(x)
     least = np.arange(len(x))
     i, j, dense = shard.links(x, s, own=True)

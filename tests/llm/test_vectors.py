@@ -57,6 +57,17 @@ def test_near_duplicates_equal_brute_force(spark, shard, block):
     assert got[None].n_links == 0 and got[None].component_id is None and not got[None].kept
 
 
+def test_very_small_and_large_components(spark):
+    x = np.random.default_rng(3).standard_normal((200, 16))
+    y = np.concatenate([x, x * 1e-200, x[:50] * 1e200])
+    same = embed_dedup.scaled(x)
+    assert np.array_equal(embed_dedup.scaled(x * 2.0**-700), same) and np.array_equal(embed_dedup.scaled(x * 2.0**900), same)
+    df = spark.createDataFrame([(i, v.tolist(), "a") for i, v in enumerate(y)], "vec_id long, embedding array<double>, label string")
+    for r in embed_dedup.near_duplicates(df).collect():
+        first = r.vec_id % 200
+        assert (r.n_links, r.component_id, r.kept) == (1 + (first < 50), first, r.vec_id == first)
+
+
 def test_crowded_group(spark):
     x = clustered(300, spread=0.02)
     x[:200] = x[0] + 0.01 * np.random.default_rng(2).standard_normal((200, 16)).astype(np.float32)
