@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from beaconlake.llm import ann, embed_dedup, mixing, packing, pii, secrets, simhash, tokens, toxicity, urls
+from beaconlake.llm import ann, embed_dedup, fim, mixing, packing, pii, secrets, simhash, tokens, toxicity, urls
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_pii": pii.op9_pii,
     "op10_nearest": ann.op10_nearest,
+    "op11_fim": fim.op11_fim,
 }
 ORACLES = {
     "op1_mix": mixing.OP1_SQL,
@@ -22,4 +23,5 @@ ORACLES = {
     "op9_pii": pii.OP9_SQL,
     "op10_nearest": ann.OP10_SQL,
     "op2_embedding_dedup": embed_dedup.OP2_SQL,
+    "op11_fim": fim.OP11_SQL,
 }

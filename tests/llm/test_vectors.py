@@ -201,7 +201,7 @@ def test_links_found_from_one_side_count_on_both(monkeypatch):
     nothing = np.zeros(0, np.int64)
 
     def links(self, q, s, own=False):
-        return (*np.nonzero(u.T), nothing) if q[0, 0] == y[0, 0] else (nothing, nothing, nothing)
+        return (*np.nonzero(u.T), nothing) if q[0, 0] == embed_dedup.scaled(y)[0, 0] else (nothing, nothing, nothing)
 
     monkeypatch.setattr(embed_dedup.Shard, "links", links)
     out = embed_dedup._across(pa.table({"shard_data": blobs}), Settings()).to_pandas().groupby("node")["links"].sum()
