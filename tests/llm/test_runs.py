@@ -100,7 +100,7 @@ def test_odd_rows(spark, tmp_path):
     df.write.parquet(f"{tmp_path}/documents.parquet")
     assert digests(runs.op13_runs(spark, str(tmp_path))) == sorted(((i, *plain(t, i)) for i, t, *_ in rows), key=repr)
     assert runs.find_runs(df.limit(0)).collect() == []
-    assert {r.collapsed for r in runs.find_runs(df.where("text LIKE 'b b%' OR text LIKE 'end%' OR text LIKE 'q%'")).collect()} == {"b", "end", "q"}
+    assert {r.collapsed for r in runs.find_runs(df.where("length(text) = 6000 OR text LIKE 'end%' OR text LIKE 'q%'")).collect()} == {"b", "end", "q"}
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the given tables are not here")
