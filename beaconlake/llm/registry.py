@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from beaconlake.llm import ann, embed_dedup, fim, mixing, packing, pii, runs, secrets, simhash, tokens, toxicity, urls
+from beaconlake.llm import ann, embed_dedup, fim, genetic, mixing, packing, pii, runs, secrets, simhash, tokens, toxicity, urls
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_pii": pii.op9_pii,
     "op10_nearest": ann.op10_nearest,
     "op11_fim": fim.op11_fim,
+    "op12_genetic": genetic.op12_genetic,
     "op13_runs": runs.op13_runs,
 }
 ORACLES = {
