@@ -20,16 +20,15 @@ FIELDS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id",
 
 
 def cut_lengths(n: int, capacity: int) -> list[int]:
-    """Piece lengths of a document of n ids: whole sequences, then the halves, quarters, ... of a
-    sequence that its remainder holds, so that full bins of these classes need no padding; what is
+    """Piece lengths of a document of n ids: whole sequences, then from what is left, again and again, the largest reciprocal
+    share capacity // k that it holds. A bin of class k takes k such pieces and needs less than k ids of padding. What is
     left under SMALLEST_CUT is one piece of its own class."""
     whole, rest = divmod(n, capacity)
-    lengths, part = [capacity] * whole, capacity // 2
-    while part >= SMALLEST_CUT and rest >= SMALLEST_CUT:
-        if rest >= part:
-            lengths.append(part)
-            rest -= part
-        part //= 2
+    lengths = [capacity] * whole
+    while rest >= SMALLEST_CUT:
+        share = capacity // (capacity // (rest + 1) + 1)
+        lengths.append(share)
+        rest -= share
     return lengths + [rest] * (rest > 0)
 
 
@@ -89,12 +88,13 @@ def pack(docs: DataFrame, capacity: int = 2048, end_id: int = 1, tokenizer: str
 
     One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and
     the ids if with_ids. Workers fill their bins independently and nothing is shuffled; sequence ids
-    hold the partition's number. A sequence is full, or its length is a power of two, or it is a full
-    bin of short tails with at most capacity / SMALLEST_CUT ids of padding. ``capacity`` is a power of two.
+    hold the partition's number. A sequence is full, or its length is a power of two, or it is a full bin of one
+    class k, with less than k ids of padding for pieces of a k-th and at most a k-th of the sequence for short tails
+    (k >= capacity / SMALLEST_CUT). ``capacity`` is a power of two.
 
     A null text counts as empty: its document is end_id alone. Ids may be null or repeat (each row is
-    packed by itself). Very long texts are cut like others. Other columns are ignored. An empty
-    table gives an empty result.
+    packed by itself). Very long texts are cut like others and encoded in parts (see count_tokens); a task holds all
+    ids of one text, four bytes each. Other columns are ignored. An empty table gives an empty result.
     """
     if capacity & (capacity - 1) or capacity < 2:
         raise ValueError("capacity must be a power of two")
