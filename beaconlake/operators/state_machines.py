@@ -1,7 +1,7 @@
-"""The two state machines that no window expresses: aircraft that stay in few cells, and stations that move.
+"""The two state machines: aircraft that stay in few cells, and stations that move.
 
-Both read partitions sorted by key and arrival and hold one key's small state at a time, so a key's rows
-never have to fit in memory.
+What windows can't settle reads partitions sorted by key and arrival and holds one key's small state at a time, so
+a key's rows never have to fit in memory.
 """
 
 from __future__ import annotations
@@ -10,11 +10,13 @@ import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from beaconlake.config import DEFAULT, Config
 from beaconlake.functions.geo import EARTH_KM
+from beaconlake.sources.shared import written
 
 
 def fold(rows: DataFrame, key: str, order: str, columns: list[str], start: Callable[[], object], step: Callable, out: dict[str, str]) -> DataFrame:
@@ -41,23 +43,89 @@ class _Cells:
         self.packets = 0
 
 
-def _cell_step(s: _Cells, cell, first) -> tuple[bool]:
-    if not first:
-        return (False,)
-    if cell not in s.cells:
-        s.cells.append(cell)
-    if len(s.cells) > 4:
-        s.cells.pop(0)
-        s.packets = 0
-    else:
-        s.packets += 1
-    return (s.packets / len(s.cells) > 90,)
+def _cell_step(limit: int, most: int) -> Callable:
+    def step(s: _Cells, cell, first, known) -> tuple[bool]:
+        if known is not None:
+            s.cells, s.packets = list(known), 0
+            return (False,)
+        if not first:
+            return (False,)
+        if cell not in s.cells:
+            s.cells.append(cell)
+        if len(s.cells) > most:
+            s.cells.pop(0)
+            s.packets = 0
+        else:
+            s.packets += 1
+        return (s.packets / len(s.cells) > limit,)
+
+    return step
 
 
-def h3_stationary(packets: DataFrame, aircraft: str = "aircraft", order: str = "seq", cell: str = "cell10", first: str = "first") -> DataFrame:
-    """Adds h3_stationary: over 90 first packets for each of the aircraft's last up to four cells. A fifth cell
-    evicts the oldest and starts the count anew; packets that are not first are never stationary."""
-    return fold(packets, aircraft, order, [cell, first], _Cells, _cell_step, {"h3_stationary": "boolean"})
+def _segments(packets: DataFrame, aircraft: str, order: str, first: Column, cell: str, forgotten: Column, stretch: Column, most: int) -> DataFrame:
+    """Adds in_ (the cell of a packet that counts), known_ (the cells in the aircraft's record after a packet, where they
+    follow from the last few packets alone) and segment_, the order of the packet at which a new count began."""
+    rows = packets.withColumns({"stretch_": stretch, "in_": F.when(first, F.col(cell)), "new_": forgotten})
+    whole = Window.partitionBy(aircraft, "stretch_").orderBy(order)
+    up_to = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("episode_", F.sum(F.col("new_").cast("int")).over(up_to(whole)))
+    own = Window.partitionBy(aircraft, "stretch_", "episode_").orderBy(order)
+    before = own.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("c1_", F.last("in_", ignorenulls=True).over(before))
+    rows = rows.withColumn("entered_", F.col("in_").isNotNull() & (F.col("c1_").isNull() | (F.col("c1_") != F.col("in_"))))
+    rows = rows.withColumn("n_", F.sum(F.col("entered_").cast("int")).over(up_to(own))).withColumn("at_", F.when(F.col("entered_"), F.col("in_")))
+    same = Window.partitionBy(aircraft, "stretch_", "episode_", "at_").orderBy(order)
+    rows = rows.withColumn("last_", F.when(F.col("entered_"), F.coalesce(F.lag("n_").over(same), F.lit(0))))
+    known = [F.col("in_"), F.col("c1_")]
+    for i in range(2, most):
+        rows = rows.withColumn(f"c{i}_", F.last(F.when(F.col("entered_"), F.col(f"c{i - 1}_")), ignorenulls=True).over(before))
+        known.append(F.col(f"c{i}_"))
+    different = F.col("n_") - F.max("last_").over(up_to(own))  # cells entered in a row, no two of them equal
+    rows = rows.withColumn("known_", F.when(F.col("entered_") & (different >= 3 * most), F.array(*reversed(known))))
+    rows = rows.withColumn("bound_", F.max(F.when(F.col("new_") | F.col("known_").isNotNull(), F.col(order))).over(up_to(whole)))
+    made = written(rows.select(*packets.columns, "stretch_", "in_", "known_", "bound_"), "cells")
+    ends = made.groupBy(F.col(aircraft).alias("a_"), F.col("stretch_").alias("s_")).agg(F.max("bound_").alias("end_"))
+    carried = ends.select("a_", "s_", F.max("end_").over(Window.partitionBy("a_").orderBy("s_").rowsBetween(Window.unboundedPreceding, -1)).alias("carried_"))
+    joined = made.join(carried, F.col(aircraft).eqNullSafe(F.col("a_")) & (F.col("stretch_") == F.col("s_")))
+    return joined.withColumn("segment_", F.coalesce("bound_", "carried_", F.lit(-(1 << 62)))).drop("a_", "s_", "carried_", "bound_", "stretch_")
+
+
+def h3_stationary(packets: DataFrame, aircraft: str = "aircraft", order: str = "seq", cell: str = "cell10", first: str = "first", forgotten: str | None = None,
+                  standing: Column | None = None, arrival: Column | None = None, forget: int = DEFAULT.forget_seconds, limit: int = 90, most: int = 4) -> DataFrame:
+    """Adds h3_stationary: over ``limit`` first packets for each of the aircraft's last up to ``most`` cells. A fifth cell
+    evicts the one that came first and starts the count anew, and so does a ``forgotten`` packet with an empty record.
+    Packets that are not first, and standing ones, are never stationary; standing ones matter where they are forgotten.
+
+    An aircraft's history falls apart into segments with a count of their own. They begin where it was forgotten, and where
+    three times ``most`` different cells were entered in a row: whatever was known before, the record then holds the last
+    ``most`` of them and a count of nothing. Aircraft that fly enter new cells all the time, so their segments are short, and
+    those with no more first packets than the limit are settled by counting. Of the long ones, those that never evict a
+    cell are settled by the places of their first few hundred packets. Only what is left is walked through packet by packet,
+    a segment to a task. With ``arrival``, as in with_gaps, all windows are of bounded stretches of time. Null is an aircraft too.
+    """
+    moves = F.col(first) if standing is None else F.col(first) & ~F.coalesce(standing, F.lit(False))
+    stretch = F.floor(arrival / forget) if arrival is not None else F.lit(0).cast("long")
+    rows = _segments(packets, aircraft, order, F.coalesce(moves, F.lit(False)), cell, F.coalesce(F.col(forgotten), F.lit(False)) if forgotten else F.lit(False), stretch, most)
+    counted = rows.where("in_ IS NOT NULL")
+    each = counted.select(F.col(aircraft).alias("a_"), F.col("segment_").alias("g_"), F.col(order).alias("o_"), "known_", F.explode(F.coalesce("known_", F.array("in_"))).alias("c_"))
+    cells = each.groupBy("a_", "g_", "c_").agg(F.min("o_").alias("o_"), F.count_if(F.col("known_").isNull()).alias("n_"), F.count_if(F.col("known_").isNotNull()).alias("k_"))
+    of = Window.partitionBy("a_", "g_")
+    cells = cells.select("*", F.row_number().over(of.orderBy("o_", "c_")).alias("rank_"), F.sum("n_").over(of).alias("total_"), F.max("k_").over(of).alias("full_"))
+    long = cells.where((F.col("rank_") <= most + 1) & (F.col("total_") > limit * F.when(F.col("full_") > 0, most).otherwise(1)))
+    long = written(long.groupBy("a_", "g_").agg(F.array_sort(F.collect_list("o_")).alias("entries_")), "segments")  # at most five of a segment
+    here = F.col(aircraft).eqNullSafe(F.col("a_")) & (F.col("segment_") == F.col("g_"))
+    stays = counted.where("known_ IS NULL").join(long.where(F.size("entries_") <= most), here).select("a_", "g_", F.col(order).alias("o_"))
+    place = stays.withColumn("rank_", F.row_number().over(of.orderBy("o_"))).where(F.col("rank_") <= limit * most + 1)
+    from_ = place.groupBy(F.col("a_").alias("b_"), F.col("g_").alias("h_")).agg(F.array(*[F.max(F.when(F.col("rank_") == limit * n + 1, F.col("o_"))) for n in range(1, most + 1)]).alias("from_"))
+    settled = long.join(from_, F.col("a_").eqNullSafe(F.col("b_")) & (F.col("g_") == F.col("h_")), "left").select("a_", "g_", "entries_", "from_")
+    at = rows.join(settled, here, "left").drop("a_", "g_")
+    walked = F.coalesce(F.size("entries_") > most, F.lit(False))
+    now = F.size(F.filter("entries_", lambda x: x <= F.col(order)))
+    start = F.coalesce(F.element_at("from_", F.greatest(now, F.lit(1))) <= F.col(order), F.lit(False))
+    quick = at.where(~walked).withColumn("h3_stationary", F.col("in_").isNotNull() & F.col("known_").isNull() & start)
+    hard = at.where(walked).withColumn("key_", F.concat_ws("/", F.coalesce(F.col(aircraft).cast("string"), F.lit("")), F.col("segment_").cast("string"))).withColumns({"first_": F.col("in_").isNotNull(), "in_": F.coalesce("in_", F.lit(0))})
+    slow = fold(hard.select(*packets.columns, "in_", "known_", "key_", "first_"), "key_", order, ["in_", "first_", "known_"], _Cells, _cell_step(limit, most), {"h3_stationary": "boolean"})
+    return quick.select(*packets.columns, "h3_stationary").unionByName(slow.select(*packets.columns, "h3_stationary"))
 
 
 def distance_km(a: tuple[float, float], b: tuple[float, float]) -> float:

@@ -185,15 +185,18 @@ ln AS (SELECT *, CASE WHEN k % 17 = 3 THEN 'FNB7' WHEN k % 17 = 5 THEN '12345' E
        WHEN k % 22 = 1 THEN 'ignoredTracker' WHEN k % 4 = 1 THEN 'ignoredStationary' END AS pre FROM pkt WHERE k < 94),
 s AS (SELECT *, pre IS NOT NULL AS still, sum((pre IS NOT NULL)::INT) OVER (PARTITION BY aircraft ORDER BY seq) AS island FROM ln WHERE pre IS NULL OR pre = 'ignoredStationary'),
 w AS (SELECT *, last_value(CASE WHEN NOT still THEN ts_s END IGNORE NULLS) OVER (PARTITION BY station, aircraft ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev0,
-        max(ts_s) OVER (PARTITION BY aircraft, island ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen0 FROM s),
-f AS (SELECT *, CASE WHEN ts_s - prev0 <= 43200 THEN prev0 END AS prev, CASE WHEN ts_s - seen0 <= 43200 THEN seen0 END AS seen FROM w),
+        max(ts_s) OVER (PARTITION BY aircraft, island ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen0,
+        max(ts_s) OVER (PARTITION BY aircraft, island ORDER BY seq) AS state FROM s),
+f AS (SELECT *, CASE WHEN ts_s - prev0 <= 43200 THEN prev0 END AS prev, CASE WHEN ts_s - seen0 <= 43200 THEN seen0 END AS seen, coalesce(ts_s - lag(state) OVER (PARTITION BY aircraft ORDER BY seq) > 43200, TRUE) AS anew FROM w),
+f2 AS (SELECT *, sum(anew::INT) OVER (PARTITION BY aircraft ORDER BY seq) AS life FROM f),
 g AS MATERIALIZED (SELECT *, (CASE WHEN prev IS NOT NULL THEN least(60, ts_s - prev) ELSE least(60, greatest(1, ts_s - coalesce(seen, ts_s))) END)::INT AS gap, coalesce(seen < ts_s, TRUE) AS first,
-  floor((lat + 90) * 60)::BIGINT * 21600 + floor((lng + 180) * 60)::BIGINT AS spot, row_number() OVER (PARTITION BY aircraft ORDER BY seq) AS rn FROM f WHERE NOT still),
-fsm AS (SELECT DISTINCT aircraft, 0::BIGINT AS rn, []::BIGINT[] AS cells, 0 AS n, FALSE AS stays FROM g UNION ALL
-  SELECT aircraft, rn, CASE WHEN len(c2) > 4 THEN c2[2:] ELSE c2 END, CASE WHEN NOT first THEN n WHEN len(c2) > 4 THEN 0 ELSE n + 1 END,
+  floor((lat + 90) * 60)::BIGINT * 21600 + floor((lng + 180) * 60)::BIGINT AS spot, row_number() OVER (PARTITION BY aircraft ORDER BY seq) AS rn FROM f2 WHERE NOT still),
+fsm AS (SELECT DISTINCT aircraft, 0::BIGINT AS rn, 0::HUGEINT AS life, []::BIGINT[] AS cells, 0 AS n, FALSE AS stays FROM g UNION ALL
+  SELECT aircraft, rn, life, CASE WHEN len(c2) > 4 THEN c2[2:] ELSE c2 END, CASE WHEN NOT first THEN n WHEN len(c2) > 4 THEN 0 ELSE n + 1 END,
          first AND len(c2) <= 4 AND (n + 1)::DOUBLE / len(c2) > 90 FROM
-  (SELECT g.aircraft, g.rn, g.first, fsm.n, CASE WHEN NOT g.first OR list_contains(fsm.cells, g.spot) THEN fsm.cells ELSE list_append(fsm.cells, g.spot) END AS c2
-   FROM fsm JOIN g ON g.aircraft = fsm.aircraft AND g.rn = fsm.rn + 1)),
+  (SELECT aircraft, rn, life, first, n, CASE WHEN NOT first OR list_contains(cells, spot) THEN cells ELSE list_append(cells, spot) END AS c2 FROM
+   (SELECT g.aircraft, g.rn, g.life, g.first, g.spot, CASE WHEN g.life = fsm.life THEN fsm.n ELSE 0 END AS n, CASE WHEN g.life = fsm.life THEN fsm.cells ELSE []::BIGINT[] END AS cells
+    FROM fsm JOIN g ON g.aircraft = fsm.aircraft AND g.rn = fsm.rn + 1))),
 t AS (SELECT g.*, fsm.stays, (lng + 180) / 360 * 2048 AS x, (1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 * 2048 AS y FROM g JOIN fsm ON g.aircraft = fsm.aircraft AND g.rn = fsm.rn),
 u AS (SELECT *, floor(x)::INT AS tx, floor(y)::INT AS ty, floor((y - floor(y)) * 2)::INT * 2 + floor((x - floor(x)) * 2)::INT AS px FROM t),
 j AS (SELECT *, CASE WHEN stays THEN 'ignoredH3stationary' WHEN signal <= 0 THEN 'ignoredSignal0' WHEN ty % 3 <> 0 AND (tx * 3 + ty) % 7 = 3 THEN 'ignoredElevation' ELSE 'count' END AS reason,
@@ -685,14 +688,36 @@ def station_moved_fsm(spark, sf):
     return station_moves(I.beacons(spark, sf)).select("seq", "station_id", "move", "moved", "bouncing")
 
 
-@query(GAP.replace("WITH e AS", "WITH RECURSIVE e AS", 1) + """, n AS MATERIALIZED (SELECT *, CASE WHEN aircraft < 8 THEN k % 3 ELSE k END AS spot, row_number() OVER (PARTITION BY aircraft ORDER BY seq) AS rn FROM gp),
- fsm AS (SELECT DISTINCT aircraft, 0::BIGINT AS rn, 0::BIGINT AS seq, FALSE AS first, []::INT[] AS cells, 0 AS n, FALSE AS stays FROM n UNION ALL
-  SELECT aircraft, rn, seq, first, CASE WHEN len(c2) > 4 THEN c2[2:] ELSE c2 END, CASE WHEN NOT first THEN n WHEN len(c2) > 4 THEN 0 ELSE n + 1 END, first AND len(c2) <= 4 AND (n + 1)::DOUBLE / len(c2) > 90 FROM
-  (SELECT g.aircraft, g.rn, g.seq, g.first, fsm.n, CASE WHEN NOT g.first OR list_contains(fsm.cells, g.spot) THEN fsm.cells ELSE list_append(fsm.cells, g.spot) END AS c2 FROM fsm JOIN n g ON g.aircraft = fsm.aircraft AND g.rn = fsm.rn + 1))
- SELECT seq, aircraft, first, stays AS h3_stationary FROM fsm WHERE rn > 0""")
+_CELL_STEPS = """ fsm AS (SELECT DISTINCT aircraft, 0::BIGINT AS rn, 0::BIGINT AS seq, 0::HUGEINT AS life, FALSE AS first, []::BIGINT[] AS cells, 0 AS n, FALSE AS stays FROM n UNION ALL
+  SELECT aircraft, rn, seq, life, first, CASE WHEN len(c2) > 4 THEN c2[2:] ELSE c2 END, CASE WHEN NOT first THEN n WHEN len(c2) > 4 THEN 0 ELSE n + 1 END, first AND len(c2) <= 4 AND (n + 1)::DOUBLE / len(c2) > 90 FROM
+  (SELECT aircraft, rn, seq, life, first, n, CASE WHEN NOT first OR list_contains(cells, spot) THEN cells ELSE list_append(cells, spot) END AS c2 FROM
+   (SELECT g.aircraft, g.rn, g.seq, g.life, g.first, g.spot, CASE WHEN g.life = fsm.life THEN fsm.n ELSE 0 END AS n, CASE WHEN g.life = fsm.life THEN fsm.cells ELSE []::BIGINT[] END AS cells FROM fsm JOIN n g ON g.aircraft = fsm.aircraft AND g.rn = fsm.rn + 1)))
+ SELECT seq, aircraft, first, stays AS h3_stationary FROM fsm WHERE rn > 0"""
+
+
+@query(GAP.replace("WITH e AS", "WITH RECURSIVE e AS", 1) + ", n AS MATERIALIZED (SELECT *, CASE WHEN aircraft < 8 THEN k % 3 ELSE k END AS spot, sum((seen IS NULL)::INT) OVER (PARTITION BY aircraft ORDER BY seq) AS life, row_number() OVER (PARTITION BY aircraft ORDER BY seq) AS rn FROM gp)," + _CELL_STEPS)
 def h3_stationary_fsm(spark, sf):
     p = I.gapped(spark, sf).withColumn("cell10", F.when(F.col("aircraft") < 8, F.col("k") % 3).otherwise(F.col("k")))
-    return h3_stationary(p).select("seq", "aircraft", "first", "h3_stationary")
+    return h3_stationary(p, forgotten="forgotten", arrival=F.col("pts")).select("seq", "aircraft", "first", "h3_stationary")
+
+
+@query(PKT.replace("WITH e AS", "WITH RECURSIVE e AS", 1) + """,
+ q AS (SELECT seq, user_id % 4 AS aircraft, (1704067200 + seq * 20 + seq // 1500 * 46800)::BIGINT AS t, k % 16 = 5 AS still,
+   CASE user_id % 4 WHEN 0 THEN k % 3 WHEN 1 THEN k * 101 + seq % 101 WHEN 2 THEN CASE WHEN k = 50 THEN seq % 11 ELSE 100 + k % 2 END ELSE k % 4 END AS spot FROM pkt WHERE k % 16 = 5 OR seq % 1500 > 0),
+ s AS (SELECT *, coalesce(t - lag(t) OVER (PARTITION BY aircraft ORDER BY seq) > 43200, TRUE) AS anew FROM q), l AS (SELECT *, sum(anew::INT) OVER (PARTITION BY aircraft ORDER BY seq) AS life, TRUE AS first FROM s),
+ n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY aircraft ORDER BY seq) AS rn FROM l WHERE NOT still),""" + _CELL_STEPS)
+def h3_stationary_after_silence(spark, sf):
+    """Aircraft that stay in a few cells, hop or fly on, all silent for thirteen hours now and then: what was known of their
+    cells is forgotten, also where a standing packet is the first that is heard again."""
+    from beaconlake.operators.gaps import with_gaps
+
+    p = I.packets(spark, sf).where("k % 16 = 5 OR seq % 1500 > 0")
+    kind = F.col("user_id") % 4
+    spot = (F.when(kind == 0, F.col("k") % 3).when(kind == 1, F.col("k") * 101 + F.col("seq") % 101)
+            .when(kind == 2, F.when(F.col("k") == 50, F.col("seq") % 11).otherwise(100 + F.col("k") % 2)).otherwise(F.col("k") % 4))
+    p = p.select("seq", kind.alias("aircraft"), "station_id", (F.lit(I.START) + F.col("seq") * 20 + F.floor(F.col("seq") / 1500) * 46800).alias("t"), (F.col("k") % 16 == 5).alias("still"), spot.cast("long").alias("cell10"))
+    gapped = with_gaps(p, ts="t", standing=F.col("still"), arrival=F.col("t"))
+    return h3_stationary(gapped, forgotten="forgotten", standing=F.col("still"), arrival=F.col("t")).where("NOT still").select("seq", "aircraft", "first", "h3_stationary")
 
 
 # streams
