@@ -736,11 +736,68 @@ def streaming_ingest(spark, sf):
     from beaconlake.streaming.coverage import replay_lines
 
     lines = I.feed_lines(spark, sf, True)
-    half = lines.agg(F.max("seq")).first()[0] // 2
-    table = replay_lines(lines, I.tiles(spark, sf), I.grid_cell, half).where("acc_type = 'yearnz'").withColumn("station_id", F.substring("station", 3, 9).cast("int"))
+    table = replay_lines(lines, I.tiles(spark, sf), I.grid_cell, _middle(lines)).where("acc_type = 'yearnz'").withColumn("station_id", F.substring("station", 3, 9).cast("int"))
     return V.global_cells(V.merge(table, "cell7", "station_id"), "cell7")
 
 
+@query(_INGEST.replace("(SELECT station, substr", "(SELECT ts_s, station, substr") + f""", k AS (SELECT *, year(t) AS y, month(t) - 1 AS m0, day(t) AS d FROM (SELECT h.*, make_timestamp(h.ts_s * 1000000) AS t FROM heard h)),
+ b AS (SELECT *, 'day' AS acc_type, {_FILE_SQL['day']} AS file FROM k UNION ALL SELECT *, 'month', {_FILE_SQL['month']} FROM k),
+ per AS ({part('acc_type', 'file', 'cell7', 'station_id', frm='b')}) """ + cells_sql("per", "acc_type", "file", "cell7"))
+def streaming_changeover(spark, sf):
+    """Feed lines in three batches: buckets by arrival, rolled up when their period is over, the open one on top."""
+    from beaconlake.streaming.coverage import replay_lines
+
+    lines = I.feed_lines(spark, sf, True)
+    ends = lines.agg(F.max("seq")).first()[0]
+    table = replay_lines(lines, I.tiles(spark, sf), I.grid_cell, ends // 3, 2 * ends // 3).where("acc_type IN ('day', 'month')").withColumn("station_id", F.substring("station", 3, 9).cast("int"))
+    return V.global_cells(V.merge(table, "acc_type", "file", "cell7", "station_id"), "acc_type", "file", "cell7")
+
+
+@query(_INGEST + """, c AS (SELECT count(*) FILTER (WHERE k NOT IN (97, 98)) AS "rawCount", count(*) FILTER (WHERE k = 95) AS "invalidPacket" FROM pkt),
+ r AS (SELECT reason AS counter, count(*) AS value FROM fate WHERE reason <> 'count' GROUP BY reason UNION ALL SELECT 'count', count(*) FROM fate WHERE reason IN ('count', 'ignoredElevation')
+ UNION ALL SELECT 'rawCount', "rawCount" FROM c UNION ALL SELECT 'invalidPacket', "invalidPacket" FROM c) SELECT counter, value FROM r WHERE value > 0""")
+def streaming_counters(spark, sf):
+    """All of the feed's counters as the stream's batches observed them, kept as a table and summed."""
+    from beaconlake.streaming.coverage import replay_lines
+    from beaconlake.streaming.metrics import read_metrics, totals
+
+    lines, at = I.feed_lines(spark, sf, True), new_path(spark, "metrics")
+    replay_lines(lines, I.tiles(spark, sf), I.grid_cell, _middle(lines), metrics=at)
+    return totals(read_metrics(spark, at)).where("value > 0")
+
+
+def _station_beacons(spark, sf) -> DataFrame:
+    """Each location beacon, and a status beacon behind it."""
+    b = I.beacons(spark, sf)
+    k = I.packets(spark, sf).select("seq", "k")
+    place = b.select((F.col("seq") * 2).alias("seq"), F.col("ts_s").alias("ts"), F.col("station_id").alias("station"), "lat", "lng", F.lit(None).cast("string").alias("status"))
+    text = b.join(k, "seq").select((F.col("seq") * 2 + 1).alias("seq"), F.col("ts_s").alias("ts"), F.col("station_id").alias("station"), F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lng"), F.concat(F.lit("beacon "), F.col("k").cast("string")).alias("status"))
+    return place.unionByName(text)
+
+
+def _middle(rows: DataFrame) -> int:
+    return rows.agg(F.max("seq")).first()[0] // 2
+
+
+@query(SQL["station_moved_fsm"])
+def streaming_station_moves(spark, sf):
+    """What is known after each location beacon, on two streams with a restart from the stored documents between."""
+    from beaconlake.streaming.stations import replay_beacons
+
+    b = _station_beacons(spark, sf)
+    return replay_beacons(b, _middle(b))[1].where("seq % 2 = 0").select(F.col("seq").cast("long").alias("s"), "station", "move", "moved", "bouncing").select((F.col("s") / 2).cast("long").alias("seq"), F.col("station").alias("station_id"), "move", "moved", "bouncing")
+
+
+@query(SQL["station_moved_fsm"].replace(" SELECT seq, station_id, move, moved, bouncing FROM f", """, l AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY station_id ORDER BY seq DESC) = 1)
+ SELECT l.station_id, move, moved, bouncing, 'beacon ' || k AS status, ts_s AS last_beacon, ts_s AS last_location, round(pla, 9) AS primary_lat FROM l JOIN pkt USING (seq)"""))
+def streaming_station_documents(spark, sf):
+    """The stations' documents after both streams: one upsert by station for each batch."""
+    from beaconlake.streaming.stations import replay_beacons
+
+    b = _station_beacons(spark, sf)
+    return replay_beacons(b, _middle(b))[0].select(F.col("station").alias("station_id"), "move", "moved", "bouncing", "status", "last_beacon", "last_location", F.round("primary_lat", 9).alias("primary_lat"))
+
+
 # files
 
 _FINAL = GAP + f", p AS ({part('station_id', 'cell8')}), c AS (SELECT station_id, cell8 AS h3, min_agl, min_alt, min_alt_sig, max_sig, {AVG}, count FROM p)"

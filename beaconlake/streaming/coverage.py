@@ -1,51 +1,53 @@
 """The coverage engine on a stream of packets.
 
-Gaps and standing aircraft need state that outlives a batch; it is kept per aircraft, which sees its packets in
-order of arrival. The aggregate itself needs none: each batch's partial records are merged into the tables.
+Gaps and cells need state that outlives a batch; it is kept per aircraft, which sees its packets in order of arrival, and
+goes when the clock of arrival says so. The aggregate itself needs none: each batch's partial records are merged into
+bucket tables, and a bucket that is over is rolled up into day, month, year and season once and removed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
-from operator import and_, or_
 
 import pandas as pd
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
-from pyspark.sql.types import LongType, StructField, StructType
 
 from beaconlake.config import DEFAULT, Config
+from beaconlake.functions import buckets as B
 from beaconlake.functions import cells as C
 from beaconlake.functions import packets as P
-from beaconlake.functions.buckets import ROLLED
 from beaconlake.functions.once import once
 from beaconlake.operators import coverage as V
 from beaconlake.operators.disposition import REASONS, before_state
 from beaconlake.operators.ingest import routed
 from beaconlake.operators.rollup import into_buckets
 from beaconlake.sources.elevation import with_ground
+from beaconlake.sources.files import write_coverage
 from beaconlake.sources.shared import new_path
+from beaconlake.streaming.tables import PARTITIONS, BucketTable, State, buckets_of, latest, merge_into
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-#: Columns that coverage tables are partitioned by.
-PARTITIONS = {"acc_type": "string", "bucket": "int"}
 GAPS = "gap int, first boolean, h3_stationary boolean"
+#: How far arrivals may be out of order before Spark takes them for late and drops them.
+ARRIVAL_DELAY = "1 hour"
+#: What a record of the ingested coverage is of.
+KEYS = (*PARTITIONS, "file", "cell7", "station")
 
 
 class AircraftState(StatefulProcessor):
-    """What is known of an aircraft: when it was last seen, its packets at each station, its recent cells."""
+    """What is known of an aircraft: when it was last seen, its packets at each station, its recent cells. All of it is
+    forgotten after a silence: by the packet that ends it, or by a timer on the clock of arrival if none comes."""
 
     def __init__(self, carried: list[str], station_type: str, config: Config = DEFAULT):
         self.carried, self.station_type, self.config = carried, station_type, config
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        ttl = self.config.forget_seconds * 1000
-        self.seen = handle.getValueState("seen", "ts long", ttl)
-        self.heard = handle.getMapState("heard", f"station {self.station_type}", "ts long", ttl)
-        self.cells = handle.getValueState("cells", "cells array<long>, packets int", ttl)
+        self.handle = handle
+        self.seen = handle.getValueState("seen", "ts long")
+        self.heard = handle.getMapState("heard", f"station {self.station_type}", "ts long")
+        self.cells = handle.getValueState("cells", "cells array<long>, packets int")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values("seq")
@@ -54,7 +56,7 @@ class AircraftState(StatefulProcessor):
         out, heard = [], {}
         for r in batch.itertuples():
             if seen and r.ts - seen > self.config.forget_seconds:
-                seen = 0
+                seen, cells, packets = 0, [], 0
             if r.standing:
                 seen = r.ts
                 continue
@@ -83,91 +85,30 @@ class AircraftState(StatefulProcessor):
         if seen:
             self.seen.update((seen,))
         self.cells.update((cells, packets))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(int(batch["received"].max() + self.config.forget_seconds) * 1000)
         yield pd.DataFrame(out, columns=[*self.carried, "gap", "first", "h3_stationary"])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        for kept in (self.seen, self.heard, self.cells):
+            kept.clear()
+        yield pd.DataFrame()
+
     def close(self) -> None:
         pass
 
 
 def stream_gaps(packets: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """Adds gap, first and h3_stationary to a stream that has seq, aircraft, station_id, ts, cell and standing; standing
-    packets go no further. Other columns are carried along."""
-    conf = packets.sparkSession.conf
-    conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # else clocks that only expire state keep a bounded run from ending
+    """Adds gap, first and h3_stationary to a stream that has seq, received, aircraft, station_id, ts, cell and standing;
+    standing packets go no further. Other columns are carried along. received is the time of arrival in seconds, the clock on
+    which silent aircraft are forgotten: a replay of old packets forgets as the live run did."""
+    packets.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     carried = [c for c in packets.columns if c not in ("cell", "standing")]
     kinds = dict(packets.dtypes)
     out = ", ".join([*(f"{c} {kinds[c]}" for c in carried), GAPS])
-    return packets.groupBy("aircraft").transformWithStateInPandas(AircraftState(carried, kinds["station_id"], config), out, "Append", "ProcessingTime")
-
-
-def _manifest(spark: SparkSession, path: str) -> tuple[dict[tuple, int], int]:
-    """Which batch wrote the live version of each bucket's partition, and the newest batch that is complete (-1: none)."""
-    try:
-        every = spark.read.schema(f"{', '.join(f'{c} {t}' for c, t in PARTITIONS.items())}, data_batch long, batch long").parquet(f"{path}/manifest")
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return {}, -1
-    last = every.agg(F.max("batch")).first()[0]
-    if last is None:
-        return {}, -1
-    rows = every.where(F.col("batch") == last).collect()  # one row for each bucket
-    return {tuple(r[c] for c in PARTITIONS): r.data_batch for r in rows if r.data_batch is not None}, last
-
-
-def _live(spark: SparkSession, path: str, schema: StructType, parts: dict[tuple, int]) -> DataFrame:
-    """The rows of some partitions. The conditions are on partition columns: no other file is opened."""
-    one = lambda k, batch: reduce(and_, [F.col(c) == F.lit(v) for c, v in zip(PARTITIONS, k, strict=True)], F.col("data_batch") == batch)
-    rows = spark.read.schema(StructType([*schema.fields, StructField("data_batch", LongType())])).parquet(f"{path}/data")
-    return rows.where(reduce(or_, [one(k, b) for k, b in parts.items()])).drop("data_batch")
-
-
-def merge_into(path: str, keys: tuple[str, ...]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that merges a batch's partial records into the table at ``path``.
-
-    The table is partitioned by type and bucket. Only the partitions that a batch touches are read, merged and
-    written, under the batch's number; then one small file lists the live version of every bucket. That file makes
-    the batch count: before it readers see the table as it was, and a batch that is run again after it changes
-    nothing. Versions that were replaced stay until the table is moved by compact().
-    """
-
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        parts, last = _manifest(spark, path)
-        if last >= batch_id:
-            return
-        new = V.merge(batch, *keys).persist()
-        touched = [tuple(r) for r in new.select(*PARTITIONS).distinct().collect()]  # the buckets of one batch
-        old = {k: parts[k] for k in touched if k in parts}
-        rows = V.merge(new.unionByName(_live(spark, path, new.schema, old)), *keys) if old else new
-        rows.write.mode("overwrite").partitionBy(*PARTITIONS).parquet(f"{path}/data/data_batch={batch_id}")
-        parts |= dict.fromkeys(touched, batch_id)
-        listed = [(*k, b) for k, b in parts.items()] or [(None,) * (len(PARTITIONS) + 1)]
-        kinds = ", ".join(f"{c} {t}" for c, t in PARTITIONS.items())
-        spark.createDataFrame(listed, f"{kinds}, data_batch long").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/batch={batch_id}")
-        new.unpersist()
-
-    return merge
-
-
-def latest(spark: SparkSession, path: str) -> DataFrame | None:
-    """The table as the newest complete batch left it, or None before the first."""
-    parts, last = _manifest(spark, path)
-    if last < 0 or not parts:
-        return None
-    schema = spark.read.parquet(f"{path}/data").drop("data_batch").schema
-    return _live(spark, path, schema, parts)
-
-
-def compact(spark: SparkSession, path: str, target: str) -> None:
-    """Writes the live records alone as a new table, after which the old one may be removed."""
-    parts, last = _manifest(spark, path)
-    rows = latest(spark, path)
-    if rows is not None:
-        rows.write.mode("overwrite").partitionBy(*PARTITIONS).parquet(f"{target}/data/data_batch={last}")
-        kinds = ", ".join(f"{c} {t}" for c, t in PARTITIONS.items())
-        spark.createDataFrame([(*k, last) for k in parts], f"{kinds}, data_batch long").coalesce(1).write.mode("overwrite").parquet(f"{target}/manifest/batch={last}")
+    clocked = packets.withColumn("arrived_", F.timestamp_seconds("received")).withWatermark("arrived_", ARRIVAL_DELAY)
+    return clocked.groupBy("aircraft").transformWithStateInPandas(AircraftState(carried, kinds["station_id"], config), out, "Append", "EventTime")
 
 
 def stream_coverage(packets: DataFrame, path: str, checkpoint: str, ts: str = "ts_s", station: str = "station_id", available_now: bool = True) -> StreamingQuery:
@@ -176,7 +117,7 @@ def stream_coverage(packets: DataFrame, path: str, checkpoint: str, ts: str = "t
     keys = (*PARTITIONS, "file", "cell7", station)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        merge_into(path, keys)(V.partial(into_buckets(batch, ts, ROLLED), *keys), batch_id)
+        merge_into(path, keys)(V.partial(into_buckets(batch, ts, B.ROLLED), *keys), batch_id)
 
     watched = packets.observe("coverage", F.count(F.lit(1)).alias("packets"), F.max(ts).alias("last_packet"))  # in each progress report
     return _started(watched.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint), available_now)
@@ -186,10 +127,62 @@ def _started(writer, available_now: bool) -> StreamingQuery:
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="5 minutes")).start()
 
 
-def stream_ingest(lines: DataFrame, tiles: DataFrame, path: str, checkpoint: str, index: Callable | None = None, config: Config = DEFAULT, available_now: bool = True) -> StreamingQuery:
-    """Feed lines to coverage on a stream: the rules without state, each aircraft's state, elevation, and the merge
-    into the tables of all buckets. lines has seq, received and value. Each progress report has the counters of the
-    rules without state as ``feed``."""
+def roll_over(path: str, keys: tuple[str, ...], output: str | None = None, stations: DataFrame | None = None) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that counts packets in the bucket of their arrival, and rolls buckets up when they are over.
+
+    A batch has received, the time of arrival, and what a partial record is made of. It changes the open bucket alone, whatever
+    times its packets bear. With the first packet of a new period the buckets before it are merged into their day, month,
+    year and season and removed, all in the one commit of the batch. ``output`` gets the cells of what was rolled up, as files
+    by type and period: each station's, and the global ones if ``stations`` gives the stations' ids. The open bucket's partition is numbered by its start in minutes: packed numbers come again each month.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        table = BucketTable(batch.sparkSession, path)
+        state = table.state()
+        if state.batch >= batch_id:
+            return
+        opened = F.floor(B.effective_start("current", F.col("received")) / 60).cast("int")
+        new = V.partial(batch.withColumns({"acc_type": F.lit("current"), "bucket": opened, "file": F.lit("")}), *keys).persist()
+        now = buckets_of(new)
+        stored = [p for p in state.parts if p[0] == "current"]
+        if not now:
+            table.commit(state, batch_id, [], schema=new.schema.json())
+            new.unpersist()
+            return
+        newest = max(b for _, b in now + stored)
+        old = table.rows(state, stored)
+        current = (V.merge(new.unionByName(old), *keys) if old is not None else new).persist()
+        over = current.where(F.col("bucket") < newest)
+        rolled = into_buckets(over.withColumn("at_", F.col("bucket").cast("long") * 60).drop(*PARTITIONS, "file"), "at_").select(*current.columns).persist()
+        touched = buckets_of(rolled) if any(b < newest for _, b in now + stored) else []
+        before = table.rows(state, touched)
+        rolled_up = V.merge(rolled.unionByName(before) if before is not None else rolled, *keys)
+        table.write(current.where(F.col("bucket") == newest).unionByName(rolled_up), batch_id)
+        if output and touched:
+            done = table.rows(State(dict.fromkeys(touched, batch_id), batch_id, new.schema.json()))
+            place, station = keys[-2:]
+            done = done.withColumnRenamed(place, "h3")
+            write_coverage(V.finalise(done, "acc_type", "file", station, "h3"), f"{output}/stations", "acc_type", "file")
+            if stations is not None:
+                numbered = done.join(stations.select(F.col("station").alias(station), F.col("id").alias("station_id")), station)
+                write_coverage(V.global_cells(numbered, "acc_type", "file", "h3"), f"{output}/global", "acc_type", "file")
+        table.commit(state, batch_id, [("current", newest), *touched], [p for p in stored if p[1] < newest], schema=new.schema.json())
+        for x in (new, current, rolled):
+            x.unpersist()
+
+    return write
+
+
+def with_open(records: DataFrame, *keys: str) -> DataFrame:
+    """The rolled-up records with what the open buckets hold so far."""
+    opened = records.where("acc_type = 'current'").withColumn("at_", F.col("bucket").cast("long") * 60).drop(*PARTITIONS, "file")
+    return V.merge(records.where("acc_type <> 'current'").unionByName(into_buckets(opened, "at_").select(*records.columns)), *keys)
+
+
+def stream_ingest(lines: DataFrame, tiles: DataFrame, path: str, checkpoint: str, index: Callable | None = None, config: Config = DEFAULT, available_now: bool = True, output: str | None = None, stations: DataFrame | None = None) -> StreamingQuery:
+    """Feed lines to coverage on a stream: the rules without state, each aircraft's state, elevation, and the merge into
+    the open bucket and the tables that it is rolled up to. lines has seq, received and value. Each progress report has
+    the feed's counters: ``feed`` those of the rules without state, ``state`` and ``ground`` the others."""
     raw = routed(lines)
     first = before_state(raw, config.stationary_mode)
     first = once(first.withColumn("altitude", P.altitude(F.col("altitude"))), signal=P.signal(F.col("comment")), crc=P.crc(F.col("comment")))
@@ -198,17 +191,14 @@ def stream_ingest(lines: DataFrame, tiles: DataFrame, path: str, checkpoint: str
                           *[F.count_if(place & (F.col("reason") == r)).alias(r) for r in REASONS[:6]])
     state = first.where(place & (F.col("reason").isNull() | (F.col("reason") == "ignoredStationary"))).withColumn(
         "cell", C.from_latlng(F.col("latitude"), F.col("longitude"), config.stationary_resolution, index))
-    gapped = stream_gaps(state.select("seq", F.col("flarm_id").alias("aircraft"), F.col("station").alias("station_id"), F.col("timestamp").alias("ts"), "cell", "standing", "latitude", "longitude", "altitude", "signal", "crc"), config)
-    heard = gapped.where("NOT h3_stationary AND signal > 0")
-    keys = (*PARTITIONS, "file", "cell7", "station")
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        placed = with_ground(batch, tiles, "latitude", "longitude").where("NOT ground_failed").withColumns({
-            "alt": F.col("altitude"), "agl": P.above_ground(F.col("altitude"), F.col("ground")), "station": F.col("station_id"),
-            "cell7": C.parent(C.from_latlng(F.col("latitude"), F.col("longitude"), config.station_resolution, index), config.global_resolution)})
-        merge_into(path, keys)(V.partial(into_buckets(placed, "ts", ROLLED), *keys), batch_id)
-
-    return _started(heard.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint), available_now)
+    gapped = stream_gaps(state.select("seq", "received", F.col("flarm_id").alias("aircraft"), F.col("station").alias("station_id"), F.col("timestamp").alias("ts"), "cell", "standing", "latitude", "longitude", "altitude", "signal", "crc"), config)
+    gapped = gapped.observe("state", F.count_if("h3_stationary").alias("ignoredH3stationary"), F.count_if(~F.col("h3_stationary") & (F.col("signal") <= 0)).alias("ignoredSignal0"))
+    placed = with_ground(gapped.where("NOT h3_stationary AND signal > 0"), tiles, "latitude", "longitude")
+    placed = placed.observe("ground", F.count_if("ground_failed").alias("ignoredElevation"), F.count(F.lit(1)).alias("count"), F.max("ts").alias("last_packet"))
+    heard = placed.where("NOT ground_failed").withColumns({
+        "alt": F.col("altitude"), "agl": P.above_ground(F.col("altitude"), F.col("ground")), "station": F.col("station_id"),
+        "cell7": C.parent(C.from_latlng(F.col("latitude"), F.col("longitude"), config.station_resolution, index), config.global_resolution)})
+    return _started(heard.writeStream.foreachBatch(roll_over(path, KEYS, output, stations)).option("checkpointLocation", checkpoint), available_now)
 
 
 def replay(packets: DataFrame, batches: int = 2) -> DataFrame:
@@ -222,11 +212,16 @@ def replay(packets: DataFrame, batches: int = 2) -> DataFrame:
     return latest(spark, f"{at}/table")
 
 
-def replay_lines(lines: DataFrame, tiles: DataFrame, index: Callable, split: int) -> DataFrame:
-    """Runs feed lines, those before seq ``split`` in a first batch, through stream_ingest."""
+def replay_lines(lines: DataFrame, tiles: DataFrame, index: Callable, *splits: DataFrame | int, metrics: str | None = None, output: str | None = None) -> DataFrame:
+    """Runs feed lines through stream_ingest, in batches that end before each seq of ``splits``, and returns the records
+    with the open bucket's. ``metrics`` keeps the counters of each batch under that path."""
+    from beaconlake.streaming.metrics import watched
+
     spark, at = lines.sparkSession, new_path(lines.sparkSession, "lines")
-    for part in (lines.where(F.col("seq") < split), lines.where(F.col("seq") >= split)):
-        part.coalesce(1).write.mode("append").parquet(f"{at}/in")
+    ends = [-1, *splits, 1 << 62]
+    for a, b in zip(ends, ends[1:], strict=False):
+        lines.where((F.col("seq") >= a) & (F.col("seq") < b)).coalesce(1).write.mode("append").parquet(f"{at}/in")
     stream = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
-    stream_ingest(stream, tiles, f"{at}/table", f"{at}/offsets", index).awaitTermination()
-    return latest(spark, f"{at}/table")
+    with watched(spark, metrics):
+        stream_ingest(stream, tiles, f"{at}/table", f"{at}/offsets", index, output=output).awaitTermination()
+    return with_open(latest(spark, f"{at}/table"), *KEYS)

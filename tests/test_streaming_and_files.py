@@ -14,7 +14,8 @@ from beaconlake.operators.rollup import into_buckets
 from beaconlake.operators.state_machines import h3_stationary
 from beaconlake.plans import inputs as I
 from beaconlake.sources import feed, files
-from beaconlake.streaming.coverage import compact, latest, merge_into, stream_coverage, stream_gaps
+from beaconlake.streaming.coverage import stream_coverage, stream_gaps
+from beaconlake.streaming.tables import compact, latest, merge_into
 
 SF = "/root/testdata/sf0.001"
 
@@ -34,14 +35,14 @@ def test_stream_of_coverage_equals_batch(spark, tmp_path):
 
 
 def test_stream_of_gaps_equals_batch(spark, tmp_path):
-    p = I.packets(spark, SF).select("seq", "aircraft", "station_id", F.col("pts").alias("ts"), (F.col("k") % 3).cast("long").alias("cell"), (F.col("k") % 9 == 1).alias("standing"))
+    p = I.packets(spark, SF).select("seq", F.col("pts").alias("received"), "aircraft", "station_id", F.col("pts").alias("ts"), (F.col("k") % 3).cast("long").alias("cell"), (F.col("k") % 9 == 1).alias("standing"))
     for lo in (0, 400, 700):
         p.where((F.col("seq") >= lo) & (F.col("seq") < {0: 400, 400: 700, 700: 10**9}[lo])).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/{lo}")
     stream = spark.readStream.schema(p.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
     q = stream_gaps(stream).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
     q.awaitTermination()
-    batch = with_gaps(p.withColumnRenamed("ts", "pts"), standing=F.col("standing")).where("NOT standing")
-    want = {r.seq: (r.gap, r.first, r.h3_stationary) for r in h3_stationary(batch, cell="cell").collect()}
+    batch = h3_stationary(with_gaps(p.withColumnRenamed("ts", "pts"), standing=F.col("standing")), cell="cell", forgotten="forgotten", standing=F.col("standing")).where("NOT standing")
+    want = {r.seq: (r.gap, r.first, r.h3_stationary) for r in batch.collect()}
     got = {r.seq: (r.gap, r.first, r.h3_stationary) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert got == want
 
