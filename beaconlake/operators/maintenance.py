@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from beaconlake.config import DEFAULT
 from beaconlake.functions.buckets import TYPES
+from beaconlake.sources.arrow import write_arrow
 
 
 def reconcile(output: DataFrame, state: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
@@ -46,6 +47,14 @@ def backup(*accumulators: DataFrame) -> DataFrame:
     return out
 
 
+def write_backup(path: str, day: str, *accumulators: DataFrame) -> None:
+    """Writes accumulators as gzipped Arrow files, backup.<day>.<type>, which have their names once all of them are whole."""
+    whole = backup(*accumulators)
+    rest = [c for c in ("bucket", "h3", "cell7", "station_id") if c in whole.columns]
+    named = whole.withColumn("file", F.concat(F.lit(f"backup.{day}."), F.col("acc_type")))
+    write_arrow(named, path, *rest, compress="gzip", batch=3000, mode="overwrite")
+
+
 def dump(rows: DataFrame, match: str | None = None) -> DataFrame:
     """Rows as JSON text, those only that a pattern finds."""
     text = rows.select(F.to_json(F.struct(*rows.columns)).alias("value"))

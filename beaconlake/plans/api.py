@@ -9,12 +9,13 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from beaconlake.config import DEFAULT
 from beaconlake.functions import cells as C
 from beaconlake.functions.stations import UNKNOWN, decode_token
+from beaconlake.sources.indexed import lookup
 
 FILE = r"^([^.]+)\.(day|month|year|yearnz)\.([0-9]{4}(?:nz|(?:-[0-9]{2}){0,2}))\.arrow$"
 
@@ -78,9 +79,9 @@ def recent(rows: DataFrame, now: Column, days: int = DEFAULT.graph_days) -> Data
     return rows.where(F.col("day") >= F.date_sub(now, days))
 
 
-def point_lookup(table: DataFrame, cell: int) -> DataFrame:
-    """The row of one cell; files sorted by cell let the scan skip row groups."""
-    return table.where(F.col("h3") == cell)
+def point_lookup(spark: SparkSession, path: str, cell: int, **where) -> DataFrame:
+    """The rows of one cell in the coverage under a path, through its index of files."""
+    return lookup(spark, path, cell, **where)
 
 
 def h3_details(daily: DataFrame, cell: int | None = None, period: str | None = None) -> DataFrame:

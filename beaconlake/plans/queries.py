@@ -22,7 +22,7 @@ from beaconlake.operators import stations as ST
 from beaconlake.operators.state_machines import h3_stationary, station_moves
 from beaconlake.plans import api
 from beaconlake.plans import inputs as I
-from beaconlake.sources import files
+from beaconlake.sources import arrow, files, indexed
 from beaconlake.sources.shared import new_path
 
 QUERIES: dict[str, Callable] = {}
@@ -490,8 +490,10 @@ def _global_daily(spark, sf):
 
 @query(_GDAY + " SELECT day::VARCHAR AS day, min_agl, count, stations, num_stations, expected_gap FROM gd WHERE cell7 = (SELECT min(cell7) FROM pkt)")
 def h3_point_lookup(spark, sf):
-    cell = I.packets(spark, sf).agg(F.min("cell7")).first()[0]
-    return api.point_lookup(_global_daily(spark, sf), cell).select(F.col("day").cast("string").alias("day"), "min_agl", "count", "stations", "num_stations", "expected_gap")
+    """A cell's row in each day's files, of which the index names the one that may hold it."""
+    cell, path = I.packets(spark, sf).agg(F.min("cell7")).first()[0], new_path(spark, "coverage")
+    indexed.write_coverage(_global_daily(spark, sf), path, "day", files=16)
+    return api.point_lookup(spark, path, cell).select(F.col("day").cast("string").alias("day"), "min_agl", "count", "stations", "num_stations", "expected_gap")
 
 
 @query(_STDAY + """ SELECT station_id, h3, strftime(day, '%m/%d') AS date, CASE WHEN avg_gap <> 0 THEN avg_gap >> 2 END AS avg_gap, CASE WHEN avg_gap <> 0 THEN max_sig / 4 END AS max_sig, CASE WHEN avg_gap <> 0 THEN avg_sig / 4 END AS avg_sig,
@@ -809,49 +811,73 @@ def _station_final(spark, sf) -> DataFrame:
 
 def _coverage_files(spark, sf) -> str:
     path = new_path(spark, "coverage")
-    files.write_coverage(_station_final(spark, sf), path, "station_id")
+    indexed.write_coverage(_station_final(spark, sf), path, "station_id")
     return path
 
 
 @query(_FINAL + " SELECT * FROM c")
 def coverage_file_scan(spark, sf):
     """Coverage written by station and read back whole."""
-    return files.read_coverage(spark, _coverage_files(spark, sf))
+    return indexed.read_coverage(spark, _coverage_files(spark, sf))
 
 
 @query(_FINAL + " SELECT * FROM c WHERE station_id = 3")
 def coverage_partition_scan(spark, sf):
     """One station's part of the files: a condition on the partition column."""
-    return files.read_coverage(spark, _coverage_files(spark, sf), station_id=3)
+    return indexed.read_coverage(spark, _coverage_files(spark, sf), station_id=3)
 
 
 @query(_FINAL + " SELECT station_id, count(*) AS rows, 0::BIGINT AS disorder FROM c GROUP BY station_id")
 def coverage_file_order(spark, sf):
     """Within a file cells ascend: no row follows a larger one."""
-    rows = files.read_coverage(spark, _coverage_files(spark, sf)).select("station_id", "h3", F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("i"))
+    rows = indexed.read_coverage(spark, _coverage_files(spark, sf)).select("station_id", "h3", F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("i"))
     before = F.lag("h3").over(Window.partitionBy("f").orderBy("i"))
     return rows.withColumn("before", before).groupBy("station_id").agg(F.count("*").alias("rows"), F.count_if(F.col("before") > F.col("h3")).alias("disorder"))
 
 
+_PKT_BACKUP = _SHIP + " " + " UNION ALL ".join(
+    f"SELECT 'backup.2024-01-31.{t}' AS file, '{t}' AS acc_type, count(DISTINCT (({_BUCKET_SQL[t]}), h3, station_id)) AS rows, count(*) AS packets, sum(signal >> 2)::BIGINT AS sum_sig FROM b" for t in B.ROLLED)
 _READERS = """SELECT station_id, h3 & 4294967295 AS h3lo, h3 >> 32 AS h3hi, least(min_agl, 65535)::INT AS "minAgl", least(min_alt, 65535)::INT AS "minAlt", min_alt_sig AS "minAltSig", max_sig AS "maxSig", least(avg_sig, 255)::INT AS "avgSig",
  least(avg_crc, 255)::INT AS "avgCrc", count, greatest(least(avg_gap, 255), 0)::INT AS "avgGap" FROM c"""
 
 
-def _read_back(spark, sf, compress: bool) -> DataFrame:
-    streams = files.arrow_streams(files.for_readers(_station_final(spark, sf)), "station_id", order=("h3hi", "h3lo"), compress=compress)
-    kinds = "h3lo long, h3hi long, minAgl int, minAlt int, minAltSig int, maxSig int, avgSig int, avgCrc int, count long, avgGap int"
-    return files.stream_rows(streams, kinds, "station_id")
+_ROWS = "file string, h3lo long, h3hi long, minAgl int, minAlt int, minAltSig int, maxSig int, avgSig int, avgCrc int, count long, avgGap int"
+
+
+def _read_back(spark, sf, read: str = _ROWS, tasks: int | None = None, **how) -> DataFrame:
+    """A station's cells as Arrow files in the layout of output files, written by the sink and read by the source."""
+    path = new_path(spark, "arrow")
+    named = files.for_readers(_station_final(spark, sf)).withColumn("file", F.concat(F.lit("ST"), F.col("station_id").cast("string"), F.lit(".year.2024"))).drop("station_id")
+    arrow.write_arrow(named, path, "h3hi", "h3lo", tasks=tasks, **how)
+    back = arrow.read_arrow(spark, path, read, split="2000")
+    return back.withColumn("station_id", F.regexp_extract("file", "^ST([0-9]+)", 1).cast("int")).drop("file")
 
 
 @query(_FINAL + " " + _READERS)
 def arrow_export(spark, sf):
-    """A station's cells as one Arrow stream in the layout of output files, read back."""
-    return _read_back(spark, sf, False)
+    """Streams for other readers, one file for each station."""
+    return _read_back(spark, sf)
 
 
 @query(_FINAL + " " + _READERS)
 def arrow_export_gzip(spark, sf):
-    return _read_back(spark, sf, True)
+    return _read_back(spark, sf, compress="gzip")
+
+
+@query(_FINAL + " SELECT station_id, h3 & 4294967295 AS h3lo, count FROM c")
+def arrow_split_read(spark, sf):
+    """Large files: written by several tasks, split by record batches when read, of some columns only."""
+    return _read_back(spark, sf, "file string, h3lo long, count long", tasks=6, kind="file", batch=50)
+
+
+@query(_PKT_BACKUP)
+def backup_files(spark, sf):
+    """A backup: gzipped Arrow files for each accumulator type, under their names once all are whole, read back."""
+    path = new_path(spark, "backup")
+    days = I.purchase_days(spark, sf)
+    M.write_backup(path, "2024-01-31", *[V.partial(R.into_buckets(days, types=(t,)), "acc_type", "bucket", "h3", "station_id") for t in B.ROLLED])
+    kinds = "file string, acc_type string, bucket int, h3 long, station_id int, count long, sum_sig long"
+    return arrow.read_arrow(spark, path, kinds).groupBy("file", "acc_type").agg(F.count("*").alias("rows"), F.sum("count").alias("packets"), F.sum("sum_sig").alias("sum_sig"))
 
 
 @query(_FINAL + ", o AS (SELECT * FROM c WHERE station_id % 4 = 1) SELECT station_id, count(*) AS rows, sum(count)::BIGINT AS packets, sum(CASE WHEN station_id % 4 = 1 THEN count - 1 ELSE 0 END)::BIGINT AS previous FROM c GROUP BY station_id")
@@ -859,10 +885,10 @@ def previous_output(spark, sf):
     """Some stations' files are replaced by newer ones; what they held before is kept beside them."""
     new = _station_final(spark, sf)
     path = new_path(spark, "coverage")
-    files.write_coverage(new.withColumn("count", F.col("count") - F.when(F.col("station_id") % 4 == 1, 1).otherwise(0)), path, "station_id")
-    files.keep_previous(new.where("station_id % 4 = 1"), path, "station_id")
-    kept = files.read_coverage(spark, f"{path}.1").groupBy("station_id").agg(F.sum("count").alias("previous"))
-    now = files.read_coverage(spark, path).groupBy("station_id").agg(F.count("*").alias("rows"), F.sum("count").alias("packets"))
+    indexed.write_coverage(new.withColumn("count", F.col("count") - F.when(F.col("station_id") % 4 == 1, 1).otherwise(0)), path, "station_id")
+    indexed.write_coverage(new.where("station_id % 4 = 1"), path, "station_id", keep_previous=True)
+    kept = indexed.read_coverage(spark, path, previous=True).groupBy("station_id").agg(F.sum("count").alias("previous"))
+    now = indexed.read_coverage(spark, path).groupBy("station_id").agg(F.count("*").alias("rows"), F.sum("count").alias("packets"))
     return now.join(kept, "station_id", "left").withColumn("previous", F.coalesce("previous", F.lit(0)))
 
 
@@ -880,8 +906,8 @@ _PLACES = _DIM + """, dm AS (SELECT id, 'ST' || id AS station, CASE WHEN id <> 5
 def stations_day_table(spark, sf):
     """The typed table of the stations heard, by day, written and read back; places that are no number come back as null."""
     path = new_path(spark, "stations")
-    files.write_station_table(_dimension(spark, sf), path, "2024-01-31")
-    t = files.read_stations(spark, path, "day.2024-01-31", True)
+    arrow.write_arrow(files.station_table(_dimension(spark, sf)).withColumn("file", F.lit("stations.day.2024-01-31")), path, "id", compress="both")
+    t = arrow.read_arrow(spark, f"{path}/stations.day.2024-01-31.arrow", "id int, name string, lat float, lng float, valid boolean, last_packet long")
     return t.select("id", "name", F.when(~F.isnan("lat"), F.col("lat").cast("double")).alias("lat"), "valid", "last_packet")
 
 
@@ -1059,6 +1085,19 @@ def ground_from_tiles(spark, sf):
     return with_ground(b, tiles, zoom=11).select("seq", F.col("tile.x").alias("tx"), F.col("tile.y").alias("ty"), "ground")
 
 
+@query(PKT + """, b AS (SELECT seq, 47.0::DOUBLE + (k % 60 + 0.50::DOUBLE) / 60 AS lat, 8.0::DOUBLE + (user_id % 60 + 0.25::DOUBLE) / 60 AS lng FROM pkt),
+ t AS (SELECT seq, (lng + 180) / 360 * 2048 AS x, (1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 * 2048 AS y FROM b),
+ u AS (SELECT seq, floor(x)::INT AS tx, floor(y)::INT AS ty, floor((x - floor(x)) * 16)::INT AS px, floor((y - floor(y)) * 8)::INT AS py FROM t)
+ SELECT seq, CASE WHEN ty % 3 = 0 OR (tx * 3 + ty) % 7 = 3 THEN 0 ELSE (tx * 37 + ty * 11 + px * 13 + py * 101) % 4000 - 300 END AS ground, ty % 3 <> 0 AND (tx * 3 + ty) % 7 = 3 AS failed FROM u""")
+def ground_from_png(spark, sf):
+    """Ground elevation from the bytes of images, with every row filter of their format; some are missing, some broken."""
+    from beaconlake.sources.elevation import with_ground
+
+    p = I.packets(spark, sf).select("seq", (F.lit(47.0) + (F.col("k") % 60 + 0.5) / 60).alias("lat"), (F.lit(8.0) + (F.col("user_id") % 60 + 0.25) / 60).alias("lng"))
+    out = with_ground(p, I.png_tiles(p))
+    return out.select("seq", "ground", F.col("ground_failed").alias("failed"))
+
+
 @query(_DIM + " SELECT id, 'ST' || id AS station FROM last WHERE regexp_matches('ST' || id, '^st1', 'i')")
 def station_search(spark, sf):
     named = _validity(spark, sf).select("id", F.concat(F.lit("ST"), F.col("id").cast("string")).alias("station"))

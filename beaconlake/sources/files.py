@@ -1,50 +1,16 @@
-"""Coverage files: Parquet tables by scope and period, Arrow files for other readers, older layouts."""
+"""Station tables, the layout of files for other readers, older layouts."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from beaconlake.functions import cells as C
 from beaconlake.operators.stations import shown
 
 
-def write_coverage(cells: DataFrame, path: str, *partitions: str, cell: str = "h3") -> None:
-    """Files sorted by cell within each partition, so that lookups skip row groups. Only the partitions that
-    ``cells`` holds are replaced."""
-    (cells.repartition(*[F.col(p) for p in partitions], F.pmod(F.xxhash64(cell), F.lit(8))).sortWithinPartitions(*partitions, cell)
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path))
-
-
-def read_coverage(spark: SparkSession, path: str, **where) -> DataFrame:
-    """The coverage of a station, a period or both, as ``station_id=3, day='2024-01-05'``: conditions on the columns that
-    the files are partitioned by, of which only those of the parts asked for are read."""
-    rows = spark.read.parquet(path)
-    for column, value in where.items():
-        rows = rows.where(F.col(column) == F.lit(value))
-    return rows
-
-
-def keep_previous(cells: DataFrame, path: str, *partitions: str) -> None:
-    """Replaces the partitions that ``cells`` holds and keeps what they held under ``path``.1: a recovery that was fed
-    incomplete history can be undone. What was kept before is given up."""
-    spark = cells.sparkSession
-    touched = cells.select(*partitions).distinct()
-    try:
-        old = spark.read.parquet(path).join(touched, list(partitions), "left_semi")
-        write_coverage(old, f"{path}.1", *partitions)
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    write_coverage(cells, path, *partitions)
-
-
 def read_stations(spark: SparkSession, path: str, file: str, all_stations: bool = False) -> DataFrame:
     """The typed station table of a period, or where it has none the one table of the older layout."""
     for at in (f"{path}/stations/stations.{file}", f"{path}/stations"):
@@ -87,75 +53,6 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.regexp_extract("path", "[^/]+$", 0).alias("name"), "path", "modificationTime", "length")
 
 
-def read_arrow(spark: SparkSession, path: str, schema: str, glob: str = "*.arrow*") -> DataFrame:
-    """Rows of Arrow IPC files or streams, gzipped or not, with the columns of ``schema``.
-
-    A file is read by one task, batch by batch; many files spread over the cluster.
-    """
-    names = [f.name for f in spark.createDataFrame([], schema).schema]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for name, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                source = pa.BufferReader(content.as_buffer())
-                stream = pa.CompressedInputStream(source, "gzip") if name.endswith(".gz") else source
-                if not name.endswith(".gz") and content.as_buffer().slice(0, 6).to_pybytes() == b"ARROW1":
-                    reader = pa.ipc.open_file(source)
-                    found = (reader.get_batch(i) for i in range(reader.num_record_batches))
-                else:
-                    found = iter(pa.ipc.open_stream(stream))
-                for x in found:
-                    yield pa.RecordBatch.from_arrays([x.column(n) for n in names], names=names)
-
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
-    return raw.select("path", "content").mapInArrow(run, schema)
-
-
-def arrow_streams(rows: DataFrame, *keys: str, order: tuple[str, ...] = (), batch: int = 10000, compress: bool = False) -> DataFrame:
-    """One Arrow stream (binary) for each key, its rows in order and in batches, gzipped if asked for, for readers that
-    want such files. Columns of LAYOUT get its types; values beyond a type's range are held at its end. A key's rows
-    meet in one task: meant for the cells of one station and period."""
-
-    def pack(t: pa.Table) -> pa.Table:
-        body = t.drop_columns(list(keys))
-        body = body.sort_by([(c, "ascending") for c in order]) if order else body
-        columns, fields = [], []
-        for name in body.column_names:
-            kind, column = GLOBAL_LAYOUT.get(name, body[name].type), body[name]
-            if pa.types.is_unsigned_integer(kind):
-                column = pc.max_element_wise(pc.min_element_wise(column.cast(pa.int64()), (1 << kind.bit_width) - 1), 0)
-            columns.append(column.cast(kind))
-            fields.append(pa.field(name, kind))
-        out = pa.BufferOutputStream()
-        sink = pa.CompressedOutputStream(out, "gzip") if compress else out
-        table = pa.Table.from_arrays(columns, schema=pa.schema(fields))
-        with pa.ipc.new_stream(sink, table.schema) as w:
-            w.write_table(table, max_chunksize=batch)
-        if compress:
-            sink.close()
-        return pa.table([t[k].slice(0, 1) for k in keys] + [pa.array([out.getvalue().to_pybytes()], pa.binary())], names=[*keys, "content"])
-
-    kinds = dict(rows.dtypes)
-    return rows.groupBy(*keys).applyInArrow(pack, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "content binary"]))
-
-
-def stream_rows(streams: DataFrame, schema: str, *keys: str) -> DataFrame:
-    """The rows of Arrow streams held in a content column, gzipped or not, with the keys and the columns of ``schema``."""
-    out = streams.sparkSession.createDataFrame([], schema).schema
-    kinds = dict(streams.dtypes)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i, content in enumerate(b.column(len(keys))):
-                source = pa.BufferReader(content.as_buffer())
-                packed = content.as_buffer().slice(0, 2).to_pybytes() == b"\x1f\x8b"
-                for x in pa.ipc.open_stream(pa.CompressedInputStream(source, "gzip") if packed else source):
-                    own = [pa.array([b.column(k)[i].as_py()] * x.num_rows, b.column(k).type) for k in range(len(keys))]
-                    yield pa.RecordBatch.from_arrays([*own, *[x.column(f.name).cast(to_arrow_type(f.dataType)) for f in out]], names=[*keys, *out.names])
-
-    return streams.select(*keys, "content").mapInArrow(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), schema]))
-
-
 def legacy_cells(rows: DataFrame) -> DataFrame:
     """Rows of either older layout with one long h3: a 64-bit column, or two unsigned words."""
     if "h3lo" in rows.columns:

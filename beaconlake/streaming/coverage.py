@@ -24,7 +24,7 @@ from beaconlake.operators.disposition import REASONS, before_state
 from beaconlake.operators.ingest import routed
 from beaconlake.operators.rollup import into_buckets
 from beaconlake.sources.elevation import with_ground
-from beaconlake.sources.files import write_coverage
+from beaconlake.sources.indexed import write_coverage
 from beaconlake.sources.shared import new_path
 from beaconlake.streaming.tables import PARTITIONS, BucketTable, State, buckets_of, latest, merge_into
 
@@ -162,10 +162,10 @@ def roll_over(path: str, keys: tuple[str, ...], output: str | None = None, stati
             done = table.rows(State(dict.fromkeys(touched, batch_id), batch_id, new.schema.json()))
             place, station = keys[-2:]
             done = done.withColumnRenamed(place, "h3")
-            write_coverage(V.finalise(done, "acc_type", "file", station, "h3"), f"{output}/stations", "acc_type", "file")
+            write_coverage(V.finalise(done, "acc_type", "file", station, "h3"), f"{output}/stations", "acc_type", "file", run=f"batch-{batch_id}")
             if stations is not None:
                 numbered = done.join(stations.select(F.col("station").alias(station), F.col("id").alias("station_id")), station)
-                write_coverage(V.global_cells(numbered, "acc_type", "file", "h3"), f"{output}/global", "acc_type", "file")
+                write_coverage(V.global_cells(numbered, "acc_type", "file", "h3"), f"{output}/global", "acc_type", "file", run=f"batch-{batch_id}")
         table.commit(state, batch_id, [("current", newest), *touched], [p for p in stored if p[1] < newest], schema=new.schema.json())
         for x in (new, current, rolled):
             x.unpersist()

@@ -1,10 +1,8 @@
 """Streams give what batches give; files keep what they are given."""
 
-import gzip
 import socket
 import threading
 
-import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,7 +11,7 @@ from beaconlake.operators.gaps import with_gaps
 from beaconlake.operators.rollup import into_buckets
 from beaconlake.operators.state_machines import h3_stationary
 from beaconlake.plans import inputs as I
-from beaconlake.sources import feed, files
+from beaconlake.sources import feed, files, indexed
 from beaconlake.streaming.coverage import stream_coverage, stream_gaps
 from beaconlake.streaming.tables import compact, latest, merge_into
 
@@ -74,24 +72,12 @@ def test_landed_lines(spark, tmp_path):
 
 def test_coverage_files(spark, tmp_path):
     df = spark.createDataFrame([(i, f"d{i % 2}", i * 2) for i in range(50)], "h3 long, period string, count long")
-    files.write_coverage(df, f"{tmp_path}/t", "period")
-    files.write_coverage(df.where("period = 'd1'").withColumn("count", F.lit(1).cast("long")), f"{tmp_path}/t", "period")
-    got = files.read_coverage(spark, f"{tmp_path}/t")
+    indexed.write_coverage(df, f"{tmp_path}/t", "period")
+    indexed.write_coverage(df.where("period = 'd1'").withColumn("count", F.lit(1).cast("long")), f"{tmp_path}/t", "period")
+    got = indexed.read_coverage(spark, f"{tmp_path}/t")
     assert got.count() == 50 and {r["count"] for r in got.where("period = 'd1'").collect()} == {1} and got.where("period = 'd0' AND h3 = 4").first()["count"] == 8
 
 
-def test_arrow_files(spark, tmp_path):
-    df = spark.createDataFrame([(k, i, f"s{i}") for k in ("a", "b") for i in range(30)], "k string, h3 long, s string")
-    for r in files.arrow_streams(df, "k", batch=7).collect():
-        (tmp_path / f"{r.k}.arrow").write_bytes(r.content)
-        (tmp_path / f"{r.k}.arrow.gz").write_bytes(gzip.compress(bytes(r.content)))
-        table = pa.ipc.open_stream(bytes(r.content)).read_all()
-        with pa.ipc.new_file(str(tmp_path / f"{r.k}.file.arrow"), table.schema) as w:
-            w.write_table(table)
-    got = files.read_arrow(spark, str(tmp_path), "h3 long, s string")
-    assert got.count() == 180 and got.distinct().count() == 30
-
-
 def test_station_files(spark, tmp_path):
     st = spark.createDataFrame([(1, "a", 5), (2, "b", None), (3, "c", 0)], "id int, station string, last_packet long")
     files.write_stations(st, str(tmp_path))
@@ -130,10 +116,10 @@ def test_batches_rewrite_only_what_they_touch(spark, tmp_path):
 
 def test_lookups_open_only_their_files(spark, tmp_path):
     df = spark.createDataFrame([(i, f"d{i % 5}", i) for i in range(100)], "h3 long, period string, count long")
-    files.write_coverage(df, f"{tmp_path}/t", "period")
-    plan = files.read_coverage(spark, f"{tmp_path}/t", period="d3")._jdf.queryExecution().executedPlan().toString()
+    indexed.write_coverage(df, f"{tmp_path}/t", "period")
+    plan = indexed.read_coverage(spark, f"{tmp_path}/t", period="d3")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(period" in plan
-    assert files.read_coverage(spark, f"{tmp_path}/t", period="d3").count() == 20
+    assert indexed.read_coverage(spark, f"{tmp_path}/t", period="d3").count() == 20
 
 
 def test_spooled_lines_survive_a_restart(tmp_path):
@@ -165,9 +151,9 @@ def test_spooled_lines_survive_a_restart(tmp_path):
 def test_previous_output_is_kept_once(spark, tmp_path):
     at = f"{tmp_path}/t"
     for rows in ([(1, "a", 1), (2, "b", 1)], [(1, "a", 2)], [(1, "a", 3)]):
-        files.keep_previous(spark.createDataFrame(rows, "h3 long, period string, count long"), at, "period")
-    assert {(r.period, r["count"]) for r in spark.read.parquet(at).collect()} == {("a", 3), ("b", 1)}
-    assert {(r.period, r["count"]) for r in spark.read.parquet(f"{at}.1").collect()} == {("a", 2)}
+        indexed.write_coverage(spark.createDataFrame(rows, "h3 long, period string, count long"), at, "period", keep_previous=True)
+    assert {(r.period, r["count"]) for r in indexed.read_coverage(spark, at).collect()} == {("a", 3), ("b", 1)}
+    assert {(r.period, r["count"]) for r in indexed.read_coverage(spark, at, previous=True).collect()} == {("a", 2)}
 
 
 def test_stations_fall_back_to_the_older_layout(spark, tmp_path):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from beaconlake.operators.gaps import with_gaps
 from beaconlake.operators.state_machines import h3_stationary
 from beaconlake.plans import inputs as I
+from beaconlake.sources.indexed import read_coverage
 from beaconlake.streaming.coverage import KEYS, roll_over, stream_gaps, with_open
 from beaconlake.streaming.metrics import read_metrics, totals, watched
 from beaconlake.streaming.stations import NAMES, stream_stations
@@ -66,12 +67,12 @@ def test_changeover(spark, tmp_path):
     assert counts() == rolled | {("current", "", "A"): 1}
     write(heard(spark, [(day + 4 * HOUR, day + 4 * HOUR, 2, "A")]), 2)  # again after it was complete
     assert counts() == rolled | {("current", "", "A"): 1}
-    shown = {(r.acc_type, r.file, r.h3): r["count"] for r in spark.read.parquet(f"{out}/global").collect()}
+    shown = {(r.acc_type, r.file, r.h3): r["count"] for r in read_coverage(spark, f"{out}/global").collect()}
     assert shown[("day", "2024-01-06", 1)] == 3 and len(shown) == 4
-    assert {(r.station, r["count"]) for r in spark.read.parquet(f"{out}/stations").where("acc_type = 'year'").collect()} == {("A", 2), ("B", 1)}
+    assert {(r.station, r["count"]) for r in read_coverage(spark, f"{out}/stations").where("acc_type = 'year'").collect()} == {("A", 2), ("B", 1)}
     write(heard(spark, []), 3)
     write(heard(spark, [(day + 86400, day, 1, "A")]), 4)  # the next day: the day's file is final
-    assert {(r.acc_type, r.file, r.h3): r["count"] for r in spark.read.parquet(f"{out}/global").collect()}[("day", "2024-01-06", 2)] == 1
+    assert {(r.acc_type, r.file, r.h3): r["count"] for r in read_coverage(spark, f"{out}/global").collect()}[("day", "2024-01-06", 2)] == 1
     whole = {(r.acc_type, r.file, r.station, r.cell7): r["count"] for r in with_open(latest(spark, at), *KEYS).collect()}
     assert whole[("month", "2024-01", "A", 1)] == 3 and whole[("day", "2024-01-07", "A", 1)] == 1 and whole[("day", "2024-01-06", "A", 2)] == 1
     assert [p for p in BucketTable(spark, at).state().parts if p[0] == "current"] == [("current", (day + 86400) // 60)]
