@@ -21,15 +21,23 @@ _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9
 _NOT_DIGIT = re.compile("[^0-9]")
 #: Kind: score of the pattern, gain for a passed checksum or for its strict form, words that raise it, words that lower it.
 RULES = {
-    "email": (0.6, 0.2, ("mail", "contact", "write"), ("example",)),
+    "email": (0.6, 0.2, ("mail", "email", "contact", "write"), ("example",)),
     "ip": (0.4, 0.2, ("ip", "address", "host", "server"), ("version", "section")),
     "card": (0.3, 0.4, ("card", "visa", "mastercard", "credit", "payment"), ("order", "isbn", "tracking")),
-    "phone": (0.5, 0.1, ("phone", "call", "tel", "mobile", "fax"), ("isbn",)),
+    "phone": (0.5, 0.1, ("phone", "telephone", "call", "tel", "mobile", "fax"), ("isbn",)),
     "iban": (0.2, 0.5, ("iban", "account", "bank", "konto", "cuenta", "compte"), ()),
     "card13": (0.1, 0.3, ("card", "visa", "credit", "payment"), ("order", "isbn", "ean", "tracking")),
     "ssn": (0.3, 0.1, ("ssn", "social", "security"), ("part", "serial")),
 }
 CONTEXT, LIFT, DROP, LEAST_SCORE = 40, 0.2, 0.3, 0.55
+
+
+def _words(words: tuple[str, ...]) -> re.Pattern | None:
+    """Whole words, singular or plural, between signs that are no letters."""
+    return re.compile(f"[^a-zà-öø-ÿ](?:{'|'.join(words)})s?[^a-zà-öø-ÿ]") if words else None
+
+
+_NEAR = {kind: (pattern, gain, _words(up), _words(down)) for kind, (pattern, gain, up, down) in RULES.items()}
 _DOUBLED = (0, 2, 4, 6, 8, 1, 3, 5, 7, 9)
 
 
@@ -62,10 +70,17 @@ def emails(text: str):
         at = text.find("@", max(at + 1, past))
 
 
+def nearby(text: str, start: int, end: int) -> str:
+    """The signs before and behind a span, in lower case, with one more on either side that tells whether a word goes on."""
+    before = (" " if start <= CONTEXT else "") + text[max(0, start - CONTEXT - 1):start]
+    behind = text[end:end + CONTEXT // 2 + 1] + (" " if len(text) - end <= CONTEXT // 2 else "")
+    return f"{before} {behind}".replace("İ", "i").lower()  # the one letter that would become two signs
+
+
 def score(text: str, kind: str, start: int, end: int) -> float:
-    pattern, gain, up, down = RULES[kind]
-    near = (text[max(0, start - CONTEXT):start] + " " + text[end:end + CONTEXT // 2]).lower()
-    s = pattern + gain + LIFT * any(w in near for w in up) - DROP * any(w in near for w in down)
+    pattern, gain, up, down = _NEAR[kind]
+    near = nearby(text, start, end)
+    s = pattern + gain + LIFT * bool(up and up.search(near)) - DROP * bool(down and down.search(near))
     return min(1.0, max(0.0, s))
 
 
@@ -108,7 +123,7 @@ def scan_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Base spans are the matches of the four patterns that pass their checks (parts of an address, digit
     counts, Luhn), whatever their score. Added are account numbers that pass mod-97, 13-digit cards
-    that pass Luhn and social security numbers, if words nearby lift them to LEAST_SCORE. score is the
+    that pass Luhn and social security numbers, if whole words nearby lift them to LEAST_SCORE. score is the
     highest of all. A null text counts as empty. Texts are read whole. Ids may be null or repeat, other
     columns are ignored, an empty table gives an empty result.
     """
@@ -144,17 +159,17 @@ k AS (SELECT r, kind, s, e FROM v WHERE CASE WHEN kind IN ('card', 'card13') THE
     strpos('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', (substr(replace(hit, ' ', ''), 5) || substr(replace(hit, ' ', ''), 1, 4))[i]) - 1)),
     lambda a, x: (a * CASE WHEN x > 9 THEN 100 ELSE 10 END + x) % 97) = 1 ELSE TRUE END),
 rules(kind, place, base, start, gain, up, down) AS (VALUES
-  ('email', 0, TRUE, 0.6::DOUBLE, 0.2::DOUBLE, 'mail|contact|write', 'example'),
+  ('email', 0, TRUE, 0.6::DOUBLE, 0.2::DOUBLE, 'mail|email|contact|write', 'example'),
   ('ip', 1, TRUE, 0.4, 0.2, 'ip|address|host|server', 'version|section'),
   ('card', 2, TRUE, 0.3, 0.4, 'card|visa|mastercard|credit|payment', 'order|isbn|tracking'),
-  ('phone', 3, TRUE, 0.5, 0.1, 'phone|call|tel|mobile|fax', 'isbn'),
+  ('phone', 3, TRUE, 0.5, 0.1, 'phone|telephone|call|tel|mobile|fax', 'isbn'),
   ('iban', 4, FALSE, 0.2, 0.5, 'iban|account|bank|konto|cuenta|compte', NULL),
   ('card13', 5, FALSE, 0.1, 0.3, 'card|visa|credit|payment', 'order|isbn|ean|tracking'),
   ('ssn', 6, FALSE, 0.3, 0.1, 'ssn|social|security', 'part|serial')),
 n AS (SELECT k.r, k.kind, place, base, s::BIGINT AS s, e::BIGINT AS e, start, gain, up, down,
-  lower(substr(t, greatest(s - 40, 0)::BIGINT + 1, least(s, 40)::BIGINT) || ' ' || substr(t, e::BIGINT + 1, 20)) AS near FROM k JOIN rules USING (kind) JOIN d USING (r)),
-x AS (SELECT *, least(1.0::DOUBLE, greatest(0.0::DOUBLE, start + gain + CASE WHEN regexp_matches(near, up) THEN 0.2::DOUBLE ELSE 0 END
-  - CASE WHEN down IS NOT NULL AND regexp_matches(near, down) THEN 0.3::DOUBLE ELSE 0 END)) AS score FROM n),
+  lower(CASE WHEN s <= 40 THEN ' ' ELSE '' END || substr(t, greatest(s - 41, 0)::BIGINT + 1, least(s, 41)::BIGINT) || ' ' || substr(t, e::BIGINT + 1, 21) || CASE WHEN length(t) - e <= 20 THEN ' ' ELSE '' END) AS near FROM k JOIN rules USING (kind) JOIN d USING (r)),
+x AS (SELECT *, least(1.0::DOUBLE, greatest(0.0::DOUBLE, start + gain + CASE WHEN regexp_matches(near, '[^a-zà-öø-ÿ](' || up || ')s?[^a-zà-öø-ÿ]') THEN 0.2::DOUBLE ELSE 0 END
+  - CASE WHEN down IS NOT NULL AND regexp_matches(near, '[^a-zà-öø-ÿ](' || down || ')s?[^a-zà-öø-ÿ]') THEN 0.3::DOUBLE ELSE 0 END)) AS score FROM n),
 g AS (SELECT r, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
   string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, place) FILTER (base) AS own, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, place) AS spans, max(score) AS score
   FROM x WHERE base OR score >= 0.55 GROUP BY r)

@@ -63,11 +63,19 @@ def test_checksums_and_context():
     assert pii.scan("part 123-45-6789")[1] == []
 
 
+@pytest.mark.parametrize("text, added", [
+    ("the ship discard 4222222222222", False), ("socially 123-45-6789", False), ("cards 4222222222222", True), ("social: 123-45-6789", True), ("4222222222222 visa", True), ("4222222222222 advisable", False),
+    ("x" * 50 + "dis" + "card" + " " * 36 + "4222222222222", False), ("x" * 50 + " card" + " " * 36 + "4222222222222", True), ("card" + " " * 36 + "4222222222222", True), ("écard 4222222222222", False),
+    ("4222222222222" + " " * 16 + "visa", True), ("4222222222222" + " " * 16 + "visage", False), ("visa border 4222222222222", True)])
+def test_context_is_whole_words(text, added):
+    assert bool(pii.scan(text)[1]) == added
+
+
 def test_pii_sql_equals_the_scan_on_odd_texts():
     """Texts in which kinds touch, overlap, repeat, fail a check by one sign, or stand behind signs of two bytes."""
     rng = random.Random(7)
     more = [*BITS, "DE89 3704 0044 0532 0130 00", "DE88370400440532013000", "GB82WEST12345698765432", "123-45-6789", "000-45-6789", "123-00-6789", "4222222222222", "079927398713",
-            "iban ", "ssn ", "card ", "part ", "isbn ", "mail ", "example ", "ip ", "version ", "call ", ",", "\n", "\t", "A", "X9", "256.1.1.1", "007.1.1.1", "İ", "😀"]
+            "iban ", "ssn ", "card ", "part ", "isbn ", "mail ", "example ", "ip ", "version ", "call ", "dis", "s ", "card", "email ", ",", "\n", "\t", "A", "X9", "256.1.1.1", "007.1.1.1", "İ", "😀"]
     texts = [None, "", "1.2.3." + "0" * 3000, "a@b.c " * 2000] + ["".join(rng.choices(more, k=rng.randint(1, 25))) for _ in range(3000)]
     con = duckdb.connect()
     documents = pa.table({"doc_id": range(len(texts)), "text": texts})  # noqa: F841, read by name
