@@ -21,6 +21,8 @@ BOUND = 3.0
 #: Candidates with the best estimates, reranked first, or more if more are asked for: their exact products set the bar
 #: for the rest.
 FIRST = 64
+#: Bits to which a query's components are rounded.
+PLANES = 4
 
 
 @lru_cache(maxsize=8)
@@ -30,58 +32,97 @@ def rotation(dim: int, seed: int = 11) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def encode(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Packed sign bits of the rotated vectors, their norms, and the inner products of each unit vector
-    with its code: the correction that makes estimates from the code unbiased."""
-    turned = x @ rotation(x.shape[1])
-    norms = np.linalg.norm(x, axis=1)
+def encode(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Packed sign bits of the rotated vectors in 64-bit words, and of each vector, scaled by a power of two to components
+    of at most one, its norm, that power, and the inner product of its unit vector with its code: the correction that
+    makes estimates from the code unbiased."""
+    powers = np.frexp(np.abs(x).max(axis=1))[1]
+    unit = np.ldexp(x, -powers[:, None])
+    turned = unit @ rotation(x.shape[1])
+    norms = np.linalg.norm(unit, axis=1)
     align = np.abs(turned).sum(axis=1) / (np.sqrt(x.shape[1]) * norms)
-    return np.packbits(turned > 0, axis=1), norms, align
+    bits = np.packbits(turned > 0, axis=1)
+    return np.pad(bits, ((0, 0), (0, -bits.shape[1] % 8))).view(np.uint64), norms, powers, align
 
 
 def products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Inner products with q in double precision, adding component by component, so that equal vectors
     have equal products."""
-    return np.add.reduce(np.ascontiguousarray((x * q).T), axis=0)
-
-
-def search_block(rows: np.ndarray, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, norms: np.ndarray, align: np.ndarray,
-                 query_rows: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    with np.errstate(over="ignore", under="ignore", invalid="ignore"):
+        return np.add.reduce(np.ascontiguousarray((x * q).T), axis=0)
+
+
+class Codes:
+    """A shard's codes and correction scalars, for estimates of inner products with many queries."""
+
+    def __init__(self, words: np.ndarray, norms: np.ndarray, powers: np.ndarray, align: np.ndarray, dim: int):
+        self.words, self.powers, self.dim = [np.ascontiguousarray(w) for w in words.T], powers, dim
+        self.ones = sum(np.bitwise_count(w).astype(np.float64) for w in self.words)
+        most = powers.max(initial=-2000)
+        with np.errstate(under="ignore"):
+            self.scale = np.ldexp(norms / (align * np.sqrt(dim)), powers - most)  # relative to the largest power: what counts is order
+            self.spread = np.ldexp(norms * np.sqrt(np.maximum(0.0, 1 - align**2)) / (align * np.sqrt(max(1, dim - 1))), powers - most)
+        self.most = most
+
+    def estimates(self, turned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Estimates of the products with one rotated query, and how far most are off.
+
+        The query's components are rounded to PLANES bits. The sum of those at a code's ones is then that of its ones in
+        each bit plane, times the plane's weight: ands and counts of 64-bit words, without unpacking a code.
+        """
+        low, high = turned.min(), turned.max()
+        step = (high - low) / ((1 << PLANES) - 1) or 1.0
+        u = np.rint((turned - low) / step).astype(np.uint8)
+        planes = np.packbits((u[None, :] >> np.arange(PLANES)[:, None]) & 1, axis=1)
+        planes = np.pad(planes, ((0, 0), (0, -planes.shape[1] % 8))).view(np.uint64)
+        at_ones = np.zeros(len(self.ones), np.int64)
+        for j in range(PLANES):
+            for w, p in zip(self.words, planes[j], strict=True):
+                at_ones += np.bitwise_count(w & p).astype(np.int64) << j
+        off = np.linalg.norm(turned - (low + step * u))
+        estimate = (step * (2 * at_ones - int(u.sum())) + low * (2 * self.ones - self.dim)) * self.scale
+        return estimate, BOUND * (np.linalg.norm(turned) * self.spread + off * self.scale)
+
+
+def search_block(rows: np.ndarray, ids: np.ndarray, x: np.ndarray, codes: Codes, query_rows: np.ndarray, queries: np.ndarray, k: int,
+                 bars: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, place in the shard, product) of the k nearest of one shard for each query of one block, without the
-    query's own row. Ties go to the smaller id, then the smaller row.
+    query's own row, and with ``bars`` none whose product is under the query's bar. Ties go to the smaller id, then the
+    smaller row.
 
-    The estimate of a product is exact in the mean and off by about spread * |query| for each vector;
-    only vectors whose estimate plus BOUND such errors reaches the k-th best exact product are reranked.
+    Only vectors whose estimate plus its bound reaches the k-th best exact product so far are reranked, and those whose
+    products with the query may leave the range of doubles.
     """
     dim = x.shape[1]
-    spread = norms * np.sqrt(np.maximum(0.0, 1 - align**2)) / (align * np.sqrt(max(1, dim - 1)))
-    scale = (norms / (align * np.sqrt(dim))).astype(np.float32)
-    signs = np.unpackbits(codes, axis=1, count=dim).astype(np.float32) * 2 - 1
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    step = max(1, (1 << 22) // max(1, len(rows)))  # estimates of 4 M pairs at a time
     head = max(FIRST, k + 1)  # one of them may be the query's own row
-    for at in range(0, len(query_rows), step):
-        q = queries[at:at + step]
-        estimates = ((q @ rotation(dim)).astype(np.float32) @ signs.T) * scale
-        for i, qi in enumerate(query_rows[at:at + step]):
-            e = estimates[i]
-            e[rows == qi] = -np.inf
-            first = np.argpartition(-e, head)[:head] if len(e) > head else np.arange(len(e))
-            first = first[rows[first] != qi]
-            score = products(x[first], q[i])
-            if len(e) > head:
-                bar = np.partition(score, -k)[-k]
-                e[first] = -np.inf
-                more = np.flatnonzero((e + BOUND * np.linalg.norm(q[i]) * spread >= bar) & (rows != qi))
-                first = np.concatenate([first, more])
-                score = np.concatenate([score, products(x[more], q[i])])
-            best = np.lexsort((rows[first], ids[first], -score))[:k]
-            found.append((np.full(len(best), qi), first[best], score[best]))
-    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+    own_power = np.frexp(np.abs(queries).max(axis=1))[1] if len(queries) else np.zeros(0, np.int64)
+    units = np.ldexp(queries, -own_power[:, None])
+    turned = units @ rotation(dim)
+    for i, qi in enumerate(query_rows):
+        e, off = codes.estimates(turned[i])
+        e[rows == qi] = -np.inf
+        order = np.argpartition(-e, head)[:head] if len(e) > head else np.arange(len(e))
+        order = order[rows[order] != qi]
+        score = products(x[order], queries[i])
+        if len(e) > head:
+            with np.errstate(under="ignore"):
+                near = products(np.ldexp(x[order], (-codes.powers[order])[:, None]), units[i])
+                bar = np.partition(np.ldexp(near, codes.powers[order] - codes.most), -k)[-k]
+            far = codes.powers + own_power[i]
+            e[order] = -np.inf
+            more = np.flatnonzero(((e + off >= bar) | (far > 1000) | (far < -960)) & (rows != qi) & (e > -np.inf))
+            order = np.concatenate([order, more])
+            score = np.concatenate([score, products(x[more], queries[i])])
+        best = np.lexsort((rows[order], ids[order], -score, ~np.isnan(score)))[:k]  # products without a value come first, as in SQL
+        if bars is not None and not np.isnan(bars[i]):
+            best = best[~(score[best] < bars[i])]
+        found.append((np.full(len(best), qi), order[best], score[best]))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
 
 
 def build_index(vectors: DataFrame) -> DataFrame:
-    """Every usable row with a number of its own, its dimension, shard, code, norm and correction, as a table."""
+    """Every usable row with a number of its own, its dimension, shard, code, norm, power and correction, as a table."""
     one = vectors.where(usable(F.col("embedding"))).select(F.monotonically_increasing_id().alias("row"), "vec_id", "embedding", F.size("embedding").alias("dim"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,13 +130,13 @@ def build_index(vectors: DataFrame) -> DataFrame:
             dims = b.column("dim").to_numpy()
             for dim in np.unique(dims):
                 part = b.filter(pa.array(dims == dim))
-                codes, norms, align = encode(matrix(part.column("embedding")))
+                codes, norms, powers, align = encode(matrix(part.column("embedding")))
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms), pa.array(align)],
-                    names=[*part.schema.names, "code", "norm", "align"])
+                    [*part.columns, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms), pa.array(powers, pa.int32()), pa.array(align)],
+                    names=[*part.schema.names, "code", "norm", "power", "align"])
 
     kind = one.schema["embedding"].dataType.simpleString()
-    coded = materialize(one.mapInArrow(run, f"row long, vec_id long, embedding {kind}, dim int, code binary, norm double, align double"), "codes")
+    coded = materialize(one.mapInArrow(run, f"row long, vec_id long, embedding {kind}, dim int, code binary, norm double, power int, align double"), "codes")
     sizes = coded.groupBy("dim").agg(F.count("*").alias("n_rows"))
     return coded.join(sizes.select("dim", parts("n_rows", SHARD).alias("shards")), "dim").withColumn("shard", part_of(F.col("row"), F.col("shards")))
 
@@ -108,34 +149,46 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     id, null last, and among equal ids to any row.
 
     Each task joins one shard of codes with one block of queries; neither grows with the table, their number
-    grows with its square. Only k rows for each query and shard are shuffled for the final ranking. Vectors that
+    grows with its square. Of s shards the first sqrt(s) are searched first; the k-th best product that a query finds
+    there is its bar, and of the others only what reaches it is shuffled: k / sqrt(s) rows a shard instead of k. Vectors that
     are null, zero, empty or hold null or non-finite components take no part; vectors of different length don't
-    meet. Rows that share an id, or have none, are candidates of their own; rows with a query's id are queries of
+    meet. Components may have any size: codes are those of vectors scaled by powers of two, and products that leave the
+    range of doubles are those of plain double arithmetic. Rows that share an id, or have none, are candidates of their own; rows with a query's id are queries of
     their own. With fewer than k candidates all are returned. Other columns are ignored, whatever their names.
     An empty table gives an empty result.
     """
     index = build_index(vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("embedding")))
     queries = index.where(is_query).select(F.col("row").alias("query_row"), F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.col("dim").alias("dim"), "shards")
+    early = F.col("shard") < F.ceil(F.sqrt(F.col("shards").cast("double")))
+    order = Window.partitionBy("query_row").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last(), "row")
+    first = _meet(index.where(early), queries.withColumn("bar", F.lit(None).cast("double")), early, k)
+    first = materialize(first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), "nearest")
+    bars = first.where(F.col("rank") == k).select("query_row", F.col("score").alias("bar"))
+    rest = _meet(index.where(~early), queries.join(bars, "query_row", "left"), ~early, k)
+    best = first.drop("rank").unionByName(rest).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return best.join(queries.select("query_row", "query_id"), "query_row").select("query_id", "rank", "vec_id", "score")
+
+
+def _meet(index: DataFrame, queries: DataFrame, which: Column, k: int) -> DataFrame:
+    """query_row, row, vec_id and score of what the shards of ``index``, those that ``which`` tells, find for all queries."""
     blocks = queries.groupBy("dim").agg(F.count("*").alias("n_queries"))
     blocks = blocks.select("dim", parts("n_queries", BLOCK).alias("blocks"))
     shard_side = index.join(blocks, "dim").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("shards", "blocks")
     query_side = (queries.join(blocks, "dim").withColumn("block", part_of(F.col("query_row"), F.col("blocks")))
-                  .withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).select(F.col("dim").alias("dim"), "shard", "block", "query_row", "query"))
+                  .withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).where(which).select(F.col("dim").alias("dim"), "shard", "block", "query_row", "query", "bar"))
 
     def run(shard: pa.Table, block: pa.Table) -> pa.Table:
         found, at, score = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
         if shard.num_rows and block.num_rows:
-            codes = np.frombuffer(b"".join(shard["code"].to_pylist()), dtype=np.uint8).reshape(shard.num_rows, -1)
-            ids = shard["vec_id"].fill_null(np.iinfo(np.int64).max).to_numpy()
-            found, at, score = search_block(shard["row"].to_numpy(), ids, matrix(shard["embedding"]), codes, shard["norm"].to_numpy(), shard["align"].to_numpy(),
-                                            block["query_row"].to_numpy(), matrix(block["query"]), k)
+            words = np.frombuffer(b"".join(shard["code"].to_pylist()), dtype=np.uint64).reshape(shard.num_rows, -1)
+            ids, x = shard["vec_id"].fill_null(np.iinfo(np.int64).max).to_numpy(), matrix(shard["embedding"])
+            codes = Codes(words, shard["norm"].to_numpy(), shard["power"].to_numpy(), shard["align"].to_numpy(), x.shape[1])
+            bars = block["bar"].cast(pa.float64()).to_numpy(zero_copy_only=False)
+            found, at, score = search_block(shard["row"].to_numpy(), ids, x, codes, block["query_row"].to_numpy(), matrix(block["query"]), k, bars)
         return pa.table([pa.array(found), shard["row"].take(at), shard["vec_id"].take(at), pa.array(score)], names=["query_row", "row", "vec_id", "score"])
 
     keys = ["dim", "shard", "block"]
-    found = shard_side.groupBy(*keys).cogroup(query_side.groupBy(*keys)).applyInArrow(run, "query_row long, row long, vec_id long, score double")
-    order = Window.partitionBy("query_row").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last(), "row")
-    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return best.join(queries.select("query_row", "query_id"), "query_row").select("query_id", "rank", "vec_id", "score")
+    return shard_side.groupBy(*keys).cogroup(query_side.groupBy(*keys)).applyInArrow(run, "query_row long, row long, vec_id long, score double")
 
 
 def op10_nearest(spark, sf_dir: str) -> DataFrame:

@@ -116,6 +116,57 @@ def test_nearest_recall(spark, monkeypatch, shard, block):
     assert hits >= 0.99 * 20 * 30
 
 
+def test_norms_of_any_size(spark):
+    """Vectors from 1e-170 to 1e200 among others, queries too: all of brute force, on one shard and on many."""
+    x = clustered(400, spread=0.6).astype(np.float64)
+    x[20] *= 1e200
+    x[40] *= 1e-170
+    x[61] *= 1e200
+    x[62] *= 1e-170
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = ann.nearest(df, F.col("vec_id") % 20 == 0).collect()
+    for q in range(0, 400, 20):
+        s = ann.products(x, x[q])
+        s[q] = -np.inf
+        want = np.lexsort((np.arange(400), -s, ~np.isnan(s)))[:20].tolist()  # no value is the largest, as in SQL
+        assert [r.vec_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] == want
+
+
+def test_bars_lose_nothing(spark, monkeypatch):
+    """Over 16 shards, four of them searched first: what the others send is little, and the result is brute force's."""
+    monkeypatch.setattr(ann, "SHARD", 250)
+    x = np.random.default_rng(5).standard_normal((4000, 24))
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = ann.nearest(df, F.col("vec_id") % 500 == 0).collect()
+    hits = 0
+    for q in range(0, 4000, 500):
+        s = ann.products(x, x[q])
+        s[q] = -np.inf
+        hits += len(set(np.lexsort((np.arange(4000), -s))[:20].tolist()) & {r.vec_id for r in got if r.query_id == q})
+    assert len(got) == 160 and hits >= 158
+
+
+def test_estimates_from_packed_bits():
+    """Estimates are right in the mean, nearly all within their bound, and few vectors of a shard are reranked."""
+    x = np.random.default_rng(6).standard_normal((16384, 64)) * 10.0 ** np.random.default_rng(7).integers(-3, 3, 16384)[:, None]
+    words, norms, powers, align = ann.encode(x)
+    assert words.shape == (16384, 1) and words.dtype == np.uint64
+    codes = ann.Codes(words, norms, powers, align, 64)
+    hits = 0
+    for q in range(20):
+        unit = np.ldexp(x[q], -powers[q])
+        e, off = codes.estimates(unit @ ann.rotation(64))
+        true = (np.ldexp(x, -powers[:, None]) @ unit) * np.ldexp(1.0, powers - codes.most)
+        others = np.arange(16384) != q
+        assert (np.abs(e - true) <= off)[others].mean() > 0.99
+        found, at, score = ann.search_block(np.arange(16384), np.arange(16384), x, codes, np.array([q]), x[q:q + 1], 20)
+        s = ann.products(x, x[q])
+        s[q] = -np.inf
+        assert (score == s[at]).all() and q not in at
+        hits += len(set(at.tolist()) & set(np.lexsort((np.arange(16384), -s))[:20].tolist()))
+    assert hits >= 0.99 * 400
+
+
 def test_more_neighbours_than_are_reranked_first(spark):
     x = clustered(600, spread=0.6)
     got, hits = ann.nearest(spark.createDataFrame(rows_of(x, np.zeros(600)), SCHEMA), F.col("vec_id") % 100 == 0, k=100).collect(), 0
