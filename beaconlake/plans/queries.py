@@ -1059,8 +1059,12 @@ def metadata_last250(spark, sf):
 @query(PKT + " SELECT acc_type, bucket FROM (" + " UNION ".join(f"SELECT '{t}' AS acc_type, ({_BUCKET_SQL[t]})::INT AS bucket FROM (SELECT year(make_timestamp(ts_s * 1000000)) AS y, month(make_timestamp(ts_s * 1000000)) - 1 AS m0, day(make_timestamp(ts_s * 1000000)) AS d FROM pkt)" for t in ("day", "month"))
        + ") EXCEPT SELECT acc_type, bucket FROM (" + " UNION ".join(f"SELECT '{t}' AS acc_type, ({_BUCKET_SQL[t]})::INT AS bucket FROM (SELECT year(m) AS y, month(m) - 1 AS m0, day(m) AS d FROM (SELECT make_timestamp(max(ts_s) * 1000000) AS m FROM pkt))" for t in ("day", "month")) + ")")
 def unexpected_accumulators(spark, sf):
-    have = R.into_buckets(I.packets(spark, sf).select("ts_s"), types=("day", "month"))
-    return M.unexpected(have, _period(spark, sf, True))
+    """The accumulators of a table, as its log lists them, without those of the current period."""
+    from beaconlake.streaming.tables import accumulators, merge_into
+
+    keys, path = ("acc_type", "bucket", "cell7", "station_id"), new_path(spark, "accumulators")
+    merge_into(path, keys)(V.partial(R.into_buckets(I.gapped(spark, sf), types=("day", "month")), *keys), 0)
+    return M.unexpected(accumulators(spark, path), _period(spark, sf, True))
 
 
 @query(PKT + " SELECT seq, floor((k * 65536 + (user_id % 256) * 256 + seq % 256) / 10 - 10000)::INT AS metres FROM pkt")

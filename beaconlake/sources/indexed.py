@@ -65,7 +65,7 @@ def write_coverage(cells: DataFrame, path: str, *partitions: str, cell: str = "h
 
 
 def _asked(where: dict) -> Column:
-    return reduce(and_, [F.col(c).eqNullSafe(F.lit(v)) for c, v in where.items()], F.lit(True))
+    return reduce(and_, [F.col(c).isNull() if v is None else F.col(c) == v for c, v in where.items()], F.lit(True))
 
 
 def _read(spark: SparkSession, path: str, pointer: dict, at: list[str]) -> DataFrame:

@@ -136,3 +136,9 @@ def compact(spark: SparkSession, path: str, target: str) -> None:
         new = BucketTable(spark, target)
         new.write(rows, state.batch)
         new.commit(State(), state.batch, list(state.parts), schema=rows.schema.json())
+
+
+def accumulators(spark: SparkSession, path: str) -> DataFrame:
+    """acc_type and bucket of every partition that the table holds: from its log alone, no row is read."""
+    parts = BucketTable(spark, path).state().parts
+    return spark.createDataFrame(list(parts), ", ".join(f"{c} {t}" for c, t in PARTITIONS.items()))

@@ -45,9 +45,15 @@ def test_stream_of_gaps_equals_batch(spark, tmp_path):
     assert got == want
 
 
-def test_feed_over_a_socket(spark, tmp_path):
-    server = socket.create_server(("127.0.0.1", 0))
-    asked = []
+def serving(lines: bytes):
+    """A service that greets each client with the same lines: (port, what clients sent, how to end it)."""
+    server, heard = socket.create_server(("127.0.0.1", 0)), []
+
+    def client(c):
+        heard.append(c.recv(200))
+        c.sendall(lines)
+        while more := c.recv(200):
+            heard.append(more)
 
     def serve():
         while True:
@@ -55,14 +61,45 @@ def test_feed_over_a_socket(spark, tmp_path):
                 c, _ = server.accept()
             except OSError:
                 return
-            asked.append(c.recv(200))
-            c.sendall(b"# hello\r\nA>B,qAS,C:x\r\n")
+            threading.Thread(target=client, args=(c,), daemon=True).start()
 
     threading.Thread(target=serve, daemon=True).start()
-    reader = feed.FeedReader({"port": str(server.getsockname()[1]), "host": "127.0.0.1", "filter": "r/1/2/3", "wait": "0.5"})
-    rows, end = reader.read(reader.initialOffset())
-    assert [r[2] for r in rows] == ["# hello", "A>B,qAS,C:x"] and end == {"seq": 2} and b"filter r/1/2/3" in asked[0]
-    server.close()
+    return server.getsockname()[1], heard, server.close
+
+
+def test_feed_over_a_socket():
+    port, heard, end = serving(b"# hello\r\nA>B,qAS,C:x\r\nhalf")
+    reader = feed.FeedReader({"feeds": f"127.0.0.1:{port}", "filter": "r/1/2/3", "wait": "0.5", "keepalive": "0"})
+    start, now = reader.initialOffset(), reader.latestOffset()
+    [p] = reader.partitions(start, now)
+    rows = list(reader.read(p))
+    assert [r[2] for r in rows] == ["# hello", "A>B,qAS,C:x"] and rows[1][0] == rows[0][0] + 1 and abs(rows[0][1] - now["at"]) < 5
+    assert b"filter r/1/2/3" in heard[0]
+    assert list(reader.read(p)) == [] and len(heard) > 1 and any(b"alive" in h for h in heard)  # the connection stays open
+    end()
+
+
+def test_feeds_are_read_by_tasks(spark, tmp_path):
+    """Two services, a partition each; a stream keeps what both sent, in order of arrival."""
+    (a, _, end_a), (b, _, end_b) = serving(b"one\ntwo\n"), serving(b"three\n")
+    lines = feed.live(spark, feeds=f"127.0.0.1:{a},127.0.0.1:{b}", wait="1", spool=str(tmp_path / "spool"))
+    q = lines.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(processingTime="1 second").start()
+    for _ in range(60):
+        q.awaitTermination(1)
+        if any((tmp_path / "out").glob("*.parquet")) and spark.read.schema("seq long, received long, value string").parquet(f"{tmp_path}/out").count() >= 3:
+            break
+    q.stop()
+    rows = spark.read.parquet(f"{tmp_path}/out").orderBy("seq").collect()
+    got = [r.value for r in rows]
+    assert set(got) == {"one", "two", "three"} and got.index("one") < got.index("two") and len({r.seq for r in rows}) == len(rows)
+    end_a(), end_b()
+
+
+def test_names_in_one_case(spark):
+    from beaconlake.functions.stations import normalise_case
+
+    df = spark.createDataFrame([("aBc-1",), ("",), (None,)], "name string")
+    assert [tuple(r) for r in df.select(normalise_case(F.col("name")), normalise_case(F.col("name"), True)).collect()] == [("aBc-1", "ABC-1"), ("", ""), (None, None)]
 
 
 def test_landed_lines(spark, tmp_path):
@@ -123,29 +160,20 @@ def test_lookups_open_only_their_files(spark, tmp_path):
 
 
 def test_spooled_lines_survive_a_restart(tmp_path):
-    server = socket.create_server(("127.0.0.1", 0))
-    heard = []
-
-    def serve():
-        c, _ = server.accept()
-        heard.append(c.recv(200))
-        c.sendall(b"one\r\ntwo\r\n")
-        heard.append(c.recv(200))
-
-    threading.Thread(target=serve, daemon=True).start()
-    options = {"port": str(server.getsockname()[1]), "host": "127.0.0.1", "wait": "0.5", "spool": str(tmp_path / "spool"), "keepalive": "0"}
+    port, _, end = serving(b"one\r\ntwo\r\n")
+    options = {"feeds": f"127.0.0.1:{port}", "wait": "0.5", "spool": str(tmp_path / "spool")}
     reader = feed.FeedReader(options)
-    rows, end = reader.read({"seq": 5})
-    assert [r[2] for r in rows] == ["one", "two"] and end == {"seq": 7}
-    again = feed.FeedReader(options)  # after a restart of the driver
-    assert [(r[0], r[2]) for r in again.readBetweenOffsets({"seq": 5}, {"seq": 7})] == [(5, "one"), (6, "two")]
-    again.commit({"seq": 7})
-    assert list((tmp_path / "spool").iterdir()) == []
-    with pytest.raises(RuntimeError):
-        again.readBetweenOffsets({"seq": 5}, {"seq": 7})
-    assert list(again.readBetweenOffsets({"seq": 7}, {"seq": 7})) == []
-    reader.read({"seq": 7})  # sends its own comment line
-    server.close()
+    [p] = reader.partitions({"at": 5}, {"at": 7})
+    rows = list(reader.read(p))
+    assert [r[2] for r in rows] == ["one", "two"]
+    again = feed.FeedReader(options)  # after a restart of the driver, or of the task
+    assert list(again.read(p)) == rows
+    [later] = again.partitions({"at": 7}, {"at": 9})
+    (tmp_path / "spool/000000000009-0.jsonl.working").write_text("a task that died\n")
+    assert list(again.read(later)) == [] and len(list((tmp_path / "spool").iterdir())) == 2
+    again.commit({"at": 7})
+    assert [x.name for x in (tmp_path / "spool").iterdir()] == ["000000000009-0.jsonl"]
+    end()
 
 
 def test_previous_output_is_kept_once(spark, tmp_path):
