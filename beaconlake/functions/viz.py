@@ -18,7 +18,8 @@ def _top(x: Column) -> Column:
 
 def score(name: str, max_count: Column | None = None) -> Column:
     """A cell's score, about 0 to 255, from the columns of a coverage table; an unknown name is avg_sig.
-    ``count`` is scaled by the table's largest count. A logarithm of 0 is null."""
+    ``count`` is scaled by the table's largest count. A logarithm of 0 is null. The numbers are fixed values, those of the
+    map that the scores are for."""
     c = F.col
     double = lambda x: F.shiftleft(c(x), 1)
     table = {
