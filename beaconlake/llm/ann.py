@@ -23,6 +23,8 @@ BOUND = 3.0
 FIRST = 64
 #: Bits to which a query's components are rounded.
 PLANES = 4
+#: How far products in single precision are off, as a share of both norms, with room to spare.
+SINGLE = 2e-5
 
 
 @lru_cache(maxsize=8)
@@ -53,16 +55,19 @@ def products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 class Codes:
-    """A shard's codes and correction scalars, for estimates of inner products with many queries."""
+    """A shard's vectors with their codes and correction scalars, for inner products with many queries. Estimates and first
+    products are relative to the shard's largest power of two: what counts is their order."""
 
-    def __init__(self, words: np.ndarray, norms: np.ndarray, powers: np.ndarray, align: np.ndarray, dim: int):
-        self.words, self.powers, self.dim = [np.ascontiguousarray(w) for w in words.T], powers, dim
-        self.ones = sum(np.bitwise_count(w).astype(np.float64) for w in self.words)
-        most = powers.max(initial=-2000)
+    def __init__(self, x: np.ndarray, words: np.ndarray, norms: np.ndarray, powers: np.ndarray, align: np.ndarray):
+        self.words, self.powers, self.dim, self.most = [np.ascontiguousarray(w) for w in words.T], powers, x.shape[1], powers.max(initial=-2000)
+        ones = sum(np.bitwise_count(w).astype(np.float32) for w in self.words)
         with np.errstate(under="ignore"):
-            self.scale = np.ldexp(norms / (align * np.sqrt(dim)), powers - most)  # relative to the largest power: what counts is order
-            self.spread = np.ldexp(norms * np.sqrt(np.maximum(0.0, 1 - align**2)) / (align * np.sqrt(max(1, dim - 1))), powers - most)
-        self.most = most
+            length = np.ldexp(norms, powers - self.most)
+            self.single = np.ldexp(x, -self.most).astype(np.float32)
+            self.scale = (length / (align * np.sqrt(self.dim))).astype(np.float32)
+            self.spread = (BOUND * length * np.sqrt(np.maximum(0.0, 1 - align**2)) / (align * np.sqrt(max(1, self.dim - 1)))).astype(np.float32)
+            self.rounding = (SINGLE * length).astype(np.float32)
+        self.centred = (2 * ones - self.dim) * self.scale
 
     def estimates(self, turned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Estimates of the products with one rotated query, and how far most are off.
@@ -75,13 +80,19 @@ class Codes:
         u = np.rint((turned - low) / step).astype(np.uint8)
         planes = np.packbits((u[None, :] >> np.arange(PLANES)[:, None]) & 1, axis=1)
         planes = np.pad(planes, ((0, 0), (0, -planes.shape[1] % 8))).view(np.uint64)
-        at_ones = np.zeros(len(self.ones), np.int64)
-        for j in range(PLANES):
+        at_ones = np.zeros(len(self.scale), np.uint32)
+        for j in range(PLANES - 1, -1, -1):
+            at_ones <<= 1
             for w, p in zip(self.words, planes[j], strict=True):
-                at_ones += np.bitwise_count(w & p).astype(np.int64) << j
-        off = np.linalg.norm(turned - (low + step * u))
-        estimate = (step * (2 * at_ones - int(u.sum())) + low * (2 * self.ones - self.dim)) * self.scale
-        return estimate, BOUND * (np.linalg.norm(turned) * self.spread + off * self.scale)
+                at_ones += np.bitwise_count(w & p)
+        off = np.linalg.norm(turned - (low + step * u)) / np.linalg.norm(turned)  # of rounding, small beside that of the codes
+        estimate = at_ones.astype(np.float32)
+        estimate *= np.float32(2 * step)
+        estimate -= np.float32(step * int(u.sum()))
+        estimate *= self.scale
+        estimate += np.float32(low) * self.centred
+        length = np.linalg.norm(turned)
+        return estimate, np.float32(length) * np.hypot(self.spread, np.float32(BOUND * off) * self.scale)
 
 
 def search_block(rows: np.ndarray, ids: np.ndarray, x: np.ndarray, codes: Codes, query_rows: np.ndarray, queries: np.ndarray, k: int,
@@ -90,30 +101,35 @@ def search_block(rows: np.ndarray, ids: np.ndarray, x: np.ndarray, codes: Codes,
     query's own row, and with ``bars`` none whose product is under the query's bar. Ties go to the smaller id, then the
     smaller row.
 
-    Only vectors whose estimate plus its bound reaches the k-th best exact product so far are reranked, and those whose
-    products with the query may leave the range of doubles.
+    Only vectors whose estimate plus its bound reaches the k-th best product so far are reranked: in single precision, and
+    what that leaves in double; and those whose products with the query may leave the range of doubles.
     """
-    dim = x.shape[1]
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     head = max(FIRST, k + 1)  # one of them may be the query's own row
     own_power = np.frexp(np.abs(queries).max(axis=1))[1] if len(queries) else np.zeros(0, np.int64)
     units = np.ldexp(queries, -own_power[:, None])
-    turned = units @ rotation(dim)
+    turned = units @ rotation(x.shape[1])
     for i, qi in enumerate(query_rows):
-        e, off = codes.estimates(turned[i])
-        e[rows == qi] = -np.inf
-        order = np.argpartition(-e, head)[:head] if len(e) > head else np.arange(len(e))
+        single, length = units[i].astype(np.float32), np.linalg.norm(units[i])
+        if len(rows) > head:
+            e, off = codes.estimates(turned[i])
+            order = np.argpartition(e, len(e) - head)[-head:]
+            with np.errstate(under="ignore", over="ignore"):
+                bar = np.partition((codes.single[order] @ single)[rows[order] != qi], -k)[-k] - np.float32(length) * codes.rounding[order].max()
+                if bars is not None and np.isfinite(bars[i]):
+                    known = np.ldexp(bars[i], -int(codes.most) - int(own_power[i]))
+                    bar = max(bar, known - abs(known) * SINGLE)
+            e += off
+            some = np.flatnonzero(e >= bar)
+            near = codes.single[some] @ single + np.float32(length) * codes.rounding[some]
+            far = codes.powers + own_power[i]
+            odd = np.flatnonzero((far > 1000) | (far < -960))
+            order = some[near >= bar]
+            order = np.union1d(order, odd) if len(odd) else order
+        else:
+            order = np.arange(len(rows))
         order = order[rows[order] != qi]
         score = products(x[order], queries[i])
-        if len(e) > head:
-            with np.errstate(under="ignore"):
-                near = products(np.ldexp(x[order], (-codes.powers[order])[:, None]), units[i])
-                bar = np.partition(np.ldexp(near, codes.powers[order] - codes.most), -k)[-k]
-            far = codes.powers + own_power[i]
-            e[order] = -np.inf
-            more = np.flatnonzero(((e + off >= bar) | (far > 1000) | (far < -960)) & (rows != qi) & (e > -np.inf))
-            order = np.concatenate([order, more])
-            score = np.concatenate([score, products(x[more], queries[i])])
         best = np.lexsort((rows[order], ids[order], -score, ~np.isnan(score)))[:k]  # products without a value come first, as in SQL
         if bars is not None and not np.isnan(bars[i]):
             best = best[~(score[best] < bars[i])]
@@ -182,7 +198,7 @@ def _meet(index: DataFrame, queries: DataFrame, which: Column, k: int) -> DataFr
         if shard.num_rows and block.num_rows:
             words = np.frombuffer(b"".join(shard["code"].to_pylist()), dtype=np.uint64).reshape(shard.num_rows, -1)
             ids, x = shard["vec_id"].fill_null(np.iinfo(np.int64).max).to_numpy(), matrix(shard["embedding"])
-            codes = Codes(words, shard["norm"].to_numpy(), shard["power"].to_numpy(), shard["align"].to_numpy(), x.shape[1])
+            codes = Codes(x, words, shard["norm"].to_numpy(), shard["power"].to_numpy(), shard["align"].to_numpy())
             bars = block["bar"].cast(pa.float64()).to_numpy(zero_copy_only=False)
             found, at, score = search_block(shard["row"].to_numpy(), ids, x, codes, block["query_row"].to_numpy(), matrix(block["query"]), k, bars)
         return pa.table([pa.array(found), shard["row"].take(at), shard["vec_id"].take(at), pa.array(score)], names=["query_row", "row", "vec_id", "score"])

@@ -151,7 +151,7 @@ def test_estimates_from_packed_bits():
     x = np.random.default_rng(6).standard_normal((16384, 64)) * 10.0 ** np.random.default_rng(7).integers(-3, 3, 16384)[:, None]
     words, norms, powers, align = ann.encode(x)
     assert words.shape == (16384, 1) and words.dtype == np.uint64
-    codes = ann.Codes(words, norms, powers, align, 64)
+    codes = ann.Codes(x, words, norms, powers, align)
     hits = 0
     for q in range(20):
         unit = np.ldexp(x[q], -powers[q])
