@@ -44,8 +44,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap:
 
     Sources in code point order, null last, weigh ``weights``, repeating. They share the sum of all
     sizes; no target exceeds cap times its source's size, and what is above is shared again by
-    weight. Sorted by the level at which a source fills up, this is one running sum. One row for each
-    source is all that meets in one task.
+    weight. Sorted by the level at which a source fills up, this is one running sum. One row of two numbers for each
+    source is all that meets in one task: 40 MB for a million sources.
     """
     every, by_fill = Window.orderBy(F.col("source").asc_nulls_last()), Window.orderBy("fill", F.col("source").asc_nulls_last())
     after = by_fill.rowsBetween(Window.currentRow, Window.unboundedFollowing)
@@ -178,7 +178,12 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int
 
 
 def repeat_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, seed: int = 17) -> DataFrame:
-    """The mix itself: each row of docs as often as it has copies, with the columns it came with."""
+    """The mix itself: each row of docs as often as it has copies, with the columns it came with.
+
+    Sources, draws and ties are those of mix_sources: a null text or source counts as there, rows that share an id are units
+    of their own, and rows equal in id and text are taken in any order, which no result tells. Texts without words have no
+    copies. An empty table gives an empty result.
+    """
     cols = docs.columns
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row_"), *_sized(docs, "doc_id", "source", "text"))
     sized = materialize(packed.select("doc_id", "source", "size", "unit"), "sizes")
