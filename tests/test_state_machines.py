@@ -1,5 +1,6 @@
 """The cell record found by segments against a walk through every packet, whatever the pattern of cells and silences."""
 
+import os
 import random
 
 import pytest
@@ -66,3 +67,26 @@ def test_a_long_flight_is_many_segments(spark):
     parked = spark.range(5000).select(F.col("id").alias("seq"), F.lit(1).alias("aircraft"), (F.col("id") % 4).alias("cell10"), F.lit(True).alias("first"))
     assert h3_stationary(parked, arrival=F.col("seq"), forget=500).where("h3_stationary").count() == 5000 - 360
     assert h3_stationary(parked.limit(0)).collect() == []
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="the given tables are not here")
+def test_ingest_reads_lines_once(spark, monkeypatch):
+    """Lines are scanned and parsed for one narrow table; windows, cells and ground are planned once behind it."""
+    from beaconlake.operators import ingest
+    from beaconlake.plans import inputs as I
+
+    sf = "/root/testdata/sf0.001"
+    written, plans = ingest.written, {}
+
+    def kept(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return written(df, name)
+
+    monkeypatch.setattr(ingest, "written", kept)
+    monkeypatch.setattr("beaconlake.operators.state_machines.written", kept)
+    fates = ingest.packets(I.feed_lines(spark, sf, True), I.tiles(spark, sf).limit(0), I.grid_cell)
+    last = fates._jdf.queryExecution().optimizedPlan().toString()
+    assert set(plans) == {"packets", "cells", "segments"}
+    assert plans["packets"].count("Relation [event_id") == 1 and "Window" not in plans["packets"]
+    assert plans["cells"].count("Relation [seq") == 1 and plans["cells"].count("ArrowEvalPython") == 1
+    assert "comment" not in last and last.count("MapInPandas") == 1 and last.count("ArrowEvalPython") == 1
