@@ -141,3 +141,41 @@ def packed(pieces, ids_of, docs, capacity=2048):
         assert at <= capacity
         padding += 0 if at & (at - 1) == 0 else capacity - at
     assert padding <= 0.01 * sum(got.values())
+
+
+def value_score(value):
+    """How much a whole value, as a text, looks like a secret."""
+    data = value.encode("utf-8", "surrogatepass")
+    if len(value) < 6:
+        return 0.0
+    bits = -sum(math.log2(data.count(b) / len(data)) for b in data)
+    hidden = any(p in value.lower() for p in ("example", "changeme", "placeholder", "your", "xxxx", "none", "null", "true", "false", "todo", "redacted", "$"))
+    return min(1.0, 0.4 + min(bits, 36.0) / 60) * (0.2 if hidden else 1.0)
+
+
+def sensitive_literals(assignments, name_score):
+    """Spans of literals whose value reaches a sensitive name: every name holds its whole value as a list of literals."""
+    known, best = {}, {}
+
+    def mark(value, weight):
+        score = weight * value_score("".join(t for t, _ in value))
+        for _, span in value:
+            best[span] = max(score, best.get(span, 0.0))
+
+    for name, parts, adds in assignments:
+        value = []
+        for text, start, end, quoted in parts:
+            value += known[text] if not quoted and text in known else [(text, (start, end))]
+        weight = name_score(name)
+        if weight:
+            mark(value, weight)
+        if adds and name in known:
+            value = known[name] + value
+            if weight:
+                mark(value, weight)
+        known[name] = value
+    return {s for s, x in best.items() if x >= 0.5 and s[0] < s[1]}
+
+
+def uncovered(literals, base):
+    return {("literal", s, e) for s, e in literals if not any(a <= s and e <= b for _, a, b in base)}

@@ -51,6 +51,22 @@ def test_harmless_assignments(text):
     assert secrets.scan(text)[1] == []
 
 
+def test_literals_equal_a_plain_reading():
+    """Constants, sums, additions and comparisons in any order, values of every kind of quote."""
+    rng = random.Random(11)
+    names = ["a", "b", "db_pwd", "api_key", "title", "token", "auth_header", "secretKey"]
+    values = ['"q8Zr5t"', "'Yw9PxLm2'", "`kkkkkkkkkk`", '"changeme"', "a", "b", "db_pwd", "title", '"xx"', "7f3kQ9zL", '"\'s 1"', '"xxx"', '"x9"', '"é日本語テスト"']
+    added = 0
+    for _ in range(2000):
+        lines = [f"{rng.choice(names)}{rng.choice([' = ', ': ', ' := ', ' += ', ' == ', ' => '])}{' + '.join(rng.choices(values, k=rng.choice([1, 1, 2, 3])))}" for _ in range(rng.randint(1, 8))]
+        text = rng.choice(["\n", "; ", ", "]).join(lines)
+        own, more, _ = secrets.scan(text)
+        want = plain.uncovered(plain.sensitive_literals(secrets.assignments(text), secrets.name_score), plain.secrets(text))
+        assert set(more) == want, text
+        added += len(want)
+    assert added > 1000
+
+
 def test_redaction_keeps_names_and_clean_texts():
     assert secrets.redact('x token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" y') == 'x token = "[REDACTED]" y'
     assert secrets.redact("a clean text") == "a clean text"
