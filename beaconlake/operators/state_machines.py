@@ -118,12 +118,11 @@ def h3_stationary(packets: DataFrame, aircraft: str = "aircraft", order: str = "
     place = stays.withColumn("rank_", F.row_number().over(of.orderBy("o_"))).where(F.col("rank_") <= limit * most + 1)
     from_ = place.groupBy(F.col("a_").alias("b_"), F.col("g_").alias("h_")).agg(F.array(*[F.max(F.when(F.col("rank_") == limit * n + 1, F.col("o_"))) for n in range(1, most + 1)]).alias("from_"))
     settled = long.join(from_, F.col("a_").eqNullSafe(F.col("b_")) & (F.col("g_") == F.col("h_")), "left").select("a_", "g_", "entries_", "from_")
-    at = rows.join(settled, here, "left").drop("a_", "g_")
-    walked = F.coalesce(F.size("entries_") > most, F.lit(False))
+    at = rows.join(settled, here, "left").where(F.coalesce(F.size("entries_") <= most, F.lit(True)))
     now = F.size(F.filter("entries_", lambda x: x <= F.col(order)))
     start = F.coalesce(F.element_at("from_", F.greatest(now, F.lit(1))) <= F.col(order), F.lit(False))
-    quick = at.where(~walked).withColumn("h3_stationary", F.col("in_").isNotNull() & F.col("known_").isNull() & start)
-    hard = at.where(walked).withColumn("key_", F.concat_ws("/", F.coalesce(F.col(aircraft).cast("string"), F.lit("")), F.col("segment_").cast("string"))).withColumns({"first_": F.col("in_").isNotNull(), "in_": F.coalesce("in_", F.lit(0))})
+    quick = at.withColumn("h3_stationary", F.col("in_").isNotNull() & F.col("known_").isNull() & start)
+    hard = rows.join(long.where(F.size("entries_") > most).select("a_", "g_"), here).withColumn("key_", F.concat_ws("/", F.coalesce(F.col(aircraft).cast("string"), F.lit("")), F.col("segment_").cast("string"))).withColumns({"first_": F.col("in_").isNotNull(), "in_": F.coalesce("in_", F.lit(0))})
     slow = fold(hard.select(*packets.columns, "in_", "known_", "key_", "first_"), "key_", order, ["in_", "first_", "known_"], _Cells, _cell_step(limit, most), {"h3_stationary": "boolean"})
     return quick.select(*packets.columns, "h3_stationary").unionByName(slow.select(*packets.columns, "h3_stationary"))
 
