@@ -8,7 +8,10 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import and_
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -166,7 +169,81 @@ def _move_step(config: Config) -> Callable:
     return step
 
 
+#: Distances in km that two ways of rounding may tell apart.
+_ROUNDING = 1e-9
+#: Beacons without a move after which those that follow are looked at together.
+_CALM = 8
+
+
+def _quiet(lat: np.ndarray, lng: np.ndarray, at: tuple[float, float], config: Config) -> tuple[int, np.ndarray]:
+    """How many of the places are surely not further from ``at`` than a move takes, and which of those are near, not still.
+    It also stops at what is too close to a threshold to be told apart by another way of rounding."""
+    near, done, size = [], 0, 32
+    while done < len(lat):
+        la, ln = np.radians(lat[done:done + size]), np.radians(lng[done:done + size])
+        h = np.sin((la - math.radians(at[0])) / 2) ** 2 + math.cos(math.radians(at[0])) * np.cos(la) * np.sin((ln - math.radians(at[1])) / 2) ** 2
+        far = 2 * EARTH_KM * np.arcsin(np.sqrt(np.minimum(1.0, h)))
+        with np.errstate(invalid="ignore"):
+            sure = (far < config.moved_km - _ROUNDING) & (np.abs(far - config.jitter_km) > _ROUNDING)
+        n = len(sure) if sure.all() else int(np.argmin(sure))
+        near.append(far[:n] > config.jitter_km)
+        done += n
+        if n < len(sure):
+            break
+        size *= 2
+    return done, np.concatenate(near) if near else np.zeros(0, bool)
+
+
+def _walked(changes: DataFrame, config: Config) -> DataFrame:
+    """(id_, move_, moved, bouncing) after each of the rows, key by key in order. Stretches without a move are settled at once."""
+    step = _move_step(config)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, state, calm = object(), None, 0
+        for b in batches:
+            keys = [None if pd.isna(k) else k for k in b["key_"]]
+            lat, lng = b["lat_"].to_numpy(float), b["lng_"].to_numpy(float)
+            move, flags, i = np.empty(len(b), object), np.zeros((len(b), 2), bool), 0
+            ends = [len(b)] * len(b)  # where a row's key ends
+            for j in range(len(b) - 2, -1, -1):
+                ends[j] = ends[j + 1] if keys[j] == keys[j + 1] else j + 1
+            while i < len(b):
+                if keys[i] != last:
+                    last, state = keys[i], _Place()
+                z = i + 1
+                if np.isnan(lat[i]) or np.isnan(lng[i]):
+                    flags[i] = state.moved, state.bouncing
+                else:
+                    move[i], *flags[i] = step(state, lat[i], lng[i])
+                    calm = calm + 1 if move[i] in ("still", "near") else 0
+                    if calm >= _CALM:
+                        n, near = _quiet(lat[z:ends[i]], lng[z:ends[i]], state.primary, config)
+                        if n:
+                            move[z:z + n], flags[z:z + n] = np.where(near, "near", "still"), (state.moved, False)
+                            state.last, state.bouncing, z = (lat[z + n - 1], lng[z + n - 1]), False, z + n
+                i = z
+            yield pd.DataFrame({"id_": b["id_"], "move_": move, "moved": flags[:, 0], "bouncing": flags[:, 1]})
+
+    rows = changes.repartition("key_").sortWithinPartitions("key_", "at_", "id_")
+    return rows.mapInPandas(run, "id_ long, move_ string, moved boolean, bouncing boolean")
+
+
 def station_moves(beacons: DataFrame, station: str = "station_id", order: str = "seq", lat: str = "lat", lng: str = "lng", config: Config = DEFAULT) -> DataFrame:
-    """Adds move (still, near, moved, in_motion, bouncing) and the flags moved and bouncing after each
-    location beacon of a station. The first beacon sets the primary place; a null place is not allowed."""
-    return fold(beacons, station, order, [lat, lng], _Place, _move_step(config), {"move": "string", "moved": "boolean", "bouncing": "boolean"})
+    """Adds move (still, near, moved, in_motion, bouncing) and the flags moved and bouncing after each location beacon of a
+    station. The first beacon sets the primary place. A beacon with a null or no-number place changes nothing: its move is
+    null, its flags are those before it. Null is a station too; beacons of one order are taken in any order.
+
+    Beacons are dealt by station and order in ranges of equal size, so one station may have any number of them. Of beacons
+    in a row at one place only a range's first two are walked through: from the second on the station is where it was, and
+    nothing changes. What is left, the changes of place, is walked through station by station.
+    """
+    place = [F.col(c).cast("double") for c in (lat, lng)]
+    dealt = beacons.repartitionByRange(station, order).withColumn("id_", F.monotonically_increasing_id())
+    by = Window.partitionBy(F.shiftright("id_", 33), station).orderBy(order, "id_")
+    known = place[0].isNotNull() & place[1].isNotNull() & ~F.isnan(place[0]) & ~F.isnan(place[1])
+    same = reduce(and_, [F.lag(x, n).over(by) == x for x in place for n in (1, 2)], known)
+    dealt = dealt.withColumn("new_", ~F.coalesce(same, F.lit(False)))
+    rows = written(dealt.withColumn("run_", F.last(F.when(F.col("new_"), F.col("id_")), ignorenulls=True).over(by)), "beacons")
+    changes = rows.where("new_").select("id_", F.col(station).alias("key_"), F.col(order).alias("at_"), place[0].alias("lat_"), place[1].alias("lng_"))
+    first = _walked(changes, config).withColumnRenamed("id_", "run_")
+    return rows.join(first, "run_").select(*beacons.columns, F.col("move_").alias("move"), "moved", "bouncing")

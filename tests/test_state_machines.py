@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from beaconlake.operators.gaps import with_gaps
-from beaconlake.operators.state_machines import _segments, h3_stationary
+from beaconlake.operators.state_machines import DEFAULT, _move_step, _Place, _segments, h3_stationary, station_moves
 
 
 def walk(rows, limit, most):
@@ -90,3 +90,42 @@ def test_ingest_reads_lines_once(spark, monkeypatch):
     assert plans["packets"].count("Relation [event_id") == 1 and "Window" not in plans["packets"]
     assert plans["cells"].count("Relation [seq") == 1 and plans["cells"].count("ArrowEvalPython") == 1
     assert "comment" not in last and last.count("MapInPandas") == 1 and last.count("ArrowEvalPython") == 1
+
+
+def test_moves_of_stations_with_most_beacons(spark):
+    """Ranges, runs and stretches without a move against one walk: a station with most rows that rests, jitters, drives and
+    jumps by turns, others, and a station without a name; some beacons have no place."""
+    rng, rows = random.Random(7), []
+    at = {w: [47.0, 8.0] for w in ("a", "b", None)}
+    for seq in range(12000):
+        who = "a" if rng.random() < 0.7 else rng.choice(["b", None])
+        mode, p = seq // 500 % 5, at[who]
+        if mode == 1:
+            here = [p[0] + rng.gauss(0, 0.001), p[1] + rng.gauss(0, 0.001)]
+        elif mode == 2:
+            p[0] += 0.03
+            here = list(p)
+        elif mode == 3:
+            here = [p[0] + rng.choice([0, 0, 0.008, 0.05]), p[1]]
+        else:
+            here = list(p) if mode == 0 or rng.random() < 0.98 else [p[0], p[1] + rng.choice([0.0005, 0.004])]
+        rows.append((seq, who, *(here if rng.random() > 0.01 else rng.choice([[None, here[1]], [float("nan"), None]]))))
+    want, state = {}, {}
+    step = _move_step(DEFAULT)
+    for seq, who, lat, lng in rows:
+        s = state.setdefault(who, _Place())
+        want[seq] = step(s, lat, lng) if lat is not None and lng is not None and lat == lat else (None, s.moved, s.bouncing)
+    df = spark.createDataFrame(rows, "seq long, station string, lat double, lng double").withColumnsRenamed({"station": "station_id"}).repartition(7)
+    got = {r.seq: (r.move, r.moved, r.bouncing) for r in station_moves(df).collect()}
+    assert got == want and {w[0] for w in want.values()} == {"still", "near", "moved", "in_motion", "bouncing", None}
+    assert station_moves(df).columns == [*df.columns, "move", "moved", "bouncing"] and station_moves(df.limit(0)).collect() == []
+
+
+def test_resting_stations_are_not_walked(spark, monkeypatch):
+    """Of a station's beacons at one place only the first two of each range reach Python."""
+    from beaconlake.operators import state_machines
+
+    walked, seen = state_machines._walked, []
+    monkeypatch.setattr(state_machines, "_walked", lambda changes, config: seen.append(changes.count()) or walked(changes, config))
+    rest = spark.range(20000).select(F.col("id").alias("seq"), F.lit(1).alias("station_id"), F.when(F.col("id") < 15000, 47.0).otherwise(48.0).alias("lat"), F.lit(8.0).alias("lng"))
+    assert station_moves(rest).groupBy("move").count().where("move = 'still'").first()["count"] == 19999 and seen[0] <= 12
