@@ -4,6 +4,7 @@ import datetime as dt
 import itertools
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -204,3 +205,23 @@ def test_empty_inputs(spark):
     none = samples(spark, []).withColumn("h3", F.lit(1))
     assert V.global_cells(V.partial(none, "h3", "station_id"), "h3").collect() == []
     assert list(itertools.chain(V.merge(V.partial(none, "h3"), "h3").collect())) == []
+
+
+@pytest.mark.parametrize("most, shown", [(255, 255), (None, 300)])
+def test_a_cell_with_more_stations_than_a_byte_counts(spark, most, shown):
+    cell = V.global_cells(by_station(spark, range(1, 301)), "h3", most=most).first()
+    assert cell.num_stations == shown and len(cell.stations.split(",")) == 30
+
+
+def test_top30_counts_all_stations(spark, tmp_path):
+    """More stations in a cell than the header's byte holds: the query tells their number, as its SQL does."""
+    from beaconlake.plans import queries as Q
+    from tests.oracle import same
+
+    e = spark.range(2000).select(F.col("id").alias("event_id"), F.timestamp_seconds(F.lit(1704067200) + F.col("id") * 20).alias("ts"), (F.col("id") % 2000 * 7).alias("user_id"), F.lit(20.0).alias("value"), F.lit('{"k": 5}').alias("props"))
+    e.write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    df = Q.QUERIES["top30_tokens"](spark, str(tmp_path))
+    same(df, con, Q.SQL["top30_tokens"])
+    assert df.agg(F.max("num_stations")).first()[0] > 255
