@@ -2,15 +2,18 @@
 
 import json
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from beaconlake.operators.gaps import with_gaps
-from beaconlake.operators.state_machines import h3_stationary
+from beaconlake.operators.state_machines import h3_stationary, station_moves
 from beaconlake.plans import inputs as I
 from beaconlake.sources.indexed import read_coverage
-from beaconlake.streaming.coverage import KEYS, roll_over, stream_gaps, with_open
+from beaconlake.streaming.coverage import CHUNK, KEYS, AircraftState, roll_over, stream_gaps, with_open
 from beaconlake.streaming.metrics import read_metrics, totals, watched
-from beaconlake.streaming.stations import NAMES, stream_stations
+from beaconlake.streaming.slices import cuts
+from beaconlake.streaming.stations import NAMES, StationState, replay_beacons, stream_stations
 from beaconlake.streaming.tables import BucketTable, State, latest, merge_into
 
 SF = "/root/testdata/sf0.001"
@@ -133,3 +136,74 @@ def test_counters_are_kept(spark, tmp_path):
     m = read_metrics(spark, f"{tmp_path}/m")
     assert m.count() == 3 and {r.counter: r.value for r in totals(m).collect()} == {"n": 60}
     assert json.loads(next((tmp_path / "m").glob("*.json")).read_text())["counters"]["x_last_packet"] in (9, 19, 29)
+
+
+class Kept:
+    """A state variable outside Spark, and the handle that gives it."""
+
+    def __init__(self):
+        self.value, self.made = None, {}
+
+    def getValueState(self, name, schema):
+        return self.made.setdefault(name, Kept())
+
+    def getMapState(self, name, *schemas):
+        return self.made.setdefault(name, Kept())
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def containsKey(self, key):
+        return key in (self.value or {})
+
+    def getValue(self, key):
+        return self.value[key]
+
+    def updateValue(self, key, value):
+        self.value = (self.value or {}) | {key: value}
+
+    def listTimers(self):
+        return []
+
+    def registerTimer(self, at):
+        self.at = at
+
+
+def test_state_functions_put_out_some_rows_at_a_time():
+    """However many rows of a key a batch has: frames are bounded, in order, and all of them are there."""
+    n = 25_000
+    rng = np.random.default_rng(1)
+    seq = rng.permutation(n)
+    b = pd.DataFrame({"station": 1, "seq": seq, "ts": seq + 1_700_000_000, "lat": np.where(seq % 2 == 0, 47 + seq // 1000 * 0.1, np.nan), "lng": 8.0, "status": np.where(seq % 3 == 0, None, "up")})
+    state = StationState()
+    state.init(Kept())
+    out = list(state.handleInputRows((1,), iter([b[:9000], b[9000:]]), None))
+    assert max(map(len, out)) <= CHUNK and len(out) == 3
+    rows = pd.concat(out)
+    assert rows["seq"].tolist() == list(range(n)) and rows["move"].tolist()[:1001:500] == ["still", "still", "moved"] and rows["status"].tolist()[:3] == [None, "up", "up"]
+    assert list(state.handleInputRows((1,), iter([b[:100]]), None)) == [] and state.document.get()[0] == n - 1
+    a = pd.DataFrame({"seq": seq, "received": seq, "ts": 1_700_000_000 + seq, "station_id": 1, "cell": 5, "standing": seq % 5 == 0})
+    flown = AircraftState(["seq", "received", "ts", "station_id"], "int")
+    flown.init(Kept())
+    out = list(flown.handleInputRows((1,), iter([a]), None))
+    assert max(map(len, out)) <= CHUNK and len(out) == 3
+    rows = pd.concat(out)
+    assert rows["seq"].tolist() == [i for i in range(n) if i % 5] and rows["h3_stationary"].sum() == n * 4 // 5 - 90
+
+
+def test_replayed_batches_are_bounded_and_in_order(spark, tmp_path):
+    """Many small batches over a restart give what the walk over all beacons gives."""
+    b = I.beacons(spark, SF).select("seq", F.col("ts_s").alias("ts"), F.col("station_id").alias("station"), "lat", "lng", F.lit(None).cast("string").alias("status"))
+    assert cuts(b, 10, most=300)[:2] == [10, 257] and cuts(b, 500, most=500) == [500] and cuts(b.limit(0), 5) == [5]
+    documents, rows = replay_beacons(b, 500, most=300)
+    sizes = sorted(r["count"] for r in rows.groupBy("batch").count().collect())
+    assert sum(sizes) == b.count() and sizes[-1] <= 310 and len(sizes) == 4
+    want = {r.seq: (r.move, r.moved, r.bouncing) for r in station_moves(b.withColumnRenamed("station", "station_id")).collect()}
+    assert {r.seq: (r.move, r.moved, r.bouncing) for r in rows.collect()} == want
+    assert {r.station: r.seq for r in documents.collect()} == {r.station: r.last for r in b.groupBy("station").agg(F.max("seq").alias("last")).collect()}
