@@ -129,3 +129,26 @@ def test_resting_stations_are_not_walked(spark, monkeypatch):
     monkeypatch.setattr(state_machines, "_walked", lambda changes, config: seen.append(changes.count()) or walked(changes, config))
     rest = spark.range(20000).select(F.col("id").alias("seq"), F.lit(1).alias("station_id"), F.when(F.col("id") < 15000, 47.0).otherwise(48.0).alias("lat"), F.lit(8.0).alias("lng"))
     assert station_moves(rest).groupBy("move").count().where("move = 'still'").first()["count"] == 19999 and seen[0] <= 12
+
+
+@pytest.mark.parametrize("arrival", [None, "t"])
+def test_windows_of_one_aircraft_are_bounded(spark, monkeypatch, arrival):
+    """Most packets are one aircraft's, all within the forgetting time: its windows fall apart into ranges, its record does not."""
+    from beaconlake.operators import state_machines
+
+    rng, rows, here = random.Random(3), [], 0
+    for seq in range(4000):
+        who = "a" if rng.random() < 0.9 else "b"
+        here += seq // 400 % 3 == 1 and seq % 5 == 0
+        rows.append((seq * 3, who, seq, here * 10 + rng.randrange(3), rng.random() < 0.9, False, rng.random() < 0.001))
+    made, sizes = state_machines._segments, []
+
+    def seen(packets, aircraft, order, first, cell, forgotten, stretch, most):
+        sizes.append(packets.groupBy(aircraft, stretch).count().agg(F.max("count")).first()[0])
+        return made(packets, aircraft, order, first, cell, forgotten, stretch, most)
+
+    monkeypatch.setattr(state_machines, "_segments", seen)
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = h3_stationary(df, forgotten="forgotten", standing=F.col("standing"), arrival=F.col(arrival) if arrival else None, limit=20, per_range=300)
+    assert {r.seq: r.h3_stationary for r in got.collect()} == walk(rows, 20, 4) and sizes[0] <= 310
+    assert 100 < got.where("h3_stationary").count() < 3500
