@@ -207,3 +207,25 @@ def test_replayed_batches_are_bounded_and_in_order(spark, tmp_path):
     want = {r.seq: (r.move, r.moved, r.bouncing) for r in station_moves(b.withColumnRenamed("station", "station_id")).collect()}
     assert {r.seq: (r.move, r.moved, r.bouncing) for r in rows.collect()} == want
     assert {r.station: r.seq for r in documents.collect()} == {r.station: r.last for r in b.groupBy("station").agg(F.max("seq").alias("last")).collect()}
+
+
+def test_replayed_lines_are_dealt_to_tasks(spark, monkeypatch):
+    """Lines are written by several tasks in slices of bounded size, and tiles are worked out once, not by each batch."""
+    from beaconlake.streaming import coverage, slices
+
+    given, feeds = [], []
+    ingest = coverage.stream_ingest
+    monkeypatch.setattr(coverage, "stream_ingest", lambda lines, tiles, path, *rest, **more: given.append((tiles, path)) or ingest(lines, tiles, path, *rest, **more))
+    run = slices.replayed
+    monkeypatch.setattr(coverage, "replayed", lambda rows, path, *rest, **more: feeds.append(path) or run(rows, path, *rest, **more))
+    lines = I.feed_lines(spark, SF, True)
+    whole = coverage.replay_lines(lines.repartition(4), I.tiles(spark, SF), I.grid_cell, 500)
+    [(tiles, path)] = given
+    assert "event_id" not in tiles._jdf.queryExecution().optimizedPlan().toString()  # a table, not made of the packets again
+    assert [BucketTable(spark, path).state().batch, spark.conf.get(slices.EMPTY_BATCHES)] == [1, "true"]
+    files = spark.read.parquet(f"{feeds[0]}/in/*").groupBy(F.regexp_extract(F.input_file_name(), r"/in/(\d+)/", 1).alias("slice"), F.input_file_name()).count().groupBy("slice").agg(F.count("*").alias("files"), F.sum("count").alias("rows")).collect()
+    assert sorted((r.slice, r.files, r.rows) for r in files) == [("0", 4, 500), ("1", 4, 500)]
+    small = coverage.replay_lines(lines, I.tiles(spark, SF), I.grid_cell, 500, most=150)
+    assert BucketTable(spark, given[1][1]).state().batch == 7
+    rows = lambda df: sorted(map(tuple, df.select(sorted(df.columns)).collect()))
+    assert rows(small) == rows(whole) and rows(whole)
